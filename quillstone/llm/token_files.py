@@ -100,20 +100,23 @@ def _writer(folder: str, path: str, end_id: int, dtype: str):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u4", partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", dtype: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write the documents in ascending id order; return the manifest: shard,
     n_docs, n_ids, first_id, width and base (ids in all shards before it).
 
-    One shuffle by ranges of the id; each task streams its sorted documents to
+    Ids are two bytes wide where the tokenizer's ids fit, else four, unless dtype
+    says otherwise. One shuffle by ranges of the id; each task streams its sorted documents to
     one shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token_files")
+    path = tokenizer_path or default_path()
+    dtype = dtype or ("<u2" if max(tokenizer(path).lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
     folder = folder or scratch.path("ids")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sorted_docs = table.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = scratch.write(sorted_docs.mapInArrow(_writer(folder, tokenizer_path or default_path(), end_id, dtype), MANIFEST), "manifest")
+    shards = scratch.write(sorted_docs.mapInArrow(_writer(folder, path, end_id, dtype), MANIFEST), "manifest")
     # A row a shard: the prefix sum runs over as many rows as there were tasks.
     sizes = sorted((r["first_id"], r["shard"], r["n_ids"]) for r in shards.select("first_id", "shard", "n_ids").toLocalIterator())
     bases, total = [], 0
