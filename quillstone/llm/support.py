@@ -85,3 +85,24 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
                 begin, total = i, 0
             total += n
         yield batch.slice(begin)
+
+
+#: Ids that are broadcast at most (8 bytes each); beyond it the tables are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    side = ids.toDF("__listed_id")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        side = F.broadcast(side)
+    return docs.join(side, docs[id_col].eqNullSafe(F.col("__listed_id")), how)
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is listed; ids: a stored table of one column."""
+    return _by_ids(docs, ids, id_col, "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not listed; ids: a stored table of one column."""
+    return _by_ids(docs, ids, id_col, "left_anti")
