@@ -3,11 +3,18 @@ can express."""
 
 from __future__ import annotations
 
+from . import exact_dedup
+from .exact_dedup import op2_exact_dedup
+from .near_dedup import op6_near_dedup
 from .packing import op4_packing
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+}
