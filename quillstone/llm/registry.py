@@ -7,13 +7,17 @@ from . import exact_dedup
 from .exact_dedup import op2_exact_dedup
 from .near_dedup import op6_near_dedup
 from .packing import op4_packing
+from .pii import op10_pii
 from .token_files import op8_token_files
+from .url_filter import op5_url_filter
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
