@@ -4,6 +4,7 @@ can express."""
 from __future__ import annotations
 
 from . import exact_dedup
+from .ann import op9_ann
 from .exact_dedup import op2_exact_dedup
 from .near_dedup import op6_near_dedup
 from .packing import op4_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_ann": op9_ann,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
