@@ -13,8 +13,10 @@ Pairs are bounded in this way:
   mates (a star: n - 1 pairs for n members);
 * links are confirmed on the full sets, and components are built of them;
 * only buckets that still hold more than one component go on: small ones compare
-  their members across components, larger ones are dealt anew by the members'
-  other bands, until they are small. So no link is lost to the stars.
+  their members across components; in middling ones, blocks of members are
+  compared by a product of incidence matrices, which returns the links alone;
+  larger ones are first dealt anew by the members' other bands. So no link is
+  lost to the stars.
 
 Buckets, links and components are tables; nothing of them reaches the driver but
 counts. Joins on hot keys are made between stored tables, which lets Spark split
@@ -42,8 +44,10 @@ WORDS = 5
 BINS, BAND_ROWS, BANDS = 256, 6, 42
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members of a bucket that are compared with one another.
-SMALL = 12
+#: Members of a bucket whose pairs are listed, and that are compared in blocks.
+SMALL, MIDDLING = 8, 2048
+#: Members and bytes of sets in a block.
+BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
 #: Times a bucket is dealt anew at most; what is left then is compared in full.
 DEPTH = 4
 
@@ -201,6 +205,61 @@ def _confirm(percent: int):
     return confirm
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    every = left + right
+    if not left or not right:
+        return out
+    names, column = np.unique(np.concatenate(every), return_inverse=True)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    twice = np.flatnonzero(np.bincount(column, minlength=len(names)) > 1)
+    place = np.full(len(names), -1)
+    place[twice] = np.arange(len(twice))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, len(twice), 4096):
+        span = slice(*np.searchsorted(column, [low, low + 4096]))
+        there = np.zeros((len(every), min(4096, len(twice) - low)), np.float32)
+        there[row[span], column[span] - low] = 1
+        out += there[: len(left)] @ there[len(left) :].T
+    return out
+
+
+def _links_of_blocks(percent: int):
+    """Links across components inside each (key, low, high): rows sorted by these."""
+
+    def links(held: list[dict]) -> pa.RecordBatch:
+        low, high = held[0]["low"], held[0]["high"]
+        left = [r for r in held if r["block"] == low]
+        right = left if low == high else [r for r in held if r["block"] == high]
+        x, y = ([np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right))
+        common = common_counts(x, y)
+        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None] - common
+        i, j = np.nonzero(100 * common >= percent * union)
+        pairs = {(min(a, b), max(a, b)) for a, b in ((left[k], right[m]) for k, m in zip(i, j)) for a, b in [(a["cls"], b["cls"])] if a != b}
+        comp = {r["cls"]: r["comp"] for r in held}
+        pairs = sorted(p for p in pairs if comp[p[0]] != comp[p[1]])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = row["key"], row["low"], row["high"]
+                if here != at and held:
+                    yield links(held)
+                    held = []
+                at = here
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return run
+
+
 class _Finder:
     """The steps of one run over one table."""
 
@@ -211,7 +270,6 @@ class _Finder:
         self.table = self.scratch.write(docs.mapInArrow(_sketch, "doc_id long, n long, cls binary, keys array<long>"), "documents")
         some = self.table.filter("n > 0")
         self.classes = self.scratch.write(some.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-        self.sets: list[DataFrame] = []
 
     def close(self, a: str, b: str):
         """The sizes allow a link."""
@@ -235,16 +293,28 @@ class _Finder:
         pairs = members.select("key", F.col("cls").alias("a"), "n", "comp").join(right, "key")
         return pairs.filter("a < b and comp <> b_comp").filter(self.close("n", "b_n")).select("a", "b").distinct()
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        asked = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
+    def sets_of(self, asked: DataFrame) -> DataFrame:
+        """The full sets of the classes asked for (a stored table of cls)."""
         ids = self.scratch.write(self.classes.join(asked, "cls").select("doc_id").distinct(), "asked_ids")
         found = only_ids(self.docs, ids).mapInArrow(_sets, "cls binary, members binary")
-        sets = self.scratch.write(found.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        return self.scratch.write(found.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("b_set")), "b")
-        links = self.scratch.write(both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(self.percent), "a binary, b binary"), "links")
-        self.scratch.drop(sets)
-        return links
+        return both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(self.percent), "a binary, b binary")
+
+    def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across the components of middling buckets. A bucket is cut into
+        blocks of bounded size, and each pair of blocks is one unit of work."""
+        sums = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n"))
+        blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_MEMBERS), F.ceil(F.col("sum_n") * 8 / BLOCK_BYTES)).cast("int")
+        sums = self.scratch.write(sums.select("key", blocks.alias("blocks")), "block_counts")
+        own = members.join(sums, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        units = own.select("key", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "cls", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        full = units.join(sets, "cls")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return full.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_links_of_blocks(self.percent), "a binary, b binary")
 
     def components(self, links: DataFrame) -> DataFrame:
         """(cls, comp) of all linked classes; comp is the smallest class reachable.
@@ -269,21 +339,26 @@ class _Finder:
         """(cls, comp) of the linked classes."""
         bands = self.classes.select(F.explode("keys").alias("key"), "cls", "n")
         members = self.shared(bands, "members")
-        links = self.confirmed(self.scratch.write(self.stars(members), "stars"))
+        stars = self.scratch.write(self.stars(members), "stars")
+        asked = self.scratch.write(stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
+        links = self.scratch.write(self.confirmed(stars, self.sets_of(asked)), "links")
         comps = self.components(links)
         for depth in range(DEPTH + 1):
-            known = members.join(comps, "cls", "left").select("key", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp"))
-            known = self.scratch.write(known, "known")
+            known = self.scratch.write(members.join(comps, "cls", "left").select("key", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp")), "known")
             mixed = self.scratch.write(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "mixed")
             left = self.scratch.write(known.join(mixed, "key"), "left")
-            fine = F.col("size") <= SMALL if depth < DEPTH else F.lit(True)
-            pairs = self.scratch.write(self.across(left.filter(fine)), "pairs")
-            if pairs.limit(1).count():
-                more = self.confirmed(pairs)
+            middling = (F.col("size") > SMALL) & ((F.col("size") <= MIDDLING) | F.lit(depth == DEPTH))
+            pairs = self.scratch.write(self.across(left.filter(F.col("size") <= SMALL)).join(stars, ["a", "b"], "left_anti"), "pairs")
+            units = left.filter(middling).select("key", "cls", "n", "comp")
+            asked = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(units.select("cls")).distinct(), "asked")
+            if asked.limit(1).count():
+                sets = self.sets_of(asked)
+                more = self.scratch.write(self.confirmed(pairs, sets).unionByName(self.in_blocks(units, sets)).distinct(), "more")
+                self.scratch.drop(sets)
                 if more.limit(1).count():
-                    links = self.scratch.write(links.unionByName(more).distinct(), "links")
+                    links = self.scratch.write(links.unionByName(more), "links")
                     comps = self.components(links)
-            large = left.filter(~fine)
+            large = left.filter((F.col("size") > SMALL) & ~middling)
             if not large.limit(1).count():
                 return comps
             deeper = large.join(self.classes.select("cls", "keys"), "cls").select("key", "cls", "n", F.explode("keys").alias("band"))
