@@ -5,18 +5,24 @@ from __future__ import annotations
 
 from . import exact_dedup
 from .ann import op9_ann
+from .byte_bpe import op7_byte_bpe
 from .exact_dedup import op2_exact_dedup
+from .language_id import op1_language_id
 from .near_dedup import op6_near_dedup
 from .packing import op4_packing
 from .pii import op10_pii
 from .token_files import op8_token_files
+from .toxicity import op3_toxicity
 from .url_filter import op5_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_token_files": op8_token_files,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
