@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Scratch, chunks, only_ids
+from .support import Scratch, chunks, only_ids, without_ids
 
 WORDS = 5
 BINS, BAND_ROWS, BANDS = 256, 6, 42
@@ -379,5 +379,12 @@ def near_dedup(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that near_dedup keeps, with their own columns."""
+    scratch = Scratch(docs.sparkSession, "drop_near")
+    found = near_dedup(docs, percent=percent, id_col=id_col, text_col=text_col)
+    return without_ids(docs, scratch.write(found.filter("not kept").select("doc_id").distinct(), "dropped"), id_col)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
