@@ -115,15 +115,30 @@ def _base(marks: DataFrame) -> DataFrame:
     return each.filter("holds").select("row", "doc_id", "text_key", "kind", (F.col("end") - F.col("length")).alias("start"), "end", "value", "left", "right")
 
 
-def _co_occurrence(base: DataFrame, min_contexts: int) -> DataFrame:
-    """(value, term, n_both, n_value) for terms near a value in enough contexts."""
-    # A word cut by the context's edge is no term.
+def _co_occurrence(base: DataFrame, n_docs: float, disclosure: Disclosure) -> DataFrame:
+    """(value, term, n_both, n_value) for terms near a value in enough contexts.
+
+    The documents whose contexts hold a term are a lower bound of all documents
+    with it. Pairs that miss the threshold even with this bound are left out here,
+    so common words are never looked up in the corpus.
+    """
+    # A word cut by the context's edge, or grown together with a value, is no term.
     left = F.when(F.length("left") == CONTEXT, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left"))
     right = F.when(F.length("right") == CONTEXT, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
-    near = base.select(F.lower("value").alias("value"), F.xxhash64("left", "right").alias("context"), F.lower(F.concat_ws(" ", left, right)).alias("words")).groupBy("value", "context").agg(F.min("words").alias("words"))
-    terms = near.select("value", F.explode(F.array_distinct(F.regexp_extract_all("words", F.lit(TERM), F.lit(0)))).alias("term"))
-    both = terms.groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_contexts)
-    return both.join(near.groupBy("value").agg(F.count("*").alias("n_value")), "value")
+    words = F.lower(F.concat_ws(" ", F.regexp_replace(left, r"\p{L}+$", ""), F.regexp_replace(right, r"^\p{L}+", "")))
+    found = base.select("row", F.lower("value").alias("value"), F.xxhash64("left", "right").alias("context"), F.array_distinct(F.regexp_extract_all(words, F.lit(TERM), F.lit(0))).alias("terms"))
+    least = found.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    near = found.groupBy("value", "context").agg(F.min("terms").alias("terms"))
+    both = near.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= disclosure.min_contexts)
+    pairs = both.join(near.groupBy("value").agg(F.count("*").alias("n_value")), "value").join(least, "term")
+    return pairs.filter(_share(n_docs) >= disclosure.generalise_at).drop("n_term")
+
+
+def _share(n_docs: float) -> Column:
+    """PMI(term; value) / IC(value)."""
+    information = F.log2(F.lit(max(n_docs, 2.0)) / F.col("n_value"))
+    lost = F.log2(F.greatest(F.col("n_term"), F.col("n_both")) / F.col("n_both"))
+    return F.when(information > 0, (information - lost) / information).otherwise(F.lit(0.0))
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,16 +154,12 @@ def _checked(side: DataFrame) -> DataFrame:
 def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, disclosure: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, disclosure): the largest share of a value's information that the
     term gives away, for terms over the threshold."""
-    pairs = scratch.write(_co_occurrence(base, disclosure.min_contexts), "pairs")
+    n_docs = float(docs.select(F.count(F.lit(1))).first()[0])
+    pairs = scratch.write(_co_occurrence(base, n_docs, disclosure), "pairs")
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     words = _words(docs, id_col, text_col).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     with_term = scratch.write(words.join(_checked(terms), "term").groupBy("term").agg(F.count("*").alias("n_term")), "with_term")
-    n = docs.select(F.count(F.lit(1)).cast("double").alias("n_docs"))
-    one = scratch.write(n, "n").first()[0]
-    information = F.log2(F.lit(max(one, 2.0)) / F.col("n_value"))
-    left = F.log2(F.greatest(F.col("n_term"), F.col("n_both")) / F.col("n_both"))
-    share = F.when(information > 0, (information - left) / information).otherwise(F.lit(0.0))
-    return scratch.write(pairs.join(with_term, "term").groupBy("term").agg(F.max(share).alias("disclosure")).filter(F.col("disclosure") >= disclosure.generalise_at), "revealing")
+    return scratch.write(pairs.join(with_term, "term").groupBy("term").agg(F.max(_share(n_docs)).alias("disclosure")).filter(F.col("disclosure") >= disclosure.generalise_at), "revealing")
 
 
 def _term_spans(docs: DataFrame, revealing: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
