@@ -1,6 +1,848 @@
-"""Names of the engine's own queries, and their DuckDB twins."""
+"""The engine's queries over the test tables, and their DuckDB twins.
+
+The tables stand in for the engine's own inputs: an order is an operation, its
+customer's nation its country, the customer its agency, line items are cash flows,
+documents' lines are paragraphs, conversations are extraction calls.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import coding, keys, months, text as t, values as v
+from .operators import batch, extraction, pages, paragraphs, resolve, retrieval
+from .plans import calendars, coding as code_plan, enrich, portfolio, splice, spells, stats, track
+from .streaming import resume
+
+RULES = spells.SpellRules(flows_cutoff="2001-06-01", data_cutoff="2001-12-01")
+SPLICE_CUTOFF = "1998-06-01"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ operations
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k, month = F.col("o_orderkey"), F.trunc(F.col("o_orderdate").cast("date"), "month")
+    state = F.when(F.col("o_orderstatus") == "F", "disbursed_complete").when(F.col("o_orderstatus") == "O", "still_active").otherwise("cancelled")
+    return o.select(
+        k.alias("operation"), F.col("o_custkey").alias("agency"), F.col("o_orderdate").cast("date").alias("approval_day"),
+        F.when(k % 7 == 0, F.add_months(month, 1)).alias("eligibility"), F.when(k % 97 != 0, month).alias("approval"),
+        F.when(k % 11 != 0, F.col("o_totalprice")).alias("amount"), state.alias("terminal_state"),
+        F.when((F.col("o_orderstatus") == "F") & (k % 3 == 0), F.add_months(month, (k % 40 - 2).cast("int"))).alias("completed"),
+        F.add_months(month, (k % 24).cast("int")).alias("last_updated"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
+    )
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    amount = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    return li.select(F.col("l_orderkey").alias("operation"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"), amount.cast("decimal(20,4)").alias("amount"), (F.col("l_returnflag") != "R").alias("counts"))
+
+
+_OPS = """ops AS (
+  SELECT o_orderkey AS operation, o_custkey AS agency, o_orderdate::DATE AS approval_day,
+    CASE WHEN o_orderkey % 7 = 0 THEN (m + INTERVAL 1 MONTH)::DATE END AS eligibility,
+    CASE WHEN o_orderkey % 97 <> 0 THEN m END AS approval,
+    CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS amount,
+    CASE o_orderstatus WHEN 'F' THEN 'disbursed_complete' WHEN 'O' THEN 'still_active' ELSE 'cancelled' END AS terminal_state,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN (m + to_months((o_orderkey % 40 - 2)::INT))::DATE END AS completed,
+    (m + to_months((o_orderkey % 24)::INT))::DATE AS last_updated, o_orderpriority AS priority, o_orderstatus AS status
+  FROM (SELECT *, date_trunc('month', o_orderdate)::DATE AS m FROM orders)),
+fl AS (
+  SELECT l_orderkey AS operation, date_trunc('month', l_shipdate)::DATE AS month,
+    (l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)))::DECIMAL(20,4) AS amount, l_returnflag <> 'R' AS counts
+  FROM lineitem)"""
+_INDEX = "(year({0}) * 12 + month({0}) - 1)"
+_SPELLS = f"""{_OPS},
+monthly AS (SELECT operation, month, sum(amount) FILTER (counts) AS amount FROM fl GROUP BY 1, 2),
+prof AS (SELECT operation, min(month) AS earliest, count(amount) AS n_flow FROM monthly GROUP BY 1),
+b0 AS (
+  SELECT o.operation, coalesce(eligibility, approval) AS start, CASE WHEN o.amount > 0 THEN o.amount::DECIMAL(20,4) END AS amount,
+    terminal_state AS st, completed, last_updated, earliest, n_flow
+  FROM ops o LEFT JOIN prof USING (operation)),
+b1 AS (
+  SELECT *, coalesce(abs({_INDEX.format('start')} - {_INDEX.format('earliest')}) > 24, false) AS mismatch,
+    CASE WHEN st = 'cancelled' AND {_INDEX.format('last_updated')} - {_INDEX.format('start')} >= 12 THEN last_updated END AS cancelled
+  FROM b0),
+b2 AS (
+  SELECT *, NOT mismatch AND coalesce(n_flow > 0, false) AS has_flows,
+    NOT mismatch AND coalesce(n_flow > 0, false) AND amount IS NOT NULL AS by_flows,
+    st = 'disbursed_complete' AND completed IS NOT NULL AS done
+  FROM b1),
+b3 AS (
+  SELECT *, CASE WHEN has_flows THEN 'transaction_level' ELSE 'snapshot_only' END AS resolution,
+    CASE WHEN by_flows THEN least(DATE '2001-06-01', DATE '2001-12-01', cancelled)
+      WHEN done THEN completed WHEN st = 'still_active' THEN DATE '2001-12-01' WHEN cancelled IS NOT NULL THEN cancelled ELSE DATE '2001-12-01' END AS last,
+    CASE WHEN by_flows THEN CASE WHEN done THEN 'disbursed_complete_post_transactions_cutoff'
+        WHEN st = 'cancelled' THEN CASE WHEN cancelled IS NOT NULL THEN 'cancelled' ELSE 'cancelled_no_date' END ELSE 'right_censored_at_transactions_cutoff' END
+      WHEN done THEN 'disbursed_complete' WHEN st = 'still_active' THEN 'right_censored' WHEN cancelled IS NOT NULL THEN 'cancelled'
+      WHEN st = 'cancelled' THEN 'cancelled_no_date' ELSE 'unresolved_at_cutoff' END AS reason
+  FROM b2),
+b AS (
+  SELECT *, CASE WHEN start IS NULL THEN 'skipped_no_start_date' WHEN NOT by_flows AND last < start THEN 'skipped_end_before_start' ELSE 'ok' END AS status FROM b3),
+rows0 AS (SELECT *, unnest(generate_series(start, last, INTERVAL 1 MONTH))::DATE AS month FROM b WHERE status = 'ok' AND start <= last),
+rows1 AS (
+  SELECT r.*, CASE WHEN by_flows THEN coalesce(f.amount, 0) END AS flow
+  FROM rows0 r LEFT JOIN monthly f ON r.operation = f.operation AND r.month = f.month),
+rows2 AS (SELECT *, sum(flow) OVER (PARTITION BY operation ORDER BY month) AS total FROM rows1),
+rows3 AS (SELECT *, CASE WHEN by_flows THEN total >= amount * 0.98 ELSE coalesce(month = CASE WHEN done THEN completed END, false) END AS crossed FROM rows2),
+rows4 AS (SELECT *, coalesce(max(CASE WHEN by_flows AND crossed THEN 1 ELSE 0 END) OVER (PARTITION BY operation ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM rows3),
+m AS (SELECT * FROM rows4 WHERE earlier = 0),
+summary AS (
+  SELECT b.operation, b.status, CASE WHEN b.status = 'ok' THEN coalesce(n, 0)::BIGINT END AS n_months,
+    CASE WHEN b.status = 'ok' THEN mismatch END AS join_mismatch_suspected, CASE WHEN b.status = 'ok' THEN resolution END AS outcome_resolution,
+    CASE WHEN b.status = 'ok' THEN CASE WHEN hit THEN 'disbursed_complete' ELSE reason END END AS exit_reason,
+    CASE WHEN b.status = 'ok' THEN strftime(start, '%Y-%m') END AS spell_start
+  FROM b LEFT JOIN (SELECT operation, count(*) AS n, bool_or(by_flows AND crossed) AS hit FROM m GROUP BY 1) c USING (operation))"""
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its DuckDB twin if there is one."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# -------------------------------------------------------------------- spells
+
+
+@query(
+    f"""WITH {_SPELLS}
+SELECT operation, year(m.month)::INT AS year, month(m.month)::INT AS month, ({_INDEX.format('m.month')} - {_INDEX.format('start')})::INT AS spell_month,
+  flow::DOUBLE AS monthly_disbursed, total::DOUBLE AS cum_disbursed, (floor(total::DOUBLE / amount::DOUBLE * 10000 + 0.5) / 10000)::DOUBLE AS cum_share,
+  crossed::INT AS y_it, 1::INT AS at_risk, resolution AS outcome_resolution,
+  (m.month BETWEEN DATE '2000-01-01' AND DATE '2000-06-01')::INT AS shock, priority AS carried
+FROM m JOIN (SELECT operation, priority FROM ops) USING (operation)"""
+)
+def spell_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = operations(spark, sf_dir)
+    rows = spells.spell_months(ops, flows(spark, sf_dir), RULES)
+    calendar = calendars.month_table(spark, "1995-01-01", "2001-12-01").select(F.year("date").alias("year"), F.month("date").alias("month"), F.col("date").between("2000-01-01", "2000-06-01").cast("int").alias("shock"))
+    out = spells.with_covariates(rows, calendar, ops.select("operation", F.col("priority").alias("carried")), ["carried", "absent"])
+    return out.withColumn("shock", F.coalesce("shock", F.lit(0)))
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spells.spell_summary(operations(spark, sf_dir), flows(spark, sf_dir), RULES)
+
+
+@query(f"WITH {_SPELLS} SELECT * FROM summary")
+def spell_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, sf_dir)
+
+
+@query(f"WITH {_SPELLS} SELECT exit_reason AS value, count(*) AS n FROM summary GROUP BY 1")
+def exit_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_counts(_summary(spark, sf_dir), "exit_reason")
+
+
+@query(f"WITH {_OPS} SELECT operation, year(month)::INT AS year, month(month)::INT AS month, sum(amount)::DOUBLE AS amount FROM fl WHERE counts GROUP BY ALL")
+def monthly_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.tables import monthly_flows as sums
+
+    return sums(flows(spark, sf_dir)).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(f"WITH {_OPS} SELECT operation, year(min(month))::INT AS year, month(min(month))::INT AS month FROM fl GROUP BY 1")
+def earliest_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.tables import earliest_flow as first
+
+    return first(flows(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- portfolio
+
+
+def _countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("agency"), "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
+    return c.join(F.broadcast(n), "c_nationkey")
+
+
+def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = operations(spark, sf_dir).join(_countries(spark, sf_dir), "agency")
+    k = F.col("operation")
+    currency = F.element_at(F.array(*map(F.lit, ("USD", "Local currency option", "Dollars", "moneda local"))), (k % 4 + 1).cast("int"))
+    stated = F.when(k % 5 != 0, currency)
+    ops = ops.select(
+        "operation", "country", F.when(k % 89 != 0, F.col("approval_day")).alias("approval"), F.col("amount").cast("decimal(20,4)").alias("weight"),
+        v.yes_no(F.when(k % 6 < 4, F.when(k % 2 == 0, "Yes").otherwise("No"))).cast("int").alias("import_share"),
+        (v.imputed_share(F.when(k % 3 == 0, (k % 50).cast("string")), F.when(k % 3 == 1, "No").otherwise("Yes")).cast("decimal(14,4)") / 100).cast("decimal(14,4)").alias("cofinancing_share"),
+        coding.foreign_currency(stated).cast("int").alias("fx_foreign_share"), coding.commodity_sector(F.col("c_mktsegment"), ("build", "machin")).cast("int").alias("commodity_sector_share"),
+    )
+    done = _summary(spark, sf_dir).filter("status = 'ok'").select("operation", F.to_date(F.concat("spell_start", F.lit("-01"))).alias("spell_start"), "n_months")
+    return ops.join(done, "operation", "left")
+
+
+def _share_sql(name: str) -> str:
+    return f"""CASE WHEN count({name}) = 0 OR sum(weight) = 0 THEN NULL
+    WHEN sum(weight) FILTER ({name} IS NOT NULL) = 0 THEN floor(sum({name})::DOUBLE / count({name}) * 10000 + 0.5) / 10000
+    ELSE floor(sum(weight * {name})::DOUBLE / (sum(weight) FILTER ({name} IS NOT NULL))::DOUBLE * 10000 + 0.5) / 10000 END AS {name}"""
+
+
+def _portfolio_sql(freq: str) -> str:
+    end = "make_date(y, 12, 1)" if freq == "year" else "make_date(y, q * 3, 1)"
+    name = "y::VARCHAR" if freq == "year" else "y || '-' || q"
+    quarters = "1" if freq == "year" else "4"
+    return f"""WITH {_SPELLS},
+pan AS (
+  SELECT o.operation, n_name AS country, CASE WHEN o.operation % 89 <> 0 THEN approval_day END AS approval, coalesce(o.amount::DECIMAL(20,4), 0) AS weight,
+    CASE WHEN o.operation % 6 < 4 THEN (o.operation % 2 = 0)::INT END AS import_share,
+    CASE WHEN o.operation % 3 = 0 THEN ((o.operation % 50)::DECIMAL(14,4) * 0.01)::DECIMAL(14,4) WHEN o.operation % 3 = 1 THEN 0 END::DECIMAL(14,4) AS cofinancing_share,
+    CASE WHEN o.operation % 5 <> 0 THEN (o.operation % 4 IN (0, 2))::INT END AS fx_foreign_share,
+    (lower(c_mktsegment) LIKE '%build%' OR lower(c_mktsegment) LIKE '%machin%')::INT AS commodity_sector_share,
+    CASE WHEN s.status = 'ok' THEN (strptime(s.spell_start || '-01', '%Y-%m-%d')::DATE + to_months(n_months::INT))::DATE END AS exit
+  FROM ops o JOIN customer ON c_custkey = o.agency JOIN nation ON n_nationkey = c_nationkey LEFT JOIN summary s USING (operation)),
+per AS (SELECT y, q FROM generate_series(1990, 2001) g(y), generate_series(1, {quarters}) h(q)),
+act AS (SELECT pan.*, {name} AS period FROM pan, per WHERE date_trunc('month', approval) <= {end} AND (exit IS NULL OR exit > {end}))
+SELECT country, period, count(*) AS n_active, {", ".join(map(_share_sql, portfolio.SHARES))}
+FROM act GROUP BY 1, 2"""
+
+
+@query(_portfolio_sql("year"))
+def portfolio_shares_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.portfolio_shares(_portfolio(spark, sf_dir), "2001-12-01", "year")
+
+
+@query(_portfolio_sql("quarter"))
+def portfolio_shares_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.portfolio_shares(_portfolio(spark, sf_dir), "2001-12-01", "quarter")
+
+
+# --------------------------------------------------------------- track record
+
+
+def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _summary(spark, sf_dir).filter("exit_reason = 'disbursed_complete'").select("operation", "n_months", F.add_months(F.to_date(F.concat("spell_start", F.lit("-01"))), F.col("n_months").cast("int")).alias("completed"))
+    ops = operations(spark, sf_dir).join(_countries(spark, sf_dir), "agency").select("operation", F.col("approval_day").alias("approval"), F.when(F.col("operation") % 101 != 0, F.col("country")).alias("country"), "agency")
+    return ops.join(done, "operation", "left")
+
+
+def _track_sql(key: str, prefix: str) -> str:
+    return f"""WITH {_SPELLS},
+pan AS (
+  SELECT o.operation, approval_day, o.agency, CASE WHEN o.operation % 101 <> 0 THEN n_name END AS country, CASE WHEN exit_reason = 'disbursed_complete' THEN n_months END AS n
+  FROM ops o JOIN customer ON c_custkey = o.agency JOIN nation ON n_nationkey = c_nationkey LEFT JOIN summary USING (operation)),
+w AS (
+  SELECT operation, {key} AS k, count(*) OVER p AS c, count(n) OVER p AS known, sum(n) OVER p AS total
+  FROM pan WINDOW p AS (PARTITION BY {key} ORDER BY approval_day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT operation, CASE WHEN k IS NOT NULL THEN c END AS {prefix}_prior_ops_count,
+  CASE WHEN k IS NOT NULL AND known > 0 THEN floor(total::DOUBLE / known * 10 + 0.5) / 10 END AS {prefix}_prior_avg_duration_months,
+  CASE WHEN k IS NOT NULL THEN known END AS {prefix}_prior_n_with_known_duration FROM w"""
+
+
+@query(_track_sql("country", "country"))
+def track_record_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track.track_record(_track(spark, sf_dir), "country", "country")
+
+
+@query(_track_sql("agency", "agency"))
+def track_record_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track.track_record(_track(spark, sf_dir), "agency", "agency")
+
+
+# --------------------------------------------------------------------- splice
+
+
+def _spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    f = flows(spark, sf_dir)
+    by_op = Window.partitionBy("operation").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    stream = f.filter("counts").groupBy("operation", "month").agg(F.sum("amount").alias("a")).select("operation", "month", F.sum("a").over(by_op).alias("cumulative"))
+    k, month = F.col("operation"), F.col("approval")
+    approved = operations(spark, sf_dir).select("operation", F.col("amount").cast("decimal(20,4)").alias("approved"), *[F.when(k % 4 == i, F.add_months(month, 6 * i)).alias(f"t{n}") for i, n in enumerate(splice.THRESHOLDS)])
+    registry = f.filter(~F.col("counts")).select("operation", "month", "amount")
+    return splice.splice_thresholds(stream, approved, registry, cutoff=SPLICE_CUTOFF)
+
+
+_SPLICE = f"""{_OPS},
+st AS (SELECT operation, month, sum(sum(amount)) OVER (PARTITION BY operation ORDER BY month) AS cumulative FROM fl WHERE counts GROUP BY 1, 2),
+anchor AS (SELECT operation, max_by(cumulative, month) AS anchor FROM st WHERE month <= DATE '{SPLICE_CUTOFF}' GROUP BY 1),
+ap AS (SELECT operation, amount::DECIMAL(20,4) AS approved, {", ".join(f"CASE WHEN operation % 4 = {i} THEN (approval + INTERVAL {6 * i} MONTH)::DATE END AS t{n}" for i, n in enumerate(splice.THRESHOLDS))} FROM ops),
+base AS (SELECT * FROM ap LEFT JOIN anchor USING (operation)),
+post AS (
+  SELECT operation, (month + INTERVAL 1 MONTH)::DATE AS m, sum(amount) AS a FROM fl
+  WHERE NOT counts AND (month + INTERVAL 1 MONTH)::DATE > DATE '{SPLICE_CUTOFF}' GROUP BY 1, 2),
+cum AS (
+  SELECT operation, m, approved, anchor + sum(a) OVER (PARTITION BY operation ORDER BY m) AS total
+  FROM post JOIN base USING (operation) WHERE anchor IS NOT NULL AND approved > 0),
+g AS (
+  SELECT operation, count(*) AS n, max(m) AS last, max(floor(total::DOUBLE / approved::DOUBLE * 10000 + 0.5) / 100) AS after,
+    {", ".join(f"min(m) FILTER (total * 100 >= approved * {t}) AS hit{t}" for t in splice.THRESHOLDS)} FROM cum GROUP BY 1),
+spliced AS (
+  SELECT operation, n IS NOT NULL AS spliced, coalesce(n, 0) AS n_spliced_months, strftime(last, '%Y-%m') AS last_spliced_month,
+    CASE WHEN approved > 0 THEN floor(anchor::DOUBLE / approved::DOUBLE * 10000 + 0.5) / 100 END AS share_at_cutoff, after AS share_after_splice,
+    {", ".join(f"strftime(t{t}, '%Y-%m') AS t{t}_orig, strftime(coalesce(t{t}, hit{t}), '%Y-%m') AS t{t}_spliced, (t{t} IS NULL AND hit{t} IS NOT NULL) AS recovered_{t}" for t in splice.THRESHOLDS)}
+  FROM base LEFT JOIN g USING (operation))"""
+
+
+@query(f"WITH {_SPLICE} SELECT * FROM spliced")
+def threshold_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spliced(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_SPLICE}, win AS (SELECT s.* FROM spliced s JOIN ops o USING (operation) WHERE o.approval >= DATE '1996-01-01'),
+r AS ({" UNION ALL ".join(f"SELECT {t}::INT AS threshold, t{t}_orig IS NULL AS missing, recovered_{t} AS rec FROM win" for t in splice.THRESHOLDS)})
+SELECT threshold, count(*) AS n_ops, count(*) FILTER (missing) AS censored_before, count(*) FILTER (rec) AS recovered,
+  count(*) FILTER (missing) - count(*) FILTER (rec) AS censored_after,
+  floor((count(*) FILTER (missing))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS rate_before,
+  floor((count(*) FILTER (missing) - count(*) FILTER (rec))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS rate_after
+FROM r GROUP BY 1"""
+)
+def splice_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    window = operations(spark, sf_dir).filter("approval >= date '1996-01-01'").select("operation")
+    return splice.censoring(_spliced(spark, sf_dir).join(window, "operation", "left_semi"))
+
+
+# ------------------------------------------------------------------ calendars
+
+
+@query(
+    """SELECT year(d)::INT AS year, month(d)::INT AS month, strftime(d, '%Y-%m') AS yyyymm,
+  (d BETWEEN DATE '2020-01-01' AND DATE '2023-05-01')::INT AS covid_pheic, (d BETWEEN DATE '2020-03-01' AND DATE '2021-06-01')::INT AS covid_acute,
+  CASE WHEN d BETWEEN DATE '2020-03-01' AND DATE '2021-06-01' THEN 2 WHEN d BETWEEN DATE '2020-01-01' AND DATE '2023-05-01' THEN 1 ELSE 0 END::INT AS covid_intensity
+FROM (SELECT unnest(generate_series(DATE '1998-01-01', DATE '2030-12-01', INTERVAL 1 MONTH))::DATE AS d)"""
+)
+def calendar_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendars.covid_exposure(spark)
+
+
+_ELECTIONS = """SELECT n_name AS country, o_orderdate::DATE AS election_date, split_part(o_orderpriority, '-', 2) AS election_type
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0"""
+
+
+@query(
+    f"""WITH e AS ({_ELECTIONS}), k AS (SELECT country, year(election_date)::INT AS year, string_agg(DISTINCT election_type, ';' ORDER BY election_type) AS election_type FROM e GROUP BY 1, 2)
+SELECT c.country, y::INT AS year, (election_type IS NOT NULL)::INT AS is_election_year, election_type
+FROM (SELECT DISTINCT country FROM e) c CROSS JOIN generate_series(1994, 2003) g(y) LEFT JOIN k ON k.country = c.country AND k.year = y"""
+)
+def election_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = operations(spark, sf_dir).filter("operation % 50 = 0").join(_countries(spark, sf_dir), "agency")
+    e = ops.select("country", F.col("approval_day").alias("election_date"), F.split_part("priority", F.lit("-"), F.lit(2)).alias("election_type"))
+    return calendars.election_grid(e, 1994, 2003)
+
+
+def _shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("ts").cast("date").alias("date"), F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"))
+    means = calendars.monthly_mean(e)
+    return calendars.shock_table([means.filter("shock_name < 'd'"), means.filter("shock_name >= 'd'")])
+
+
+_SHOCKS = """s AS (SELECT year(ts)::INT AS year, month(ts)::INT AS month, event_type AS shock_name, sum(value::DECIMAL(20,6))::DOUBLE / count(*) AS value
+  FROM events WHERE event_id % 13 <> 0 AND value IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_SHOCKS} SELECT * FROM s")
+def shock_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shocks(spark, sf_dir)
+
+
+@query(f"WITH {_SHOCKS} SELECT shock_name, count(*) AS n_months, min(printf('%04d-%02d', year, month)) AS first_month, max(printf('%04d-%02d', year, month)) AS last_month FROM s GROUP BY 1")
+def shock_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendars.coverage(_shocks(spark, sf_dir))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension of our own: tumbling windows, as on a stream."""
+    return resume.windowed_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp"))
+
+
+# ----------------------------------------------------------------- enrichment
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    s, k = F.col("l_suppkey"), F.col("l_orderkey")
+    pick = lambda c, *xs: F.element_at(F.array(*map(F.lit, xs)), (c + 1).cast("int"))
+    rows = li.select(
+        k.alias("operation"), (F.col("l_linenumber") * F.lit(10**15) + F.col("l_partkey") * F.lit(10**9) + F.floor(F.col("l_extendedprice") * 10)).alias("row"), F.col("l_extendedprice").cast("decimal(20,4)").alias("approval_amount"),
+        F.concat(pick(s % 5, "ORC", "FSO", "KIF", "GEF", "CLN"), F.lit("-window "), (s % 3).cast("string")).alias("funding_source"),
+        pick(k % 6, "ESP", "PBL", "GOM", "ZZZ", "LBR ", "").alias("modality"), pick(k % 4, "Active", "closed", " CANCELLED", "").alias("status"),
+        pick(k % 3, "Sovereign Guaranteed", "Other", "Sovereign Guaranteed ").alias("lending_type"), pick(k % 4, "Brazil", "Peru;Chile", "Regional", "Jamaica").alias("country"),
+        F.col("l_returnflag").alias("sector"), F.when(k % 2 == 0, F.col("l_linestatus")).alias("subsector"),
+        F.lit(None).cast("string").alias("borrower"), F.lit(None).cast("string").alias("env_class"), F.col("l_partkey").cast("string").alias("executing_agency"),
+    )
+    orders = o.select(F.col("o_orderkey").alias("operation"), (F.col("o_totalprice").cast("decimal(20,4)") * 2).alias("total_cost"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("approval_date"), F.lit(None).cast("string").alias("last_updated"), F.concat(F.lit("Project "), F.col("o_orderkey").cast("string")).alias("name"))
+    return rows.join(orders, "operation")
+
+
+@query(
+    """WITH b AS (
+  SELECT l_orderkey AS operation, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 1000000000 + floor(l_extendedprice * 10)::BIGINT AS row, l_extendedprice::DECIMAL(20,4) AS amt, ['ORC', 'FSO', 'KIF', 'GEF', 'CLN'][l_suppkey % 5 + 1] AS code,
+    ['ORC', 'FSO', 'KIF', 'GEF', 'CLN'][l_suppkey % 5 + 1] || '-window ' || (l_suppkey % 3) AS src, l_returnflag AS f, l_linestatus AS ls, l_partkey
+  FROM lineitem),
+g AS (
+  SELECT operation, coalesce(sum(amt) FILTER (code IN ('ORC', 'FSO')), 0) AS own, coalesce(sum(amt) FILTER (code NOT IN ('ORC', 'FSO')), 0) AS cofin,
+    string_agg(DISTINCT src, '; ' ORDER BY src) FILTER (code NOT IN ('ORC', 'FSO')) AS agency, arg_min(f, row) AS f, arg_min(ls, row) AS ls, arg_min(l_partkey, row) AS p
+  FROM b GROUP BY 1)
+SELECT operation, ['Brazil', 'Peru;Chile', 'Regional', 'Jamaica'][operation % 4 + 1] AS country, operation % 4 = 1 AS is_regional,
+  CASE operation % 4 WHEN 0 THEN 'BRA' WHEN 3 THEN 'JAM' END AS country_iso3, 'Project ' || operation AS project_name,
+  CASE WHEN operation % 2 = 0 THEN f || ' / ' || ls ELSE f END AS sector,
+  ['Specific Investment Operation', 'Policy-Based Loan', 'Multiple Works Program', 'ZZZ', 'Results-Based Loan', ''][operation % 6 + 1] AS modality,
+  round((o_totalprice::DECIMAL(20,4) * 2)::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS total_musd, round(own::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS own_musd,
+  CASE WHEN cofin > 0 THEN round(cofin::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2) END::DOUBLE AS cofinancing_musd, agency AS cofinancing_agency,
+  round((o_totalprice::DECIMAL(20,4) * 2 - own - cofin)::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS counterpart_musd,
+  NULL::VARCHAR AS borrower, p::VARCHAR AS executing_agency, NULL::VARCHAR AS env_category, operation % 3 IN (0, 2) AS sovereign_guarantee,
+  ['Active', 'Closed', 'Cancelled', NULL][operation % 4 + 1] AS bulk_status, strftime(o_orderdate, '%Y-%m-%d') AS approval_date, NULL::VARCHAR AS last_updated,
+  CASE WHEN operation % 6 IN (0, 2, 4) THEN 'Investment Loan' END AS lending_instrument,
+  CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'Implementation' ELSE 'Odd' END AS project_status,
+  CASE WHEN operation % 2 = 0 THEN o_orderdate::DATE END AS first_disbursement,
+  CASE o_orderstatus WHEN 'F' THEN 'disbursed_complete' WHEN 'O' THEN 'still_active' ELSE CASE WHEN operation % 4 = 0 THEN 'still_active' ELSE 'unknown' END END AS terminal_state
+FROM g JOIN orders ON o_orderkey = operation"""
+)
+def bulk_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bulk = enrich.bulk_metadata(_bulk(spark, sf_dir))
+    o = table(spark, sf_dir, "orders")
+    panel = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("operation")).distinct()
+    status = F.when(F.col("o_orderstatus") == "F", "Closed").when(F.col("o_orderstatus") == "O", "Implementation").otherwise("Odd")
+    log = o.select(F.col("o_orderkey").alias("operation"), F.lit("Elsewhere").alias("country"), status.alias("project_status"))
+    dates = o.select(F.col("o_orderkey").alias("operation"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date")).alias("first_disbursement"))
+    return enrich.enrich(panel, bulk, log, dates)
+
+
+@query(
+    f"""WITH {_OPS} SELECT operation, coalesce(CASE WHEN operation % 11 = 0 THEN NULL WHEN status = 'F' THEN 'Yes' ELSE 'No' END, 'not stated') AS cofinancing_present,
+  coalesce(CASE WHEN operation % 3 = 0 THEN printf('%.1f', (operation % 100)::DOUBLE) END, 'not stated') AS goods_share_pct, coalesce(CASE WHEN operation % 5 <> 0 THEN priority END, 'no source match') AS agency FROM ops"""
+)
+def display_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("operation")
+    panel = operations(spark, sf_dir).select("operation", F.when(k % 11 != 0, F.col("status") == "F").alias("cofinancing_present"), F.when(k % 3 == 0, (k % 100).cast("double")).alias("goods_share_pct"), F.when(k % 5 != 0, F.col("priority")).alias("agency"))
+    return enrich.display_panel(panel, {"cofinancing_present": "boolean", "goods_share_pct": "number", "agency": "string"}, ["cofinancing_present", "goods_share_pct"])
+
+
+# -------------------------------------------------------------------- coding
+
+AGENCY_TEXTS = (
+    "Ministry of Public Works, national", "Municipal council of the city", "State-owned enterprise, autonomous", "Provincial executing unit, newly created",
+    "Banco de Desarrollo", "not stated", "Federal secretariat; unit is not newly formed", "Regional commission", "Project Coordination Unit (existing)", "Senate", "A foundation",
+)
+CURRENCY_TEXTS = ("US dollars", "Single Currency Facility, USD", "Ordinary capital with local currency option", "", "Euro", "Fund for Special Operations", "nan")
+PROC_TEXTS = ("ICB and NCB", "competitive bidding", "Shopping; direct contracting", "international competitive bidding", "None", "force account; individual consultants", "other means", "national procurement law")
+
+
+def _pick(c: Column, texts: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), (c % len(texts) + 1).cast("int"))
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    panel = table(spark, sf_dir, "part").select(k.alias("operation"), _pick(k, AGENCY_TEXTS).alias("executing_agency_type"), _pick(k, CURRENCY_TEXTS).alias("fx_denomination"), _pick(k, PROC_TEXTS).alias("procurement_modality"))
+    return code_plan.code_free_text(panel)
+
+
+def _sql_list(texts: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]"
+
+
+def _sql_match(column: str, patterns) -> str:
+    return f"regexp_matches({column}, '{coding.any_of(patterns)}')"
+
+
+def _sql_first(column: str, named: dict, otherwise: str) -> str:
+    whens = " ".join(f"WHEN {_sql_match(column, p)} THEN '{n}'" for n, p in named.items())
+    return f"CASE WHEN {column} IS NULL THEN NULL {whens} ELSE '{otherwise}' END"
+
+
+def _sql_stated(texts: tuple[str, ...]) -> str:
+    raw = f"lower(trim({_sql_list(texts)}[p_partkey % {len(texts)} + 1]))"
+    return f"CASE WHEN {raw} NOT IN {tuple(coding.MISSING)} THEN {raw} END"
+
+
+_PROC_SQL = {n: _sql_match("proc", p) for n, p in coding.PROCUREMENT.items()}
+_PROC_SQL["proc_bidding_unspecified"] = f"({_PROC_SQL['proc_bidding_unspecified']} AND NOT ({_PROC_SQL['proc_icb']} OR {_PROC_SQL['proc_ncb']}))"
+_CODED = f"""s AS (SELECT p_partkey AS operation, {_sql_stated(AGENCY_TEXTS)} AS agency, {_sql_stated(CURRENCY_TEXTS)} AS fx, {_sql_stated(PROC_TEXTS)} AS proc FROM part),
+coded AS (SELECT operation, {_sql_first("agency", coding.AGENCY_LEVEL, "level_not_stated")} AS agency_level, {_sql_first("agency", coding.AGENCY_FORM, "other")} AS agency_form,
+  CASE WHEN {_sql_match("agency", coding.NEWLY_CREATED[True])} THEN true WHEN {_sql_match("agency", coding.NEWLY_CREATED[False])} THEN false END AS agency_newly_created,
+  {", ".join(f"{_sql_match('fx', p)} AS {n}" for n, p in coding.CURRENCY.items())}, {", ".join(f"{x} AS {n}" for n, x in _PROC_SQL.items())},
+  ({" + ".join(f"{x}::INT" for x in _PROC_SQL.values())})::INT AS proc_n_modalities, agency, fx, proc FROM s)"""
+
+
+@query(f"WITH {_CODED} SELECT operation, agency_level, agency_form, agency_newly_created FROM coded")
+def first_match_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir).select("operation", "agency_level", "agency_form", "agency_newly_created")
+
+
+@query(f"WITH {_CODED} SELECT * EXCLUDE (agency_level, agency_form, agency_newly_created, agency, fx, proc) FROM coded")
+def multi_label_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir).drop("agency_level", "agency_form", "agency_newly_created", "agency", "fx", "proc")
+
+
+@query(
+    f"""WITH {_CODED} SELECT 'agency_form=other' AS "check", operation, agency AS raw_value FROM coded WHERE agency_form = 'other'
+UNION ALL SELECT 'agency_level not stated', operation, agency FROM coded WHERE agency_level = 'level_not_stated'
+UNION ALL SELECT 'fx: no flag set', operation, fx FROM coded WHERE fx IS NOT NULL AND NOT ({" OR ".join(coding.CURRENCY)})
+UNION ALL SELECT 'procurement: no flag set', operation, proc FROM coded WHERE proc IS NOT NULL AND proc_n_modalities = 0"""
+)
+def unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_plan.unmatched(_coded(spark, sf_dir))
+
+
+@query(f"WITH {_CODED}, r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, {n} AS v FROM coded" for n in coding.CURRENCY) + ") SELECT flag, count(*) FILTER (v) AS n_true, count(v) AS n_stated, CASE WHEN count(v) > 0 THEN floor((count(*) FILTER (v))::DOUBLE / count(v) * 1000 + 0.5) / 1000 END AS share FROM r GROUP BY 1")
+def flag_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.share_of_stated(_coded(spark, sf_dir), list(coding.CURRENCY))
+
+
+# --------------------------------------------------------------- distribution
+
+
+def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.floor("o_totalprice").cast("long").alias("x"), F.col("o_orderpriority").alias("g"), F.when(F.col("o_orderkey") % 17 != 0, F.year("o_orderdate")).alias("y"))
+
+
+_DURATIONS = "d AS (SELECT floor(o_totalprice)::BIGINT AS x, o_orderpriority AS g, CASE WHEN o_orderkey % 17 <> 0 THEN year(o_orderdate) END AS y FROM orders)"
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Floating results to four places, as the twin gives them."""
+    return df.select(*[(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def _r4(x: str) -> str:
+    return f"floor(({x})::DOUBLE * 10000 + 0.5) / 10000"
+
+
+@query(f"WITH {_DURATIONS} SELECT count(x) AS n, {_r4('avg(x)')} AS mean, round(stddev_samp(x), 0) AS std, min(x) AS min, {', '.join(f'{_r4(f"quantile_cont(x, {p})")} AS p{round(p * 100):02d}' for p in stats.PERCENTILES)}, max(x) AS max FROM d")
+def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.describe(_durations(spark, sf_dir), "x"), "mean", *[f"p{round(p * 100):02d}" for p in stats.PERCENTILES]).withColumn("std", F.round("std", 0))
+
+
+@query(f"WITH {_DURATIONS} SELECT g AS grp, count(x) AS n, {_r4('avg(x)')} AS mean, {_r4('median(x)')} AS median FROM d WHERE g IS NOT NULL GROUP BY 1")
+def distribution_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.by_group(_durations(spark, sf_dir), F.col("g"), "x"), "mean", "median")
+
+
+@query(f"WITH {_DURATIONS} SELECT coalesce((y // 5 * 5) || 's', '<NA>s') AS grp, count(x) AS n, {_r4('avg(x)')} AS mean, {_r4('median(x)')} AS median FROM d GROUP BY 1")
+def distribution_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.by_five_years(_durations(spark, sf_dir), F.col("y"), "x"), "mean", "median")
+
+
+@query(f"WITH {_DURATIONS}, e AS (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM d) SELECT least(floor((x - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM d, e GROUP BY 1")
+def distribution_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_durations(spark, sf_dir), "x")
+
+
+@query(
+    f"""WITH {_DURATIONS}, s AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r, count(*) OVER () AS n FROM d)
+SELECT {", ".join(f"max(x) FILTER (r = floor({p} * (n - 1))) AS q{round(p * 100):02d}" for p in (0.25, 0.5, 0.75))} FROM s"""
+)
+def lower_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.lower_quantiles(_durations(spark, sf_dir), "x", (0.25, 0.5, 0.75))
+
+
+# ---------------------------------------------------------- sample and scoring
+
+
+@query()
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], ["doc_id"])
+
+
+@query(
+    """WITH s AS (
+  SELECT lang AS field, CASE WHEN doc_id % 3 = 0 THEN 'Yes' WHEN doc_id % 3 = 1 THEN 'FALSE' ELSE '1,0' END AS a, CASE quality WHEN 1 THEN 'true' ELSE 'no' END AS b
+  FROM documents JOIN labels USING (doc_id)),
+c AS (
+  SELECT field, CASE WHEN a = 'Yes' THEN 'true' WHEN a = 'FALSE' THEN 'false' ELSE '1,0' END AS a, CASE b WHEN 'true' THEN 'true' ELSE 'false' END AS b FROM s)
+SELECT coalesce(field, '(all)') AS field, count(*) AS n, sum((a = b)::INT)::BIGINT AS n_agree, floor(sum((a = b)::INT)::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS rate
+FROM c GROUP BY ROLLUP (field)"""
+)
+def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("field")).join(table(spark, sf_dir, "labels"), "doc_id")
+    a = F.when(F.col("doc_id") % 3 == 0, "Yes").when(F.col("doc_id") % 3 == 1, "FALSE").otherwise("1,0")
+    b = F.when(F.col("quality") == 1, "true").otherwise("no")
+    return stats.agreement(d.select("field", (v.comparable(a, "boolean") == v.comparable(b, "boolean")).alias("agree")))
+
+
+# ------------------------------------------------------------ extraction calls
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    names = tuple(v.FIELDS)
+    return c.select(
+        F.col("conv_id").alias("operation"), F.col("turn").alias("call_id"), F.when(F.col("turn") % 9 == 8, "other").otherwise(_pick(F.col("turn"), names)).alias("field"),
+        F.substring("text", 1, 40).alias("value"), _pick(F.length("text") + F.col("turn"), v.STATUSES).alias("status"),
+    )
+
+
+_CALLS = f"""c AS (SELECT conv_id AS operation, turn AS call_id, CASE WHEN turn % 9 = 8 THEN 'other' ELSE {_sql_list(tuple(v.FIELDS))}[turn % {len(v.FIELDS)} + 1] END AS field,
+  substring(text, 1, 40) AS value, {_sql_list(v.STATUSES)}[(length(text) + turn) % 3 + 1] AS status FROM conversations)"""
+
+
+@query(f"WITH {_CALLS} SELECT operation, {', '.join(f'''arg_max(value, call_id) FILTER (field = '{n}' AND value IS NOT NULL) AS {n}''' for n in v.FIELDS)} FROM c GROUP BY 1")
+def calls_to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.calls_to_panel(_calls(spark, sf_dir))
+
+
+@query(f"WITH {_CALLS} SELECT operation, call_id, field, 'unknown field' AS reason FROM c WHERE field = 'other'")
+def malformed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.checked_calls(_calls(spark, sf_dir)).filter("reason is not null").select("operation", "call_id", "field", "reason")
+
+
+@query(
+    f"""WITH {_CALLS}, n AS (SELECT count(DISTINCT operation) AS ops FROM c)
+SELECT field, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in v.STATUSES)}, floor((count(*) FILTER (status = 'found'))::DOUBLE / max(ops) * 1000 + 0.5) / 10 AS found_pct FROM c, n GROUP BY 1"""
+)
+def audit_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    n = calls.select(F.countDistinct("operation").alias("ops"))
+    found = stats.status_by_field(calls, F.lit(1), v.STATUSES).drop("found_pct").crossJoin(F.broadcast(n))
+    return found.withColumn("found_pct", F.floor(F.col("found") / F.col("ops") * 1000 + 0.5) / 10).drop("ops")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    k = F.col("operation")
+    got = calls.groupBy("operation").agg(F.collect_set("field").alias("fields"), F.sum(F.length("value")).cast("int").alias("bundle_chars"))
+    return got.select("operation", (k % 5).alias("n_paragraphs"), (k % 2).alias("n_failed"), "bundle_chars", (k % 13 == 0).alias("dry_run"), (k % 17 == 0).alias("api_failed"), "fields")
+
+
+@query(
+    f"""WITH {_CALLS}, e AS (SELECT operation, list(DISTINCT field) AS f FROM c GROUP BY 1)
+SELECT operation, NOT ((operation % 2 > 0 AND operation % 5 = 0) OR operation % 13 = 0 OR operation % 17 = 0
+  OR NOT list_has_all(f, ['cofinancing_present', 'cofinancing_share_pct'])) AS complete FROM e"""
+)
+def entry_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.stale_or_failed(_entries(spark, sf_dir), ["cofinancing_present", "cofinancing_share_pct"]).select("operation", "complete")
+
+
+@query(
+    f"""WITH {_CALLS}, e AS (SELECT operation, list(DISTINCT field) AS f FROM c GROUP BY 1),
+ok AS (SELECT operation FROM e WHERE NOT ((operation % 2 > 0 AND operation % 5 = 0) OR operation % 13 = 0 OR operation % 17 = 0
+  OR NOT list_has_all(f, ['cofinancing_present', 'cofinancing_share_pct'])))
+SELECT doc_id AS operation FROM labels WHERE doc_id NOT IN (SELECT operation FROM ok)"""
+)
+def pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = resolve.stale_or_failed(_entries(spark, sf_dir), ["cofinancing_present", "cofinancing_share_pct"])
+    return resolve.pending(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("operation")), entries)
+
+
+# ---------------------------------------------------------------------- keys
+
+KEY_TEXTS = ("AR-L1234", "br0216 ", "XX1234", "CO-T99999", "co-l12", "VE1234x", " ME-G101", "")
+
+
+@query(
+    f"""WITH k AS (SELECT o_orderkey AS operation, upper(trim({_sql_list(KEY_TEXTS)}[o_orderkey % 8 + 1])) AS key FROM orders)
+SELECT operation, {", ".join(f"regexp_matches(key, '{keys.patterns()[n]}') AS {a}" for n, a in (("any", "is_operation"), ("loan", "is_loan"), ("old", "is_old_scheme")))} FROM k"""
+)
+def key_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = _pick(F.col("o_orderkey"), KEY_TEXTS)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("operation"), keys.is_operation(key).alias("is_operation"), keys.is_loan(key).alias("is_loan"), keys.is_old_scheme(key).alias("is_old_scheme"))
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, 'see ' || CASE p_partkey % 3 WHEN 0 THEN 'AR-L1234 and br0216, again ar-l1234' WHEN 1 THEN 'no key EN1234' ELSE p_name END AS s FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'AR-L1234;BR0216' ELSE array_to_string(list_distinct(regexp_extract_all(upper(s), '{keys.patterns()["in_text"]}')), ';') END AS found FROM x"""
+)
+def keys_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = F.concat(F.lit("see "), F.when(k % 3 == 0, "AR-L1234 and br0216, again ar-l1234").when(k % 3 == 1, "no key EN1234").otherwise(F.col("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(keys.keys_in(s), ";").alias("found"))
+
+
+@query("SELECT DISTINCT o_orderkey AS operation FROM orders WHERE o_orderkey % 8 IN (0, 1, 3, 6) AND year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus <> 'P'")
+def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", " Pipeline").otherwise("Closed")
+    bulk = o.select(_pick(F.col("o_orderkey"), KEY_TEXTS).alias("operation"), F.col("o_orderkey").alias("k"), F.lit("Peru").alias("country"), F.col("o_orderdate").alias("approval_date"), status.alias("status"), F.lit("Sovereign Guaranteed").alias("lending_type"))
+    keep = enrich.candidates(bulk.select(F.concat_ws("|", "operation", F.col("k").cast("string")).alias("both"), "operation", "country", "approval_date", "status", "lending_type"), 1996, 1998)
+    return bulk.join(keep, "operation", "left_semi").filter(F.year("approval_date").between(1996, 1998) & (F.trim("status") != "Pipeline")).select(F.col("k").alias("operation")).distinct()
+
+
+# ----------------------------------------------------------- documents as text
+
+#: The test texts hold none of the default keywords, so the queries bring their own.
+KEYWORDS = {"alpha": ("tion", "ing the"), "beta": ("mente", "ciÓn"), "gamma": ("ung", "keit"), "delta": ("eau", "ment")}
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with its document and place."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+
+
+_LINES = "ln AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
+
+
+@query()
+def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line of a document opens a numbered paragraph; pages of 8 lines."""
+    lines = _lines(spark, sf_dir)
+    numbered = F.when((F.col("pos") % 3 == 1) & (F.col("pos") < 270), F.concat((F.floor(F.col("pos") / 30) + 1).cast("int").cast("string"), F.lit("."), ((F.col("pos") % 30) + 1).cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    page = (F.floor(F.col("pos") / 8) + 1).cast("int")
+    text = lines.groupBy("doc_id", page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", numbered.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return paragraphs.segment_pages(text)
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.tagged(_lines(spark, sf_dir), KEYWORDS, {"alpha": 3, "beta": 2})
+
+
+@query(
+    f"""WITH {_LINES}, low AS (SELECT doc_id, pos, text, lower(strip_accents(nfc_normalize(text))) AS low, regexp_matches(text, '(\\.{{5,}}|…{{2,}}|_{{5,}})\\s*[0-9]') AS toc FROM ln)
+SELECT doc_id, pos::INT AS pos, {", ".join(f"CASE WHEN toc THEN 0 ELSE {' + '.join(f'''contains(low, '{t.fold(w)}')::INT''' for w in ws)} END::INT AS {n}" for n, ws in KEYWORDS.items())} FROM low"""
+)
+def paragraph_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("doc_id", "pos", *[F.coalesce(F.element_at("hits", F.lit(n)), F.lit(0)).alias(n) for n in KEYWORDS])
+
+
+@query(
+    f"""WITH {_LINES}, u AS (SELECT doc_id, pos, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln)
+SELECT doc_id, pos::INT AS pos, used::BIGINT AS used FROM u WHERE used <= 1500"""
+)
+def retrieval_document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _lines(spark, sf_dir).select("doc_id", "pos", F.col("text").alias("chunk"))
+    return retrieval.in_document_order(chunks, "doc_id", 1500).select("doc_id", "pos", "used")
+
+
+@query()
+def retrieval_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _tagged(spark, sf_dir).filter("size(tags) > 0").select("doc_id", "pos", "score", F.col("text").alias("chunk"))
+    return retrieval.by_score(chunks, "doc_id", 1500).select("doc_id", "pos", "score")
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir)
+    para = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("2."), (F.col("pos") % 90).cast("string"))).otherwise(F.concat(F.lit("page-"), F.col("pos").cast("string")))
+    return rows.select(F.floor(F.col("doc_id") / 8).alias("operation"), (F.col("doc_id") % 8).cast("int").alias("doc_idx"), F.concat(F.lit("cost-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("doc_name"), "pos", para.alias("para_id"), (F.col("pos") + 1).cast("string").alias("page"), "text")
+
+
+@query(
+    f"""WITH {_LINES}, low AS (SELECT doc_id // 8 AS operation, doc_id % 8 AS doc_idx, pos, lower(strip_accents(nfc_normalize(text))) AS low, regexp_matches(text, '(\\.{{5,}}|…{{2,}}|_{{5,}})\\s*[0-9]') AS toc FROM ln),
+h AS ({" UNION ALL ".join(f"SELECT operation, doc_idx, pos, '{n}' AS tag, {' + '.join(f'''contains(low, '{t.fold(w)}')::INT''' for w in ws)} AS n FROM low WHERE NOT toc" for n, ws in KEYWORDS.items())})
+SELECT operation, doc_idx::INT AS doc_idx, pos::INT AS pos, tag, row_number() OVER (PARTITION BY operation, tag ORDER BY n DESC, pos % 2, doc_idx, pos)::INT AS rank FROM h WHERE n > 0"""
+)
+def tag_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.candidates_of(_paragraphs(spark, sf_dir), "operation", KEYWORDS)
+    return retrieval.ranked_by_tag(found, "operation").select("operation", "doc_idx", "pos", "tag", "rank")
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.project_bundle(_paragraphs(spark, sf_dir), "operation", keywords=KEYWORDS)
+
+
+@query()
+def project_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bundles(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ resolution
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as quotes, one call an operation and passage."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("call_id"), F.col("text").alias("quote"), F.lit("page-3, p.4").alias("citation_para"), F.lit("found").alias("status"))
+    ops = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("operation")).distinct()
+    return ops.join(b, F.pmod(F.col("operation"), F.lit(20)) == F.pmod(F.col("call_id"), F.lit(20)))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paragraphs(spark, sf_dir)
+    return rows.select("operation", F.col("doc_name").alias("doc"), F.col("para_id").alias("para"), t.words_of(F.col("text")).alias("words"))
+
+
+@query()
+def quote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(_quotes(spark, sf_dir), _blocks(spark, sf_dir)).select("operation", "call_id", "source_document")
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir)
+    return resolve.contamination(resolve.resolve(_quotes(spark, sf_dir), blocks), blocks)
+
+
+@query()
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).select("operation", "call_id", "source_document", "source_names_operation", F.array_join("other_operations_in_quote", ";").alias("others"))
+
+
+@query()
+def citation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.quality_counters(_flagged(spark, sf_dir))
+
+
+@query()
+def extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts, the deterministic extractor, resolution and flags."""
+    bundles = _bundles(spark, sf_dir).select(F.col("operation").cast("string").alias("operation"), "bundle")
+    done = bundles.select("operation", (F.col("operation").cast("long") % 4 == 0).alias("complete"))
+    extractor = extraction.keyword_extractor({"cofinancing_present": "tion", "goods_share_pct": "keit", "fx_denomination": "zzz"})
+    return extraction.run_pending(bundles, done, extractor).select("operation", "call_id", "field", "value", "status", "source_document", "source_names_operation")
+
+
+@query()
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", pages.html_to_text(F.col("html")).alias("text"))
+    return pages.page_fields(p).withColumn("docs", F.to_json("docs"))
+
+
+@query()
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.lpad((F.floor(F.col("doc_id") / 8)).cast("string"), 8, "0").alias("operation"), F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".PDF")).alias("path"), (F.col("n_chars") * 1000).alias("length"))
+    return batch.plan_batch(batch.folder_sizes(files), free_gb=1.0)
+
+
+@query("SELECT lpad((doc_id // 8)::VARCHAR, 8, '0') AS operation, coalesce(sum(n_chars * 1000) FILTER (doc_id % 5 <> 0), 0)::BIGINT AS bytes FROM documents GROUP BY 1")
+def folder_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.lpad((F.floor(F.col("doc_id") / 8)).cast("string"), 8, "0").alias("operation"), F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".PDF")).alias("path"), (F.col("n_chars") * 1000).alias("length"))
+    return batch.folder_sizes(files)
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _lines(spark, sf_dir).withColumn("there", F.sum(F.length("text")).over(upto) <= budget)
+    return stats.recall(lines.withColumn("expected", F.contains("text", F.lit("and"))), "doc_id", "expected", "there")
+
+
+@query(
+    f"""WITH {_LINES}, u AS (SELECT doc_id, contains(text, 'and') AS e, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln)
+SELECT doc_id, count(*) FILTER (e) AS n_expected_before, count(*) FILTER (e AND used <= 800) AS n_retrieved_before,
+  count(*) FILTER (e) AS n_expected_after, count(*) FILTER (e AND used <= 2000) AS n_retrieved_after FROM u GROUP BY 1"""
+)
+def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.before_after(_retrieved(spark, sf_dir, 800), _retrieved(spark, sf_dir, 2000), "doc_id", ["n_expected", "n_retrieved"])
+
+
+@query(
+    """SELECT count(*) AS n_ops, count(*) FILTER (n = 0) AS zero_parsed, count(*) FILTER (n > 0 AND r = 0) AS zero_relevant, count(*) FILTER (c >= 24000) AS capped,
+  sum(f)::BIGINT AS failed_documents, count(*) FILTER (f > 0) AS failed_ops
+FROM (SELECT n_chars AS c, doc_id % 9 AS n, doc_id % 7 AS r, doc_id % 3 AS f FROM documents)"""
+)
+def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return stats.health(d.select(F.col("n_chars"), (F.col("doc_id") % 9).alias("n_paragraphs"), (F.col("doc_id") % 7).alias("n_relevant"), (F.col("doc_id") % 3).alias("n_failed")))
+
+
+def _eligible_sql() -> str:
+    return "SELECT o_orderkey AS operation FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 3 <> 2 AND year(o_orderdate) BETWEEN 1996 AND 1999"
+
+
+@query(_eligible_sql())
+def eligible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    p = o.select(k.alias("operation"), F.lit("Chile").alias("country"), F.when(F.col("o_orderstatus") == "P", "Proposed ").otherwise("Closed").alias("project_status"), _pick(k, ("Investment Loan", "Policy-Based Financing", "Guarantee")).alias("lending_instrument"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("approval_date"))
+    return enrich.eligible(p, 1996, 1999).select("operation")
