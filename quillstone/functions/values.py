@@ -135,7 +135,8 @@ def titled(c: Column) -> Column:
 
 def millions(c: Column) -> Column:
     """An amount in millions, rounded half up to cents of a million."""
-    return F.round(c.cast("decimal(38,6)") / 1_000_000, 2)
+    # A product keeps all digits, where a quotient's scale would be cut.
+    return F.round(c.cast("decimal(24,4)") * F.lit("0.000001").cast("decimal(7,6)"), 2)
 
 
 def display(c: Column, kind: str, missing: str) -> Column:
