@@ -361,7 +361,7 @@ def shock_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension of our own: tumbling windows, as on a stream."""
-    return resume.windowed_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp"))
+    return resume.windowed_counts(table(spark, sf_dir, "events"))
 
 
 # ----------------------------------------------------------------- enrichment

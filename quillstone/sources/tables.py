@@ -14,8 +14,10 @@ PLACEHOLDERS = ("", "not stated", "no source match")
 
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every cell as text; quotes may span lines."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue="\x00", emptyValue="")
+    """A CSV file with a header, every cell as text, empty cells as empty text;
+    quotes may span lines."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def load_panel(spark: SparkSession, path: str, key: str = "operation_number", loans_only: bool = True) -> DataFrame:

@@ -29,6 +29,7 @@ def process_new_files(spark: SparkSession, source: str, schema: str, sink: str,
 
 def windowed_counts(events: DataFrame, ts: str = "ts", group: str = "event_type", value: str = "value", window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums by tumbling window; works on streams and tables alike."""
-    out = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    out = timed.withWatermark(ts, late) if events.isStreaming else timed
     amount = F.col(value).cast("decimal(20,4)")
     return out.groupBy(F.window(ts, window).alias("w"), group).agg(F.count("*").alias("n"), F.sum(amount).cast("double").alias("total")).select(F.col("w.start").alias("window_start"), group, "n", "total")
