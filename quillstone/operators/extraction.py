@@ -74,6 +74,17 @@ def extract(bundles: DataFrame, extractor: Extractor) -> DataFrame:
     return bundles.select(F.col("operation").cast("string").alias("operation"), "bundle").mapInPandas(run, CALL)
 
 
+def extract_document(paragraphs: DataFrame, extractor: Extractor, budget: int = 12_000) -> DataFrame:
+    """Calls for single documents: tags, the best paragraphs of each under the
+    document budget, then the extractor. paragraphs: as for project_bundle."""
+    from . import retrieval
+
+    rows = retrieval.candidates_of(paragraphs, "operation").withColumn("score", retrieval.t.score(F.col("tags")))
+    picked = retrieval.by_score(rows, "operation", budget)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "\n\n")
+    return extract(picked.groupBy("operation").agg(body.alias("bundle")), extractor)
+
+
 def run_pending(bundles: DataFrame, entries: DataFrame, extractor: Extractor) -> DataFrame:
     """Calls of the operations without a complete entry, with their sources."""
     todo = resolve.pending(bundles, entries)

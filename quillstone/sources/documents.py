@@ -123,6 +123,42 @@ def installed_pdf_readers() -> list:
     return readers
 
 
+def read_pdf(files: DataFrame, readers: list | None = None) -> DataFrame:
+    """operation, doc_idx, doc_name, page, text, error of the pdf files, by the
+    readers given or installed; a file that can't be read is one row with the error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for op, idx, name, content in zip(part["operation"], part["doc_idx"], part["doc_name"], part["content"]):
+                try:
+                    pages = pdf_pages(content, readers)
+                    rows += [(op, idx, name, i + 1, text, None) for i, text in enumerate(pages)] or [(op, idx, name, None, None, "no text found")]
+                except Exception as e:  # noqa: BLE001  reported as a row
+                    rows.append((op, idx, name, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["operation", "doc_idx", "doc_name", "page", "text", "error"]).astype({"page": "Int64"})
+
+    cut = files.filter("kind = 'pdf'").select("operation", "doc_idx", "doc_name", "content")
+    return cut.mapInPandas(run, "operation string, doc_idx int, doc_name string, page long, text string, error string")
+
+
+def project_paragraphs(files: DataFrame, readers: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """All documents' paragraphs, ready for project_bundle, and the notes on files
+    that were skipped or could not be read."""
+    from ..operators.paragraphs import segment_pages, segment_word_paragraphs
+
+    key = F.struct("operation", "doc_idx", "doc_name").alias("doc")
+    pages, word = read_pdf(files, readers), read_word(files)
+    of_pdf = segment_pages(pages.filter("error is null").select(key, F.col("page").cast("int").alias("page"), "text"), "doc")
+    of_word = segment_word_paragraphs(word.filter("error is null").select(key, "at", "text"), "doc")
+    paragraphs = of_pdf.unionByName(of_word).select("doc.*", "pos", "para_id", "page", "text")
+    failed = pages.filter("error is not null").select("operation", "doc_idx", "doc_name", "error").unionByName(word.filter("error is not null").select("operation", "doc_idx", "doc_name", "error"))
+    large = files.filter("kind = 'too_large'").select("operation", "doc_idx", "doc_name", F.lit(None).cast("string").alias("error"))
+    text = F.when(F.col("error").isNull(), F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- skipped, too large"))).otherwise(F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- could not parse: "), F.col("error")))
+    notes = failed.unionByName(large).select("operation", F.col("doc_idx").alias("note_idx"), text.alias("note"))
+    return paragraphs, notes
+
+
 def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
     """Listed files that a tolerant read did not return."""
     return listed.join(read.select("path"), "path", "left_anti")

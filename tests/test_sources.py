@@ -37,6 +37,38 @@ def test_files(spark, tmp_path):
     assert documents.pdf_pages(b"", [lambda c: [" "], lambda c: ["text"]]) == ["text"]
 
 
+def test_folder_to_bundle(spark, tmp_path):
+    """Files of two kinds, an unreadable and a too large one, to one excerpt."""
+    from quillstone.operators import extraction, retrieval
+
+    folder = tmp_path / "AR-L1"
+    folder.mkdir()
+    (folder / "a.docx").write_bytes(word_file("1.1 The executing agency", "plans procurement"))
+    (folder / "b.pdf").write_bytes(b"%PDF 2.1 Civil works begin")
+    (folder / "c.docx").write_bytes(b"broken")
+    (folder / "d.pdf").write_bytes(b"x" * 3000)
+    files = documents.read_files(spark, str(tmp_path), max_bytes=2000)
+    paras, notes = documents.project_paragraphs(files, [lambda c: [c.decode()[5:]]])
+    bundle = retrieval.project_bundle(paras, "operation", notes).first()["bundle"]
+    assert "[a.docx ¶1.1, p.n/a] The executing agency plans procurement" in bundle and "[b.pdf ¶2.1, p.1] Civil works begin" in bundle
+    assert bundle.startswith("[c.docx] -- could not parse") and "[d.pdf] -- skipped, too large" in bundle
+    calls = extraction.extract_document(paras.filter("doc_idx = 1"), extraction.keyword_extractor({"civil_works_type": "civil works"}))
+    assert [(r["status"], r["citation_para"]) for r in calls.collect()] == [("found", "b.pdf ¶2.1, p.1")]
+
+
+def test_sinks(spark, tmp_path):
+    from quillstone.sources import sinks
+
+    path = str(tmp_path / "t")
+    for ids in (range(3), range(1, 5)):
+        sinks.append_new(spark.createDataFrame([(i,) for i in ids], "k int"), path, "k")
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+    sinks.write_log(spark.createDataFrame([("AR-L1", True)], "operation_number string, eligible boolean"), str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), header=True).columns == list(sinks.LOG_COLUMNS)
+    sheet = sinks.review_sheet(spark.createDataFrame([(1,), (2,)], "k int")).withColumn("hand_coded_value", F.when(F.col("k") == 1, " x "))
+    assert [r["k"] for r in sinks.reviewed(sheet).collect()] == [1] and sinks.glossary(spark).count() == 17
+
+
 def test_transactions_and_panel(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Transaction type,Amount,Year,Month,Operation number\nDISBURSEMENT,5,2000,2,AR0001\nDISBURSEMENT,bad,2000,3,AR0001\nREPAYMENT,9,1999,1,AR0001\nDISBURSEMENT,1,,3,AR0001\nDISBURSEMENT,7,2000,1,\n")
     flows = tables.load_transactions(spark, str(tmp_path / "t.csv"))
