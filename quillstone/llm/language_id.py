@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import chunks, held_out, only_ids, Scratch, without_ids
+from .support import Scratch, chunks, held_out, only_ids, without_ids
 
 UND = "und"
 WINDOW = 128
@@ -148,15 +148,16 @@ def train_language_model(docs: DataFrame, *, per_language: int = PER_LANGUAGE, w
     known = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if exclude_held_out:
         known = known.filter(~held_out(F.col(id_col)))
-    # The sample is chosen on ids and labels alone; a struct per label is kept small
-    # by taking the smallest hashes of a thin hash range first.
+    # The sample is chosen on ids and labels alone.
     rows = known.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().toLocalIterator()}
     if not counts:
         return None
     mixed = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, 1.5 * per_language / c + 20.0 / c))])
-    sample = scratch.write(rows.withColumn("at", mixed).filter(F.col("at") < share[F.col("label")]).orderBy("label", "at", "doc_id"), "sample")
+    # The share bounds what reaches the ranking, to about 1.5 times the sample.
+    place = F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id"))
+    sample = scratch.write(rows.withColumn("at", mixed).filter(F.col("at") < share[F.col("label")]).withColumn("nth", place).filter(F.col("nth") <= per_language), "sample")
     texts = only_ids(docs.select(id_col, text_col, label_col), sample.select("doc_id").distinct(), id_col)
     data = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label"))
     thin = data.filter(F.col("label").isNotNull()).mapInArrow(_window_picker(windows), "doc_id long, label string, piece binary")
