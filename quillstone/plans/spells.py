@@ -1,8 +1,9 @@
 """Survival spells: one row an operation and month until completion or censoring.
 
-Layout: the flows are partitioned once by operation; monthly sums, the earliest
-month and the map of months share that exchange. The months are generated beside
-the map, so the running sums need no further shuffle.
+Layout: flows are summed by operation and month before and after the first shuffle,
+so an operation with very many flows is as small as its months afterwards; the map of
+months then moves once, by operation. The months at risk are generated beside the
+map, so the running sums need no further shuffle.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def share(part: Column, whole: Column) -> Column:
 def flow_profiles(flows: DataFrame) -> DataFrame:
     """flows: operation, month, amount, counts (whether it is a disbursement).
     Per operation: the earliest month of any flow, and month -> amount."""
-    dealt = flows.select("operation", "month", F.col("amount").cast(MONEY).alias("amount"), "counts").repartition("operation")
-    monthly = dealt.groupBy("operation", "month").agg(F.sum(F.when(F.col("counts"), F.coalesce("amount", F.lit(0)))).cast("decimal(30,4)").alias("amount"))
+    exact = flows.select("operation", "month", F.col("amount").cast(MONEY).alias("amount"), "counts")
+    monthly = exact.groupBy("operation", "month").agg(F.sum(F.when(F.col("counts"), F.coalesce("amount", F.lit(0)))).cast("decimal(30,4)").alias("amount"))
     entry = F.when(F.col("amount").isNotNull() & F.col("month").isNotNull(), F.struct("month", "amount"))
     return monthly.groupBy("operation").agg(F.min("month").alias("earliest"), F.map_from_entries(F.collect_list(entry)).alias("by_month"))
 

@@ -15,23 +15,20 @@ def track_record(operations: DataFrame, key: str, prefix: str, strict: bool = Fa
     day. strict counts a duration only if that operation was completed before the
     row's approval; otherwise durations that end later count too.
 
-    A range window: one sort by key instead of a scan of the panel per row.
+    Each key's days are summed first, so the running sums go over days, not over
+    operations: a key that holds a third of all rows is still one short list of days.
     """
     day = F.unix_date("approval")
-    before = Window.partitionBy(key).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    usable = operations.filter(F.col("approval").isNotNull())
-    known, total = F.count("n_months"), F.sum("n_months")
-    named = F.col(key).isNotNull()
-    if not strict:
-        n, s = known.over(before), total.over(before)
-        out = usable.select("operation", key, F.when(named, F.count("*").over(before)).alias("n"), F.when(named, n).alias("known"), F.when(named, s).alias("total"))
-    else:
-        # Completions are events of their own on the same time line.
-        starts = usable.select("operation", key, day.alias("day"), F.lit(1).alias("opened"), F.lit(0).alias("closed"), F.lit(0).cast("long").alias("months"))
-        ends = usable.filter("n_months is not null and completed is not null").select(F.lit(None).cast(dict(usable.dtypes)["operation"]).alias("operation"), key, F.unix_date("completed").alias("day"), F.lit(0).alias("opened"), F.lit(1).alias("closed"), F.col("n_months").cast("long").alias("months"))
-        line = Window.partitionBy(key).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-        events = starts.unionByName(ends)
-        sums = {a: F.coalesce(F.sum(c).over(line), F.lit(0)) for a, c in (("n", "opened"), ("known", "closed"), ("total", "months"))}
-        out = events.select("operation", key, "opened", *[F.when(named, c).alias(a) for a, c in sums.items()]).filter("opened = 1").drop("opened")
+    usable = operations.filter(F.col("approval").isNotNull()).withColumn("day", day)
+    opened = [F.count("*").alias("n"), F.count("n_months").alias("known"), F.sum("n_months").alias("total")]
+    days = usable.filter(F.col(key).isNotNull()).groupBy(key, "day").agg(*(opened if not strict else opened[:1]))
+    if strict:
+        # A duration counts from the day of its completion on.
+        done = usable.filter(F.col(key).isNotNull() & F.col("n_months").isNotNull() & F.col("completed").isNotNull())
+        closed = done.groupBy(key, F.unix_date("completed").alias("day")).agg(F.count("*").alias("known"), F.sum("n_months").alias("total"))
+        days = days.join(closed, [key, "day"], "full")
+    before = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    sums = days.select(key, "day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "known", "total")])
+    out = usable.select("operation", key, "day").join(sums, [key, "day"], "left")
     mean = F.when(F.col("known") > 0, F.floor(F.col("total") / F.col("known") * 10 + 0.5) / 10)
     return out.select("operation", F.col("n").alias(f"{prefix}_prior_ops_count"), mean.alias(f"{prefix}_prior_avg_duration_months"), F.col("known").alias(f"{prefix}_prior_n_with_known_duration"))
