@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Scratch, chunks, only_ids, without_ids
+from .support import Scratch, chunks, only_ids, release, without_ids
 
 WORDS = 5
 BINS, BAND_ROWS, BANDS = 256, 6, 42
@@ -74,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         up, down = np.full(size, _RADIX, np.uint64), np.full(size, pow(_RADIX, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         _powers = np.cumprod(up), np.cumprod(down)
@@ -201,6 +201,7 @@ def _confirm(percent: int):
                 common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     return confirm
 
@@ -256,6 +257,7 @@ def _links_of_blocks(percent: int):
                 held.append(row)
         if held:
             yield links(held)
+        release()
 
     return run
 

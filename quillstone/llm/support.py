@@ -7,7 +7,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -70,9 +71,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+#: Bytes of an Arrow batch sent to Python. Batches are bounded by rows by default,
+#: which long texts and sets make large.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the machine: Python
+    workers live on, and their neighbours need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+#: What modules keep in a Python worker between tasks, and how to drop it.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20, max_rows: int = 2048, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text at most
-    (one row at least)."""
+    (one row at least). Stores of other owners than this task's are dropped first,
+    since the worker may have served another operator before."""
+    for name, drop in caches.items():
+        if name != owner:
+            drop()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,6 +116,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
                 begin, total = i, 0
             total += n
         yield batch.slice(begin)
+    release()
 
 
 #: Ids that are broadcast at most (8 bytes each); beyond it the tables are shuffled.

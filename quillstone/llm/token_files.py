@@ -83,7 +83,7 @@ def _writer(folder: str, path: str, end_id: int, dtype: str):
         end = np.array([end_id], dtype).tobytes()
         ids, lengths = [], [0]
         with _written(f"{name}.bin") as out:
-            for batch in chunks(batches, "text"):
+            for batch in chunks(batches, "text", owner="word_tokens"):
                 for raw in tok.encode([t or "" for t in batch.column("text").to_pylist()]):
                     if dtype != "<u4":
                         raw = np.frombuffer(raw, "<u4").astype(dtype).tobytes()

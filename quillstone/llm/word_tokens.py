@@ -12,10 +12,14 @@ from array import array
 
 import numpy as np
 
-#: Words kept by a Python worker; the dictionary is emptied when it is full.
-CACHE_WORDS = 700_000
+from .support import caches
+
+#: Words kept by a Python worker, about 200 bytes each; the dictionary is emptied
+#: when it is full.
+CACHE_WORDS = 600_000
 
 _loaded: dict[str, "WordTokenizer"] = {}
+caches["word_tokens"] = _loaded.clear
 
 
 def default_path() -> str:
@@ -24,10 +28,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str) -> "WordTokenizer":
+def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
     """One tokenizer for each worker process and file."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path, cache_words)
+    _loaded[path].cache_words = cache_words
     return _loaded[path]
 
 
