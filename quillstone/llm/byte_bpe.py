@@ -21,16 +21,20 @@ import base64
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import chunks
+from .support import caches, chunks, release, small_batches
 
-#: Pieces and pairs remembered by a worker; each store is emptied when full.
-CACHE_PIECES, CACHE_PAIRS = 400_000, 1_000_000
+#: Words and pairs remembered by a worker, some 200 bytes each; a store is emptied
+#: when it is full.
+CACHE_WORDS, CACHE_PAIRS = 500_000, 400_000
 
 _loaded: dict[tuple[str, str], "PrefixEncoder"] = {}
+caches["byte_bpe"] = _loaded.clear
 
 
 def default_ranks() -> str:
@@ -87,6 +91,8 @@ class PrefixEncoder:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        # White space, unless it is one space between others, or line ends alone.
+        self.odd_space = regex.compile(r"  | [^\S ]| \Z").search
         top = max(ranks.values()) + 1
         self.text: list[bytes] = [b""] * top
         for token, i in ranks.items():
@@ -99,7 +105,7 @@ class PrefixEncoder:
         self.longest = [longest.get(b, 1) for b in range(256)]
         self.halves: dict[int, tuple[int, int]] = {}
         self.apart: dict[int, bool] = {}
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.known = _Known(self)
 
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made the token; itself twice if it is a byte
@@ -149,52 +155,110 @@ class PrefixEncoder:
 
     def _fill(self, piece: bytes, last: list[int], at: int) -> None:
         """Entries of last for piece[:at + 1], piece[:at + 2], ..."""
-        get, apart, longest = self.ranks.get, self.apart, self.longest
+        get, longest = self.ranks.get, self.longest
         for i in range(at + 1, len(piece) + 1):
             for j in range(max(0, i - longest[piece[i - 1]]), i):
                 token = get(piece[j:i])
-                if token is None:
-                    continue
-                if not j:
-                    # A whole prefix that is a token is encoded as that token.
-                    last.append(token)
-                    break
-                pair = last[j - 1] << 20 | token
-                fits = apart.get(pair)
-                if fits is None:
-                    if len(apart) >= CACHE_PAIRS:
-                        apart.clear()
-                    fits = apart[pair] = self._stays_apart(last[j - 1], token)
-                if fits:
+                # A whole prefix that is a token is encoded as that token.
+                if token is not None and (not j or self._fits(last[j - 1], token)):
                     last.append(token)
                     break
 
+    def _fits(self, left: int, right: int) -> bool:
+        pair = left << 20 | right
+        fits = self.apart.get(pair)
+        if fits is None:
+            if len(self.apart) >= CACHE_PAIRS:
+                self.apart.clear()
+            fits = self.apart[pair] = self._stays_apart(left, right)
+        return fits
+
+    def _last(self, piece: bytes, end: int, table: list[int]) -> int:
+        """The entry of piece[:end]; only the entries that it asks for are made."""
+        get = self.ranks.get
+        for begin in range(max(0, end - self.longest[piece[end - 1]]), end):
+            token = get(piece[begin:end])
+            if token is None:
+                continue
+            if not begin:
+                break
+            left = table[begin]
+            if left < 0:
+                left = self._last(piece, begin, table)
+            if self._fits(left, token):
+                break
+        table[end] = token
+        return token
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self, piece).ids()
+        if whole is not None:
+            return [whole]
+        if len(piece) > 64:
+            return PrefixTable(self, piece).ids()
+        end, table, out = len(piece), [-1] * (len(piece) + 1), []
+        self._last(piece, end, table)
+        while end:
+            token = table[end]
+            out.append(token)
+            end -= self.size[token]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.text.__getitem__, ids))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        known, out = self.known, []
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                ids = known[piece] = array("I", self.encode_piece(piece.encode())).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        parts = text.split(" ")
+        # A space before anything but white space starts a piece, so a text is
+        # encoded word by word; runs of white space are left to the pattern.
+        if len(self.known) > CACHE_WORDS:
+            self.known = _Known(self)
+        if self.odd_space(text):
+            return b"".join(self.known.piece(p) for p in self.find(text))
+        first = b"".join(self.known.piece(p) for p in self.find(parts[0]))
+        return first + b"".join(map(self.known.__getitem__, parts[1:]))
+
+
+class _Known(dict):
+    """Word -> ids of a space and the word; made when first asked for."""
+
+    def __init__(self, owner: "PrefixEncoder"):
+        super().__init__()
+        self.owner = owner
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE_WORDS // 2:
+                self.pieces.clear()
+            ids = self.pieces[piece] = array("I", self.owner.encode_piece(piece.encode())).tobytes()
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        # Letters are one piece with the space, a mark after them is another.
+        core = word[:-1] if word[-1] in ".," and len(word) > 1 else word
+        if not core.isalpha():
+            ids = b"".join(map(self.piece, self.owner.find(" " + word)))
+        elif core is word:
+            ids = array("I", self.owner.encode_piece((" " + word).encode())).tobytes()
+        else:
+            ids = self[core] + self.piece(word[-1])
+        self[word] = ids
+        return ids
 
 
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", owner="byte_bpe"):
             raws = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array(raws, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            sizes = np.array([len(r) // 4 for r in raws])
+            flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -203,40 +267,30 @@ def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                texts = [own.decode(array("I", raw or b"")) for raw in part.column("ids").to_pylist()]
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                ids = part.column("ids")
+                flat, at = ids.flatten().to_numpy(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))
+                texts = [own.decode(flat[b:e].tolist()) for b, e in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+        release()
 
     return run
 
 
 def encode_documents(docs: DataFrame, *, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
+    """doc_id, n_tokens and ids of every whole text."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return table.mapInArrow(_encode(ranks_path or default_ranks(), pattern or default_pattern()), "doc_id long, n_tokens long, ids binary")
+    return table.mapInArrow(_encode(ranks_path or default_ranks(), pattern or default_pattern()), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, *, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The same rows with the decoded bytes."""
-    return encoded.mapInArrow(_decode(ranks_path or default_ranks(), pattern or default_pattern()), "doc_id long, n_tokens long, ids binary, decoded binary")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from hashlib import sha256
-
-    words: dict[int, str] = {}
-    for batch in batches:
-        listed = []
-        for raw in batch.column("ids"):
-            ids = array("I", raw.as_py())
-            for i in set(ids).difference(words):
-                words[i] = str(i)
-            listed.append(sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest())
-        decoded = [sha256(raw.as_py()).hexdigest() for raw in batch.column("decoded")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return encoded.mapInArrow(_decode(ranks_path or default_ranks(), pattern or default_pattern()), "doc_id long, n_tokens long, ids array<int>, decoded binary")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode_documents(encode_documents(docs)).mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    small_batches(spark)
+    both = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", "n_tokens", F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
