@@ -660,13 +660,27 @@ def keys_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(keys.keys_in(s), ";").alias("found"))
 
 
-@query("SELECT DISTINCT o_orderkey AS operation FROM orders WHERE o_orderkey % 8 IN (0, 1, 3, 6) AND year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus <> 'P'")
+@query(
+    """WITH b AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'AR-L' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') WHEN 1 THEN 'XX' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0')
+    WHEN 2 THEN 'ar1234' ELSE 'CO-T1234' END AS operation, * FROM orders)
+SELECT DISTINCT operation FROM b WHERE o_orderkey % 4 < 2 AND o_orderkey % 5 < 3 AND year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus <> 'P'"""
+)
 def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    status = F.when(F.col("o_orderstatus") == "P", " Pipeline").otherwise("Closed")
-    bulk = o.select(_pick(F.col("o_orderkey"), KEY_TEXTS).alias("operation"), F.col("o_orderkey").alias("k"), F.lit("Peru").alias("country"), F.col("o_orderdate").alias("approval_date"), status.alias("status"), F.lit("Sovereign Guaranteed").alias("lending_type"))
-    keep = enrich.candidates(bulk.select(F.concat_ws("|", "operation", F.col("k").cast("string")).alias("both"), "operation", "country", "approval_date", "status", "lending_type"), 1996, 1998)
-    return bulk.join(keep, "operation", "left_semi").filter(F.year("approval_date").between(1996, 1998) & (F.trim("status") != "Pipeline")).select(F.col("k").alias("operation")).distinct()
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = F.when(k % 4 == 0, F.concat(F.lit("AR-L"), F.lpad((k % 100000).cast("string"), 5, "0"))).when(k % 4 == 1, F.concat(F.lit("XX"), F.lpad((k % 10000).cast("string"), 4, "0"))).when(k % 4 == 2, "ar1234").otherwise("CO-T1234")
+    bulk = o.select(key.alias("operation"), F.when(k % 5 < 3, "Peru").otherwise("Regional").alias("country"), F.col("o_orderdate").alias("approval_date"), F.when(F.col("o_orderstatus") == "P", " Pipeline").otherwise("Closed").alias("status"), F.lit("Sovereign Guaranteed").alias("lending_type"))
+    return enrich.candidates(bulk, 1996, 1998)
+
+
+@query(
+    """SELECT CASE WHEN doc_id % 4 = 0 THEN 'English' ELSE 'other' END AS language, count(*) AS n_ops, floor(sum(doc_id % 7)::DOUBLE / sum(doc_id % 9) * 1000 + 0.5) / 10 AS relevant_pct,
+  floor(sum(doc_id % 3)::DOUBLE / count(*) * 100 + 0.5) / 100 AS found_per_op, floor((count(*) FILTER (doc_id % 7 = 0))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS zero_relevant_pct
+FROM documents GROUP BY 1"""
+)
+def language_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    ops = d.select(F.when(k % 4 == 0, "JA-L1093").otherwise("BR-L1001").alias("operation"), (k % 9).alias("n_paragraphs"), (k % 7).alias("n_relevant"), (k % 3).alias("n_found"))
+    return stats.by_language(ops)
 
 
 # ----------------------------------------------------------- documents as text

@@ -13,12 +13,15 @@ COUNTRY_PREFIXES = (
 
 
 def patterns(prefixes=COUNTRY_PREFIXES) -> dict[str, str]:
-    """Regular expressions: any key, a loan's key, an old key, a key inside text."""
+    """Regular expressions: any key, a loan's key, an old key, a listed key, a key
+    inside text."""
     cc = "|".join(prefixes)
     return {
         "any": rf"^(?:{cc})(?:-[A-Z][0-9]{{3,5}}|[0-9]{{4}})$",
         "loan": rf"^(?:{cc})(?:-L[0-9]{{3,5}}|[0-9]{{4}})$",
         "old": rf"^(?:{cc})[0-9]{{4}}$",
+        # Any two letters, loans and old keys only, exactly as written.
+        "listed": r"^[A-Z]{2}(?:-L[0-9]{3,5}|[0-9]{4})$",
         "in_text": rf"\b(?:{cc})(?:-[A-Z][0-9]{{3,5}}|[0-9]{{4}})\b",
     }
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions import values as v
 
 
@@ -70,12 +71,11 @@ def display_panel(panel: DataFrame, kinds: dict[str, str], stated: Sequence[str]
     return panel.select(*[(v.display(F.col(c), kinds[c], "not stated" if c in stated else "no source match") if c in kinds else F.col(c)).alias(c) for c in panel.columns])
 
 
-def candidates(bulk: DataFrame, start_year: int, end_year: int) -> DataFrame:
-    """Operations to harvest: valid key, borrowing country, approval year, status;
-    lending and project types only where those columns exist."""
-    from ..functions.keys import is_operation
-
-    keep = is_operation(F.col("operation")) & F.col("country").isin(*v.ISO3) & F.year("approval_date").between(start_year, end_year) & ~F.lower(F.trim(F.coalesce("status", F.lit("")))).isin(*v.NOT_APPROVED)
+def candidates(bulk: DataFrame, start_year: int, end_year: int, pattern: str = keys.patterns()["listed"]) -> DataFrame:
+    """Operations to harvest: key as listed, borrowing country, approval year, status;
+    lending and project types only where those columns exist. The default pattern is
+    looser in its countries and stricter in its spelling than keys.is_operation."""
+    keep = F.col("operation").rlike(pattern) & F.col("country").isin(*v.ISO3) & F.year("approval_date").between(start_year, end_year) & ~F.lower(F.trim(F.coalesce("status", F.lit("")))).isin(*v.NOT_APPROVED)
     for column, value in (("project_type", "Loan Operation"), ("lending_type", "Sovereign Guaranteed")):
         if column in bulk.columns:
             keep = keep & (F.trim(column) == value)

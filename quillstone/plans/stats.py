@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.months import five_year_bucket
 
+# Key prefixes of borrowers whose documents are in English.
+ENGLISH = ("BA", "BH", "BL", "GY", "JA", "TT")
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -86,6 +88,16 @@ def health(operations: DataFrame, cap: int = 24_000) -> DataFrame:
     )
 
 
+def by_language(operations: DataFrame, english: Sequence[str] = ENGLISH) -> DataFrame:
+    """Retrieval by the borrower's language, told by the key up to its hyphen; keys
+    of the old scheme have none and count as other. Ratios are of sums.
+    operations: operation, n_paragraphs, n_relevant, n_found."""
+    language = F.when(F.substring_index("operation", "-", 1).isin(*english), "English").otherwise("other")
+    sums = operations.groupBy(language.alias("language")).agg(F.count("*").alias("n_ops"), F.sum("n_relevant").alias("r"), F.sum("n_paragraphs").alias("t"), F.sum("n_found").alias("f"), F.count_if(F.col("n_relevant") == 0).alias("z"))
+    percent = lambda a, b: F.when(b > 0, F.floor(a / b * 1000 + 0.5) / 10)
+    return sums.select("language", "n_ops", percent(F.col("r"), F.col("t")).alias("relevant_pct"), (F.floor(F.col("f") / F.col("n_ops") * 100 + 0.5) / 100).alias("found_per_op"), percent(F.col("z"), F.col("n_ops")).alias("zero_relevant_pct"))
+
+
 def value_counts(table: DataFrame, column: str) -> DataFrame:
     """Rows by value, nulls included."""
     return table.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))

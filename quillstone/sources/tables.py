@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.months import month_of_cell
+from ..functions.months import coded_month, month_of_cell
 
 PLACEHOLDERS = ("", "not stated", "no source match")
 
@@ -91,6 +91,46 @@ def sheet_series(cells: DataFrame, header: DataFrame, name: str) -> DataFrame:
     return rows.select(F.lit(name).alias("name"), F.try_to_date(F.substring("d", 1, 10), "yyyy-MM-dd").alias("date"), F.trim("v").try_cast("double").alias("value"))
 
 
+#: Columns of the bulk export and what bulk_metadata calls them; some have two names.
+BULK = {
+    "Project Number": "operation", "Project Country": "country", "Country": "country", "Project Name": "name", "Sector": "sector", "Sub-Sector": "subsector", "Modality Code": "modality",
+    "Total Cost": "total_cost", "Approval Amount": "approval_amount", "Funding Source": "funding_source", "Borrower": "borrower", "Executing Agency": "executing_agency",
+    "ESG Classification": "env_class", "Lending Type": "lending_type", "Project Type": "project_type", "Status": "status", "Project Status": "status", "Approval Date": "approval_date", "Last Updated": "last_updated",
+}
+OPTIONAL = ("project_type", "lending_type")
+
+
+def load_bulk(spark: SparkSession, path: str) -> DataFrame:
+    """The bulk export with the names of bulk_metadata, and row, the file's order.
+    Missing columns are null, except those whose absence lifts a condition."""
+    t = read_text_table(spark, path)
+    there = {c.strip(): c for c in t.columns}
+    names: dict[str, str | None] = {}
+    for name, own in BULK.items():
+        if name in there:
+            names.setdefault(own, there[name])
+    columns = []
+    for own in dict.fromkeys(BULK.values()):
+        c = F.nullif(F.col(f"`{names[own]}`"), F.lit("")) if own in names else F.lit(None).cast("string")
+        if own in ("total_cost", "approval_amount"):
+            c = F.trim(c).try_cast("decimal(20,4)")
+        elif own in ("approval_date", "last_updated"):
+            c = F.date_format(F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
+        if own in names or own not in OPTIONAL:
+            columns.append(c.alias(own))
+    return t.select(*columns, F.monotonically_increasing_id().alias("row")).filter("operation is not null")
+
+
+def load_approved(spark: SparkSession, path: str, thresholds: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+    """Denominators of a splice: operation, approved, eligible and t25, t50, ...;
+    days are written 05jan2001, months 2001m1; the first row of an operation counts."""
+    t = read_text_table(spark, path).withColumn("row", F.monotonically_increasing_id())
+    columns = [F.trim("OPER_NUM").alias("operation"), F.trim("Amount_Approved").try_cast("decimal(20,4)").alias("approved"), F.try_to_date(F.initcap(F.trim("FRST_ELIG_DT")), "ddMMMyyyy").alias("eligible")]
+    columns += [coded_month(F.col(f"DISB_{n}_DT")).alias(f"t{n}") for n in thresholds]
+    rows = t.select(*columns, "row")
+    return rows.groupBy("operation").agg(F.min_by(F.struct(*rows.columns[1:-1]), "row").alias("r")).select("operation", "r.*")
+
+
 AUDIT = "map<string,struct<stats:struct<n_documents:int,n_paragraphs_total:int,n_paragraphs_relevant:int,bundle_chars:int,n_documents_failed:int,dry_run_no_key:boolean,api_call_failed:string>,fields:array<struct<field:string,value:string,status:string,citation_para:string,quote:string,source_document:string>>>>"
 
 

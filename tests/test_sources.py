@@ -78,6 +78,21 @@ def test_transactions_and_panel(spark, tmp_path):
     assert {tuple(r) for r in tables.load_panel(spark, str(tmp_path / "p.csv")).collect()} == {("CO-L1234", None), ("AR0001", "val")}
 
 
+def test_bulk_and_splice_inputs(spark, tmp_path):
+    from quillstone.plans import enrich
+
+    (tmp_path / "b.csv").write_text(
+        "Project Number,Country,Funding Source,Approval Amount,Total Cost,Status,Approval Date\nAR-L1234,Peru,KIF-x,2500000,9000000,ACTIVE,2001-02-03\nAR-L1234,Chile,ORC-y,5000000,1,EXITED,2001-02-03\n,Peru,,,,,\nZZ-T1,Peru,,bad,,,2001-01-01\n"
+    )
+    bulk = tables.load_bulk(spark, str(tmp_path / "b.csv"))
+    assert "lending_type" not in bulk.columns and [r[0] for r in enrich.candidates(bulk, 2000, 2002).collect()] == ["AR-L1234"]
+    r = {x["operation"]: x for x in enrich.bulk_metadata(bulk.withColumn("lending_type", F.lit(None).cast("string"))).collect()}["AR-L1234"]
+    assert (r["own_musd"], r["cofinancing_musd"], r["counterpart_musd"], r["cofinancing_agency"], r["country_iso3"], r["bulk_status"]) == (5.0, 2.5, 1.5, "KIF-x", "PER", "Active")
+    (tmp_path / "a.csv").write_text("OPER_NUM,FRST_ELIG_DT,Amount_Approved,DISB_25_DT,DISB_50_DT,DISB_75_DT\nA,05jan2001,10,2001m7,,x\nA,01feb2002,99,,,\n")
+    a = tables.load_approved(spark, str(tmp_path / "a.csv")).collect()
+    assert len(a) == 1 and (str(a[0]["eligible"]), int(a[0]["approved"]), str(a[0]["t25"]), a[0]["t50"]) == ("2001-01-05", 10, "2001-07-01", None)
+
+
 def test_dates_series_audit(spark, tmp_path):
     (tmp_path / "d.csv").write_text("Operation number,First disbursement date,Totally disbursed date,Current disbursement expiration date\n A ,2001-02-03,,x\nA,1999-01-01,,\n,2000-01-01,,\n")
     r = tables.load_dates(spark, str(tmp_path / "d.csv")).collect()
