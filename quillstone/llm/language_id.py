@@ -31,7 +31,7 @@ from .support import Scratch, chunks, held_out, only_ids, without_ids
 UND = "und"
 WINDOW = 128
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
-PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 400, 8, 24, 64, 3e-3
+PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 400, 8, 12, 64, 3e-3
 _letter = re.compile(r"[^\W\d_]").search
 
 
