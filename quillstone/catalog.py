@@ -324,7 +324,7 @@ def calendar_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ELECTIONS = """SELECT n_name AS country, o_orderdate::DATE AS election_date, split_part(o_orderpriority, '-', 2) AS election_type
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0"""
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
 
 
 @query(
@@ -333,7 +333,7 @@ SELECT c.country, y::INT AS year, (election_type IS NOT NULL)::INT AS is_electio
 FROM (SELECT DISTINCT country FROM e) c CROSS JOIN generate_series(1994, 2003) g(y) LEFT JOIN k ON k.country = c.country AND k.year = y"""
 )
 def election_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = operations(spark, sf_dir).filter("operation % 50 = 0").join(_countries(spark, sf_dir), "agency")
+    ops = operations(spark, sf_dir).join(_countries(spark, sf_dir), "agency")
     e = ops.select("country", F.col("approval_day").alias("election_date"), F.split_part("priority", F.lit("-"), F.lit(2)).alias("election_type"))
     return calendars.election_grid(e, 1994, 2003)
 
@@ -764,10 +764,10 @@ def project_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as quotes, one call an operation and passage."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("call_id"), F.col("text").alias("quote"), F.lit("page-3, p.4").alias("citation_para"), F.lit("found").alias("status"))
-    ops = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("operation")).distinct()
-    return ops.join(b, F.pmod(F.col("operation"), F.lit(20)) == F.pmod(F.col("call_id"), F.lit(20)))
+    """Every line is quoted once, with its own paragraph id."""
+    rows = _paragraphs(spark, sf_dir)
+    call = (F.col("operation") * 8 + F.col("doc_idx")) * 100_000 + F.col("pos")
+    return rows.select("operation", call.alias("call_id"), F.col("text").alias("quote"), F.concat(F.col("para_id"), F.lit(", p."), F.col("page")).alias("citation_para"), F.lit("found").alias("status"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -775,7 +775,25 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("operation", F.col("doc_name").alias("doc"), F.col("para_id").alias("para"), t.words_of(F.col("text")).alias("words"))
 
 
-@query()
+_RESOLVED = f"""{_LINES},
+p AS (SELECT doc_id // 8 AS operation, 'cost-' || doc_id || '.pdf' AS doc, doc_id * 100000 + pos AS call_id, text,
+    CASE WHEN pos % 2 = 0 THEN '2.' || (pos % 90) ELSE 'page-' || pos END AS para, trim(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[^a-z0-9]+', ' ', 'g')) AS words FROM ln),
+c AS (SELECT operation, call_id, para, text AS quote, CASE WHEN length(words) >= 25 THEN substring(words, 1, 120) END AS head FROM p),
+h AS (SELECT c.operation, c.call_id, min(p.doc) AS lo, max(p.doc) AS hi FROM c JOIN p ON c.operation = p.operation AND contains(p.words, c.head) GROUP BY 1, 2),
+i AS (SELECT operation, para, min(doc) AS id_doc FROM p GROUP BY 1, 2 HAVING min(doc) = max(doc)),
+r AS (
+  SELECT c.operation, c.call_id, quote, head, coalesce(CASE WHEN lo = hi THEN lo END, id_doc, '') AS source_document
+  FROM c LEFT JOIN h USING (operation, call_id) LEFT JOIN i ON i.operation = c.operation AND i.para = c.para),
+seen AS (
+  SELECT r.operation, r.call_id, bool_or(contains(replace(upper(words), ' ', ''), r.operation::VARCHAR)) AS in_text, bool_or(coalesce(contains(words, head), false)) AS there
+  FROM r JOIN p ON p.operation = r.operation AND (source_document = '' OR p.doc = source_document) GROUP BY 1, 2),
+f AS (
+  SELECT r.operation, r.call_id, source_document, contains(source_document, r.operation::VARCHAR) OR coalesce(in_text, false) AS source_names_operation,
+    CASE WHEN coalesce(there, false) THEN array_to_string(list_sort(list_distinct(regexp_extract_all(upper(quote), '{keys.patterns()["in_text"]}'))), ';') ELSE '' END AS others
+  FROM r LEFT JOIN seen USING (operation, call_id))"""
+
+
+@query(f"WITH {_RESOLVED} SELECT operation, call_id, source_document FROM f")
 def quote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(_quotes(spark, sf_dir), _blocks(spark, sf_dir)).select("operation", "call_id", "source_document")
 
@@ -785,12 +803,15 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.contamination(resolve.resolve(_quotes(spark, sf_dir), blocks), blocks)
 
 
-@query()
+@query(f"WITH {_RESOLVED} SELECT * FROM f")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir).select("operation", "call_id", "source_document", "source_names_operation", F.array_join("other_operations_in_quote", ";").alias("others"))
 
 
-@query()
+@query(
+    f"""WITH {_RESOLVED} SELECT operation, count(*) FILTER (source_document = '') AS citations_unresolved,
+  count(*) FILTER (NOT source_names_operation OR others <> '') AS values_from_unnamed_source FROM f GROUP BY 1"""
+)
 def citation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.quality_counters(_flagged(spark, sf_dir))
 
