@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .support import BROADCAST_IDS, Scratch
 
-TABLES, PROBES, PER_BUCKET, SEED = 16, 7, 512, 5
+TABLES, PROBES, PER_BUCKET, SEED = 16, 8, 512, 5
 #: Rows of a bucket that one task compares at a time.
 BLOCK = 2048
 
