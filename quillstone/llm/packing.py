@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import chunks
-from .word_tokens import default_path, tokenizer
+from .word_tokens import CACHE_WORDS, default_path, tokenizer
 
 WINDOW = 4096
 #: A shard's bounds: ids held by a task at a time, and documents in one index.
-SHARD_TOKENS, SHARD_DOCS = 6_000_000, 8192
+SHARD_TOKENS, SHARD_DOCS = 1_500_000, 8192
 #: BM25's usual parameters; words of a query; neighbours fetched at a time.
 K1, B, QUERY_WORDS, NEIGHBOURS = 1.2, 0.75, 24, 16
+_DOC_BITS = np.uint64(SHARD_DOCS - 1)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,13 +44,13 @@ class Bm25Shard:
         n = len(docs)
         words, owner = _words(docs, ends)
         length = np.bincount(owner, minlength=n)
-        order = np.lexsort((owner, words))
-        words, owner = words[order], owner[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
+        # One sort of 51 bits of the name over 13 bits of the document.
+        both = np.sort((words & ~_DOC_BITS) | owner.astype(np.uint64))
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
         at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(words)))
-        words, owner = words[at], owner[at]
+        tf = np.diff(np.append(at, len(both)))
+        words, owner = both[at] & ~_DOC_BITS, (both[at] & _DOC_BITS).astype(np.int64)
         first = np.ones(len(words), bool)
         first[1:] = words[1:] != words[:-1]
         self.begin = np.append(np.flatnonzero(first), len(words))
@@ -61,7 +62,7 @@ class Bm25Shard:
         self.weights = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
         # Each document's query: its rarest words that another document has too.
         shared = np.flatnonzero(df[term] > 1)
-        ranked = shared[np.lexsort((df[term[shared]], owner[shared]))]
+        ranked = shared[np.argsort((owner[shared] << 13) + df[term[shared]], kind="stable")]
         self.query_of = np.searchsorted(owner[ranked], np.arange(n + 1))
         self.query_terms = term[ranked]
         self.scores = np.zeros(n, np.float32)
@@ -127,9 +128,9 @@ def pack_shard(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -
     return pieces
 
 
-def _packer(path: str, end_id: int, window: int):
+def _packer(path: str, end_id: int, window: int, cache_words: int = CACHE_WORDS):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(path, cache_words)
         ends = tok.word_ends()
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
@@ -138,8 +139,8 @@ def _packer(path: str, end_id: int, window: int):
         def flush():
             nonlocal base
             pieces = pack_shard(held, ends, window)
-            for i in range(0, len(pieces), 4096):
-                some = pieces[i : i + 4096]
+            for i in range(0, len(pieces), 128):  # 2 MB of ids at most
+                some = pieces[i : i + 128]
                 doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*some))
                 ids = [held[d][s : s + n].tobytes() for d, s, n, _, _ in some]
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +149,7 @@ def _packer(path: str, end_id: int, window: int):
                 )
             base += pieces[-1][3] + 1 if pieces else 0
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20, owner="word_tokens"):
             for name, raw in zip(batch.column("doc_id").to_pylist(), tok.encode([t or "" for t in batch.column("text").to_pylist()])):
                 if held and (total + len(raw) // 4 >= SHARD_TOKENS or len(held) == SHARD_DOCS):
                     yield from flush()
@@ -161,11 +162,12 @@ def _packer(path: str, end_id: int, window: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id and offset."""
+    doc_tokens, sequence_id and offset. cache_words bounds what a worker remembers:
+    fewer words cost time, more cost memory (about 200 bytes each)."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return table.mapInArrow(_packer(tokenizer_path or default_path(), end_id, window), PIECES)
+    return table.mapInArrow(_packer(tokenizer_path or default_path(), end_id, window, cache_words), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
