@@ -3,12 +3,15 @@
 Such a tokenizer drops white space and never merges across it, so a text's ids
 are the ids of its space-separated words in order. Words repeat: a bounded
 dictionary keeps the ids of the words met so far, and only new words reach the
-library (whole words of ASCII letters its model alone, which is the dear part). The result equals ``Tokenizer.encode(text, add_special_tokens=False)``.
+library (words of Latin letters its model alone, since what comes before the model
+is known for them). The result equals ``Tokenizer.encode(text,
+add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 from array import array
+from string import punctuation
 
 import numpy as np
 
@@ -36,31 +39,44 @@ def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
     return _loaded[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the
+    others by the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
+
+
 class _Known(dict):
     """Word -> its ids' bytes; a new word is encoded when first asked for."""
 
     def __init__(self, lib):
         super().__init__()
-        self.lib, self.model = lib, lib.model
+        self.lib, self.model, self.letters = lib, lib.model, _byte_letters()
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        # ASCII letters are one piece, which the model takes as it is; letters
-        # before a final full stop or comma are a piece apart from it.
-        core = word[:-1] if word[-1] in ".," and len(word) > 1 else word
-        if core.isascii() and core.isalpha():
-            low = core.lower()
-            ids = self.get(low)
-            if ids is None:
-                got = [t.id for t in self.model.tokenize(low)]
-                ids = self[low] = array("I", got).tobytes()
-            if core is not word:
-                ids += self[word[-1]]
+        # Latin letters are composed already and lower-cased letter by letter; they
+        # are one piece, which the model takes in the vocabulary's writing. Marks after
+        # letters are another piece.
+        if max(word) >= "\u0250":
+            ids = self._by_library(word)
+        elif word.isalpha():
+            low = word.lower()
+            if low == word:
+                written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            else:
+                ids = self[low] if low.isalpha() else self._by_library(word)
         else:
-            ids = array("I", self.lib.encode(word, add_special_tokens=False).ids).tobytes()
+            core = word.rstrip(punctuation)
+            ids = self[core] + self[word[len(core) :]] if core != word and core.isalpha() else self._by_library(word)
         self[word] = ids
         return ids
 
+    def _by_library(self, text: str) -> bytes:
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 class WordTokenizer:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
