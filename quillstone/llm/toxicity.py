@@ -122,7 +122,7 @@ def windows_of(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
 class BiGru:
@@ -157,11 +157,12 @@ class BiGru:
         return out if d == "f" else out[::-1]
 
     def _forward(self, table: np.ndarray, index: np.ndarray, there: np.ndarray, cache: dict | None = None) -> np.ndarray:
-        states = []
+        states, inputs = [], table[index.T.ravel()]
         for d in "fb":
-            weighted = table @ getattr(self, f"w{d}") + getattr(self, f"b{d}")
+            # By time first, so that each step reads one block.
+            weighted = inputs @ getattr(self, f"w{d}") + getattr(self, f"b{d}")
             keep = [] if cache is not None else None
-            states.append(np.stack(self._read([weighted[index[:, t]] for t in range(TIMES)], there, d, keep), axis=1))
+            states.append(np.stack(self._read(list(weighted.reshape(TIMES, len(there), -1)), there, d, keep), axis=1))
             if cache is not None:
                 cache[d] = keep
         h = np.concatenate(states, axis=2)
