@@ -32,7 +32,11 @@ UND = "und"
 WINDOW = 128
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
 PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 400, 8, 12, 64, 3e-3
-_letter = re.compile(r"[^\W\d_]").search
+_ascii_letter = re.compile(r"[A-Za-z]").search
+
+
+def has_letter(text: str) -> bool:
+    return bool(_ascii_letter(text)) or any(map(str.isalpha, text))
 
 
 def windows_of(raws: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +194,7 @@ def _predictor(model: ByteConvNet | None):
         for batch in chunks(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             names, scores = [UND] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t and _letter(t)]
+            some = [i for i, t in enumerate(texts) if t and has_letter(t)]
             if some and model is not None:
                 p = model.predict([texts[i].encode() for i in some])
                 for i, row in zip(some, p):

@@ -3,8 +3,9 @@
 A document's set holds its distinct shingles of five lower-cased words. One hash
 of each shingle fills one of 256 bins; the smallest value in each bin is the
 sketch, and empty bins borrow from bins chosen by a hash of (bin, attempt) until a
-full one is met (optimal densification). 42 bands of six bins are the buckets: two
-sets of similarity 0.85 share no bucket with a probability of about 1e-9.
+full one is met (optimal densification). Bands of bins are the buckets: two sets of
+similarity 0.8 miss all 51 bands of five bins, and two of 0.85 all 42 bands of six,
+with a probability of about 1e-9.
 
 Pairs are bounded in this way:
 
@@ -41,15 +42,17 @@ from pyspark.sql import functions as F
 from .support import Scratch, chunks, only_ids, release, without_ids
 
 WORDS = 5
-BINS, BAND_ROWS, BANDS = 256, 6, 42
-#: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
+BINS = 256
+#: Links have 100 * intersection >= PERCENT * union; bins of a band.
+PERCENT, BAND_ROWS = 80, 5
 #: Members of a bucket whose pairs are listed, and that are compared in blocks.
 SMALL, MIDDLING = 8, 2048
 #: Members and bytes of sets in a block.
 BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
-#: Times a bucket is dealt anew at most; what is left then is compared in full.
-DEPTH = 4
+#: Times a bucket is dealt anew at most (what is left then is compared in blocks), and
+#: the other bands by which it is dealt. A linked pair shares some 16 buckets, each of
+#: them another chance, so few bands do: the pair is lost with a probability of 1e-7.
+DEPTH, DEAL = 3, 6
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -150,9 +153,10 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    bands = sketch[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
-    return _mix((bands * _PLACE[:BAND_ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[7]).view(np.int64)
+def band_keys(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+    count = BINS // rows
+    bands = sketch[:, : count * rows].reshape(-1, count, rows)
+    return _mix((bands * _PLACE[:rows]).sum(2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * _PLACE[7]).view(np.int64)
 
 
 def _set_names(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -172,17 +176,22 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary()).to_pylist()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", 1 << 20):
-        hashes, offsets = shingle_sets(_bytes(batch.column("text")))
-        sizes = np.diff(offsets)
-        keys = np.zeros((len(sizes), BANDS), np.int64)
-        some = sizes > 0
-        if some.any():
-            keys[some] = band_keys(sketches(hashes, np.append(0, np.cumsum(sizes[some]))))
-        flat = pa.array(keys[some].ravel())
-        at = pa.array(np.append(0, np.cumsum(some * BANDS)), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(_set_names(hashes, offsets), pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n", "cls", "keys"])
+def _sketch(rows: int):
+    count = BINS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            hashes, offsets = shingle_sets(_bytes(batch.column("text")))
+            sizes = np.diff(offsets)
+            keys = np.zeros((len(sizes), count), np.int64)
+            some = sizes > 0
+            if some.any():
+                keys[some] = band_keys(sketches(hashes, np.append(0, np.cumsum(sizes[some]))), rows)
+            flat = pa.array(keys[some].ravel())
+            at = pa.array(np.append(0, np.cumsum(some * count)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(_set_names(hashes, offsets), pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n", "cls", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +274,11 @@ def _links_of_blocks(percent: int):
 class _Finder:
     """The steps of one run over one table."""
 
-    def __init__(self, docs: DataFrame, percent: int):
+    def __init__(self, docs: DataFrame, percent: int, band_rows: int):
         self.spark = docs.sparkSession
         self.docs, self.percent = docs, percent
         self.scratch = Scratch(self.spark, "near_dedup")
-        self.table = self.scratch.write(docs.mapInArrow(_sketch, "doc_id long, n long, cls binary, keys array<long>"), "documents")
+        self.table = self.scratch.write(docs.mapInArrow(_sketch(band_rows), "doc_id long, n long, cls binary, keys array<long>"), "documents")
         some = self.table.filter("n > 0")
         self.classes = self.scratch.write(some.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
 
@@ -363,15 +372,17 @@ class _Finder:
             large = left.filter((F.col("size") > SMALL) & ~middling)
             if not large.limit(1).count():
                 return comps
-            deeper = large.join(self.classes.select("cls", "keys"), "cls").select("key", "cls", "n", F.explode("keys").alias("band"))
-            members = self.shared(deeper.select(F.xxhash64("key", "band").alias("key"), "cls", "n").distinct(), "dealt")
+            # Which bands, follows from the bucket: the same ones for all members.
+            some = F.slice(F.concat("keys", "keys"), (F.pmod("key", F.size("keys")) + 1).cast("int"), DEAL)
+            deeper = large.join(self.classes.select("cls", "keys"), "cls").select("key", "cls", "n", F.posexplode(some).alias("at", "band"))
+            members = self.shared(deeper.select(F.xxhash64("key", "at", "band").alias("key"), "cls", "n").distinct(), "dealt")
         return comps
 
 
-def near_dedup(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, *, percent: int = PERCENT, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    finder = _Finder(table, percent)
+    finder = _Finder(table, percent, band_rows)
     comps = finder.run()
     some = finder.table.filter("n > 0").select("doc_id", "n", "cls")
     named = finder.scratch.write(some.join(comps, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp")), "named")
@@ -381,12 +392,12 @@ def near_dedup(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that near_dedup keeps, with their own columns."""
     scratch = Scratch(docs.sparkSession, "drop_near")
-    found = near_dedup(docs, percent=percent, id_col=id_col, text_col=text_col)
+    found = near_dedup(docs, percent=percent, band_rows=band_rows, id_col=id_col, text_col=text_col)
     return without_ids(docs, scratch.write(found.filter("not kept").select("doc_id").distinct(), "dropped"), id_col)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, band_rows=6)

@@ -73,7 +73,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
 
 
-def brute_near(rows, percent=85):
+def brute_near(rows, percent=80):
     sets = [shingle_set(t) for _, t in rows]
     comp = list(range(len(rows)))
     for i, a in enumerate(sets):
@@ -87,8 +87,8 @@ def brute_near(rows, percent=85):
     return Counter((rows[k][0], len(sets[k]), least[comp[k]]) for k in range(len(rows)))
 
 
-def near(df):
-    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_dedup(df).collect())
+def near(df, **more):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_dedup(df, **more).collect())
 
 
 def test_near_against_brute_force(spark):
@@ -108,14 +108,21 @@ def variants(n, edits, size=90, seed=5):
 
 
 def test_near_group_at_the_threshold(spark):
-    """A dense group around 0.85: the stars alone would not find all links."""
+    """A dense group around the threshold: stars alone would not find all links."""
     rows = variants(120, 4) + variants(40, 2, size=9, seed=6) + [(k, words(k, 40)) for k in range(50)]
     rows = [(i if i < 100 else i + 1000 * (k >= 120), t) for k, (i, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert near(df) == brute_near(rows)
+    assert near(df, percent=85, band_rows=6) == brute_near(rows, 85)
 
 
-@pytest.mark.parametrize("limits", [(0, 1000), (4, 10), (2, 4)])
+def test_near_query(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.op6_near_dedup(spark, sf_dir).collect())
+    assert got == brute_near(rows, 85)
+
+
+@pytest.mark.parametrize("limits", [(0, 1000), (2, 12)])
 def test_near_leftover_paths(spark, monkeypatch, limits):
     """Without listed pairs, with small blocks, and with buckets dealt anew."""
     monkeypatch.setattr(nd, "SMALL", limits[0])

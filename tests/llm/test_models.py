@@ -52,6 +52,10 @@ def test_toxicity_gradients():
             assert abs(g[at] - slope) < 5e-3, (name, at, g[at], slope)
 
 
+def test_letters():
+    assert not any(map(li.has_letter, ["", "12", "½ ²", "_-!", "\u0301", "😀"])) and all(map(li.has_letter, ["a", "é", "日", "1ß"]))
+
+
 def test_windows_cover_whole_texts():
     grid, owner, size = li.windows_of([b"", b"x" * 300, b"y" * 128])
     assert size.sum() == 428 and np.bincount(owner).tolist() == [1, 3, 1]
