@@ -27,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group one document stays (similarity 0.85 or more)."""
+    """Of each near-duplicate group one document stays (similarity 0.8 or more)."""
     return drop_near_duplicates(docs)
 
 
