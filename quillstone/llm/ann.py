@@ -7,13 +7,13 @@ buckets a table). Candidates are ranked by the exact inner product in double
 precision, inside the bucket, so that only each bucket's best rows go on.
 
 Inner products of vectors of different lengths are turned into angles by one more
-coordinate, sqrt(1 - (|x| / max |x|)^2). With more vectors, a second hash of a
-smaller dimension splits the axes' buckets, so that their number follows the
-number of vectors (about ``per_bucket`` rows each).
+coordinate, sqrt(1 - (|x| / max |x|)^2).
 
-A bucket of many rows is cut into blocks, each asked by all queries of the bucket;
-so a vector that a third of all rows repeat stays spread. Measured recall at 20
-with the defaults is in the README.
+The number of buckets does not follow the number of vectors, so the share of rows
+that a query looks at stays. A bucket of many rows is cut into blocks of about
+``per_bucket`` rows, each asked by all queries of the bucket; so a vector that a
+third of all rows repeat stays spread. Measured recall at 20 with the defaults is
+in the README.
 
 Defined results: vectors that are null, all zero, hold a null or a non-finite
 component, have a null id, or are shorter than the longest vector take no part,
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .support import BROADCAST_IDS, Scratch
 
-TABLES, PROBES, PER_BUCKET, SEED = 16, 8, 512, 5
+TABLES, PROBES, SEED = 16, 8, 5
 #: Rows of a bucket that one task compares at a time.
 BLOCK = 2048
 
@@ -51,14 +51,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Rotations:
     """The tables' pseudo-rotations; equal in every process."""
 
-    def __init__(self, dim: int, tables: int, extra: bool, split: int, seed: int = SEED):
-        self.dim, self.extra, self.split = dim, extra, split
+    def __init__(self, dim: int, tables: int, extra: bool, seed: int = SEED):
+        self.dim, self.extra = dim, extra
         self.width = 1 << max(1, (dim + extra - 1).bit_length())
-        signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (tables, 2, 3, self.width))
+        signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (tables, 3, self.width))
         self.signs = signs.astype(np.float32) * 2 - 1
 
-    def __call__(self, x: np.ndarray, table: int, which: int = 0) -> np.ndarray:
-        for s in self.signs[table, which]:
+    def __call__(self, x: np.ndarray, table: int) -> np.ndarray:
+        for s in self.signs[table]:
             x = hadamard(x * s)
         return x
 
@@ -76,17 +76,7 @@ class Rotations:
         kept = min(probes, self.width)
         axes = np.argsort(-np.abs(first), axis=1, kind="stable")[:, :kept]
         value = np.take_along_axis(first, axes, 1)
-        code = axes * 2 + (value > 0)
-        if self.split < 2:
-            return code
-        # The second hash: signed axes of the first split / 2 coordinates.
-        second = self(x, table, 1)[:, : self.split // 2]
-        near = np.argsort(-np.abs(second), axis=1, kind="stable")[:, : min(probes, self.split // 2)]
-        own = np.take_along_axis(second, near, 1)
-        both = (code[:, :, None] * self.split + (near * 2 + (own > 0))[:, None, :]).reshape(len(x), -1)
-        score = (np.abs(value)[:, :, None] + np.abs(own)[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-        return np.take_along_axis(both, best, 1)
+        return axes * 2 + (value > 0)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -166,7 +156,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.filter(F.col(id_col).isNotNull() & v.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
 
 
-def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES, per_bucket: int = PER_BUCKET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES, per_bucket: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by every."""
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
@@ -177,15 +167,12 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TAB
     n, low, high = rows.agg(F.count("*"), F.min(length), F.max(length)).first()
     low, high = low or 1.0, high or 1.0
     extra = high - low > 1e-6 * high
-    rotations = Rotations(longest_dim, tables, extra, 1)
-    wanted = n / per_bucket / (2 * rotations.width)
-    while rotations.split < wanted and rotations.split < 2 * rotations.width:
-        rotations.split *= 2
+    rotations = Rotations(longest_dim, tables, extra)
     shape = f"t int, key long, vec_id long, vector {dict(table.dtypes)[vector_col]}"
     items = rows.mapInArrow(_hasher(rotations, high, tables, 1, False), shape)
     asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_hasher(rotations, high, tables, probes, True), shape)
-    # A row a bucket and block: their number is bounded by rows / BLOCK + buckets.
-    sizes = scratch.write(items.groupBy("t", "key").count().select("t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "sizes")
+    # A row a bucket and block: their number is bounded by rows / per_bucket + buckets.
+    sizes = scratch.write(items.groupBy("t", "key").count().select("t", "key", F.ceil(F.col("count") / per_bucket).cast("int").alias("blocks")), "sizes")
     few = F.broadcast(sizes) if sizes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else sizes
     placed = items.join(few, ["t", "key"]).select("t", "key", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
     probing = asked.join(few, ["t", "key"]).select("t", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")

@@ -64,6 +64,16 @@ def test_second_hash_for_many_vectors(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_recall_stays_when_buckets_are_many_times_too_large(spark):
+    """Unclustered vectors, the defaults' tables and probes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = brute_nearest(np.arange(4000), x.astype(float), 100, 20)
+    got = search(vectors(spark, [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]), every=100, per_bucket=4)
+    assert recall(got, want) >= 0.9
+
+
 def test_copies_and_ties(spark, monkeypatch):
     """A vector that most rows repeat: blocks, ties by id, each id once."""
     rng = np.random.default_rng(6)
