@@ -6,8 +6,10 @@ rotations is a table; a query also looks at the next-nearest axes (``probes``
 buckets a table). Candidates are ranked by the exact inner product in double
 precision, inside the bucket, so that only each bucket's best rows go on.
 
-Inner products of vectors of different lengths are turned into angles by one more
-coordinate, sqrt(1 - (|x| / max |x|)^2).
+Only directions are hashed, so a few long vectors do not push the others together.
+Where lengths differ, the longest rows (``LONG`` of all) are compared with every
+query, since they can lead at wide angles. A query that finds fewer than k rows is
+compared with all rows. Both comparisons go in blocks of rows and of queries.
 
 The number of buckets does not follow the number of vectors, so the share of rows
 that a query looks at stays. A bucket of many rows is cut into blocks of about
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .support import BROADCAST_IDS, Scratch
@@ -36,6 +38,8 @@ from .support import BROADCAST_IDS, Scratch
 TABLES, PROBES, SEED = 16, 8, 5
 #: Rows of a bucket that one task compares at a time.
 BLOCK = 2048
+#: The share of rows, the longest ones, that every query is compared with.
+LONG = 1 / 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,9 +55,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Rotations:
     """The tables' pseudo-rotations; equal in every process."""
 
-    def __init__(self, dim: int, tables: int, extra: bool, seed: int = SEED):
-        self.dim, self.extra = dim, extra
-        self.width = 1 << max(1, (dim + extra - 1).bit_length())
+    def __init__(self, dim: int, tables: int, seed: int = SEED):
+        self.dim = dim
+        self.width = 1 << max(1, (dim - 1).bit_length())
         signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (tables, 3, self.width))
         self.signs = signs.astype(np.float32) * 2 - 1
 
@@ -62,12 +66,12 @@ class Rotations:
             x = hadamard(x * s)
         return x
 
-    def padded(self, x: np.ndarray, longest: float, query: bool) -> np.ndarray:
+    def padded(self, x: np.ndarray) -> np.ndarray:
+        """The rows' directions. Squares of very large or small numbers are avoided."""
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
         out = np.zeros((len(x), self.width), np.float32)
-        length = np.linalg.norm(x, axis=1)
-        out[:, : self.dim] = x / (longest if self.extra and not query else length[:, None])
-        if self.extra and not query:
-            out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (length / longest) ** 2))
+        out[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
         return out
 
     def keys(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
@@ -85,12 +89,12 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return flat.reshape(batch.num_rows, -1)
 
 
-def _hasher(rotations: Rotations, longest: float, tables: int, probes: int, query: bool):
+def _hasher(rotations: Rotations, tables: int, probes: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2048):
                 batch = whole.slice(begin, 2048)
-                x = rotations.padded(_matrix(batch), longest, query)
+                x = rotations.padded(_matrix(batch))
                 codes = [rotations.keys(x, t, probes) for t in range(tables)]
                 table = np.repeat(np.arange(tables), [len(x) * c.shape[1] for c in codes])
                 row = np.concatenate([np.repeat(np.arange(len(x)), c.shape[1]) for c in codes])
@@ -156,6 +160,32 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.filter(F.col(id_col).isNotNull() & v.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
 
 
+def _blocks(rows: DataFrame, n_rows: int, asks: DataFrame, n_asks: int, t: int, per_bucket: int) -> DataFrame:
+    """Every row beside every query: blocks of rows by blocks of queries, as groups
+    of a table t of their own."""
+    own, other = -(-n_rows // per_bucket), -(-n_asks // per_bucket)
+
+    def part(of: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), F.lit(of))
+
+    def each(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    placed = rows.select("vec_id", "vector", part(own).cast("int").alias("block"), each(other).alias("key"), F.lit(False).alias("asks"))
+    probing = asks.select("vec_id", "vector", each(own).alias("block"), part(other).alias("key"), F.lit(True).alias("asks"))
+    return placed.unionByName(probing).select(F.lit(t).alias("t"), F.col("key").cast("long").alias("key"), "block", "asks", "vec_id", "vector")
+
+
+def _best(groups: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score over all groups."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.repartition(parts, "t", "key", "block").sortWithinPartitions("t", "key", "block")
+    found = dealt.mapInArrow(_searcher(k), "query_id long, ids array<long>, scores array<double>")
+    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query_id", F.col("x.ids").alias("vec_id")).agg(F.max("x.scores").alias("score"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES, per_bucket: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by every."""
     spark = table.sparkSession
@@ -163,25 +193,34 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TAB
     rows = usable(table, id_col, vector_col)
     longest_dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1
     rows = rows.filter(F.size("vector") == longest_dim)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    n, low, high = rows.agg(F.count("*"), F.min(length), F.max(length)).first()
-    low, high = low or 1.0, high or 1.0
-    extra = high - low > 1e-6 * high
-    rotations = Rotations(longest_dim, tables, extra)
+    # Scaled by the largest component, as the directions are.
+    top = F.array_max(F.transform("vector", lambda c: F.abs(c.cast("double"))))
+    length = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + (c.cast("double") / top) * (c.cast("double") / top)))
+    of_query = F.col("vec_id") % every == 0
+    n, n_ids, n_queries, low, high, long = rows.agg(F.count("*"), F.count_distinct("vec_id"), F.count_if(of_query), F.min(length), F.max(length), F.percentile_approx(length, 1 - LONG)).first()
+    rotations = Rotations(longest_dim, tables)
     shape = f"t int, key long, vec_id long, vector {dict(table.dtypes)[vector_col]}"
-    items = rows.mapInArrow(_hasher(rotations, high, tables, 1, False), shape)
-    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_hasher(rotations, high, tables, probes, True), shape)
+    queries = rows.filter(of_query)
+    items = rows.mapInArrow(_hasher(rotations, tables, 1), shape)
+    asked = queries.mapInArrow(_hasher(rotations, tables, probes), shape)
     # A row a bucket and block: their number is bounded by rows / per_bucket + buckets.
     sizes = scratch.write(items.groupBy("t", "key").count().select("t", "key", F.ceil(F.col("count") / per_bucket).cast("int").alias("blocks")), "sizes")
     few = F.broadcast(sizes) if sizes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else sizes
     placed = items.join(few, ["t", "key"]).select("t", "key", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
     probing = asked.join(few, ["t", "key"]).select("t", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = placed.unionByName(probing).repartition(parts, "t", "key", "block").sortWithinPartitions("t", "key", "block")
-    found = groups.mapInArrow(_searcher(k), "query_id long, ids array<long>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query_id", F.col("x.ids").alias("vec_id")).agg(F.max("x.scores").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    groups = placed.unionByName(probing)
+    if n_queries and high - low > 1e-6 * high:
+        longest = rows.filter(length > long)
+        groups = groups.unionByName(_blocks(longest, max(1, longest.count()), queries, n_queries, -1, per_bucket))
+    ranked = scratch.write(_best(groups, k), "ranked")
+    # Queries that found too few.
+    most = min(k, n_ids - 1)
+    full = ranked.groupBy("query_id").count().filter(F.col("count") >= most).select("query_id")
+    short = scratch.write(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    n_short = short.count() if most > 0 else 0
+    if not n_short:
+        return ranked
+    return ranked.join(full, "query_id", "left_semi").unionByName(_best(_blocks(rows, n, short, n_short, 0, per_bucket), k))
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,17 @@ def test_recall_stays_when_buckets_are_many_times_too_large(spark):
     assert recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["one", "lognormal"])
+def test_skewed_lengths(spark, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(3000) == 7, 10, 1)[:, None].astype(np.float32) if lengths == "one" else rng.lognormal(0, 1, (3000, 1)).astype(np.float32)
+    want = brute_nearest(np.arange(3000), x.astype(float), 20, 20)
+    got = search(vectors(spark, [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]))
+    assert set(got) == set(want) and all(len(f) == 20 for f in got.values()) and recall(got, want) >= 0.9
+
+
 def test_copies_and_ties(spark, monkeypatch):
     """A vector that most rows repeat: blocks, ties by id, each id once."""
     rng = np.random.default_rng(6)
