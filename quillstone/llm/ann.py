@@ -105,16 +105,17 @@ def _hasher(rotations: Rotations, tables: int, probes: int):
     return hashed
 
 
-def exact_best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def exact_best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, repeats: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest rows by inner product in double precision, ties by id. A
     quick product picks the rows, with slack; the final sums do not depend on a
-    row's place."""
+    row's place. Of the rows, repeats have an id that another row has too."""
     near = x @ q
     own = ids == query_id
-    if len(ids) > k + int(own.sum()):
+    k_rows = k + repeats
+    if len(ids) > k_rows + int(own.sum()):
         near[own] = -np.inf
         slack = 1e-9 * (np.abs(near[~own]).max() + 1)
-        pick = np.flatnonzero(near >= np.partition(near, -k)[-k] - slack)
+        pick = np.flatnonzero(near >= np.partition(near, -k_rows)[-k_rows] - slack)
     else:
         pick = np.flatnonzero(~own)
     score = (x[pick] * q).sum(axis=1)
@@ -133,7 +134,8 @@ def _searcher(k: int):
             return
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         x = np.array([r["vector"] for r in rows], np.float64)
-        got = [exact_best(ids, x, r["vec_id"], np.array(r["vector"], np.float64), k) for r in asks]
+        repeats = len(ids) - len(np.unique(ids))
+        got = [exact_best(ids, x, r["vec_id"], np.array(r["vector"], np.float64), k, repeats) for r in asks]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r["vec_id"] for r in asks], pa.int64()), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
             ["query_id", "ids", "scores"],

@@ -85,6 +85,13 @@ def test_skewed_lengths(spark, lengths):
     assert set(got) == set(want) and all(len(f) == 20 for f in got.values()) and recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [10, 21])
+def test_small_tables_give_all_candidates(spark, n):
+    x = np.random.default_rng(10).normal(size=(n, 64)).astype(np.float32)
+    got = search(vectors(spark, [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)] + [(0, x[0].tolist(), 0, "", "")]), every=1)
+    assert all({a for a, _ in got[i]} == set(range(n)) - {i} for i in range(n))
+
+
 def test_copies_and_ties(spark, monkeypatch):
     """A vector that most rows repeat: blocks, ties by id, each id once."""
     rng = np.random.default_rng(6)
