@@ -195,11 +195,9 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TAB
     rows = usable(table, id_col, vector_col)
     longest_dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1
     rows = rows.filter(F.size("vector") == longest_dim)
-    # Scaled by the largest component, as the directions are.
-    top = F.array_max(F.transform("vector", lambda c: F.abs(c.cast("double"))))
-    length = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + (c.cast("double") / top) * (c.cast("double") / top)))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
     of_query = F.col("vec_id") % every == 0
-    n, n_ids, n_queries, low, high, long = rows.agg(F.count("*"), F.count_distinct("vec_id"), F.count_if(of_query), F.min(length), F.max(length), F.percentile_approx(length, 1 - LONG)).first()
+    n, n_queries, low, high = rows.agg(F.count("*"), F.count_if(of_query), F.min(length), F.max(length)).first()
     rotations = Rotations(longest_dim, tables)
     shape = f"t int, key long, vec_id long, vector {dict(table.dtypes)[vector_col]}"
     queries = rows.filter(of_query)
@@ -212,11 +210,11 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, tables: int = TAB
     probing = asked.join(few, ["t", "key"]).select("t", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
     groups = placed.unionByName(probing)
     if n_queries and high - low > 1e-6 * high:
-        longest = rows.filter(length > long)
+        longest = rows.filter(length > rows.agg(F.percentile_approx(length, 1 - LONG)).first()[0])
         groups = groups.unionByName(_blocks(longest, max(1, longest.count()), queries, n_queries, -1, per_bucket))
     ranked = scratch.write(_best(groups, k), "ranked")
     # Queries that found too few.
-    most = min(k, n_ids - 1)
+    most = min(k, rows.agg(F.count_distinct("vec_id")).first()[0] - 1)
     full = ranked.groupBy("query_id").count().filter(F.col("count") >= most).select("query_id")
     short = scratch.write(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
     n_short = short.count() if most > 0 else 0
