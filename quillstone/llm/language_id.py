@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import Scratch, chunks, held_out, only_ids, without_ids
+from .support import Scratch, chunks, held_out, only_ids, text_key, without_rows
 
 UND = "und"
 WINDOW = 128
@@ -189,7 +189,7 @@ def _window_picker(windows: int):
     return pick
 
 
-def _predictor(model: ByteConvNet | None):
+def _predictor(model: ByteConvNet | None, *more: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
@@ -200,7 +200,7 @@ def _predictor(model: ByteConvNet | None):
                 for i, row in zip(some, p):
                     best = int(row.argmax())
                     names[i], scores[i] = model.labels[best], min(float(row[best]), 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *more)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", *more, "lang_pred", "score"])
 
     return predict
 
@@ -212,12 +212,14 @@ def predict_language(docs: DataFrame, model: ByteConvNet | None, *, id_col: str
 
 
 def keep_known_language(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows whose language is recognised; und and unsure texts go."""
+    """The rows whose language is recognised; und and unsure texts go, each row by
+    its own text."""
     scratch = Scratch(docs.sparkSession, "keep_language")
     model = train_language_model(docs, id_col=id_col, text_col=text_col, label_col=label_col)
-    found = predict_language(docs, model, id_col=id_col, text_col=text_col)
-    gone = scratch.write(found.filter((F.col("lang_pred") == UND) | (F.col("score") < least)).select("doc_id").distinct(), "rejected")
-    return without_ids(docs, gone, id_col)
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    found = table.mapInArrow(_predictor(model, "text_key"), "doc_id long, text_key long, lang_pred string, score double")
+    gone = scratch.write(found.filter((F.col("lang_pred") == UND) | (F.col("score") < least)).select("doc_id", "text_key").distinct(), "rejected")
+    return without_rows(docs, gone, id_col, text_col)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Scratch, chunks, only_ids, release, without_ids
+from .support import Scratch, chunks, only_ids, release, text_key, without_rows
 
 WORDS = 5
 BINS = 256
@@ -189,7 +189,7 @@ def _sketch(rows: int):
                 keys[some] = band_keys(sketches(hashes, np.append(0, np.cumsum(sizes[some]))), rows)
             flat = pa.array(keys[some].ravel())
             at = pa.array(np.append(0, np.cumsum(some * count)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(_set_names(hashes, offsets), pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n", "cls", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(_set_names(hashes, offsets), pa.binary()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "text_key", "n", "cls", "keys"])
 
     return run
 
@@ -278,7 +278,7 @@ class _Finder:
         self.spark = docs.sparkSession
         self.docs, self.percent = docs, percent
         self.scratch = Scratch(self.spark, "near_dedup")
-        self.table = self.scratch.write(docs.mapInArrow(_sketch(band_rows), "doc_id long, n long, cls binary, keys array<long>"), "documents")
+        self.table = self.scratch.write(docs.select("*", text_key(F.col("text")).alias("text_key")).mapInArrow(_sketch(band_rows), "doc_id long, text_key long, n long, cls binary, keys array<long>"), "documents")
         some = self.table.filter("n > 0")
         self.classes = self.scratch.write(some.groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
 
@@ -379,24 +379,30 @@ class _Finder:
         return comps
 
 
-def near_dedup(docs: DataFrame, *, percent: int = PERCENT, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def _judged(docs: DataFrame, percent: int, band_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, text_key, n_shingles, component_id, kept."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     finder = _Finder(table, percent, band_rows)
     comps = finder.run()
-    some = finder.table.filter("n > 0").select("doc_id", "n", "cls")
-    named = finder.scratch.write(some.join(comps, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp")), "named")
+    some = finder.table.filter("n > 0").select("doc_id", "text_key", "n", "cls")
+    named = finder.scratch.write(some.join(comps, "cls", "left").select("doc_id", "text_key", "n", F.coalesce("comp", "cls").alias("comp")), "named")
     least = finder.scratch.write(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "components")
-    linked = named.join(least, "comp").select("doc_id", "n", "component_id")
-    alone = finder.table.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = named.join(least, "comp").select("doc_id", "text_key", "n", "component_id")
+    alone = finder.table.filter("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, *, percent: int = PERCENT, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, percent, band_rows, id_col, text_col).drop("text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that near_dedup keeps, with their own columns."""
+    """The rows that near_dedup keeps, with their own columns. Rows that share an id
+    (or have none) go by their own text."""
     scratch = Scratch(docs.sparkSession, "drop_near")
-    found = near_dedup(docs, percent=percent, band_rows=band_rows, id_col=id_col, text_col=text_col)
-    return without_ids(docs, scratch.write(found.filter("not kept").select("doc_id").distinct(), "dropped"), id_col)
+    found = _judged(docs, percent, band_rows, id_col, text_col)
+    return without_rows(docs, scratch.write(found.filter("not kept").select("doc_id", "text_key").distinct(), "dropped"), id_col, text_col)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,20 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return _by_ids(docs, ids, id_col, "left_semi")
 
 
+def text_key(text: Column) -> Column:
+    """A text's hash; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id and text are not listed together; gone: a stored table of an
+    id and a text's hash."""
+    side = gone.toDF("__listed_id", "__listed_key")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        side = F.broadcast(side)
+    return docs.join(side, docs[id_col].eqNullSafe(F.col("__listed_id")) & (text_key(docs[text_col]) == F.col("__listed_key")), "left_anti")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id is not listed; ids: a stored table of one column."""
     return _by_ids(docs, ids, id_col, "left_anti")

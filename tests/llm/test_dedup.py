@@ -166,3 +166,12 @@ def test_near_has_no_pairs_in_a_table_of_strangers(spark):
 
 
 assert len(CLASH) > 10
+
+
+def test_near_duplicates_go_row_by_row(spark):
+    """Null and repeated ids: a copy goes, another text of the same id stays."""
+    base, alone, other = words(70, 60), words(71, 60), words(72, 60)
+    rows = [(5, base), (None, base), (None, alone), (9, base), (9, other), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {tuple(r) for r in nd.drop_near_duplicates(df).collect()}
+    assert left == {(5, base), (None, alone), (9, other), (None, None)}

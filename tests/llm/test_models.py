@@ -183,3 +183,20 @@ def test_url_model_learns_its_table():
         host, path, *_ = brute_url(url)
         f = uf.features(host, path)
         assert (weights[f].sum() / np.sqrt(len(f)) + bias > 0) == bool(y), url
+
+
+def test_language_rejects_row_by_row(spark, monkeypatch):
+    """Null and repeated ids: a blank text goes, a clean one of the same id stays."""
+
+    class Sure:
+        labels = ["en"]
+
+        def predict(self, texts):
+            return np.ones((len(texts), 1))
+
+    monkeypatch.setattr(li, "train_language_model", lambda *a, **k: None)
+    predictor = li._predictor
+    monkeypatch.setattr(li, "_predictor", lambda model, *more: predictor(Sure(), *more))
+    rows = [(None, None), (None, "a clean text"), (7, " \n"), (7, "another clean text"), (8, "12 34")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in li.keep_known_language(df).collect()} == {(None, "a clean text"), (7, "another clean text")}
