@@ -7,9 +7,10 @@ probabilities counted over the whole corpus (documents with the term, distinct
 contexts with the value, distinct contexts of the value with the term near it).
 It is the share of e's information that the term alone gives away. Terms at
 ``remove_at`` or more are removed, terms at ``generalise_at`` or more are replaced
-by their length class. Copies of one context count once, and a term must stand in
-``min_contexts`` distinct contexts, so a passage that is copied often reveals
-nothing by that.
+by their length class. Copies of one context count once. A term that stands in
+fewer than ``min_contexts`` distinct contexts of the value counts by a lower bound:
+of its contexts, the share that the Wilson bound (``z``) grants to so few. So
+values seen once or twice are scored too, with less certainty.
 
 Positions come without any per-row code: the pieces between matches, from a split
 by the same pattern, and a running sum of lengths. Patterns use possessive
@@ -57,6 +58,7 @@ class Disclosure:
     generalise_at: float = 0.8
     remove_at: float = 0.95
     min_contexts: int = 3
+    z: float = 1.96
 
 
 def _digits(m: Column) -> Column:
@@ -116,7 +118,7 @@ def _base(marks: DataFrame) -> DataFrame:
 
 
 def _co_occurrence(base: DataFrame, n_docs: float, disclosure: Disclosure) -> DataFrame:
-    """(value, term, n_both, n_value) for terms near a value in enough contexts.
+    """(value, term, n_both, n_value) for terms near a value.
 
     The documents whose contexts hold a term are a lower bound of all documents
     with it. Pairs that miss the threshold even with this bound are left out here,
@@ -129,15 +131,17 @@ def _co_occurrence(base: DataFrame, n_docs: float, disclosure: Disclosure) -> Da
     found = base.select("row", F.lower("value").alias("value"), F.xxhash64("left", "right").alias("context"), F.array_distinct(F.regexp_extract_all(words, F.lit(TERM), F.lit(0))).alias("terms"))
     least = found.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     near = found.groupBy("value", "context").agg(F.min("terms").alias("terms"))
-    both = near.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= disclosure.min_contexts)
+    both = near.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both"))
     pairs = both.join(near.groupBy("value").agg(F.count("*").alias("n_value")), "value").join(least, "term")
-    return pairs.filter(_share(n_docs) >= disclosure.generalise_at).drop("n_term")
+    return pairs.filter(_share(n_docs, disclosure) >= disclosure.generalise_at).drop("n_term")
 
 
-def _share(n_docs: float) -> Column:
-    """PMI(term; value) / IC(value)."""
+def _share(n_docs: float, disclosure: Disclosure) -> Column:
+    """PMI(term; value) / IC(value), by a lower bound of the joint count if it is small."""
     information = F.log2(F.lit(max(n_docs, 2.0)) / F.col("n_value"))
     lost = F.log2(F.greatest(F.col("n_term"), F.col("n_both")) / F.col("n_both"))
+    sure = F.col("n_both") / (F.col("n_both") + disclosure.z**2)
+    lost = F.when(F.col("n_both") < disclosure.min_contexts, lost - F.log2(sure)).otherwise(lost)
     return F.when(information > 0, (information - lost) / information).otherwise(F.lit(0.0))
 
 
@@ -159,7 +163,7 @@ def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, disclosu
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     words = _words(docs, id_col, text_col).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     with_term = scratch.write(words.join(_checked(terms), "term").groupBy("term").agg(F.count("*").alias("n_term")), "with_term")
-    return scratch.write(pairs.join(with_term, "term").groupBy("term").agg(F.max(_share(n_docs)).alias("disclosure")).filter(F.col("disclosure") >= disclosure.generalise_at), "revealing")
+    return scratch.write(pairs.join(with_term, "term").groupBy("term").agg(F.max(_share(n_docs, disclosure)).alias("disclosure")).filter(F.col("disclosure") >= disclosure.generalise_at), "revealing")
 
 
 def _term_spans(docs: DataFrame, revealing: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:

@@ -191,6 +191,16 @@ def test_revealing_terms_are_found_and_common_ones_are_not(spark):
     assert "Quibblewick" not in clean[0] and "[EMAIL]" in clean[0] and "@" not in clean[0] and clean[1] == dict(rows)[1]
 
 
+@pytest.mark.parametrize("contexts", [1, 2])
+def test_terms_of_rare_values_are_found(spark, contexts):
+    rows = [(k, words(k, 12) + " the others") for k in range(5000)]
+    for k in range(contexts):
+        rows[k] = (k, f"{words(9000 + k, 9)} the director Quibblewick writes from q@secret.example.org {words(9100 + k, 9)} to the others")
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter(f"doc_id < {contexts}").collect()
+    terms = {dict(rows)[r["doc_id"]][s["start"] : s["end"]] for r in found for s in r["spans"] if s["kind"] == 4}
+    assert "Quibblewick" in terms and not {"the", "others"} & terms
+
+
 def test_copies_reveal_nothing(spark):
     df = spark.createDataFrame([(k, "Mortimer writes from a@b.example.org today") for k in range(30)] + [(k, words(k, 20)) for k in range(30, 60)], "doc_id long, text string")
     assert all(s["kind"] < 4 for r in pii.find_personal_data(df).collect() for s in r["spans"])
