@@ -3,7 +3,7 @@
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and telephone
 numbers. Information-theoretic sanitisation adds spans: the protected values are
 the base matches; a term's disclosure of a value e is PMI(t; e) / IC(e), with the
-probabilities counted over the whole corpus (documents with the term, distinct
+probabilities counted over the whole corpus (distinct texts with the term, distinct
 contexts with the value, distinct contexts of the value with the term near it).
 It is the share of e's information that the term alone gives away. Terms at
 ``remove_at`` or more are removed, terms at ``generalise_at`` or more are replaced
@@ -120,7 +120,7 @@ def _base(marks: DataFrame) -> DataFrame:
 def _co_occurrence(base: DataFrame, n_docs: float, disclosure: Disclosure) -> DataFrame:
     """(value, term, n_both, n_value) for terms near a value.
 
-    The documents whose contexts hold a term are a lower bound of all documents
+    The distinct texts whose contexts hold a term are a lower bound of all texts
     with it. Pairs that miss the threshold even with this bound are left out here,
     so common words are never looked up in the corpus.
     """
@@ -128,8 +128,8 @@ def _co_occurrence(base: DataFrame, n_docs: float, disclosure: Disclosure) -> Da
     left = F.when(F.length("left") == CONTEXT, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left"))
     right = F.when(F.length("right") == CONTEXT, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
     words = F.lower(F.concat_ws(" ", F.regexp_replace(left, r"\p{L}+$", ""), F.regexp_replace(right, r"^\p{L}+", "")))
-    found = base.select("row", F.lower("value").alias("value"), F.xxhash64("left", "right").alias("context"), F.array_distinct(F.regexp_extract_all(words, F.lit(TERM), F.lit(0))).alias("terms"))
-    least = found.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    found = base.select("text_key", F.lower("value").alias("value"), F.xxhash64("left", "right").alias("context"), F.array_distinct(F.regexp_extract_all(words, F.lit(TERM), F.lit(0))).alias("terms"))
+    least = found.select("text_key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     near = found.groupBy("value", "context").agg(F.min("terms").alias("terms"))
     both = near.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_both"))
     pairs = both.join(near.groupBy("value").agg(F.count("*").alias("n_value")), "value").join(least, "term")
@@ -155,14 +155,15 @@ def _checked(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else side
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, disclosure: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def revealing_terms(docs: DataFrame, texts: DataFrame, base: DataFrame, scratch: Scratch, disclosure: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, disclosure): the largest share of a value's information that the
-    term gives away, for terms over the threshold."""
-    n_docs = float(docs.select(F.count(F.lit(1))).first()[0])
+    term gives away, for terms over the threshold; texts: the text_key of every row."""
+    # Copies count once, as the contexts do.
+    n_docs = float(texts.agg(F.count_distinct("text_key")).first()[0])
     pairs = scratch.write(_co_occurrence(base, n_docs, disclosure), "pairs")
     terms = scratch.write(pairs.select("term").distinct(), "terms")
-    words = _words(docs, id_col, text_col).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    with_term = scratch.write(words.join(_checked(terms), "term").groupBy("term").agg(F.count("*").alias("n_term")), "with_term")
+    words = _words(docs, id_col, text_col).select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    with_term = scratch.write(words.join(_checked(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term")), "with_term")
     return scratch.write(pairs.join(with_term, "term").groupBy("term").agg(F.max(_share(n_docs, disclosure)).alias("disclosure")).filter(F.col("disclosure") >= disclosure.generalise_at), "revealing")
 
 
@@ -186,7 +187,7 @@ def find_personal_data(docs: DataFrame, *, disclosure: Disclosure = Disclosure()
     marks = scratch.write(_marks(docs, id_col, text_col), "marks")
     base = scratch.write(_base(marks), "base")
     spans = base.select("row", F.struct("start", "kind", "end", F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)), F.lit("]")).alias("mark")).alias("span"))
-    revealing = revealing_terms(docs, base, scratch, disclosure, id_col, text_col)
+    revealing = revealing_terms(docs, marks.select("text_key"), base, scratch, disclosure, id_col, text_col)
     if revealing.limit(1).count():
         found = scratch.write(_term_spans(docs, revealing, scratch, id_col, text_col), "term_spans")
         mark = F.when(F.col("disclosure") >= disclosure.remove_at, F.lit("[TERM]")).otherwise(F.concat(F.lit("[TERM-"), F.when(F.col("end") - F.col("start") > 6, "LONG").otherwise("SHORT"), F.lit("]")))

@@ -201,6 +201,16 @@ def test_terms_of_rare_values_are_found(spark, contexts):
     assert "Quibblewick" in terms and not {"the", "others"} & terms
 
 
+def test_copies_of_a_revealing_text_do_not_hide_its_term(spark):
+    rows = [(k, words(k, 12)) for k in range(300)]
+    for k in range(4):
+        rows[k] = (k, f"{words(9000 + k, 9)} the director Quibblewick writes from q@secret.example.org {words(9100 + k, 9)} to the others")
+    rows += [(1000 + k, rows[0][1]) for k in range(500)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marks = {rows[r["doc_id"]][1][s["start"] : s["end"]]: s["mark"] for r in found if r["doc_id"] < 4 for s in r["spans"]}
+    assert marks["Quibblewick"] == "[TERM]"
+
+
 def test_copies_reveal_nothing(spark):
     df = spark.createDataFrame([(k, "Mortimer writes from a@b.example.org today") for k in range(30)] + [(k, words(k, 20)) for k in range(30, 60)], "doc_id long, text string")
     assert all(s["kind"] < 4 for r in pii.find_personal_data(df).collect() for s in r["spans"])
