@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import chunks
-from .word_tokens import CACHE_WORDS, default_path, tokenizer
+from .word_tokens import CACHE_BYTES, default_path, tokenizer
 
 WINDOW = 4096
 #: A shard's bounds: ids held by a task at a time, and documents in one index.
@@ -128,9 +128,9 @@ def pack_shard(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -
     return pieces
 
 
-def _packer(path: str, end_id: int, window: int, cache_words: int = CACHE_WORDS):
+def _packer(path: str, end_id: int, window: int, cache_bytes: int = CACHE_BYTES):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, cache_words)
+        tok = tokenizer(path, cache_bytes)
         ends = tok.word_ends()
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
@@ -162,12 +162,12 @@ def _packer(path: str, end_id: int, window: int, cache_words: int = CACHE_WORDS)
     return pack
 
 
-def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id and offset. cache_words bounds what a worker remembers:
-    fewer words cost time, more cost memory (about 200 bytes each)."""
+    doc_tokens, sequence_id and offset. cache_bytes bounds what a worker remembers
+    of words: less costs time, more costs memory."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return table.mapInArrow(_packer(tokenizer_path or default_path(), end_id, window, cache_words), PIECES)
+    return table.mapInArrow(_packer(tokenizer_path or default_path(), end_id, window, cache_bytes), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

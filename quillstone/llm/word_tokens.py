@@ -1,10 +1,10 @@
 """Encoding with a word-level BPE file of the tokenizers library, word by word.
 
 Such a tokenizer drops white space and never merges across it, so a text's ids
-are the ids of its space-separated words in order. Words repeat: a bounded
-dictionary keeps the ids of the words met so far, and only new words reach the
-library (words of Latin letters its model alone, since what comes before the model
-is known for them). The result equals ``Tokenizer.encode(text,
+are the ids of its space-separated words in order. Words repeat: a dictionary,
+bounded by bytes, keeps the ids of the words met so far, and only new words reach
+the library (words of Latin letters its model alone, since what comes before the
+model is known for them). The result equals ``Tokenizer.encode(text,
 add_special_tokens=False)``.
 """
 
@@ -17,9 +17,11 @@ import numpy as np
 
 from .support import caches
 
-#: Words kept by a Python worker, about 200 bytes each; the dictionary is emptied
-#: when it is full.
-CACHE_WORDS = 600_000
+#: Bytes of words and ids kept by a Python worker; the dictionary is emptied when it
+#: is full. Texts without spaces are long words, so words are not counted.
+CACHE_BYTES = 120_000_000
+#: What a dictionary entry takes beside its characters and ids.
+ENTRY = 160
 
 _loaded: dict[str, "WordTokenizer"] = {}
 caches["word_tokens"] = _loaded.clear
@@ -31,11 +33,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
+def tokenizer(path: str, cache_bytes: int = CACHE_BYTES) -> "WordTokenizer":
     """One tokenizer for each worker process and file."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path, cache_words)
-    _loaded[path].cache_words = cache_words
+        _loaded[path] = WordTokenizer(path, cache_bytes)
+    _loaded[path].known.limit = cache_bytes
     return _loaded[path]
 
 
@@ -50,15 +52,17 @@ def _byte_letters() -> dict[int, str]:
 class _Known(dict):
     """Word -> its ids' bytes; a new word is encoded when first asked for."""
 
-    def __init__(self, lib):
+    def __init__(self, lib, limit: int):
         super().__init__()
         self.lib, self.model, self.letters = lib, lib.model, _byte_letters()
+        self.limit, self.held = limit, 0
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         # Latin letters are composed already and lower-cased letter by letter; they
         # are one piece, which the model takes in the vocabulary's writing. Marks after
-        # letters are another piece.
+        # letters are another piece, unless the lower case ends in a mark of its own
+        # (as that of U+0130 does), which would join them.
         if max(word) >= "\u0250":
             ids = self._by_library(word)
         elif word.isalpha():
@@ -70,7 +74,16 @@ class _Known(dict):
                 ids = self[low] if low.isalpha() else self._by_library(word)
         else:
             core = word.rstrip(punctuation)
-            ids = self[core] + self[word[len(core) :]] if core != word and core.isalpha() else self._by_library(word)
+            apart = core != word and core.isalpha() and core.lower().isalpha()
+            ids = self[core] + self[word[len(core) :]] if apart else self._by_library(word)
+        cost = ENTRY + 4 * len(word) + len(ids)
+        if self.held + cost > self.limit:
+            self.clear()
+            self.held = 0
+            self[""] = b""
+            if cost > self.limit:
+                return ids
+        self.held += cost
         self[word] = ids
         return ids
 
@@ -79,24 +92,19 @@ class _Known(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.known = _Known(self.lib)
+        self.known = _Known(self.lib, cache_bytes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            if len(self.known) > self.cache_words:
-                self.known = _Known(self.lib)
-            out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
-        return out
+        find = self.known.__getitem__
+        return [b"".join(map(find, text.replace("\n", " ").split(" "))) for text in texts]
 
     def word_ends(self) -> np.ndarray:
         """For each id, whether it ends a word."""
