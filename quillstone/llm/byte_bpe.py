@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .support import caches, chunks, release, small_batches
 
-#: Words and pairs remembered by a worker, some 200 bytes each; a store is emptied
-#: when it is full.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 400_000
+#: Bytes of words and ids remembered by a worker (texts without spaces are long
+#: words), and pairs of tokens, some 100 bytes each; a store is emptied when full.
+CACHE_BYTES, CACHE_PAIRS = 120_000_000, 400_000
+#: What a store's entry takes beside its characters and ids.
+ENTRY = 160
 
 _loaded: dict[tuple[str, str], "PrefixEncoder"] = {}
 caches["byte_bpe"] = _loaded.clear
@@ -77,12 +79,7 @@ class PrefixTable:
         self.append(new + rest)
 
     def ids(self) -> list[int]:
-        out, i, size = [], len(self.piece), self.owner.size
-        while i:
-            token = self.last[i - 1]
-            out.append(token)
-            i -= size[token]
-        return out[::-1]
+        return self.owner._walk(self.last)
 
 
 class PrefixEncoder:
@@ -99,10 +96,11 @@ class PrefixEncoder:
             self.text[i] = token
         self.size = [len(t) for t in self.text]
         self.ends: dict[int, int] = {}
-        longest: dict[int, int] = {}
+        # The longest token that ends in three given bytes; others have two at most.
+        self.longest: dict[bytes, int] = {}
         for token in ranks:
-            longest[token[-1]] = max(longest.get(token[-1], 0), len(token))
-        self.longest = [longest.get(b, 1) for b in range(256)]
+            if len(token) > 2:
+                self.longest[token[-3:]] = max(self.longest.get(token[-3:], 0), len(token))
         self.halves: dict[int, tuple[int, int]] = {}
         self.apart: dict[int, bool] = {}
         self.known = _Known(self)
@@ -155,53 +153,42 @@ class PrefixEncoder:
 
     def _fill(self, piece: bytes, last: list[int], at: int) -> None:
         """Entries of last for piece[:at + 1], piece[:at + 2], ..."""
-        get, longest = self.ranks.get, self.longest
+        get, longest, apart = self.ranks.get, self.longest.get, self.apart.get
         for i in range(at + 1, len(piece) + 1):
-            for j in range(max(0, i - longest[piece[i - 1]]), i):
+            far = i - longest(piece[i - 3 : i], 2) if i > 2 else 0
+            for j in range(far if far > 0 else 0, i):
                 token = get(piece[j:i])
+                if token is None:
+                    continue
                 # A whole prefix that is a token is encoded as that token.
-                if token is not None and (not j or self._fits(last[j - 1], token)):
-                    last.append(token)
+                if not j:
                     break
+                left = last[j - 1]
+                fits = apart(left << 20 | token)
+                if fits if fits is not None else self._fits(left, token):
+                    break
+            last.append(token)
 
     def _fits(self, left: int, right: int) -> bool:
-        pair = left << 20 | right
-        fits = self.apart.get(pair)
-        if fits is None:
-            if len(self.apart) >= CACHE_PAIRS:
-                self.apart.clear()
-            fits = self.apart[pair] = self._stays_apart(left, right)
+        """Whether the pair stays apart; pairs found once are remembered."""
+        if len(self.apart) >= CACHE_PAIRS:
+            self.apart.clear()
+        fits = self.apart[left << 20 | right] = self._stays_apart(left, right)
         return fits
 
-    def _last(self, piece: bytes, end: int, table: list[int]) -> int:
-        """The entry of piece[:end]; only the entries that it asks for are made."""
-        get = self.ranks.get
-        for begin in range(max(0, end - self.longest[piece[end - 1]]), end):
-            token = get(piece[begin:end])
-            if token is None:
-                continue
-            if not begin:
-                break
-            left = table[begin]
-            if left < 0:
-                left = self._last(piece, begin, table)
-            if self._fits(left, token):
-                break
-        table[end] = token
-        return token
-
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > 64:
-            return PrefixTable(self, piece).ids()
-        end, table, out = len(piece), [-1] * (len(piece) + 1), []
-        self._last(piece, end, table)
-        while end:
-            token = table[end]
+        """Ids of a piece, from the table of all its prefixes."""
+        last: list[int] = []
+        self._fill(piece, last, 0)
+        return self._walk(last)
+
+    def _walk(self, last: list[int]) -> list[int]:
+        """The encoding of the whole piece: its last token, the last one before it, ..."""
+        out, i, size = [], len(last), self.size
+        while i:
+            token = last[i - 1]
             out.append(token)
-            end -= self.size[token]
+            i -= size[token]
         out.reverse()
         return out
 
@@ -213,8 +200,6 @@ class PrefixEncoder:
         parts = text.split(" ")
         # A space before anything but white space starts a piece, so a text is
         # encoded word by word; runs of white space are left to the pattern.
-        if len(self.known) > CACHE_WORDS:
-            self.known = _Known(self)
         if self.odd_space(text):
             return b"".join(self.known.piece(p) for p in self.find(text))
         first = b"".join(self.known.piece(p) for p in self.find(parts[0]))
@@ -222,19 +207,30 @@ class PrefixEncoder:
 
 
 class _Known(dict):
-    """Word -> ids of a space and the word; made when first asked for."""
+    """Word -> ids of a space and the word; made when first asked for. Pieces that are
+    no such word have a store of their own."""
 
-    def __init__(self, owner: "PrefixEncoder"):
+    def __init__(self, owner: "PrefixEncoder", limit: int = CACHE_BYTES):
         super().__init__()
-        self.owner = owner
+        self.owner, self.limit, self.held = owner, limit, 0
         self.pieces: dict[str, bytes] = {}
 
+    def _keep(self, store: dict[str, bytes], word: str, ids: bytes) -> bytes:
+        cost = ENTRY + 4 * len(word) + len(ids)
+        if self.held + cost > self.limit:
+            self.clear()
+            self.pieces.clear()
+            self.held = 0
+            if cost > self.limit:
+                return ids
+        self.held += cost
+        store[word] = ids
+        return ids
+
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= CACHE_WORDS // 2:
-                self.pieces.clear()
-            ids = self.pieces[piece] = array("I", self.owner.encode_piece(piece.encode())).tobytes()
+            ids = self._keep(self.pieces, piece, array("I", self.owner.encode_piece(piece.encode())).tobytes())
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -246,8 +242,7 @@ class _Known(dict):
             ids = array("I", self.owner.encode_piece((" " + word).encode())).tobytes()
         else:
             ids = self[core] + self.piece(word[-1])
-        self[word] = ids
-        return ids
+        return self._keep(self, word, ids)
 
 
 def _encode(path: str, pattern: str):

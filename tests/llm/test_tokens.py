@@ -48,15 +48,42 @@ class WordTokenizerOnce:
 
     @classmethod
     def get(cls):
-        cls.made = cls.made or WordTokenizer(default_path(), cache_words=50)
+        cls.made = cls.made or WordTokenizer(default_path(), cache_bytes=9000)
         return cls.made
 
 
 def test_word_tokens_odd_texts(lib):
-    got = WordTokenizer(default_path(), cache_words=3).encode(ODD)
+    got = WordTokenizer(default_path(), cache_bytes=600).encode(ODD)
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_words_of_latin_letters_and_marks(lib):
+    """Every character below U+0250 in a word, before marks and letters."""
+    own = WordTokenizer(default_path())
+    chars = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+    texts = [w for c in chars for w in (c, f"{c}.,", f"a{c}!", f"{c}B'", f"X{c}\"y", f"'{c}.")]
+    got = [np.frombuffer(g, np.uint32).tolist() for g in own.encode(texts)]
+    wrong = [t for t, g in zip(texts, got) if g != lib.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
+def test_stores_are_bounded_by_bytes(tik):
+    """Words without spaces between them are long; the stores empty in time."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 2000))) for _ in range(60)]
+    own = WordTokenizer(default_path(), cache_bytes=200_000)
+    own.encode(texts)
+    held = sum(4 * len(w) + len(i) for w, i in own.known.items())
+    assert held <= 200_000 and own.known.held <= 200_000
+    known = bb._Known(tik[0], limit=200_000)
+    for text in texts:
+        known[text]
+    held = sum(4 * len(w) + len(i) for store in (known, known.pieces) for w, i in store.items())
+    assert held <= 200_000
+    want = [tik[1].encode_ordinary(" " + t) for t in texts[-2:]]
+    assert [np.frombuffer(known[t], np.uint32).tolist() for t in texts[-2:]] == want
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -118,6 +145,16 @@ def test_byte_bpe_query(spark, sf_dir, tik):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_every_prefix_has_its_entry(tik):
+    """The table's entry of each prefix is the last token of that prefix's encoding."""
+    own, ref = tik
+    for piece in (b" unbelievably", b"hello", "日本語".encode(), b"aaaaaaaaab", b" the"):
+        table = bb.PrefixTable(own, piece)
+        assert len(table.last) == len(piece)
+        for i in range(1, len(piece) + 1):
+            assert table.last[i - 1] == own._merged(piece[:i], 1 << 60)[-1]
+
+
 def test_byte_bpe_edge_rows(spark, tik):
     _, ref = tik
     df = docs(spark)
@@ -159,6 +196,27 @@ def test_packing_has_little_padding(spark, sf_dir, lib):
     assert check_packing(pk.pack_documents(df).collect(), want) < 0.03
 
 
+def test_packing_query_equals_the_library(spark, sf_dir, lib):
+    want = {r["doc_id"]: lib.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    total = 0
+    for r in pk.op4_packing(spark, sf_dir).collect():
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
+        total += r["length"]
+    assert total == sum(map(len, want.values()))
+
+
+def test_token_file_query_equals_the_library(spark, sf_dir, lib):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tf.op8_token_files(spark, sf_dir).collect()}
+    at = 0
+    for doc_id, text in rows:
+        ids = lib.encode(text, add_special_tokens=False).ids + [1]
+        assert got.pop(doc_id) == (at, len(ids), crc(ids))
+        at += len(ids)
+    assert not got
+
+
 def test_neighbours_share_words():
     """Documents of one topic follow one another."""
     ends = np.zeros(200, bool)
