@@ -39,7 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in windows of 4096 ids. The workers have served other
     stages before, so they remember fewer words here."""
-    return digest(pack_documents(docs, cache_words=200_000))
+    return digest(pack_documents(docs, cache_bytes=40_000_000))
 
 
 STAGES = [
