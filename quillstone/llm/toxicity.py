@@ -1,27 +1,37 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text's words are cut into overlapping windows (half of each is in the next).
-Every word enters as a vector of word inputs (association of the hashed word with
-the label, and whether the word was met in training) and character inputs (mean
-and largest association of its hashed byte trigrams, share of capitals, length).
-A gated recurrent unit reads the window in each direction, attention weighs the
-words, and a logistic unit scores the window. The text's score is its worst
-window's. All of it is trained here in numpy.
-
-Training uses a bounded sample: at most ``per_class`` rows of each label, those
-with the smallest hash of their id, of at most ``longest`` code points. One half
-gives the association tables, the other half trains the network, on the windows
-that the tables find worst and on some others.
+Every word enters as two learned vectors: a word input, the embedding of a word that
+``LEAST`` texts of the sample hold (others have the zero vector), and a character
+input, the largest responses of filters that slide over the embedded bytes of the word
+between its edges. A gated recurrent unit reads the
+window in each direction, attention weighs the words, and a logistic unit scores
+the window. The text's score is its worst window's. Everything is trained here in
+numpy by back-propagation, from the score down to the embeddings.
+
+Training uses a bounded sample: at most ``per_class`` toxic and twice as many clean
+rows, those with the smallest hash of their id, and of each at most ``windows``
+windows, spread evenly by a hash over the whole text (a toxic text of which some are
+left out weighs less, by the share that is in). One half of each class gives the
+first entry of the word embeddings their start, the log odds of the label; the other
+half trains the network, on the worst window of a toxic text and the worst ones and
+some others of a clean text. The worst are chosen by the start values first, and by
+the network itself in later rounds.
 
 Defined results: a null, empty or blank text has one window without words, and so
-the score of nothing. Labels that are null are not learned; without both labels
-the score is 0 everywhere. Rows that repeat are scored each; repeated labels of an
-id count by the larger; extra columns are ignored; an empty table gives no rows.
+the score of nothing. Labels that are null are not learned. Without labelled rows of
+both classes there is nothing to learn: a warning is given and every score is the
+smoothed share of the label (0.5 without any labelled row). Rows that repeat are
+scored each; repeated labels of an id count by the larger; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,82 +42,47 @@ from .support import Scratch, chunks, held_out, only_ids
 
 TIMES, STRIDE = 32, 16
 HIDDEN, ATTEND = 8, 8
-PER_CLASS, LONGEST = 1500, 20_000
-WORD_BITS, GRAM_BITS = 17, 15
-CACHE_WORDS = 400_000
+PER_CLASS, WINDOWS = 1500, 512
+#: Texts that must hold a word that has an embedding, and its size; size of the byte
+#: embeddings, width and number of the filters over them.
+LEAST, WORD_SIZE = 3, 8
+BYTE_SIZE, WIDTH, FILTERS = 6, 3, 12
+FEATURES = WORD_SIZE + FILTERS
+#: Rounds of training and epochs of each.
+ROUNDS, EPOCHS = 3, 2
+#: Steps of a round at least, for small samples.
+STEPS = 100
+BATCH, RATE = 128, 5e-3
+#: Share of the words whose word input is left out in training, and of those whose
+#: character input is, so that both learn.
+DROP, DROP_CHARS = 0.05, 0.7
+#: Decay of the parameters but the word embeddings, as a share of the rate.
+DECAY = 0.02
+#: The word embeddings' rate, as a share of the others'.
+WORD_RATE = 0.2
+#: Bytes of words and their inputs that a worker remembers.
+CACHE_BYTES = 100_000_000
 THRESHOLD = 0.3
-FEATURES = 6
+#: Beyond the edges of a word.
+EDGE = 256
 
 
-class WordInputs:
-    """Word -> input vector, by tables of associations with the label."""
+def plain(word: str) -> str:
+    """The word as the vocabulary has it: case and marks at the ends don't count."""
+    return (word.strip(".,;:!?\"'()[]*#$%&") or word).lower()
 
-    def __init__(self, words: np.ndarray, grams: np.ndarray):
-        self.words, self.grams = words, grams
-        self._reset()
-
-    def __getstate__(self):
-        return {"words": self.words, "grams": self.grams}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
 
-    def _reset(self):
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1 << 16, FEATURES), np.float32)
-
-    @staticmethod
-    def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word buckets, trigram buckets, each trigram's word, capitals, lengths."""
-        raw = ("\x01" + "\x01\x01".join(words) + "\x01").encode()
-        buf = np.frombuffer(raw, np.uint8)
-        upper = (buf >= 65) & (buf <= 90)
-        low = (buf + upper.astype(np.uint8) * 32).astype(np.uint64)
-        mark = buf == 1
-        begin = np.flatnonzero(mark)[::2]
-        end = np.flatnonzero(mark)[1::2]
-        code = (low[:-2] << np.uint64(16)) | (low[1:-1] << np.uint64(8)) | low[2:]
-        gram = ((code * np.uint64(0x9E3779B1)) >> np.uint64(9)) & np.uint64((1 << GRAM_BITS) - 1)
-        owner = np.cumsum(mark)[:-2] // 2
-        inside = ~(mark[1:-1] & (mark[:-2] | mark[2:]))
-        keep = inside & (owner < len(words))
-        # Punctuation at the ends doesn't change the word.
-        plain = ~np.isin(buf, np.frombuffer(b".,;:!?\"'()[]*#$%&\x01", np.uint8))
-        power = np.cumprod(np.full(len(buf), 0x100000001B3, np.uint64))
-        place = np.arange(len(buf)) - np.repeat(begin, end - begin + 1)
-        terms = np.where(plain, (low + np.uint64(7)) * power[place], np.uint64(0))
-        total = np.add.reduceat(terms, begin)
-        total ^= total >> np.uint64(29)
-        bucket = ((total * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        capitals = np.add.reduceat(upper.astype(np.float32), begin)
-        return bucket, gram[keep].astype(np.int64), owner[keep] - owner[0], capitals, (end - begin - 1).astype(np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        bucket, gram, owner, capitals, length = self.hashes(words)
-        value = self.grams[gram]
-        n = len(words)
-        count = np.maximum(np.bincount(owner, minlength=n), 1)
-        mean = np.bincount(owner, value, minlength=n) / count
-        most = np.full(n, -8, np.float32)
-        np.maximum.at(most, owner, value)
-        own = self.words[bucket]
-        rows = np.stack([own, own != 0, mean, np.where(most > -8, most, 0), capitals / np.maximum(length, 1), np.minimum(length, 20) / 10], axis=1)
-        at = len(self.index)
-        while at + n > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at : at + n] = rows
-        self.index.update(zip(words, range(at, at + n)))
-
-    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the table for all words in order; and the table."""
-        missing = {w for words in texts for w in words if w not in self.index}
-        if missing and len(self.index) + len(missing) > CACHE_WORDS:
-            self._reset()
-            missing = {w for words in texts for w in words}
-        if missing:
-            self._learn(sorted(missing))
-        find = self.index.__getitem__
-        return np.fromiter((i for words in texts for i in map(find, words)), np.int64), self.table
+def byte_grid(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """WIDTH neighbouring bytes a row, for all places of all words with an edge on
+    each side; and the first row of each word."""
+    raws = [w.encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(r) for r in raws], np.int64)
+    flat = np.full(int(sizes.sum()) + 2 * len(raws), EDGE, np.int16)
+    # Words are not empty, so each has as many places as bytes.
+    begin = np.cumsum(sizes + 2) - sizes - 1
+    inside = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    flat[inside] = np.frombuffer(b"".join(raws), np.uint8)
+    return np.stack([flat[inside - 1], flat[inside], flat[inside + 1]], axis=1).astype(np.int64), np.cumsum(sizes) - sizes
 
 
 def windows_of(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,13 +101,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BiGru:
-    """Two gated recurrent units, attention over their states, a logistic unit."""
+    """Word and byte embeddings, two gated recurrent units, attention over their
+    states, a logistic unit."""
 
-    NAMES = ("wf", "uf", "bf", "wb", "ub", "bb", "wa", "va", "wo", "bo")
+    NAMES = ("ew", "eb", "cf", "cb", "wf", "uf", "bf", "wb", "ub", "bb", "wa", "va", "wo", "bo")
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, n_words: int = 0, seed: int = 3):
         rng = np.random.Generator(np.random.PCG64(seed))
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
+        # Row 0 is that of all words without an embedding, and stays zero.
+        self.ew = rng.normal(0, 0.05, (n_words + 1, WORD_SIZE)).astype(np.float32)
+        self.ew[0] = 0
+        self.eb = rng.normal(0, 0.5, (EDGE + 1, BYTE_SIZE)).astype(np.float32)
+        self.cf, self.cb = draw(WIDTH * BYTE_SIZE, FILTERS), np.zeros(FILTERS, np.float32)
         for d in "fb":
             setattr(self, f"w{d}", draw(FEATURES, 3 * HIDDEN))
             setattr(self, f"u{d}", draw(HIDDEN, 3 * HIDDEN))
@@ -140,6 +121,25 @@ class BiGru:
         self.wa, self.va = draw(2 * HIDDEN, ATTEND), draw(ATTEND)
         self.wo, self.bo = draw(2 * HIDDEN), np.zeros(1, np.float32)
 
+    def inputs(self, row: np.ndarray, grid: np.ndarray, begin: np.ndarray, keep: np.ndarray | None = None, cache: dict | None = None) -> np.ndarray:
+        """The input of each word: its word vector and its character vector."""
+        own = self.ew[row]
+        if keep is not None:
+            own = own * keep[:, :1]
+        around = self.eb[grid].reshape(len(grid), -1)
+        response = around @ self.cf
+        most = np.maximum.reduceat(response, begin, axis=0) if len(begin) else np.zeros((0, FILTERS), np.float32)
+        chars = np.maximum(most + self.cb, 0)
+        if keep is not None:
+            chars = chars * keep[:, 1:]
+        if cache is not None:
+            cache |= {"around": around, "response": response, "most": most, "chars": chars}
+        return np.concatenate([own, chars], axis=1)
+
+    def weighted(self, rows: np.ndarray) -> np.ndarray:
+        """Inputs times the weights of both directions, side by side."""
+        return np.concatenate([rows @ self.wf + self.bf, rows @ self.wb + self.bb], axis=1)
+
     def _read(self, xs: list[np.ndarray], there: np.ndarray, d: str, keep: list | None) -> list[np.ndarray]:
         """States of one direction; xs: the inputs times the weights, by time."""
         u, n = getattr(self, f"u{d}"), len(there)
@@ -157,12 +157,12 @@ class BiGru:
         return out if d == "f" else out[::-1]
 
     def _forward(self, table: np.ndarray, index: np.ndarray, there: np.ndarray, cache: dict | None = None) -> np.ndarray:
-        states, inputs = [], table[index.T.ravel()]
-        for d in "fb":
-            # By time first, so that each step reads one block.
-            weighted = inputs @ getattr(self, f"w{d}") + getattr(self, f"b{d}")
+        """Logits of windows; table: weighted() of the words, index: their rows."""
+        states, inputs = [], table[index.T.ravel()].reshape(TIMES, len(there), -1)
+        for k, d in enumerate("fb"):
             keep = [] if cache is not None else None
-            states.append(np.stack(self._read(list(weighted.reshape(TIMES, len(there), -1)), there, d, keep), axis=1))
+            part = inputs[:, :, k * 3 * HIDDEN : (k + 1) * 3 * HIDDEN]
+            states.append(np.stack(self._read(list(part), there, d, keep), axis=1))
             if cache is not None:
                 cache[d] = keep
         h = np.concatenate(states, axis=2)
@@ -178,8 +178,11 @@ class BiGru:
     def score(self, table: np.ndarray, index: np.ndarray, there: np.ndarray) -> np.ndarray:
         return _sigmoid(self._forward(table, index, there))
 
-    def _gradients(self, table: np.ndarray, index: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    def _gradients(self, words: "Words", index: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray, keep: np.ndarray | None = None) -> list[np.ndarray]:
+        """Gradients by NAMES; that of ew is for the rows words.row names."""
         cache: dict = {}
+        rows = self.inputs(words.row, words.grid, words.begin, keep, cache)
+        table = self.weighted(rows)
         d_logit = ((_sigmoid(self._forward(table, index, there, cache)) - y) * weight / len(y)).astype(np.float32)
         h, a, w, context = (cache[k] for k in ("h", "a", "w", "context"))
         g = {"wo": context.T @ d_logit, "bo": d_logit.sum(keepdims=True)}
@@ -191,26 +194,41 @@ class BiGru:
         da = de[:, :, None] * self.va * (1 - a * a)
         g["wa"] = np.einsum("ntd,nta->da", h, da)
         dh += da @ self.wa.T
+        d_rows = np.zeros_like(rows)
         for k, d in enumerate("fb"):
             u = getattr(self, f"u{d}")
-            du, dwx, db = np.zeros_like(u), np.zeros((FEATURES, 3 * HIDDEN), np.float32), np.zeros(3 * HIDDEN, np.float32)
+            du, dx_all = np.zeros_like(u), np.zeros((TIMES, len(y), 3 * HIDDEN), np.float32)
             carry = np.zeros((len(y), HIDDEN), np.float32)
             for t, before, hu, z, r, c in reversed(cache[d]):
-                now = (carry + dh[:, t, k * HIDDEN : (k + 1) * HIDDEN]) * there[:, t : t + 1]
-                skip = (carry + dh[:, t, k * HIDDEN : (k + 1) * HIDDEN]) * (1 - there[:, t : t + 1])
+                whole = carry + dh[:, t, k * HIDDEN : (k + 1) * HIDDEN]
+                now, skip = whole * there[:, t : t + 1], whole * (1 - there[:, t : t + 1])
                 dc = now * (1 - z) * (1 - c * c)
                 dz = now * (before - c) * z * (1 - z)
                 dr = dc * hu[:, 2 * HIDDEN :] * r * (1 - r)
-                dx = np.concatenate([dz, dr, dc], axis=1)
+                dx_all[t] = np.concatenate([dz, dr, dc], axis=1)
                 dhu = np.concatenate([dz, dr, dc * r], axis=1)
                 carry = skip + now * z + dhu @ u.T
                 du += before.T @ dhu
-                dwx += table[index[:, t]].T @ dx
-                db += dx.sum(axis=0)
-            g |= {f"u{d}": du, f"w{d}": dwx, f"b{d}": db}
+            # Sums over the places of each word, then back through the weights.
+            by_word = np.stack([np.bincount(index.T.ravel(), column, minlength=len(rows)) for column in dx_all.reshape(-1, 3 * HIDDEN).T], axis=1).astype(np.float32)
+            g |= {f"u{d}": du, f"w{d}": rows.T @ by_word, f"b{d}": by_word.sum(axis=0)}
+            d_rows += by_word @ getattr(self, f"w{d}").T
+        moves = words.row > 0 if keep is None else keep[:, 0] * (words.row > 0)
+        g["ew"] = d_rows[:, :WORD_SIZE] * moves[:, None]
+        d_chars = d_rows[:, WORD_SIZE:] * (cache["chars"] > 0)  # none where they were left out
+        g["cb"] = d_chars.sum(axis=0)
+        # The largest response's place takes the gradient; of equal ones, all do in part.
+        owner = np.repeat(np.arange(len(words.begin)), np.diff(np.append(words.begin, len(words.grid))))
+        top = cache["response"] == cache["most"][owner]
+        ties = np.maximum(np.add.reduceat(top, words.begin, axis=0), 1) if len(words.begin) else top
+        d_response = np.where(top, (d_chars / ties)[owner], 0).astype(np.float32)
+        g["cf"] = cache["around"].T @ d_response
+        d_around = (d_response @ self.cf.T).reshape(-1, BYTE_SIZE)
+        g["eb"] = np.stack([np.bincount(words.grid.ravel(), column, minlength=EDGE + 1) for column in d_around.T], axis=1).astype(np.float32)
         return [g[k] for k in self.NAMES]
 
-    def train(self, table: np.ndarray, index: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray, *, epochs: int = 10, batch: int = 128, rate: float = 5e-3, seed: int = 9) -> "BiGru":
+    def train(self, words: "Words", index: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 9) -> "BiGru":
+        """Adam; of the word embeddings, the rows that a batch holds move."""
         rng = np.random.Generator(np.random.PCG64(seed))
         own = [getattr(self, k) for k in self.NAMES]
         first, second, step = [np.zeros_like(p) for p in own], [np.zeros_like(p) for p in own], 0
@@ -219,30 +237,109 @@ class BiGru:
             for begin in range(0, len(y), batch):
                 some = order[begin : begin + batch]
                 step += 1
-                for p, g, m, v in zip(own, self._gradients(table, index[some], there[some], y[some], weight[some]), first, second):
+                used, place = np.unique(index[some], return_inverse=True)
+                part = words.part(used)
+                keep = (rng.random((len(used), 2)) >= (DROP, DROP_CHARS)).astype(np.float32)
+                grads = self._gradients(part, place.reshape(index[some].shape), there[some], y[some], weight[some], keep)
+                rows, at = np.unique(part.row, return_inverse=True)
+                total = np.zeros((len(rows), WORD_SIZE), np.float32)
+                np.add.at(total, at, grads[0])
+                up, down = 1 - 0.9**step, 1 - 0.999**step
+                for p, g, m, v in zip(own[1:], grads[1:], first[1:], second[1:]):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    p -= rate * ((m / up) / (np.sqrt(v / down) + 1e-8) + DECAY * p)
+                first[0][rows] += 0.1 * (total - first[0][rows])
+                second[0][rows] += 0.001 * (total * total - second[0][rows])
+                own[0][rows] -= WORD_RATE * rate * (first[0][rows] / up) / (np.sqrt(second[0][rows] / down) + 1e-8)
         return self
 
 
+class Words:
+    """Distinct words as the network takes them."""
+
+    def __init__(self, row: np.ndarray, grid: np.ndarray, begin: np.ndarray):
+        self.row, self.grid, self.begin = row, grid, begin
+
+    @staticmethod
+    def of(words: list[str], vocabulary: dict[str, int]) -> "Words":
+        return Words(np.array([vocabulary.get(plain(w), 0) for w in words], np.int64), *byte_grid(words))
+
+    def part(self, rows: np.ndarray) -> "Words":
+        ends = np.append(self.begin, len(self.grid))
+        sizes = ends[rows + 1] - ends[rows]
+        begin = np.cumsum(sizes) - sizes
+        take = np.repeat(ends[rows] - begin, sizes) + np.arange(int(sizes.sum()))
+        return Words(self.row[rows], self.grid[take], begin)
+
+
 class ToxicityModel:
-    def __init__(self, inputs: WordInputs, net: BiGru):
-        self.inputs, self.net = inputs, net
+    """A trained network, and what a worker remembers of the words it has met."""
+
+    def __init__(self, net: BiGru, vocabulary: dict[str, int]):
+        self.net, self.vocabulary = net, vocabulary
+        self._reset()
+
+    def __getstate__(self):
+        return {"net": self.net, "vocabulary": self.vocabulary}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def _reset(self):
+        self.index: dict[str, int] = {}
+        self.held = 0
+        self.table = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+
+    def rows(self, texts: list[list[str]]) -> np.ndarray:
+        """Rows of self.table for all words in order."""
+        missing = {w for words in texts for w in words if w not in self.index}
+        # Twice the row, since the table doubles.
+        cost = sum(len(w) for w in missing) * 4 + len(missing) * (150 + 2 * self.table.itemsize * 6 * HIDDEN)
+        if self.held and self.held + cost > CACHE_BYTES:
+            self._reset()
+            return self.rows(texts)
+        self.held += cost
+        new = sorted(missing)
+        at = len(self.index)
+        while at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for begin in range(0, len(new), 8192):
+            some = Words.of(new[begin : begin + 8192], self.vocabulary)
+            rows = self.net.weighted(self.net.inputs(some.row, some.grid, some.begin))
+            self.table[at + begin : at + begin + len(rows)] = rows
+        self.index.update(zip(new, range(at, at + len(new))))
+        find = self.index.__getitem__
+        return np.fromiter((i for words in texts for i in map(find, words)), np.int64)
+
+    def window_scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The score of every window, and the text it belongs to."""
+        flat = self.rows(texts)
+        owner, first, size = windows_of([len(w) for w in texts])
+        parts = [np.zeros(0, np.float32)]
+        for begin in range(0, len(owner), 4096):
+            part = slice(begin, begin + 4096)
+            parts.append(self.net.score(self.table, *_grid(flat, first[part], size[part])))
+        return np.concatenate(parts), owner
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The worst window's score of each text."""
-        words = [t.split() for t in texts]
-        flat, table = self.inputs(words)
-        owner, first, size = windows_of([len(w) for w in words])
+        found, owner = self.window_scores([t.split() for t in texts])
         out = np.zeros(len(texts))
-        for begin in range(0, len(owner), 4096):
-            part = slice(begin, begin + 4096)
-            index, there = _grid(flat, first[part], size[part])
-            np.maximum.at(out, owner[part], self.net.score(table, index, there))
+        np.maximum.at(out, owner, found)
         return out
 
 
+class Constant:
+    """What is known without labels of both classes: the label's share."""
+
+    def __init__(self, share: float):
+        self.share = share
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return np.full(len(texts), self.share)
+
+
 def _grid(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(TIMES)
     there = (at[None] < size[:, None]).astype(np.float32)
@@ -250,74 +347,116 @@ def _grid(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return (flat[place] if len(flat) else np.zeros(place.shape, np.int64)), there
 
 
-def _associations(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunken log odds of the label for word and trigram buckets, by the number
-    of texts that hold them."""
-    tables = []
-    counts = {"word": np.zeros((2, 1 << WORD_BITS)), "gram": np.zeros((2, 1 << GRAM_BITS))}
-    for text, label in zip(texts, y):
-        words = sorted(set(text.split()))
-        if words:
-            bucket, gram, *_ = WordInputs.hashes(words)
-            counts["word"][int(label), np.unique(bucket)] += 1
-            counts["gram"][int(label), np.unique(gram)] += 1
+def log_odds(texts: list[set[str]], y: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
+    """Shrunken log odds of the label for each word of the vocabulary, by the number of
+    texts that hold it; 0 for the others."""
+    counts = np.zeros((2, len(vocabulary) + 1))
+    for words, label in zip(texts, y):
+        counts[int(label), [vocabulary.get(w, 0) for w in words]] += 1
     n = np.array([max((y == 0).sum(), 1), max((y == 1).sum(), 1)])
-    for c in counts.values():
-        rate = (c + 2 * (c.sum(axis=0) + 1) / n.sum() / 2) / (n[:, None] + 2)
-        odds = np.log((rate[1] + 1 / n.sum()) / (rate[0] + 1 / n.sum()))
-        tables.append(np.where(c.sum(axis=0) > 0, np.clip(odds, -4, 4) * (1 - np.exp(-c.sum(axis=0) / 4)), 0).astype(np.float32))
-    return tables[0], tables[1]
-
-
-def fit(texts: list[str], y: np.ndarray) -> ToxicityModel:
-    """Train on texts and 0/1 labels, in their order."""
-    half = np.arange(len(y)) % 2 == 0
-    inputs = WordInputs(*_associations([t for t, a in zip(texts, half) if a], y[half]))
-    rest = [t.split() for t, a in zip(texts, half) if not a]
-    y = y[~half]
-    flat, table = inputs(rest)
-    owner, first, size = windows_of([len(w) for w in rest])
+    every = counts.sum(axis=0)
+    rate = (counts + (every + 1) / n.sum()) / (n[:, None] + 2)
+    odds = np.log((rate[1] + 1 / n.sum()) / (rate[0] + 1 / n.sum()))
+    out = np.where(every > 0, np.clip(odds, -4, 4) * (1 - np.exp(-every / 4)), 0).astype(np.float32)
+    out[0] = 0
+    return out
+
+
+def fit(texts: list[list[list[str]]], y: np.ndarray, share: np.ndarray | None = None) -> ToxicityModel:
+    """Train on texts and 0/1 labels, in their order. A text is a list of pieces, each
+    a list of words; share: how much of each text is there."""
+    share = np.ones(len(y)) if share is None else share
+    # Every second text of each class gives the start values, if there are two.
+    nth = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    start = nth % 2 == 1
+    rest = ~start
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
+        start = rest = np.ones(len(y), bool)
+    held = [{plain(w) for p in t for w in p} for t in texts]
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in Counter(chain.from_iterable(held)).items() if n >= LEAST))}
+    net = BiGru(len(vocabulary))
+    net.ew[:, 0] = log_odds([t for t, a in zip(held, start) if a], y[start], vocabulary)
+    odds = net.ew[:, 0].copy()
+    y, share = y[rest], share[rest]
+    pieces = [(k, p) for k, t in enumerate(t for t, a in zip(texts, rest) if a) for p in t]
+    known = sorted({w for _, p in pieces for w in p}) or ["-"]
+    place = {w: i for i, w in enumerate(known)}
+    words = Words.of(known, vocabulary)
+    flat = np.fromiter((place[w] for _, p in pieces for w in p), np.int64)
+    owner, first, size = windows_of([len(p) for _, p in pieces])
+    owner = np.array([k for k, _ in pieces])[owner]
     index, there = _grid(flat, first, size)
-    worst = (np.maximum(table[index, 0], 0) * there).max(axis=1) + 1e-3 * (np.maximum(table[index, 2], 0) * there).mean(axis=1)
-    order = np.lexsort((-worst, owner))
-    nth = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
-    # Of a toxic text its worst window is learned as toxic; of a clean text the two
-    # worst and every tenth other one as clean.
-    label = y[owner[order]]
-    use = np.where(label == 1, nth == 0, (nth < 2) | (nth % 10 == 5))
-    pick = order[use]
-    target = y[owner[pick]].astype(np.float32)
-    weight = np.where(target == 1, len(target) / max(2 * target.sum(), 1), len(target) / max(2 * (1 - target).sum(), 1)) ** 0.5
-    return ToxicityModel(inputs, BiGru().train(table, index[pick], there[pick], target, weight.astype(np.float32)))
-
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
-    """Learn from labelled rows that are not held out; None without both labels."""
+    value = odds[words.row]
+    worst = (np.maximum(value[index], 0) * there).max(axis=1)
+    clean = np.zeros(0, np.int64)
+    for again in range(ROUNDS):
+        if again:
+            table = net.weighted(net.inputs(words.row, words.grid, words.begin))
+            worst = np.concatenate([net.score(table, index[b : b + 4096], there[b : b + 4096]) for b in range(0, len(index), 4096)])
+        order = np.lexsort((-worst, owner))
+        nth = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
+        # Of a toxic text its worst window is learned as toxic; of a clean text the
+        # two worst and every tenth other one as clean.
+        use = np.where(y[owner[order]] == 1, nth == 0, (nth < 2) | (nth % 10 == 5))
+        # Clean windows that were picked before stay.
+        clean = np.union1d(clean, order[use & (y[owner[order]] == 0)])
+        pick = np.concatenate([order[use & (y[owner[order]] == 1)], clean])
+        target = y[owner[pick]].astype(np.float32)
+        weight = np.where(target == 1, share[owner[pick]], 1)
+        net.train(words, index[pick], there[pick], target, weight.astype(np.float32), epochs=max(EPOCHS, -(-STEPS * BATCH // len(pick))), rate=RATE / (1 + again), seed=9 + again)
+    return ToxicityModel(net, vocabulary)
+
+
+def _window_texts(windows: int):
+    """Texts as lists of words joined by one space: the whole text, or some windows of
+    a text that has more than that many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            pieces, shares = [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                words = (text or "").split()
+                _, first, size = windows_of([len(words)])
+                if len(first) <= windows:
+                    pieces.append([" ".join(words)])
+                    shares.append(1.0)
+                    continue
+                some = np.random.Generator(np.random.PCG64(abs(doc_id))).permutation(len(first))[:windows]
+                pieces.append([" ".join(words[first[i] : first[i] + size[i]]) for i in np.sort(some)])
+                shares.append(windows / len(first))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "doc_id", "label")), pa.array(shares, pa.float64()), pa.array(pieces, pa.list_(pa.string()))], ["at", "doc_id", "label", "share", "pieces"])
+
+    return run
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | Constant:
+    """Learn from labelled rows that are not held out."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     known = scratch.write(known.withColumn("at", F.xxhash64(F.lit("sample"), F.col("doc_id"))), "known")
     parts = [known.filter(F.col("label") == k).orderBy("at", "doc_id").limit(per_class * (1 if k else 2)) for k in (0, 1)]
     sample = scratch.write(parts[0].unionByName(parts[1]), "sample")
     some = only_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), sample.select("doc_id"))
-    rows = some.filter(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").select("at", "doc_id", "label", "text")
-    got = sorted((r["at"], r["doc_id"], r["label"], r["text"]) for r in rows.toLocalIterator())
-    y = np.array([r[2] for r in got], int)
-    if len(set(y[::2])) < 2 or len(set(y[1::2])) < 2:
-        return None
-    return fit([r[3] for r in got], y)
+    rows = some.join(F.broadcast(sample), "doc_id").select("at", F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    rows = rows.mapInArrow(_window_texts(windows), "at long, doc_id long, label int, share double, pieces array<string>")
+    got = sorted((r["at"], r["doc_id"], r["label"], r["share"], list(r["pieces"])) for r in rows.toLocalIterator())
+    labelled = np.array([r[2] for r in got], int)
+    if len(set(labelled.tolist())) < 2:
+        warnings.warn("toxicity: no labelled rows of both classes; all scores are the label's share", stacklevel=2)
+        return Constant((float(labelled.sum()) + 0.5) / (len(labelled) + 1))
+    return fit([[p.split() for p in r[4]] for r in got], labelled, np.array([r[3] for r in got]))
 
 
-def _scorer(model: ToxicityModel | None):
+def _scorer(model: ToxicityModel | Constant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores = model.scores(texts) if model is not None else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(texts), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel | Constant, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted of every whole text."""
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = table.mapInArrow(_scorer(model), "doc_id long, score double")
