@@ -6,8 +6,8 @@ language. A text's scores are the mean over all of its windows, weighted by thei
 bytes. The network is trained here in numpy (Adam on mini-batches of windows).
 
 Training uses a bounded sample: at most ``per_language`` documents of each label,
-the ones with the smallest hash of their id, and at most ``windows`` windows of
-each, spread evenly over the document.
+the ones with the smallest hash of their id. Each epoch draws ``windows`` windows of
+each document anew, at random over its whole text (all of them, if it has no more).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0.
 Without any labelled row every text is ``und``. Languages with the same score are
@@ -31,7 +31,7 @@ from .support import Scratch, chunks, held_out, only_ids, text_key, without_rows
 UND = "und"
 WINDOW = 128
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
-PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 400, 8, 12, 64, 3e-3
+PER_LANGUAGE, WINDOWS, EPOCHS, BATCH, RATE = 400, 8, 24, 64, 3e-3
 _ascii_letter = re.compile(r"[A-Za-z]").search
 
 
@@ -120,14 +120,15 @@ class ByteConvNet:
                 np.add.at(d_embed, windows[np.arange(n)[:, None], top + j], d_rows[:, :, j])
         return [d_embed, *d_filters, *d_biases, h.T @ p, p.sum(axis=0)]
 
-    def train(self, windows: np.ndarray, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> "ByteConvNet":
+    def train(self, windows: np.ndarray, y: np.ndarray, *, epoch: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> "ByteConvNet":
+        """epoch: the one that each window was drawn for; without it, all are for all."""
         rng = np.random.Generator(np.random.PCG64(seed))
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
         step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for begin in range(0, len(y), BATCH):
+        for now in range(epochs):
+            order = rng.permutation(len(y) if epoch is None else np.flatnonzero(epoch == now))
+            for begin in range(0, len(order), BATCH):
                 some = order[begin : begin + BATCH]
                 step += 1
                 for p, g, m, v in zip(self.parameters(), self._gradients(windows[some], y[some]), first, second):
@@ -164,27 +165,32 @@ def train_language_model(docs: DataFrame, *, per_language: int = PER_LANGUAGE, w
     sample = scratch.write(rows.withColumn("at", mixed).filter(F.col("at") < share[F.col("label")]).withColumn("nth", place).filter(F.col("nth") <= per_language), "sample")
     texts = only_ids(docs.select(id_col, text_col, label_col), sample.select("doc_id").distinct(), id_col)
     data = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label"))
-    thin = data.filter(F.col("label").isNotNull()).mapInArrow(_window_picker(windows), "doc_id long, label string, piece binary")
-    got = sorted((r["label"], r["doc_id"], bytes(r["piece"])) for r in thin.toLocalIterator())
+    thin = data.filter(F.col("label").isNotNull()).mapInArrow(_window_picker(windows), "doc_id long, label string, pieces binary, epochs binary")
+    got = sorted((r["label"], r["doc_id"], bytes(r["pieces"]), bytes(r["epochs"])) for r in thin.toLocalIterator())
     labels = sorted(counts)
-    pieces = [p for _, _, p in got]
-    if not pieces:
+    if not got:
         return None
-    grid, _, _ = windows_of(pieces)
-    y = np.array([labels.index(k) for k, _, _ in got])
-    return ByteConvNet.fresh(labels).train(grid, y)
+    grid = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, WINDOW)
+    epoch = np.frombuffer(b"".join(r[3] for r in got), np.uint8)
+    y = np.repeat([labels.index(r[0]) for r in got], [len(r[3]) for r in got])
+    return ByteConvNet.fresh(labels).train(grid, y, epoch=epoch)
 
 
 def _window_picker(windows: int):
+    """Each document's windows for all epochs, one after another, and their epochs."""
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows = []
             for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
-                raw = (text or "").encode()
-                n = -(-len(raw) // WINDOW)
-                for i in sorted({round(k * (n - 1) / max(windows - 1, 1)) for k in range(min(windows, n))}):
-                    rows.append((doc_id, label, raw[i * WINDOW : (i + 1) * WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "label", "piece"])
+                grid, _, size = windows_of([(text or "").encode()])
+                n = len(grid) if size[0] else 0
+                rng = np.random.Generator(np.random.PCG64(abs(int(doc_id))))
+                drawn = [rng.permutation(n)[:windows] for _ in range(EPOCHS)]
+                epochs = np.repeat(np.arange(EPOCHS), min(windows, n)).astype(np.uint8)
+                rows.append((doc_id, label, grid[np.concatenate(drawn)].tobytes(), epochs.tobytes()))
+            columns = zip(("doc_id", "label", "pieces", "epochs"), zip(*rows), (pa.int64(), pa.string(), pa.binary(), pa.binary()))
+            yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
 
     return pick
 
