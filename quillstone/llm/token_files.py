@@ -14,7 +14,6 @@ ignored; an empty table gives no shards.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -59,8 +58,8 @@ def _written(uri: str):
 
 @contextmanager
 def _mapped(uri: str, dtype) -> Iterator[np.ndarray]:
-    """The file as a memory-mapped array; a file in a remote store is first
-    copied to this task's own temporary folder."""
+    """The file as an array: memory-mapped where the store is a mounted folder, else
+    read slice by slice. Nothing is copied to this machine."""
     store, path = _store(uri)
     from pyarrow import fs
 
@@ -68,12 +67,20 @@ def _mapped(uri: str, dtype) -> Iterator[np.ndarray]:
         size = os.path.getsize(path)
         yield np.memmap(path, dtype, "r") if size else np.empty(0, dtype)
         return
-    with tempfile.NamedTemporaryFile() as copy:
-        with store.open_input_stream(path) as source:
-            while block := source.read(8 << 20):
-                copy.write(block)
-        copy.flush()
-        yield np.memmap(copy.name, dtype, "r") if copy.tell() else np.empty(0, dtype)
+    with store.open_input_file(path) as source:
+        yield _Slices(source, np.dtype(dtype))
+
+
+class _Slices:
+    """A remote file whose slices are read when asked for."""
+
+    def __init__(self, source, dtype: np.dtype):
+        self.source, self.dtype = source, dtype
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        size = self.dtype.itemsize
+        begin, end, _ = part.indices(self.source.size() // size)
+        return np.frombuffer(self.source.read_at((end - begin) * size, begin * size), self.dtype)
 
 
 def _writer(folder: str, path: str, end_id: int, dtype: str):
@@ -105,8 +112,9 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_p
     n_docs, n_ids, first_id, width and base (ids in all shards before it).
 
     Ids are two bytes wide where the tokenizer's ids fit, else four, unless dtype
-    says otherwise. One shuffle by ranges of the id; each task streams its sorted documents to
-    one shard.
+    says otherwise. One shuffle by ranges of the id, and of the place in the input among
+    rows that share an id (or have none), so that they need not meet in one task; each
+    task streams its sorted documents to one shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token_files")
@@ -114,13 +122,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_p
     dtype = dtype or ("<u2" if max(tokenizer(path).lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
     folder = folder or scratch.path("ids")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sorted_docs = table.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("place").asc()
+    sorted_docs = table.repartitionByRange(n, *order).sortWithinPartitions(*order)
     shards = scratch.write(sorted_docs.mapInArrow(_writer(folder, path, end_id, dtype), MANIFEST), "manifest")
-    # A row a shard: the prefix sum runs over as many rows as there were tasks.
-    sizes = sorted((r["first_id"], r["shard"], r["n_ids"]) for r in shards.select("first_id", "shard", "n_ids").toLocalIterator())
+    # A row a shard: the prefix sum runs over as many rows as there were tasks. Their
+    # names follow the ranges.
     bases, total = [], 0
-    for _, shard, n_ids in sizes:
+    for shard, n_ids in sorted((r["shard"], r["n_ids"]) for r in shards.select("shard", "n_ids").toLocalIterator()):
         bases.append((shard, total))
         total += n_ids
     return shards.join(F.broadcast(spark.createDataFrame(bases, "shard string, base long")), "shard")
@@ -136,7 +145,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin = 0
                 while begin < n:  # about 4 MB of ids at a time
                     end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 20), "right")) - 1)
-                    own = [ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes() for i in range(begin, end)]
+                    low = offsets[begin]
+                    some = np.asarray(ids[low : offsets[end]]).astype("<u4")
+                    own = [some[offsets[i] - low : offsets[i + 1] - low].tobytes() for i in range(begin, end)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[begin:end], mask=names[begin:end] == NULL_ID), pa.array(offsets[begin:end] + base), pa.array(np.diff(offsets[begin : end + 1])), pa.array(own, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
