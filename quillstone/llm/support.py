@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,15 +19,23 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir).
+    """The cluster's shared folder: spark.checkpoint.dir, or the folder given to
+    SparkContext.setCheckpointDir.
 
-    Only where that setting is absent, as in tests on one machine, a temporary
-    folder is made; it is removed when the process ends.
+    Only where neither is set and the session is a local one, as in tests, a temporary
+    folder is made; it is removed when the process ends. On a cluster, where a folder of
+    this machine would not be seen by executors, their absence is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
     if app not in _local_dirs:
         folder = tempfile.mkdtemp(prefix="quillstone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -34,10 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+#: The scratches made inside a freeing() block, innermost last.
+_made: list[list["Scratch"]] = []
+
+
+@contextmanager
+def freeing() -> Iterator[None]:
+    """Delete the scratch tables made inside this block when it ends. Results that
+    still read them must be written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read twice.
 
-    A table survives the loss of executors, because it lies in shared storage.
+    A table survives the loss of executors, because it lies in shared storage. Steps
+    drop the tables that nothing reads any more; the rest goes with close(), at the end
+    of a freeing() block, or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -45,6 +72,14 @@ class Scratch:
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        path, store = self._hadoop(self.root)
+        store.deleteOnExit(path)
+        if _made:
+            _made[-1].append(self)
+
+    def _hadoop(self, folder: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, tag: str) -> str:
         self.count += 1
@@ -57,13 +92,16 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
                 if self.root.partition("://")[2] in folder:
-                    path = jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(conf).delete(path, True)
+                    path, store = self._hadoop(folder)
+                    store.delete(path, True)
+
+    def close(self) -> None:
+        """Delete all its tables."""
+        path, store = self._hadoop(self.root)
+        store.delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,9 @@
 """Language ID, toxicity and URL verdicts: held-out accuracy, gradients, edges."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,12 +15,12 @@ from quillstone.llm.support import held_out
 from .common import docs, nothing
 
 
-def numeric(f, p, count=6):
+def numeric(f, p, count=6, step=1e-2):
     """Slopes of f at some entries of p."""
     rng = np.random.default_rng(0)
     for _ in range(count):
         at = tuple(rng.integers(0, n) for n in p.shape)
-        keep, step = p[at], 1e-2
+        keep = p[at]
         p[at] = keep + step
         up = f()
         p[at] = keep - step
@@ -37,19 +40,33 @@ def test_language_gradients():
 
 
 def test_toxicity_gradients():
-    net, rng = tx.BiGru(), np.random.default_rng(2)
-    table = rng.normal(size=(30, tx.FEATURES)).astype(np.float32)
+    net, rng = tx.BiGru(30), np.random.default_rng(2)
+    known = [f"{c}w{i}é" for c in "abc" for i in range(10)]
+    words = tx.Words.of(known, {w: i + 1 for i, w in enumerate(known)})
     index, there = rng.integers(0, 30, (5, tx.TIMES)), np.ones((5, tx.TIMES), np.float32)
     there[0, 4:] = there[1, 20:] = 0
     y, weight = np.array([0, 1, 1, 0, 1], np.float32), np.array([1, 2, 1, 1, 0.5], np.float32)
 
     def loss():
-        p = net.score(table, index, there).astype(float)
+        p = net.score(net.weighted(net.inputs(words.row, words.grid, words.begin)), index, there).astype(float)
         return float((-(y * np.log(p) + (1 - y) * np.log(1 - p)) * weight).mean())
 
-    for name, g in zip(net.NAMES, net._gradients(table, index, there, y, weight)):
-        for at, slope in numeric(loss, getattr(net, name)):
-            assert abs(g[at] - slope) < 5e-3, (name, at, g[at], slope)
+    for name, g in zip(net.NAMES, net._gradients(words, index, there, y, weight)):
+        p = getattr(net, name)
+        for at, slope in numeric(loss, p[1:] if name == "ew" else p, step=2e-3 if name in ("eb", "cf", "cb") else 1e-2):
+            assert abs(g[at] - slope) < 1e-2, (name, at, g[at], slope)
+
+
+def test_words_as_bytes():
+    """Whole words between edges, whatever characters they hold."""
+    words = ["a", "b\x01c", "\x00", "é" * 300, "x" * 5000]
+    grid, begin = tx.byte_grid(words)
+    ends = np.append(begin, len(grid))
+    for w, b, e in zip(words, begin, ends[1:]):
+        raw = [tx.EDGE, *w.encode(), tx.EDGE]
+        assert grid[b:e].tolist() == [raw[i : i + 3] for i in range(len(raw) - 2)]
+    some = tx.Words.of(words, {}).part(np.array([1, 3]))
+    assert np.array_equal(some.grid, np.concatenate([grid[begin[1] : ends[2]], grid[begin[3] : ends[4]]])) and some.begin.tolist() == [0, 3]
 
 
 def test_letters():
@@ -86,6 +103,16 @@ def test_language_ignores_held_out_labels(spark, labelled):
     assert all(np.array_equal(a, b) for a, b in zip(model.parameters(), same.parameters()))
 
 
+def test_language_windows_of_all_epochs():
+    """Each epoch draws its own windows, from all of a long text."""
+    text = "".join(chr(97 + k % 26) * li.WINDOW for k in range(300))
+    rows = [{"doc_id": 5, "text": text, "label": "x"}, {"doc_id": 6, "text": "short", "label": "y"}, {"doc_id": 7, "text": "", "label": "y"}]
+    long, short, none = next(li._window_picker(8)(iter([pa.RecordBatch.from_pylist(rows)]))).to_pylist()
+    assert len(long["pieces"]) == li.EPOCHS * 8 * li.WINDOW and set(long["epochs"]) == set(range(li.EPOCHS))
+    assert len({long["pieces"][i : i + li.WINDOW] for i in range(0, len(long["pieces"]), li.WINDOW)}) > 20
+    assert len(short["epochs"]) == li.EPOCHS and none["epochs"] == b""
+
+
 def test_language_edges(spark, labelled):
     model = li.train_language_model(labelled)
     df = docs(spark)
@@ -132,11 +159,50 @@ def test_toxicity_finds_one_word_anywhere(spark):
     assert model.scores([long, "", "vile"])[0] > 0.3
 
 
+def test_toxicity_query_on_held_out_rows(spark, sf_dir):
+    """The registered query, with enough labelled rows to learn from."""
+    larger = sf_dir.replace("sf0.001", "sf0.1")
+    if not os.path.isdir(larger):
+        pytest.skip("the larger test tables are not here")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    got = tx.op3_toxicity(spark, larger).collect()
+    assert len(got) == spark.read.parquet(f"{larger}/documents.parquet").count()
+    held = [r for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    toxic = [r["predicted"] for r in held if labels[r["doc_id"]]]
+    clean = [r["predicted"] for r in held if not labels[r["doc_id"]]]
+    assert toxic and clean and np.mean(toxic) >= 0.75 and np.mean(clean) <= 0.03
+
+
+def test_toxicity_of_control_characters(spark):
+    rows = toxic_rows(120)
+    model = tx.fit([[t.split()] for _, t, _ in rows], np.array([y for *_, y in rows]))
+    texts = ["".join(map(chr, range(32))) + " a", "a\x01b c", "\x00\x00", "\x7f\x80", "日本" * 3000, "\ud800 x".encode("utf-8", "replace").decode()]
+    assert ((0 <= model.scores(texts)) & (model.scores(texts) <= 1)).all()
+
+
+def test_toxicity_of_long_labelled_texts(spark):
+    """A long text is learned by some of its windows, spread over all of it."""
+    rows = [(k, " ".join([*PLAIN * 40, *["vile"] * (k % 2 * 900), *PLAIN * 40])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
+    model = tx.train_toxicity(df, labels, windows=64)
+    assert isinstance(model, tx.ToxicityModel)
+    pieces = next(tx._window_texts(64)(iter([pa.RecordBatch.from_pylist([{"at": 1, "doc_id": 3, "label": 1, "text": rows[3][1]}])]))).to_pylist()[0]
+    assert len(pieces["pieces"]) == 64 and 0 < pieces["share"] < 0.1
+
+
 def test_toxicity_edges(spark):
+    """Without both classes: a warning, and the label's share as every score."""
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert tx.train_toxicity(docs(spark), labels) is None
-    assert {r["score"] for r in tx.score_toxicity(docs(spark), None).collect()} == {0.0}
-    assert tx.score_toxicity(nothing(spark), None).count() == 0
+    with pytest.warns(UserWarning, match="no labelled rows"):
+        model = tx.train_toxicity(docs(spark), labels)
+    assert {r["score"] for r in tx.score_toxicity(docs(spark), model).collect()} == {0.5}
+    one = spark.createDataFrame([(i, 1, 1) for i in (5, 8, 10)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no labelled rows"):
+        assert tx.train_toxicity(docs(spark), one).share > 0.5
+    assert tx.score_toxicity(nothing(spark), model).count() == 0
+    few = tx.fit([[["bad", "word"]], [["good", "word"]]], np.array([1, 0]))
+    assert few.scores(["bad word"])[0] >= few.scores(["good word"])[0]
 
 
 def brute_url(url):

@@ -104,6 +104,24 @@ def test_token_files_round_trip(spark, lib, dtype):
     assert {r["width"] for r in manifest.collect()} == {4 if dtype else 2}
 
 
+def test_token_files_split_rows_that_share_an_id(spark, lib):
+    rows = [(None if k % 2 else 7, words(k, 20)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = tf.write_token_files(df, partitions=6)
+    assert manifest.filter("n_docs > 0").count() > 3
+    got = tf.read_token_files(manifest).collect()
+    assert len(got) == 200 and sum(r["n_tokens"] for r in got) == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_remote_files_are_read_by_slices(tmp_path):
+    ids = np.arange(1000, dtype="<u2")
+    (tmp_path / "x").write_bytes(ids.tobytes())
+    with open(tmp_path / "x", "rb") as raw:
+        source = type("Source", (), {"size": lambda self: 2000, "read_at": lambda self, n, at: (raw.seek(at), raw.read(n))[1]})()
+        part = tf._Slices(source, ids.dtype)
+        assert np.array_equal(part[:7], ids[:7]) and np.array_equal(part[990:], ids[990:]) and np.array_equal(part[5:9], ids[5:9])
+
+
 def test_token_files_empty(spark):
     assert tf.read_token_files(tf.write_token_files(nothing(spark))).count() == 0
 
