@@ -118,15 +118,15 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "drop_exact")
     found = scratch.write(exact_dedup(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes).select("doc_id", "kept", "text_sha256", "n_code_points"), "found")
     touched = scratch.write(found.filter("not kept").select("doc_id").distinct(), "touched")
-    # Ids of which one row goes and another stays: rare, so told apart by text.
-    mixed = scratch.write(found.filter("kept").join(touched, found["doc_id"].eqNullSafe(touched["doc_id"]), "left_semi").select("doc_id", F.struct("text_sha256", "n_code_points").alias("mark")), "mixed")
-    mixed = mixed.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.collect_set("mark").alias("__kept_marks"))
+    # Ids of which one row goes and another stays are told apart by text.
+    kept = found.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"), F.col("n_code_points").alias("__kept_n"))
+    mixed = scratch.write(kept.join(touched, F.col("__kept_id").eqNullSafe(touched["doc_id"]), "left_semi"), "mixed")
     rest = without_ids(docs, touched, id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mark = F.struct(F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256"), F.length(text).cast("long").alias("n_code_points"))
-    some = only_ids(docs, scratch.write(mixed.select("__kept_id"), "mixed_ids"), id_col)
-    some = some.join(mixed, some[id_col].eqNullSafe(F.col("__kept_id"))).withColumn("__mark", mark).filter(F.array_contains("__kept_marks", F.col("__mark")))
-    return rest.unionByName(some.dropDuplicates(["__kept_id", "__mark"]).select(*docs.columns))
+    some = only_ids(docs, scratch.write(mixed.select("__kept_id").distinct(), "mixed_ids"), id_col)
+    some = some.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).withColumn("__n", F.length(text).cast("long"))
+    some = some.join(mixed, some[id_col].eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")) & (F.col("__n") == F.col("__kept_n")))
+    return rest.unionByName(some.dropDuplicates(["__kept_id", "__sha", "__n"]).select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
