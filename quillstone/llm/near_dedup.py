@@ -13,15 +13,25 @@ Pairs are bounded in this way:
 * a bucket links each member to its hub alone, the member with the most bucket
   mates (a star: n - 1 pairs for n members);
 * links are confirmed on the full sets, and components are built of them;
-* only buckets that still hold more than one component go on: small ones compare
-  their members across components; in middling ones, blocks of members are
-  compared by a product of incidence matrices, which returns the links alone;
-  larger ones are first dealt anew by the members' other bands. So no link is
-  lost to the stars.
+* only buckets that still hold more than one component go on, and these are worked
+  off exactly, whatever their size: in small ones the pairs across components are
+  listed; the members of all others are dealt anew by a prefix filter on their full
+  sets. Linked sets share an element among the rarest (1 - similarity) of either, so
+  only members that share such an element are compared, and what many documents have
+  in common brings none of them together;
+* many members that share such an element are compared by a product of incidence
+  matrices of two blocks of them, which returns the links alone. Members of one
+  component have blocks of their own, which are not compared with one another.
+
+So no link is lost to the stars, and the only pairs left out are those that share no
+bucket. What remains quadratic are sets of many components that all share rare
+elements and yet are too different: any exact search has to compare them.
 
 Buckets, links and components are tables; nothing of them reaches the driver but
-counts. Joins on hot keys are made between stored tables, which lets Spark split
-their partitions.
+counts, and a table of ``SLOTS`` sums that ranks elements by frequency. Joins on hot
+keys are made between stored tables, which lets Spark split their partitions. A
+shingle is told by a hash of 64 bits, a set by a name of 128 bits: sets of equal names
+are taken as equal without a look (for 10^10 sets, wrong with a probability of 1e-19).
 
 Defined results: a null, empty or blank text has no shingles and is linked with
 nothing; fewer than five words are one shingle. Rows that repeat an id are judged
@@ -45,14 +55,14 @@ WORDS = 5
 BINS = 256
 #: Links have 100 * intersection >= PERCENT * union; bins of a band.
 PERCENT, BAND_ROWS = 80, 5
-#: Members of a bucket whose pairs are listed, and that are compared in blocks.
-SMALL, MIDDLING = 8, 2048
-#: Members and bytes of sets in a block.
-BLOCK_MEMBERS, BLOCK_BYTES = 256, 8 << 20
-#: Times a bucket is dealt anew at most (what is left then is compared in blocks), and
-#: the other bands by which it is dealt. A linked pair shares some 16 buckets, each of
-#: them another chance, so few bands do: the pair is lost with a probability of 1e-7.
-DEPTH, DEAL = 3, 6
+#: Members of a bucket whose pairs are listed.
+SMALL = 8
+#: Members and bytes of sets in a block; members of a component that has its own blocks.
+BLOCK_MEMBERS, BLOCK_BYTES, OWN_BLOCKS = 256, 8 << 20, 64
+#: Sums by which elements are ranked; any ranking that all sets share is exact.
+SLOTS = 1 << 16
+#: Units of work (pairs of blocks) of a task, about.
+UNITS = 16
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -238,31 +248,61 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes + _U(7)) % _U(SLOTS)).astype(np.int64)
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of the task's sets fall into each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for members in batch.column("members"):
+            total += np.bincount(_slot(np.frombuffer(members.as_buffer(), np.uint64)), minlength=SLOTS)
+    slots = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "count"])
+
+
+def prefix(members: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest elements of a set, so many that a linked set shares one of them
+    among its own rarest."""
+    order = np.lexsort((members, counts[_slot(members)]))
+    return members[order[: len(members) + percent * len(members) // -100 + 1]]
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(np.frombuffer(m.as_buffer(), np.uint64), percent, counts).view(np.int64) for m in batch.column("members")]
+            at = np.append(0, np.cumsum([len(f) for f in found]))
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            sizes = [len(m.as_buffer()) // 8 for m in batch.column("members")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["cls", "n", "elements"])
+
+    return run
+
+
 def _links_of_blocks(percent: int):
-    """Links across components inside each (key, low, high): rows sorted by these."""
+    """Links across components inside each unit, between its two blocks: rows sorted
+    by unit."""
 
     def links(held: list[dict]) -> pa.RecordBatch:
-        low, high = held[0]["low"], held[0]["high"]
-        left = [r for r in held if r["block"] == low]
-        right = left if low == high else [r for r in held if r["block"] == high]
+        left, right = ([r for r in held if r[side]] for side in ("is_low", "is_high"))
         x, y = ([np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right))
         common = common_counts(x, y)
         union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None] - common
         i, j = np.nonzero(100 * common >= percent * union)
-        pairs = {(min(a, b), max(a, b)) for a, b in ((left[k], right[m]) for k, m in zip(i, j)) for a, b in [(a["cls"], b["cls"])] if a != b}
-        comp = {r["cls"]: r["comp"] for r in held}
-        pairs = sorted(p for p in pairs if comp[p[0]] != comp[p[1]])
+        both = ((left[k], right[m]) for k, m in zip(i, j))
+        pairs = sorted({(min(a["cls"], b["cls"]), max(a["cls"], b["cls"])) for a, b in both if a["comp"] != b["comp"]})
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                here = row["key"], row["low"], row["high"]
-                if here != at and held:
+                if row["unit"] != at and held:
                     yield links(held)
                     held = []
-                at = here
+                at = row["unit"]
                 held.append(row)
         if held:
             yield links(held)
@@ -315,17 +355,51 @@ class _Finder:
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("a_set")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("b_set")), "b")
         return both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(self.percent), "a binary, b binary")
 
+    def mixed(self, members: DataFrame, tag: str) -> DataFrame:
+        """The members (key, cls, n, size, comp) of buckets that hold more than one
+        component."""
+        some = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        return self.scratch.write(members.join(self.scratch.write(some, f"{tag}_keys"), "key"), tag)
+
+    def dealt(self, sets: DataFrame, comps: DataFrame) -> DataFrame:
+        """The sets (a stored table) by the elements of their prefixes: key, cls, n,
+        size, comp of the elements that stand in several components."""
+        sums = sets.select("members").mapInArrow(_slot_sums, "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count"))
+        counts = np.zeros(SLOTS, np.int64)
+        for r in sums.toLocalIterator():  # SLOTS rows at most
+            counts[r["slot"]] = r["count"]
+        rare = sets.select("cls", "members").mapInArrow(_prefixes(self.percent, counts), "cls binary, n long, elements array<long>")
+        members = self.shared(rare.select(F.explode("elements").alias("key"), "cls", "n"), "dealt")
+        known = self.scratch.write(members.join(comps, "cls", "left").select("key", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp")), "dealt_known")
+        return self.mixed(known, "dealt_left")
+
     def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links across the components of middling buckets. A bucket is cut into
-        blocks of bounded size, and each pair of blocks is one unit of work."""
-        sums = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n"))
-        blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_MEMBERS), F.ceil(F.col("sum_n") * 8 / BLOCK_BYTES)).cast("int")
-        sums = self.scratch.write(sums.select("key", blocks.alias("blocks")), "block_counts")
-        own = members.join(sums, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        units = own.select("key", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "cls", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        full = units.join(sets, "cls")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return full.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_links_of_blocks(self.percent), "a binary, b binary")
+        """Links across the components of large buckets. A bucket is cut into blocks of
+        bounded size, large components apart from the others; each pair of blocks that
+        are not of one component is one unit of work."""
+        pools = members.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n"))
+        pools = pools.withColumn("pool", F.when(F.col("rows") >= OWN_BLOCKS, F.col("comp")))
+        wanted = F.greatest(F.ceil(F.sum("rows") / BLOCK_MEMBERS), F.ceil(F.sum("sum_n") * 8 / BLOCK_BYTES)).cast("int")
+        pools = self.scratch.write(pools.groupBy("key", "pool").agg(wanted.alias("blocks")), "pools")
+        sized = members.join(self.scratch.write(pools.filter("pool is not null").select("key", F.col("pool").alias("comp"), F.lit(True).alias("alone")), "large"), ["key", "comp"], "left")
+        sized = sized.withColumn("pool", F.when(F.col("alone"), F.col("comp")))
+        placed = sized.join(pools.withColumnRenamed("key", "p_key").withColumnRenamed("pool", "p_pool"), (F.col("key") == F.col("p_key")) & F.col("pool").eqNullSafe(F.col("p_pool")))
+        placed = self.scratch.write(placed.select("key", "cls", "comp", "pool", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "placed")
+        blocks = pools.select("key", "pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        name = F.struct(F.coalesce("pool", F.lit(b"")).alias("pool"), "block")
+        blocks = blocks.select("key", "pool", name.alias("name"))
+        other = blocks.select(F.col("key").alias("o_key"), F.col("pool").alias("o_pool"), F.col("name").alias("high"))
+        units = blocks.join(other, (F.col("key") == F.col("o_key")) & (F.col("name") <= F.col("high")) & (F.col("pool").isNull() | ~F.col("pool").eqNullSafe(F.col("o_pool"))))
+        units = self.scratch.write(units.select("key", F.col("name").alias("low"), "high").withColumn("unit", F.monotonically_increasing_id()), "units")
+        sides = units.select("key", "unit", F.explode(F.array_distinct(F.array("low", "high"))).alias("name"), "low", "high")
+        sides = sides.select("key", "unit", "name", (F.col("name") == F.col("low")).alias("is_low"), (F.col("name") == F.col("high")).alias("is_high"))
+        rows = placed.select("key", "cls", "comp", name.alias("name")).join(sides, ["key", "name"]).select("unit", "is_low", "is_high", "cls", "comp")
+        full = self.scratch.write(rows, "unit_rows").join(sets, "cls")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(units.count() // UNITS, 100_000))
+        # Units are numbered one by one in each of few partitions, so they are dealt
+        # evenly; each is bounded, so tasks are.
+        dealt = full.repartitionById(parts, F.pmod("unit", F.lit(parts)).cast("int")).sortWithinPartitions("unit")
+        return dealt.mapInArrow(_links_of_blocks(self.percent), "a binary, b binary")
 
     def components(self, links: DataFrame) -> DataFrame:
         """(cls, comp) of all linked classes; comp is the smallest class reachable.
@@ -354,28 +428,25 @@ class _Finder:
         asked = self.scratch.write(stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
         links = self.scratch.write(self.confirmed(stars, self.sets_of(asked)), "links")
         comps = self.components(links)
-        for depth in range(DEPTH + 1):
-            known = self.scratch.write(members.join(comps, "cls", "left").select("key", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp")), "known")
-            mixed = self.scratch.write(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "mixed")
-            left = self.scratch.write(known.join(mixed, "key"), "left")
-            middling = (F.col("size") > SMALL) & ((F.col("size") <= MIDDLING) | F.lit(depth == DEPTH))
-            pairs = self.scratch.write(self.across(left.filter(F.col("size") <= SMALL)).join(stars, ["a", "b"], "left_anti"), "pairs")
-            units = left.filter(middling).select("key", "cls", "n", "comp")
-            asked = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(units.select("cls")).distinct(), "asked")
-            if asked.limit(1).count():
-                sets = self.sets_of(asked)
-                more = self.scratch.write(self.confirmed(pairs, sets).unionByName(self.in_blocks(units, sets)).distinct(), "more")
-                self.scratch.drop(sets)
-                if more.limit(1).count():
-                    links = self.scratch.write(links.unionByName(more), "links")
-                    comps = self.components(links)
-            large = left.filter((F.col("size") > SMALL) & ~middling)
-            if not large.limit(1).count():
-                return comps
-            # Which bands, follows from the bucket: the same ones for all members.
-            some = F.slice(F.concat("keys", "keys"), (F.pmod("key", F.size("keys")) + 1).cast("int"), DEAL)
-            deeper = large.join(self.classes.select("cls", "keys"), "cls").select("key", "cls", "n", F.posexplode(some).alias("at", "band"))
-            members = self.shared(deeper.select(F.xxhash64("key", "at", "band").alias("key"), "cls", "n").distinct(), "dealt")
+        known = self.scratch.write(members.join(comps, "cls", "left").select("key", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp")), "known")
+        left = self.mixed(known, "left")
+        pairs = self.scratch.write(self.across(left.filter(F.col("size") <= SMALL)).join(stars, ["a", "b"], "left_anti"), "pairs")
+        large = self.scratch.write(left.filter(F.col("size") > SMALL).select("cls").distinct(), "large")
+        asked = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(large).distinct(), "asked")
+        self.scratch.drop(members, known, left)
+        if not asked.limit(1).count():
+            return comps
+        sets = self.sets_of(asked)
+        more = self.confirmed(pairs, sets)
+        if large.limit(1).count():
+            dealt = self.dealt(self.scratch.write(sets.join(large, "cls", "left_semi"), "large_sets"), comps)
+            few = self.scratch.write(self.across(dealt.filter(F.col("size") <= SMALL)).join(pairs.unionByName(stars), ["a", "b"], "left_anti"), "few")
+            many = dealt.filter(F.col("size") > SMALL).select("key", "cls", "n", "comp")
+            more = more.unionByName(self.confirmed(few, sets)).unionByName(self.in_blocks(many, sets))
+        more = self.scratch.write(more.distinct(), "more")
+        self.scratch.drop(sets)
+        if more.limit(1).count():
+            comps = self.components(self.scratch.write(links.unionByName(more), "links"))
         return comps
 
 

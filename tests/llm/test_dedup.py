@@ -122,16 +122,46 @@ def test_near_query(spark, sf_dir):
     assert got == brute_near(rows, 85)
 
 
-@pytest.mark.parametrize("limits", [(0, 1000), (2, 12)])
+@pytest.mark.parametrize("limits", [(0, 1, 1), (0, 4, 3), (2, 1000, 1)])
 def test_near_leftover_paths(spark, monkeypatch, limits):
-    """Without listed pairs, with small blocks, and with buckets dealt anew."""
+    """Without listed pairs, and with small blocks, also of large components."""
     monkeypatch.setattr(nd, "SMALL", limits[0])
-    monkeypatch.setattr(nd, "MIDDLING", limits[1])
+    monkeypatch.setattr(nd, "OWN_BLOCKS", limits[1])
     monkeypatch.setattr(nd, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(nd, "UNITS", limits[2])
     rows = variants(60, 4, seed=8)
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
 
 
+def test_near_members_of_large_buckets(spark):
+    """Texts with much in common: none of their buckets is small, few are linked, and
+    what they have in common does not bring them together."""
+    common, rng, rows = words(90, 70), random.Random(4), []
+    for k in range(150):
+        own = words(1000 + k // 2, 12).split()
+        own[rng.randrange(12)] = f"e{k % 3}"
+        rows.append((k, f"{common} {' '.join(own)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert near(df) == want and 1 < len({c for _, _, c in want}) < 150
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Linked sets share an element of their prefixes, however elements are ranked."""
+    rng = np.random.default_rng(6)
+    for percent in (80, 85, 100):
+        for _ in range(300):
+            base = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
+            other = base.copy()
+            for i in rng.integers(0, len(base), rng.integers(0, 6)):
+                other[i] = rng.integers(0, 2**63, dtype=np.uint64)
+            other = np.unique(other)
+            common = len(np.intersect1d(base, other))
+            if 100 * common >= percent * (len(base) + len(other) - common):
+                counts = rng.integers(0, 5, nd.SLOTS)
+                assert len(np.intersect1d(nd.prefix(base, percent, counts), nd.prefix(other, percent, counts)))
+
+
 def test_near_filter(spark):
     df = docs(spark)
     out = nd.drop_near_duplicates(df)
@@ -175,3 +205,12 @@ def test_near_duplicates_go_row_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = {tuple(r) for r in nd.drop_near_duplicates(df).collect()}
     assert left == {(5, base), (None, alone), (9, other), (None, None)}
+
+
+def test_exact_filter_of_rows_without_ids(spark):
+    """Many kept rows share the null id; copies go, the others stay."""
+    rows = [(None, f"text {k}") for k in range(50)] + [(None, "text 3"), (1, "text  4"), (2, "other"), (2, "text 5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(tuple(r) for r in ed.drop_exact_duplicates(df).collect())
+    want = Counter((None, f"text {k}") for k in range(50) if k not in (4, 5)) + Counter([(1, "text  4"), (2, "other"), (2, "text 5")])
+    assert left == want
