@@ -1,7 +1,15 @@
 """The corpus pipeline: language, exact and near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages' results
-are written as Parquet and read again as the next stage's documents.
+are written as Parquet and read again as the next stage's documents. A stage's own
+tables, and the documents that the next stage has read, are deleted when they have
+served.
+
+Defined results: rows, not ids, are judged, so of rows that share an id (or have none)
+each goes or stays by its own text. Null, empty and blank texts have no language and
+go in the first stage. Extra columns pass through all stages but the last, under any
+name. An empty table gives no pieces. Labelled languages are learned from the table
+itself; without any, no text has a recognised language and nothing is left.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from quillstone.llm.language_id import keep_known_language
 from quillstone.llm.near_dedup import drop_near_duplicates
 from quillstone.llm.packing import digest, pack_documents
 from quillstone.llm.pii import sanitise
-from quillstone.llm.support import Scratch
+from quillstone.llm.support import Scratch, freeing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with freeing():
+            kept = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
