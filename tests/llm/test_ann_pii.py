@@ -1,6 +1,7 @@
 """Nearest neighbours, personal data and the pipeline against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -104,6 +105,43 @@ def test_copies_and_ties(spark, monkeypatch):
     assert [a for a, _ in got[60]] == [a for a, _ in want[60]]
 
 
+def test_a_hot_vector_is_one_class(spark):
+    """Half of all rows are equal: each of their queries finds the smallest other ids,
+    and blocks of rows and queries are smaller than the bucket."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(800, 16)).astype(np.float32)
+    x[100:500] = x[100]
+    want = brute_nearest(np.arange(800), x.astype(float), 20, 20)
+    got = search(vectors(spark, [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]), per_bucket=5)
+    assert recall(got, want) >= 0.9
+    assert [a for a, _ in got[120]] == [a for a, _ in want[120]] and [a for a, _ in got[480]] == [a for a, _ in want[480]]
+
+
+def test_dimensions_are_searched_apart(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, rng.normal(size=(3, 8, 33)[i % 3]).astype(np.float32)) for i in range(90)]
+    got = search(vectors(spark, [(i, v.tolist(), 0, "", "") for i, v in rows]), every=1)
+    size, want = dict((i, len(v)) for i, v in rows), {}
+    for n in (3, 8, 33):
+        same = [(j, w) for j, w in rows if len(w) == n]
+        want |= brute_nearest(np.array([j for j, _ in same]), np.stack([w for _, w in same]).astype(float), 1, 20)
+    assert all(len(f) == 20 and {size[j] for j, _ in f} == {size[i]} for i, f in got.items()) and recall(got, want) >= 0.9
+
+
+def test_query_recall(spark, sf_dir):
+    """The registered query, on two sizes of the test table."""
+    for folder in (sf_dir, sf_dir.replace("sf0.001", "sf0.1")):
+        if not os.path.isdir(folder):
+            continue
+        rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+        rows = [(r["vec_id"], r["embedding"]) for r in rows if r["embedding"] is not None]
+        want = brute_nearest(np.array([i for i, _ in rows]), np.array([v for _, v in rows], float), 20, 20)
+        got = defaultdict(list)
+        for r in ann.op9_ann(spark, folder).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert set(got) == set(want) and all(len(f) == len(want[q]) for q, f in got.items()) and recall(got, want) >= 0.9
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0], 0, "", ""), (1, [0.5, 0.5], 0, "", ""), (20, None, 0, "", ""), (40, [0.0, 0.0], 0, "", ""), (60, [float("nan"), 1.0], 0, "", ""), (80, [1.0, None], 0, "", ""), (100, [float("inf"), 1.0], 0, "", ""), (None, [1.0, 1.0], 0, "", ""), (120, [2.0], 0, "", ""), (140, [], 0, "", ""), (1, [0.5, 0.5], 0, "", "")]
     assert dict(search(vectors(spark, rows))) == {0: [(1, 0.5)]}
