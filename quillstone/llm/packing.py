@@ -1,14 +1,18 @@
 """Packing documents into training windows by lexical retrieval.
 
-Documents are taken in shards (a bounded run of an input partition). Each shard
-has an inverted index with BM25 weights over its words. A seed document's rarest
-words query the index; the unused neighbours it returns follow the seed, best
-first, until the window is full, and each of them asks in turn when the seed's
-neighbours end. What overhangs a window opens the next one, so only a shard's
-last window may have padding.
-
-Nothing is shuffled: a shard is what its task reads, bounded by ``shard_tokens``
-and ``shard_docs``; a longer document is a shard of its own.
+Similar documents are brought together first: each has a route, the smallest hashes of
+its rare words (those of more than one token) by two functions, which two documents
+share as often as they share such words. Documents are dealt by ranges of the route
+and then of their place in the input, so that no route is too hot for a task, and
+taken in shards, bounded runs of the sorted rows. Each shard has an inverted index
+with BM25 weights over its words. A seed document's rarest words query the index; the
+unused neighbours it returns follow the seed, best first, until the window is full,
+and each of them asks in turn when the seed's neighbours end. What overhangs a window
+opens the next one. What a shard has left at its end is cut at powers of two, so no
+sequence has padding.
+
+A shard is bounded by ``SHARD_TOKENS`` and ``SHARD_DOCS``; a longer document is a shard
+of its own. The documents' ids are written once, by input partition, and shuffled once.
 
 Defined results: a null text is an empty one, a document of the end id only;
 repeated rows and rows with null ids are documents of their own; other columns
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import chunks
+from .support import Scratch, chunks, release
 from .word_tokens import CACHE_BYTES, default_path, tokenizer
 
 WINDOW = 4096
@@ -83,21 +87,50 @@ class Bm25Shard:
         return best
 
 
-def _words(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit name for each word (the ids up to one that ends a word), and the
-    document it stands in."""
+def _spans(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, the document of each, and each word's first id and number of ids (the
+    ids up to one that ends a word)."""
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     if not len(ids):
-        return ids.astype(np.uint64), owner
+        return ids, owner, np.empty(0, np.int64), np.empty(0, np.int64)
     last = ends[ids]
     last[np.append(np.flatnonzero(np.diff(owner)), len(ids) - 1)] = True
     stop = np.flatnonzero(last)
     begin = np.append(0, stop[:-1] + 1)
-    place = (np.arange(len(ids)) - np.repeat(begin, stop - begin + 1)).astype(np.uint64)
+    return ids, owner, begin, stop - begin + 1
+
+
+def _names(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each word."""
+    if not len(begin):
+        return np.empty(0, np.uint64)
+    place = (np.arange(len(ids)) - np.repeat(begin, size)).astype(np.uint64)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    return np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begin), owner[begin]
+    return np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begin)
+
+
+def _words(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each word, and the document it stands in."""
+    ids, owner, begin, size = _spans(docs, ends)
+    return _names(ids, begin, size), owner[begin]
+
+
+def routes(docs: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Two columns: the smallest hash of each document's rare words by two functions;
+    the largest number for a document without any."""
+    ids, owner, begin, size = _spans(docs, ends)
+    rare = size > 1
+    names, of = _names(ids, begin, size)[rare], owner[begin][rare]
+    out = np.full((len(docs), 2), 2**63 - 1, np.int64)
+    if len(of):
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        for k in range(2):
+            h = (names ^ np.uint64(0x632BE59BD9B4E019 * k)) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            out[of[first], k] = (np.minimum.reduceat(h, first) >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 def pack_shard(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -125,15 +158,43 @@ def pack_shard(docs: list[np.ndarray], ends: np.ndarray, window: int = WINDOW) -
             start, rest, filled = start + take, rest - take, filled + take
             if filled == window:
                 sequence, filled, queue = sequence + 1, 0, []
-    return pieces
+    return _cut_at_powers(pieces, sequence, filled)
 
 
-def _packer(path: str, end_id: int, window: int, cache_bytes: int = CACHE_BYTES):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_at_powers(pieces: list[tuple[int, int, int, int, int]], sequence: int, filled: int) -> list[tuple[int, int, int, int, int]]:
+    """The last sequence as several whose lengths are powers of two, largest first."""
+    tail = [p for p in pieces if p[3] == sequence]
+    out, at = pieces[: len(pieces) - len(tail)], 0
+    for bit in range(filled.bit_length() - 1, -1, -1):
+        size = 1 << bit
+        if not filled & size:
+            continue
+        for doc, start, length, _, offset in tail:
+            low, high = max(offset, at), min(offset + length, at + size)
+            if low < high:
+                out.append((doc, start + low - offset, high - low, sequence, low - at))
+        at, sequence = at + size, sequence + 1
+    return out
+
+
+def _tokeniser(path: str, end_id: int, cache_bytes: int = CACHE_BYTES):
+    """doc_id, ids and the route of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, cache_bytes)
-        ends = tok.word_ends()
+        ends, end = tok.word_ends(), np.array([end_id], "<u4").tobytes()
+        for batch in chunks(batches, "text", 1 << 20, owner="word_tokens"):
+            raws = [raw + end for raw in tok.encode([t or "" for t in batch.column("text").to_pylist()])]
+            route = routes([np.frombuffer(raw, "<u4") for raw in raws], ends)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raws, pa.binary()), pa.array(route[:, 0]), pa.array(route[:, 1])], ["doc_id", "ids", "route", "route2"])
+
+    return run
+
+
+def _packer(path: str, window: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = tokenizer(path).word_ends()
         base = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4").tobytes()
         names, held, total = [], [], 0
 
         def flush():
@@ -149,15 +210,16 @@ def _packer(path: str, end_id: int, window: int, cache_bytes: int = CACHE_BYTES)
                 )
             base += pieces[-1][3] + 1 if pieces else 0
 
-        for batch in chunks(batches, "text", 1 << 20, owner="word_tokens"):
-            for name, raw in zip(batch.column("doc_id").to_pylist(), tok.encode([t or "" for t in batch.column("text").to_pylist()])):
-                if held and (total + len(raw) // 4 >= SHARD_TOKENS or len(held) == SHARD_DOCS):
+        for batch in batches:
+            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                if held and (total + len(raw) // 4 > SHARD_TOKENS or len(held) == SHARD_DOCS):
                     yield from flush()
                     names, held, total = [], [], 0
                 names.append(name)
-                held.append(np.frombuffer(raw + end, "<u4"))
+                held.append(np.frombuffer(raw, "<u4"))
                 total += len(held[-1])
         yield from flush()
+        release()
 
     return pack
 
@@ -166,8 +228,15 @@ def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. cache_bytes bounds what a worker remembers
     of words: less costs time, more costs memory."""
+    spark, path = docs.sparkSession, tokenizer_path or default_path()
+    scratch = Scratch(spark, "packing")
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return table.mapInArrow(_packer(tokenizer_path or default_path(), end_id, window, cache_bytes), PIECES)
+    known = table.mapInArrow(_tokeniser(path, end_id, cache_bytes), "doc_id long, ids binary, route long, route2 long")
+    known = scratch.write(known.withColumn("place", F.monotonically_increasing_id()), "ids")
+    order = ["route", "route2", "place"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids").mapInArrow(_packer(path, window), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
