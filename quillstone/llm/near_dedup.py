@@ -20,8 +20,10 @@ Pairs are bounded in this way:
   only members that share such an element are compared, and what many documents have
   in common brings none of them together;
 * many members that share such an element are compared by a product of incidence
-  matrices of two blocks of them, which returns the links alone. Members of one
-  component have blocks of their own, which are not compared with one another.
+  matrices of two blocks of them, over short codes of their elements. Its counts are
+  upper bounds of the intersections, so it leaves few pairs, and no link out; these
+  are confirmed on the full sets. Members of one component have blocks of their own,
+  which are not compared with one another.
 
 So no link is lost to the stars, and the only pairs left out are those that share no
 bucket. What remains quadratic are sets of many components that all share rare
@@ -57,7 +59,9 @@ BINS = 256
 PERCENT, BAND_ROWS = 80, 5
 #: Members of a bucket whose pairs are listed.
 SMALL = 8
-#: Members and bytes of sets in a block; members of a component that has its own blocks.
+#: Sets of more elements have codes of four bytes, the others of two.
+LONG_SET = 4096
+#: Members and bytes of codes in a block; members of a component that has its own blocks.
 BLOCK_MEMBERS, BLOCK_BYTES, OWN_BLOCKS = 256, 8 << 20, 64
 #: Sums by which elements are ranked; any ranking that all sets share is exact.
 SLOTS = 1 << 16
@@ -281,17 +285,40 @@ def _prefixes(percent: int, counts: np.ndarray):
     return run
 
 
-def _links_of_blocks(percent: int):
-    """Links across components inside each unit, between its two blocks: rows sorted
-    by unit."""
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set's elements cut to four or two bytes, each code once."""
+    for batch in batches:
+        found = []
+        for members in batch.column("members"):
+            short = np.frombuffer(members.as_buffer(), np.uint64).astype(np.uint32)
+            found.append(np.unique(short if len(short) > LONG_SET else short.astype(np.uint16)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(found, pa.binary())], ["cls", "n", "codes"])
+
+
+def possible_links(left: list[dict], right: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs whose sets, of n elements and with these codes, may be
+    linked. Elements of both sets that share a code are counted once, so the smaller
+    number of codes that are missing is added."""
+    long = all(r["n"] > LONG_SET for r in (*left, *right))
+
+    def codes(r: dict) -> np.ndarray:
+        raw = np.frombuffer(r["codes"], np.uint32 if r["n"] > LONG_SET else np.uint16)
+        return raw if long or raw.dtype == np.uint16 else np.unique(raw.astype(np.uint16))
+
+    x, y = [codes(r) for r in left], [codes(r) for r in right]
+    n, m = np.array([r["n"] for r in left])[:, None], np.array([r["n"] for r in right])[None]
+    lost = np.minimum(n - np.array([len(c) for c in x])[:, None], m - np.array([len(c) for c in y])[None])
+    common = np.minimum(common_counts(x, y) + lost, np.minimum(n, m))
+    return np.nonzero(100 * common >= percent * (n + m - common))
+
+
+def _pairs_of_blocks(percent: int):
+    """Pairs across components inside each unit, between its two blocks, that may be
+    linked: rows sorted by unit."""
 
-    def links(held: list[dict]) -> pa.RecordBatch:
+    def found(held: list[dict]) -> pa.RecordBatch:
         left, right = ([r for r in held if r[side]] for side in ("is_low", "is_high"))
-        x, y = ([np.frombuffer(r["members"], np.uint64) for r in side] for side in (left, right))
-        common = common_counts(x, y)
-        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None] - common
-        i, j = np.nonzero(100 * common >= percent * union)
-        both = ((left[k], right[m]) for k, m in zip(i, j))
+        both = ((left[k], right[m]) for k, m in zip(*possible_links(left, right, percent)))
         pairs = sorted({(min(a["cls"], b["cls"]), max(a["cls"], b["cls"])) for a, b in both if a["comp"] != b["comp"]})
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -300,12 +327,12 @@ def _links_of_blocks(percent: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["unit"] != at and held:
-                    yield links(held)
+                    yield found(held)
                     held = []
                 at = row["unit"]
                 held.append(row)
         if held:
-            yield links(held)
+            yield found(held)
         release()
 
     return run
@@ -327,9 +354,12 @@ class _Finder:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def shared(self, buckets: DataFrame, tag: str) -> DataFrame:
-        """(key, cls, n, size) of the buckets with two members or more."""
-        sizes = self.scratch.write(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), f"{tag}_sizes")
-        return self.scratch.write(buckets.join(sizes, "key"), tag)
+        """(key, cls, n, size) of the buckets with two members or more; of buckets with
+        the same members, which their number and 128 bits tell, the first alone."""
+        marks = [F.bit_xor(F.xxhash64(F.lit(k), "cls")).alias(f"mark{k}") for k in (0, 1)]
+        sizes = buckets.groupBy("key").agg(F.count("*").alias("size"), *marks).filter("size > 1")
+        first = sizes.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "size")
+        return self.scratch.write(buckets.join(self.scratch.write(first, f"{tag}_sizes"), "key"), tag)
 
     def stars(self, members: DataFrame) -> DataFrame:
         """Pairs of each bucket's hub with the other members."""
@@ -374,12 +404,12 @@ class _Finder:
         return self.mixed(known, "dealt_left")
 
     def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links across the components of large buckets. A bucket is cut into blocks of
+        """Pairs across the components of large buckets that may be linked. A bucket is cut into blocks of
         bounded size, large components apart from the others; each pair of blocks that
         are not of one component is one unit of work."""
         pools = members.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n"))
         pools = pools.withColumn("pool", F.when(F.col("rows") >= OWN_BLOCKS, F.col("comp")))
-        wanted = F.greatest(F.ceil(F.sum("rows") / BLOCK_MEMBERS), F.ceil(F.sum("sum_n") * 8 / BLOCK_BYTES)).cast("int")
+        wanted = F.greatest(F.ceil(F.sum("rows") / BLOCK_MEMBERS), F.ceil(F.sum("sum_n") * 4 / BLOCK_BYTES)).cast("int")
         pools = self.scratch.write(pools.groupBy("key", "pool").agg(wanted.alias("blocks")), "pools")
         sized = members.join(self.scratch.write(pools.filter("pool is not null").select("key", F.col("pool").alias("comp"), F.lit(True).alias("alone")), "large"), ["key", "comp"], "left")
         sized = sized.withColumn("pool", F.when(F.col("alone"), F.col("comp")))
@@ -394,12 +424,13 @@ class _Finder:
         sides = units.select("key", "unit", F.explode(F.array_distinct(F.array("low", "high"))).alias("name"), "low", "high")
         sides = sides.select("key", "unit", "name", (F.col("name") == F.col("low")).alias("is_low"), (F.col("name") == F.col("high")).alias("is_high"))
         rows = placed.select("key", "cls", "comp", name.alias("name")).join(sides, ["key", "name"]).select("unit", "is_low", "is_high", "cls", "comp")
-        full = self.scratch.write(rows, "unit_rows").join(sets, "cls")
+        codes = self.scratch.write(sets.join(members.select("cls", "n").distinct(), "cls").select("cls", "n", "members").mapInArrow(_codes, "cls binary, n long, codes binary"), "codes")
+        full = self.scratch.write(rows, "unit_rows").join(codes, "cls")
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(units.count() // UNITS, 100_000))
         # Units are numbered one by one in each of few partitions, so they are dealt
         # evenly; each is bounded, so tasks are.
         dealt = full.repartitionById(parts, F.pmod("unit", F.lit(parts)).cast("int")).sortWithinPartitions("unit")
-        return dealt.mapInArrow(_links_of_blocks(self.percent), "a binary, b binary")
+        return dealt.mapInArrow(_pairs_of_blocks(self.percent), "a binary, b binary")
 
     def components(self, links: DataFrame) -> DataFrame:
         """(cls, comp) of all linked classes; comp is the smallest class reachable.
@@ -441,8 +472,14 @@ class _Finder:
         if large.limit(1).count():
             dealt = self.dealt(self.scratch.write(sets.join(large, "cls", "left_semi"), "large_sets"), comps)
             few = self.scratch.write(self.across(dealt.filter(F.col("size") <= SMALL)).join(pairs.unionByName(stars), ["a", "b"], "left_anti"), "few")
-            many = dealt.filter(F.col("size") > SMALL).select("key", "cls", "n", "comp")
-            more = more.unionByName(self.confirmed(few, sets)).unionByName(self.in_blocks(many, sets))
+            # Elements of one family of texts have much the same members: those with the
+            # same first member are one bucket, which each class joins once.
+            many = dealt.filter(F.col("size") > SMALL)
+            first = self.scratch.write(many.groupBy("key").agg(F.min("cls").alias("first")), "first")
+            many = self.scratch.write(many.join(first, "key").select(F.col("first").alias("key"), "cls", "n", "comp").distinct(), "many")
+            known = pairs.unionByName(stars).unionByName(few)
+            some = self.scratch.write(self.in_blocks(many, sets).distinct().join(known, ["a", "b"], "left_anti"), "block_pairs")
+            more = more.unionByName(self.confirmed(few.unionByName(some), sets))
         more = self.scratch.write(more.distinct(), "more")
         self.scratch.drop(sets)
         if more.limit(1).count():

@@ -2,9 +2,9 @@
 
 Similar documents are brought together first: each has a route, the smallest hashes of
 its rare words (those of more than one token) by two functions, which two documents
-share as often as they share such words. Documents are dealt by ranges of the route
-and then of their place in the input, so that no route is too hot for a task, and
-taken in shards, bounded runs of the sorted rows. Each shard has an inverted index
+share as often as they share such words. Documents are dealt by the first and sorted
+by both; adaptive execution splits the partitions that a hot route makes too large
+(``REBALANCE``). They are taken in shards, bounded runs of the sorted rows. Each shard has an inverted index
 with BM25 weights over its words. A seed document's rarest words query the index; the
 unused neighbours it returns follow the seed, best first, until the window is full,
 and each of them asks in turn when the seed's neighbours end. What overhangs a window
@@ -12,7 +12,7 @@ opens the next one. What a shard has left at its end is cut at powers of two, so
 sequence has padding.
 
 A shard is bounded by ``SHARD_TOKENS`` and ``SHARD_DOCS``; a longer document is a shard
-of its own. The documents' ids are written once, by input partition, and shuffled once.
+of its own. The documents' ids are shuffled once, in two bytes where they fit.
 
 Defined results: a null text is an empty one, a document of the end id only;
 repeated rows and rows with null ids are documents of their own; other columns
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Scratch, chunks, release
+from .support import chunks, release, small_batches
 from .word_tokens import CACHE_BYTES, default_path, tokenizer
 
 WINDOW = 4096
@@ -87,18 +87,16 @@ class Bm25Shard:
         return best
 
 
-def _spans(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All ids, the document of each, and each word's first id and number of ids (the
-    ids up to one that ends a word)."""
-    ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+def _spans(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of so many ids, one after another: each word's first id, number of
+    ids (those up to one that ends a word) and document."""
     if not len(ids):
-        return ids, owner, np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     last = ends[ids]
-    last[np.append(np.flatnonzero(np.diff(owner)), len(ids) - 1)] = True
+    last[np.cumsum(lengths)[lengths > 0] - 1] = True
     stop = np.flatnonzero(last)
     begin = np.append(0, stop[:-1] + 1)
-    return ids, owner, begin, stop - begin + 1
+    return begin, stop - begin + 1, np.searchsorted(np.cumsum(lengths), begin, "right")
 
 
 def _names(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,23 +111,24 @@ def _names(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _words(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The name of each word, and the document it stands in."""
-    ids, owner, begin, size = _spans(docs, ends)
-    return _names(ids, begin, size), owner[begin]
+    ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
+    begin, size, owner = _spans(ids, np.array([len(d) for d in docs], np.int64), ends)
+    return _names(ids, begin, size), owner
 
 
-def routes(docs: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Two columns: the smallest hash of each document's rare words by two functions;
-    the largest number for a document without any."""
-    ids, owner, begin, size = _spans(docs, ends)
+def routes(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two rows: the smallest hash of each document's rare words by two functions; the
+    largest number for a document without any."""
+    begin, size, owner = _spans(ids, lengths, ends)
     rare = size > 1
-    names, of = _names(ids, begin, size)[rare], owner[begin][rare]
-    out = np.full((len(docs), 2), 2**63 - 1, np.int64)
+    names, of = _names(ids, begin, size)[rare], owner[rare]
+    out = np.full((2, len(lengths)), 2**63 - 1, np.int64)
     if len(of):
         first = np.flatnonzero(np.diff(of, prepend=-1))
         for k in range(2):
             h = (names ^ np.uint64(0x632BE59BD9B4E019 * k)) * np.uint64(0xFF51AFD7ED558CCD)
             h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            out[of[first], k] = (np.minimum.reduceat(h, first) >> np.uint64(1)).astype(np.int64)
+            out[k, of[first]] = (np.minimum.reduceat(h, first) >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -177,21 +176,24 @@ def _cut_at_powers(pieces: list[tuple[int, int, int, int, int]], sequence: int,
     return out
 
 
-def _tokeniser(path: str, end_id: int, cache_bytes: int = CACHE_BYTES):
-    """doc_id, ids and the route of each document."""
+def _tokeniser(path: str, end_id: int, width: str, cache_bytes: int = CACHE_BYTES):
+    """doc_id, ids and the routes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, cache_bytes)
         ends, end = tok.word_ends(), np.array([end_id], "<u4").tobytes()
         for batch in chunks(batches, "text", 1 << 20, owner="word_tokens"):
-            raws = [raw + end for raw in tok.encode([t or "" for t in batch.column("text").to_pylist()])]
-            route = routes([np.frombuffer(raw, "<u4") for raw in raws], ends)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raws, pa.binary()), pa.array(route[:, 0]), pa.array(route[:, 1])], ["doc_id", "ids", "route", "route2"])
+            raws = tok.encode([t or "" for t in batch.column("text").to_pylist()])
+            lengths = np.array([len(r) // 4 + 1 for r in raws], np.int64)
+            ids = np.frombuffer(end.join([*raws, b""]), "<u4")
+            at = np.append(0, np.cumsum(lengths)) * np.dtype(width).itemsize
+            column = pa.Array.from_buffers(pa.large_binary(), len(raws), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(width))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, *map(pa.array, routes(ids, lengths, ends))], ["doc_id", "ids", "route", "route2"])
 
     return run
 
 
-def _packer(path: str, window: int):
+def _packer(path: str, window: int, width: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = tokenizer(path).word_ends()
         base = TaskContext.get().partitionId() << 33
@@ -212,12 +214,13 @@ def _packer(path: str, window: int):
 
         for batch in batches:
             for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if held and (total + len(raw) // 4 > SHARD_TOKENS or len(held) == SHARD_DOCS):
+                ids = np.frombuffer(raw, width).astype("<u4")
+                if held and (total + len(ids) > SHARD_TOKENS or len(held) == SHARD_DOCS):
                     yield from flush()
                     names, held, total = [], [], 0
                 names.append(name)
-                held.append(np.frombuffer(raw, "<u4"))
-                total += len(held[-1])
+                held.append(ids)
+                total += len(ids)
         yield from flush()
         release()
 
@@ -228,15 +231,13 @@ def pack_documents(docs: DataFrame, *, window: int = WINDOW, tokenizer_path: str
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. cache_bytes bounds what a worker remembers
     of words: less costs time, more costs memory."""
-    spark, path = docs.sparkSession, tokenizer_path or default_path()
-    scratch = Scratch(spark, "packing")
+    path = tokenizer_path or default_path()
+    small_batches(docs.sparkSession)
+    width = "<u2" if max(tokenizer(path).lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = table.mapInArrow(_tokeniser(path, end_id, cache_bytes), "doc_id long, ids binary, route long, route2 long")
-    known = scratch.write(known.withColumn("place", F.monotonically_increasing_id()), "ids")
-    order = ["route", "route2", "place"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = known.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "ids").mapInArrow(_packer(path, window), PIECES)
+    known = table.mapInArrow(_tokeniser(path, end_id, width, cache_bytes), "doc_id long, ids binary, route long, route2 long")
+    dealt = known.withColumn("place", F.monotonically_increasing_id()).hint("rebalance", "route").sortWithinPartitions("route", "route2", "place")
+    return dealt.select("doc_id", "ids").mapInArrow(_packer(path, window, width), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -146,6 +146,26 @@ def test_near_members_of_large_buckets(spark):
     assert near(df) == want and 1 < len({c for _, _, c in want}) < 150
 
 
+def test_short_codes_lose_no_link(monkeypatch):
+    """Counts over codes are upper bounds, also where codes clash and widths differ."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(nd, "LONG_SET", 700)
+    pool = np.unique(rng.integers(0, 2**63, 1500, dtype=np.uint64))
+    pool[:900] = (pool[:900] << np.uint64(16)) | (np.arange(900, dtype=np.uint64) % np.uint64(60))
+    sets = [np.unique(rng.choice(pool, rng.integers(500, 1400), replace=False)) for _ in range(12)]
+    batch = pa.RecordBatch.from_pylist([{"cls": bytes([i]), "n": len(s), "members": s.tobytes()} for i, s in enumerate(sets)])
+    rows = next(nd._codes(iter([batch]))).to_pylist()
+    for percent in (20, 50, 60):
+        found = set(zip(*(a.tolist() for a in nd.possible_links(rows[:6], rows[6:], percent))))
+        for i in range(6):
+            for j in range(6):
+                common = len(np.intersect1d(sets[i], sets[6 + j]))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[6 + j]) - common):
+                    assert (i, j) in found
+
+
 def test_prefixes_of_linked_sets_meet():
     """Linked sets share an element of their prefixes, however elements are ranked."""
     rng = np.random.default_rng(6)
