@@ -105,8 +105,9 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its DuckDB twin if there is one."""
+def query(sql=None):
+    """Register a function under its name, with its DuckDB twin if there is one: a
+    text, or a function of no arguments where the text's parts are defined below."""
 
     def keep(f):
         QUERIES[f.__name__] = f
@@ -123,7 +124,7 @@ def query(sql: str | None = None):
 @query(
     f"""WITH {_SPELLS}
 SELECT operation, year(m.month)::INT AS year, month(m.month)::INT AS month, ({_INDEX.format('m.month')} - {_INDEX.format('start')})::INT AS spell_month,
-  flow::DOUBLE AS monthly_disbursed, total::DOUBLE AS cum_disbursed, (floor(total::DOUBLE / amount::DOUBLE * 10000 + 0.5) / 10000)::DOUBLE AS cum_share,
+  flow::DOUBLE AS monthly_disbursed, total::DOUBLE AS cum_disbursed, round_even(total::DOUBLE / amount::DOUBLE, 4)::DOUBLE AS cum_share,
   crossed::INT AS y_it, 1::INT AS at_risk, resolution AS outcome_resolution,
   (m.month BETWEEN DATE '2000-01-01' AND DATE '2000-06-01')::INT AS shock, priority AS carried
 FROM m JOIN (SELECT operation, priority FROM ops) USING (operation)"""
@@ -190,8 +191,8 @@ def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _share_sql(name: str) -> str:
     return f"""CASE WHEN count({name}) = 0 OR sum(weight) = 0 THEN NULL
-    WHEN sum(weight) FILTER ({name} IS NOT NULL) = 0 THEN floor(sum({name})::DOUBLE / count({name}) * 10000 + 0.5) / 10000
-    ELSE floor(sum(weight * {name})::DOUBLE / (sum(weight) FILTER ({name} IS NOT NULL))::DOUBLE * 10000 + 0.5) / 10000 END AS {name}"""
+    WHEN sum(weight) FILTER ({name} IS NOT NULL) = 0 THEN round_even(sum({name})::DOUBLE / count({name}), 4)
+    ELSE round_even(sum(weight * {name})::DOUBLE / (sum(weight) FILTER ({name} IS NOT NULL))::DOUBLE, 4) END AS {name}"""
 
 
 def _portfolio_sql(freq: str) -> str:
@@ -241,7 +242,7 @@ w AS (
   SELECT operation, {key} AS k, count(*) OVER p AS c, count(n) OVER p AS known, sum(n) OVER p AS total
   FROM pan WINDOW p AS (PARTITION BY {key} ORDER BY approval_day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
 SELECT operation, CASE WHEN k IS NOT NULL THEN c END AS {prefix}_prior_ops_count,
-  CASE WHEN k IS NOT NULL AND known > 0 THEN floor(total::DOUBLE / known * 10 + 0.5) / 10 END AS {prefix}_prior_avg_duration_months,
+  CASE WHEN k IS NOT NULL AND known > 0 THEN round_even(total::DOUBLE / known, 1) END AS {prefix}_prior_avg_duration_months,
   CASE WHEN k IS NOT NULL THEN known END AS {prefix}_prior_n_with_known_duration FROM w"""
 
 
@@ -282,11 +283,11 @@ cum AS (
   SELECT operation, m, approved, anchor + sum(a) OVER (PARTITION BY operation ORDER BY m) AS total
   FROM post JOIN base USING (operation) WHERE anchor IS NOT NULL AND approved > 0),
 g AS (
-  SELECT operation, count(*) AS n, max(m) AS last, max(floor(total::DOUBLE / approved::DOUBLE * 10000 + 0.5) / 100) AS after,
+  SELECT operation, count(*) AS n, max(m) AS last, max(round_even(total::DOUBLE * 100 / approved::DOUBLE, 2)) AS after,
     {", ".join(f"min(m) FILTER (total * 100 >= approved * {t}) AS hit{t}" for t in splice.THRESHOLDS)} FROM cum GROUP BY 1),
 spliced AS (
   SELECT operation, n IS NOT NULL AS spliced, coalesce(n, 0) AS n_spliced_months, strftime(last, '%Y-%m') AS last_spliced_month,
-    CASE WHEN approved > 0 THEN floor(anchor::DOUBLE / approved::DOUBLE * 10000 + 0.5) / 100 END AS share_at_cutoff, after AS share_after_splice,
+    CASE WHEN approved > 0 THEN round_even(anchor::DOUBLE * 100 / approved::DOUBLE, 2) END AS share_at_cutoff, after AS share_after_splice,
     {", ".join(f"strftime(t{t}, '%Y-%m') AS t{t}_orig, strftime(coalesce(t{t}, hit{t}), '%Y-%m') AS t{t}_spliced, (t{t} IS NULL AND hit{t} IS NOT NULL) AS recovered_{t}" for t in splice.THRESHOLDS)}
   FROM base LEFT JOIN g USING (operation))"""
 
@@ -551,49 +552,72 @@ def lower_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------- sample and scoring
 
 
-@query()
+@query(
+    """SELECT doc_id, quality, toxic FROM (
+  SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('20260922|' || doc_id), doc_id) AS nth FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+WHERE nth <= 5"""
+)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], ["doc_id"])
 
 
 @query(
-    """WITH s AS (
-  SELECT lang AS field, CASE WHEN doc_id % 3 = 0 THEN 'Yes' WHEN doc_id % 3 = 1 THEN 'FALSE' ELSE '1,0' END AS a, CASE quality WHEN 1 THEN 'true' ELSE 'no' END AS b
-  FROM documents JOIN labels USING (doc_id)),
-c AS (
-  SELECT field, CASE WHEN a = 'Yes' THEN 'true' WHEN a = 'FALSE' THEN 'false' ELSE '1,0' END AS a, CASE b WHEN 'true' THEN 'true' ELSE 'false' END AS b FROM s)
-SELECT coalesce(field, '(all)') AS field, count(*) AS n, sum((a = b)::INT)::BIGINT AS n_agree, floor(sum((a = b)::INT)::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS rate
-FROM c GROUP BY ROLLUP (field)"""
+    lambda: f"""WITH s AS (
+  SELECT {_sql_list(SCORED)}[doc_id % 3 + 1] AS field, {_sql_list(VALUES)}[doc_id % {len(VALUES)} + 1] AS a, {_sql_list(HAND)}[(doc_id // 5 + quality) % {len(HAND)} + 1] AS b FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT field, {_comparable_sql("a")} AS a, {_comparable_sql("b")} AS b FROM s WHERE trim(b) <> '')
+SELECT coalesce(field, '(all)') AS field, count(*) AS n, sum((a IS NOT DISTINCT FROM b)::INT)::BIGINT AS n_agree, round_even(sum((a IS NOT DISTINCT FROM b)::INT)::DOUBLE / count(*), 3) AS rate
+FROM n GROUP BY ROLLUP (field)"""
 )
 def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("field")).join(table(spark, sf_dir, "labels"), "doc_id")
-    a = F.when(F.col("doc_id") % 3 == 0, "Yes").when(F.col("doc_id") % 3 == 1, "FALSE").otherwise("1,0")
-    b = F.when(F.col("quality") == 1, "true").otherwise("no")
-    return stats.agreement(d.select("field", (v.comparable(a, "boolean") == v.comparable(b, "boolean")).alias("agree")))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    k = F.col("doc_id")
+    sheet = d.select(_pick(k, SCORED).alias("field"), _pick(k, VALUES).alias("extracted_value"), _pick(F.floor(k / 5) + F.col("quality"), HAND).alias("hand_coded_value"))
+    return stats.score_validation(sheet)
+
+
+#: Fields of three types, values and hand-coded values; blank ones are not reviewed.
+SCORED = ("cofinancing_present", "goods_share_pct", "fx_denomination")
+VALUES = ("Yes", "FALSE", "1,234.50", "12%", "none", "US Dollars", "", "0.125", "true", "1")
+HAND = ("true", "no", "1234.5", "12.00", "NULL", "us dollars ", " ", "0.13", "yes", "1", "nan")
+
+
+def _comparable_sql(c: str) -> str:
+    low = f"lower(trim({c}))"
+    return f"""CASE WHEN {low} IN ('', 'none', 'nan', 'null') THEN NULL
+    WHEN field = 'cofinancing_present' THEN CASE WHEN {low} IN ('true', '1', 'yes') THEN 'true' WHEN {low} IN ('false', '0', 'no') THEN 'false' ELSE {low} END
+    WHEN field = 'goods_share_pct' THEN coalesce(round(try_cast(replace(replace({low}, ',', ''), '%', '') AS DECIMAL(30,10)), 2)::VARCHAR, {low}) ELSE {low} END"""
 
 
 # ------------------------------------------------------------ extraction calls
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is a call with its whole text as value. Some name a field that is
+    unknown, some none."""
     c = table(spark, sf_dir, "conversations")
     names = tuple(v.FIELDS)
     return c.select(
-        F.col("conv_id").alias("operation"), F.col("turn").alias("call_id"), F.when(F.col("turn") % 9 == 8, "other").otherwise(_pick(F.col("turn"), names)).alias("field"),
-        F.substring("text", 1, 40).alias("value"), _pick(F.length("text") + F.col("turn"), v.STATUSES).alias("status"),
+        F.col("conv_id").alias("operation"), F.col("turn").alias("call_id"), _call_field(names).alias("field"),
+        F.col("text").alias("value"), _pick(F.length("text") + F.col("turn"), v.STATUSES).alias("status"),
     )
 
 
-_CALLS = f"""c AS (SELECT conv_id AS operation, turn AS call_id, CASE WHEN turn % 9 = 8 THEN 'other' ELSE {_sql_list(tuple(v.FIELDS))}[turn % {len(v.FIELDS)} + 1] END AS field,
-  substring(text, 1, 40) AS value, {_sql_list(v.STATUSES)}[(length(text) + turn) % 3 + 1] AS status FROM conversations)"""
+def _call_field(names: tuple[str, ...]) -> Column:
+    mark = F.length("text") + F.col("conv_id") + F.col("turn")
+    return F.when(mark % 11 == 8, "other").when(mark % 13 != 7, _pick(F.col("turn"), names))
 
 
-@query(f"WITH {_CALLS} SELECT operation, {', '.join(f'''arg_max(value, call_id) FILTER (field = '{n}' AND value IS NOT NULL) AS {n}''' for n in v.FIELDS)} FROM c GROUP BY 1")
+_CALLS = f"""c AS (SELECT conv_id AS operation, turn AS call_id,
+  CASE WHEN (length(text) + conv_id + turn) % 11 = 8 THEN 'other' WHEN (length(text) + conv_id + turn) % 13 <> 7 THEN {_sql_list(tuple(v.FIELDS))}[turn % {len(v.FIELDS)} + 1] END AS field,
+  text AS value, {_sql_list(v.STATUSES)}[(length(text) + turn) % 3 + 1] AS status FROM conversations)"""
+
+
+@query(f"WITH {_CALLS} SELECT operation, {', '.join(f'''arg_max_null(value, call_id) FILTER (field = '{n}') AS {n}''' for n in v.FIELDS)} FROM c GROUP BY 1")
 def calls_to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.calls_to_panel(_calls(spark, sf_dir))
 
 
-@query(f"WITH {_CALLS} SELECT operation, call_id, field, 'unknown field' AS reason FROM c WHERE field = 'other'")
+@query(f"WITH {_CALLS} SELECT operation, call_id, field, CASE WHEN field IS NULL THEN 'no field' ELSE 'unknown field' END AS reason FROM c WHERE field IS NULL OR field = 'other'")
 def malformed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.checked_calls(_calls(spark, sf_dir)).filter("reason is not null").select("operation", "call_id", "field", "reason")
 
@@ -673,14 +697,12 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CASE WHEN doc_id % 4 = 0 THEN 'English' ELSE 'other' END AS language, count(*) AS n_ops, floor(sum(doc_id % 7)::DOUBLE / sum(doc_id % 9) * 1000 + 0.5) / 10 AS relevant_pct,
-  floor(sum(doc_id % 3)::DOUBLE / count(*) * 100 + 0.5) / 100 AS found_per_op, floor((count(*) FILTER (doc_id % 7 = 0))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS zero_relevant_pct
-FROM documents GROUP BY 1"""
+    lambda: f"""WITH {_AUDIT} SELECT CASE WHEN starts_with(operation, 'JA-') THEN 'English' ELSE 'other' END AS language, count(*) AS n_ops, floor(sum(r)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS relevant_pct,
+  floor(sum(found)::DOUBLE / count(*) * 100 + 0.5) / 100 AS found_per_op, floor((count(*) FILTER (r = 0))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS zero_relevant_pct
+FROM o GROUP BY 1"""
 )
 def language_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
-    ops = d.select(F.when(k % 4 == 0, "JA-L1093").otherwise("BR-L1001").alias("operation"), (k % 9).alias("n_paragraphs"), (k % 7).alias("n_relevant"), (k % 3).alias("n_found"))
-    return stats.by_language(ops)
+    return stats.diagnose(_audit(spark, sf_dir))["language"]
 
 
 # ----------------------------------------------------------- documents as text
@@ -698,11 +720,59 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "ln AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
 
-@query()
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _has(words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(low, '{t.fold(w)}')" for w in words)
+
+
+_LOW = _LINES + """,
+low AS (SELECT doc_id, doc_id // 8 AS op, pos, text, lower(strip_accents(nfc_normalize(text))) AS low, regexp_matches(text, '(\\.{5,}|…{2,}|_{5,})\\s*[0-9]') AS toc FROM ln)"""
+_HITS = ", ".join(f"(NOT toc AND ({_has(ws)}))::INT AS {n}" for n, ws in KEYWORDS.items())
+_ANY = " + ".join(KEYWORDS)
+_AUDIT = f"""{_LOW},
+tg AS (SELECT op, length(text) AS len, {_HITS} FROM low),
+g AS (SELECT op, count(*) AS n, count(*) FILTER ({_ANY} > 0) AS r, coalesce(sum(len) FILTER ({_ANY} > 0), 0)::BIGINT AS c, {", ".join(f"max({n}) AS {n}" for n in KEYWORDS)} FROM tg GROUP BY 1),
+u AS (SELECT doc_id // 8 AS op, count(*) FILTER (length(text) < 400) AS failed FROM documents GROUP BY 1),
+o AS (SELECT CASE WHEN op % 4 = 0 THEN 'JA-L' ELSE 'BR-L' END || op AS operation, n, r, c, failed, {_ANY} AS found FROM g JOIN u USING (op)),
+f AS ({" UNION ALL ".join(f"SELECT '{n}' AS tag, {n} AS h, op % 2 = 0 AS plain FROM g" for n in KEYWORDS)})"""
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents are an operation; its lines are its paragraphs, and a group of
+    keywords is a field. Short documents stand for those that could not be read."""
+    rows = _tagged(spark, sf_dir).withColumn("op", F.floor(F.col("doc_id") / 8))
+    relevant = F.size("tags") > 0
+    has = [F.max(F.array_contains("tags", n)).alias(n) for n in KEYWORDS]
+    ops = rows.groupBy("op").agg(F.count("*").alias("n"), F.count_if(relevant).alias("r"), F.coalesce(F.sum(F.when(relevant, F.length("text"))), F.lit(0)).alias("c"), *has)
+    failed = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("op")).agg(F.count_if(F.length("text") < 400).alias("failed"))
+    status = lambda n: F.when(F.col(n), "found").when(F.col("op") % 2 == 0, "not_stated").otherwise("stated_absent")
+    return ops.join(failed, "op").select(
+        F.concat(F.when(F.col("op") % 4 == 0, "JA-L").otherwise("BR-L"), F.col("op").cast("string")).alias("operation"),
+        F.struct(F.col("n").alias("n_paragraphs_total"), F.col("r").alias("n_paragraphs_relevant"), F.col("c").alias("bundle_chars"), F.col("failed").alias("n_documents_failed")).alias("stats"),
+        F.array(*[F.struct(F.lit(n).alias("field"), status(n).alias("status")) for n in KEYWORDS]).alias("fields"),
+    )
+
+
+@query(
+    f"""WITH {_LINES},
+num AS (SELECT doc_id, pos, pos // 8 + 1 AS page, (pos // 30 % 99 + 1) || '.' || (pos % 30 + 1) AS id, trim(text, {_BLANKS}) AS line, text FROM ln),
+shown AS (SELECT doc_id, pos, page, id, pos % 11 = 3 AND line <> '' AS opens, CASE WHEN pos % 11 = 3 AND line = '' THEN id ELSE line END AS line, text FROM num),
+para AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k, bool_or(opens) OVER (PARTITION BY doc_id, page) AS numbered FROM shown),
+body AS (
+  SELECT doc_id, CASE WHEN k = max(k) OVER (PARTITION BY doc_id) THEN 1e9 ELSE max(pos) + 1 END AS place, max(id) FILTER (opens) AS para_id, min(page) AS page, string_agg(line, ' ' ORDER BY pos) AS text
+  FROM para WHERE k > 0 GROUP BY doc_id, k),
+blob AS (
+  SELECT doc_id, page * 8 - 0.5 AS place, 'page-' || page AS para_id, page, substring(trim(string_agg(CASE WHEN pos % 11 = 3 THEN line ELSE text END, chr(10) ORDER BY pos), {_BLANKS}), 1, 4000) AS text
+  FROM para WHERE NOT numbered GROUP BY doc_id, page),
+every AS (SELECT doc_id, place::DOUBLE AS place, para_id, page, text FROM body UNION ALL SELECT * FROM blob WHERE text <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS pos, para_id, page::VARCHAR AS page, text FROM every"""
+)
 def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line of a document opens a numbered paragraph; pages of 8 lines."""
+    """Every eleventh line of a document opens a numbered paragraph; pages of 8 lines."""
     lines = _lines(spark, sf_dir)
-    numbered = F.when((F.col("pos") % 3 == 1) & (F.col("pos") < 270), F.concat((F.floor(F.col("pos") / 30) + 1).cast("int").cast("string"), F.lit("."), ((F.col("pos") % 30) + 1).cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    numbered = F.when(F.col("pos") % 11 == 3, F.concat((F.floor(F.col("pos") / 30) % 99 + 1).cast("int").cast("string"), F.lit("."), ((F.col("pos") % 30) + 1).cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     page = (F.floor(F.col("pos") / 8) + 1).cast("int")
     text = lines.groupBy("doc_id", page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", numbered.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     return paragraphs.segment_pages(text)
@@ -722,17 +792,25 @@ def paragraph_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_LINES}, u AS (SELECT doc_id, pos, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln)
-SELECT doc_id, pos::INT AS pos, used::BIGINT AS used FROM u WHERE used <= 1500"""
+SELECT doc_id, pos::INT AS pos, used::BIGINT AS used FROM u WHERE used <= 12000"""
 )
 def retrieval_document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _lines(spark, sf_dir).select("doc_id", "pos", F.col("text").alias("chunk"))
-    return retrieval.in_document_order(chunks, "doc_id", 1500).select("doc_id", "pos", "used")
+    return retrieval.in_document_order(chunks, "doc_id").select("doc_id", "pos", "used")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LOW},
+t AS (SELECT doc_id, pos, length(text) AS size, {" + ".join(f"{n} * {dict(alpha=3, beta=2).get(n, 1)}" for n in KEYWORDS)} AS score FROM (SELECT *, {_HITS} FROM low)),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM t WHERE score > 0),
+w AS (
+  SELECT doc_id, pos, score, k, size <= 12000 AS take, CASE WHEN size <= 12000 THEN size ELSE 0 END AS used FROM q WHERE k = 1
+  UNION ALL SELECT q.doc_id, q.pos, q.score, q.k, used + size <= 12000, CASE WHEN used + size <= 12000 THEN used + size ELSE used END FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1)
+SELECT doc_id, pos::INT AS pos, score::INT AS score FROM w WHERE take"""
+)
 def retrieval_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _tagged(spark, sf_dir).filter("size(tags) > 0").select("doc_id", "pos", "score", F.col("text").alias("chunk"))
-    return retrieval.by_score(chunks, "doc_id", 1500).select("doc_id", "pos", "score")
+    return retrieval.by_score(chunks, "doc_id").select("doc_id", "pos", "score")
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -831,7 +909,15 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_fields(p).withColumn("docs", F.to_json("docs"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS (
+  SELECT operation, bytes, row_number() OVER (ORDER BY operation) AS k
+  FROM (SELECT lpad((doc_id // 8)::VARCHAR, 8, '0') AS operation, coalesce(sum(n_chars * 1000) FILTER (doc_id % 5 <> 0), 0)::BIGINT AS bytes FROM documents GROUP BY 1)),
+w AS (
+  SELECT operation, bytes, k, bytes <= {int(0.7 * 2**30)} AS take, CASE WHEN bytes <= {int(0.7 * 2**30)} THEN bytes ELSE 0 END AS used FROM s WHERE k = 1
+  UNION ALL SELECT s.operation, s.bytes, s.k, used + s.bytes <= {int(0.7 * 2**30)}, CASE WHEN used + s.bytes <= {int(0.7 * 2**30)} THEN used + s.bytes ELSE used END FROM w JOIN s ON s.k = w.k + 1)
+SELECT operation, bytes FROM w WHERE take"""
+)
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     files = d.select(F.lpad((F.floor(F.col("doc_id") / 8)).cast("string"), 8, "0").alias("operation"), F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".PDF")).alias("path"), (F.col("n_chars") * 1000).alias("length"))
@@ -863,13 +949,29 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT count(*) AS n_ops, count(*) FILTER (n = 0) AS zero_parsed, count(*) FILTER (n > 0 AND r = 0) AS zero_relevant, count(*) FILTER (c >= 24000) AS capped,
-  sum(f)::BIGINT AS failed_documents, count(*) FILTER (f > 0) AS failed_ops
-FROM (SELECT n_chars AS c, doc_id % 9 AS n, doc_id % 7 AS r, doc_id % 3 AS f FROM documents)"""
+    f"""WITH {_AUDIT} SELECT count(*) AS n_ops, count(*) FILTER (n = 0) AS zero_parsed, count(*) FILTER (r = 0) AS zero_relevant, count(*) FILTER (c >= 24000) AS capped,
+  sum(failed)::BIGINT AS failed_documents, count(*) FILTER (failed > 0) AS failed_ops FROM o"""
 )
 def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return stats.health(d.select(F.col("n_chars"), (F.col("doc_id") % 9).alias("n_paragraphs"), (F.col("doc_id") % 7).alias("n_relevant"), (F.col("doc_id") % 3).alias("n_failed")))
+    return stats.diagnose(_audit(spark, sf_dir))["health"]
+
+
+@query(
+    f"""WITH {_AUDIT}, m AS (SELECT 'n_paragraphs' AS measure, n AS v FROM o UNION ALL SELECT 'n_relevant', r FROM o UNION ALL SELECT 'n_chars', c FROM o),
+s AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY measure) AS n FROM m)
+SELECT measure, {", ".join(f"max(v) FILTER (k = floor({p} * (n - 1))) AS q{round(p * 100):02d}" for p in (0.25, 0.5, 0.75))}, max(v) AS max FROM s GROUP BY 1"""
+)
+def audit_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.diagnose(_audit(spark, sf_dir))["quantiles"]
+
+
+@query(
+    f"""WITH {_AUDIT}, n AS (SELECT count(*) AS ops FROM o)
+SELECT tag AS field, count(*) FILTER (h = 1) AS found, count(*) FILTER (h = 0 AND NOT plain) AS stated_absent, count(*) FILTER (h = 0 AND plain) AS not_stated, floor((count(*) FILTER (h = 1))::DOUBLE / max(ops) * 1000 + 0.5) / 10 AS found_pct
+FROM f, n GROUP BY 1"""
+)
+def audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.diagnose(_audit(spark, sf_dir))["status"]
 
 
 def _eligible_sql() -> str:
@@ -881,3 +983,44 @@ def eligible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     p = o.select(k.alias("operation"), F.lit("Chile").alias("country"), F.when(F.col("o_orderstatus") == "P", "Proposed ").otherwise("Closed").alias("project_status"), _pick(k, ("Investment Loan", "Policy-Based Financing", "Guarantee")).alias("lending_instrument"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("approval_date"))
     return enrich.eligible(p, 1996, 1999).select("operation")
+
+
+_SCOPE = "w AS (SELECT DISTINCT trim(v) AS operation FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN ' #' || p_partkey WHEN p_partkey % 5 = 1 THEN ' ' ELSE ' ' || p_partkey * 53 END AS v FROM part) WHERE trim(v) <> '' AND NOT starts_with(trim(v), '#'))"
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    lines = table(spark, sf_dir, "part").select(F.when(k % 5 == 0, F.concat(F.lit(" #"), k.cast("string"))).when(k % 5 == 1, " ").otherwise(F.concat(F.lit(" "), (k * 53).cast("string"))).alias("value"))
+    folders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("operation"))
+    return pages.in_scope(folders, pages.wanted_keys(lines))
+
+
+@query(f"WITH {_SCOPE} SELECT o_orderkey::VARCHAR AS operation FROM orders WHERE o_orderkey::VARCHAR IN (SELECT operation FROM w)")
+def folders_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scope(spark, sf_dir)[0]
+
+
+@query(f"WITH {_SCOPE} SELECT operation FROM w WHERE operation NOT IN (SELECT o_orderkey::VARCHAR FROM orders)")
+def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scope(spark, sf_dir)[1]
+
+
+@query(
+    f"""WITH {_LINES}, p AS (SELECT doc_id AS operation, pos, trim(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[^a-z0-9]+', ' ', 'g')) AS words, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln),
+b AS (SELECT operation, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 800) AS before, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 2000) AS after FROM p GROUP BY 1),
+q AS (SELECT operation, pos::VARCHAR AS field, substring(words, 1, 60) AS head FROM p)
+SELECT operation, field, head, coalesce(head <> '' AND contains(regexp_replace(before, ' +', ' ', 'g'), head), false) AS in_before, coalesce(head <> '' AND contains(regexp_replace(after, ' +', ' ', 'g'), head), false) AS in_after FROM q JOIN b USING (operation)"""
+)
+def passage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a quote; the excerpts are a document's first lines."""
+    rows = _lines(spark, sf_dir)
+
+    def excerpt(budget: int) -> DataFrame:
+        kept = retrieval.in_document_order(rows.select("doc_id", "pos", F.col("text").alias("chunk")), "doc_id", budget)
+        return kept.groupBy(F.col("doc_id").alias("operation")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "\n").alias("bundle"))
+
+    quotes = rows.select(F.col("doc_id").alias("operation"), F.col("pos").cast("string").alias("field"), F.col("text").alias("quote"))
+    return stats.passage_checks(quotes, excerpt(800), excerpt(2000))
+
+
+ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})

@@ -48,13 +48,15 @@ DESCRIPTIONS: dict[str, str] = {
     "eligibility_date_stated": "Calendar date of eligibility for disbursement.",
 }
 STATUSES = ("found", "stated_absent", "not_stated")
-# Names of modality codes; instruments of verified codes.
+# Names of modality codes; codes whose instrument is an investment loan.
 MODALITIES = {
     "ESP": "Specific Investment Operation", "PBL": "Policy-Based Loan", "PBP": "Programmatic Policy-Based Loan",
     "GOM": "Multiple Works Program", "SEF": "Sector Facility Loan", "LBR": "Results-Based Loan",
 }
-INVESTMENT_CODES = ("ESP", "GOM", "GCR", "PPE", "SEF", "TCR", "IRF", "LBR", "INO")
-INSTRUMENTS = dict.fromkeys(INVESTMENT_CODES, "Investment Loan")
+INSTRUMENTS = {
+    "ESP": "Investment Loan", "GOM": "Investment Loan", "GCR": "Investment Loan", "PPE": "Investment Loan", "SEF": "Investment Loan",
+    "TCR": "Investment Loan", "IRF": "Investment Loan", "LBR": "Investment Loan", "INO": "Investment Loan",
+}
 # The lender's own capital windows; ISO codes of borrowing countries.
 OWN_CAPITAL = ("ORC", "FSO", "BLD")
 ISO3 = {
@@ -130,7 +132,9 @@ def sector_label(sector: Column, subsector: Column) -> Column:
 
 
 def titled(c: Column) -> Column:
-    return F.nullif(F.initcap(F.trim(c)), F.lit(""))
+    """Trimmed, and a capital after everything that is no letter ("On-Hold")."""
+    letters = F.regexp_extract_all(F.lower(F.trim(c)), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.nullif(F.array_join(F.transform(letters, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), ""), F.lit(""))
 
 
 def millions(c: Column) -> Column:

@@ -29,5 +29,6 @@ def plan_batch(sizes: DataFrame, free_gb: float, margin: float = 0.7, key: str =
                 left -= n if keep[-1] else 0
             yield part[keep]
 
-    ordered = sizes.select(key, "bytes").coalesce(1).sortWithinPartitions(key)
+    # An exchange, so that the sums before it keep their own tasks.
+    ordered = sizes.select(key, "bytes").repartition(1).sortWithinPartitions(key)
     return ordered.mapInPandas(run, shape)

@@ -75,11 +75,15 @@ def extract(bundles: DataFrame, extractor: Extractor) -> DataFrame:
 
 
 def extract_document(paragraphs: DataFrame, extractor: Extractor, budget: int = 12_000) -> DataFrame:
-    """Calls for single documents: tags, the best paragraphs of each under the
-    document budget, then the extractor. paragraphs: as for project_bundle."""
+    """Calls for single documents: tags, the best tagged paragraphs of each with their
+    whole texts under the document budget, then the extractor. paragraphs: operation,
+    pos, para_id, page, text; doc_name, if there is one, stands in the citation."""
     from . import retrieval
 
-    rows = retrieval.candidates_of(paragraphs, "operation").withColumn("score", retrieval.t.score(F.col("tags")))
+    rows = retrieval.tagged(paragraphs).filter(F.size("tags") > 0)
+    place = F.concat(F.lit("¶"), F.col("para_id"))
+    place = F.concat(F.col("doc_name"), F.lit(" "), place) if "doc_name" in paragraphs.columns else place
+    rows = rows.withColumn("chunk", F.concat(F.lit("["), place, F.lit(", p."), F.col("page"), F.lit("] "), F.col("text")))
     picked = retrieval.by_score(rows, "operation", budget)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "\n\n")
     return extract(picked.groupBy("operation").agg(body.alias("bundle")), extractor)

@@ -112,6 +112,14 @@ def safe_file_name(c: Column) -> Column:
     return F.pandas_udf(_safe, "string")(c)
 
 
+def in_scope(folders: DataFrame, wanted: DataFrame, key: str = "operation", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The folders that a list names, the first ones by name if there is a limit; and
+    the names of the list without a folder."""
+    kept = folders.join(wanted.select(key).distinct(), key, "left_semi")
+    unknown = wanted.select(key).distinct().join(folders.select(key).distinct(), key, "left_anti")
+    return (kept if limit is None else kept.orderBy(key).limit(limit)), unknown
+
+
 def wanted_keys(lines: DataFrame, column: str = "value") -> DataFrame:
     """Keys of a list file: trimmed, without blanks and # lines, each once."""
     key = F.trim(column)

@@ -51,7 +51,8 @@ def contamination(resolved: DataFrame, blocks: DataFrame, key: str = "operation"
 
     named: the operation stands in the file's name, or (without its hyphen) in the
     text of the source document's blocks, all blocks if the source is unknown.
-    others: other operations in the quote, if a block holds the quote."""
+    others: other operations in the quote, if a block holds the quote. Both are null
+    for calls that are not found."""
     bare = F.replace(F.upper(F.col(key).cast("string")), F.lit("-"), F.lit(""))
     quoted = _quoted(resolved).withColumn("own", bare)
     pairs = quoted.select(key, call, "source_document", "head", "own").join(blocks.select(key, "doc", "words"), key).filter("source_document = '' or doc = source_document")
@@ -60,7 +61,10 @@ def contamination(resolved: DataFrame, blocks: DataFrame, key: str = "operation"
     others = F.array_sort(F.array_remove(keys.keys_in(F.coalesce("quote", F.lit("")), prefixes), F.upper(F.col(key).cast("string"))))
     out = resolved.join(seen, [key, call], "left")
     in_name = F.contains(F.upper("source_document"), F.upper(F.col(key).cast("string")))
-    return out.select(*resolved.columns, (in_name | F.coalesce("in_text", F.lit(False))).alias("source_names_operation"), F.when(F.coalesce("quote_there", F.lit(False)), others).otherwise(F.array().cast("array<string>")).alias("other_operations_in_quote"))
+    found = F.col("status") == "found"
+    named = F.when(found, in_name | F.coalesce("in_text", F.lit(False)))
+    listed = F.when(found, F.when(F.coalesce("quote_there", F.lit(False)), others).otherwise(F.array().cast("array<string>")))
+    return out.select(*resolved.columns, named.alias("source_names_operation"), listed.alias("other_operations_in_quote"))
 
 
 def quality_counters(flagged: DataFrame, key: str = "operation") -> DataFrame:

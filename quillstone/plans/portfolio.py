@@ -12,14 +12,14 @@ SHARES = ("import_share", "cofinancing_share", "fx_foreign_share", "commodity_se
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Null if nothing is stated or all weights are 0; the plain mean if the stated
-    values weigh nothing; else the weighted mean. Rounded to four places."""
+    values weigh nothing; else the weighted mean. Rounded half to even, to four places."""
     weight = weight.cast("decimal(20,4)")
     stated = F.sum(F.when(value.isNotNull(), weight))
     total = F.sum(weight)
     part = F.sum(F.when(value.isNotNull(), weight * value.cast("decimal(14,4)"))).cast("double") / stated.cast("double")
     plain = F.sum(value.cast("decimal(14,4)")).cast("double") / F.count(value)
-    half_up = lambda c: F.floor(c * 10000 + 0.5) / 10000
-    return F.when((F.count(value) == 0) | (total == 0), None).when(stated == 0, half_up(plain)).otherwise(half_up(part))
+    even = lambda c: F.rint(c * 10000) / 10000
+    return F.when((F.count(value) == 0) | (total == 0), None).when(stated == 0, even(plain)).otherwise(even(part))
 
 
 def active_periods(operations: DataFrame, horizon: str, freq: str = "year") -> DataFrame:

@@ -31,7 +31,7 @@ class SpellRules:
 
 
 def share(part: Column, whole: Column) -> Column:
-    return F.floor(part.cast("double") / whole.cast("double") * 10000 + 0.5) / 10000
+    return F.rint(part.cast("double") / whole.cast("double") * 10000) / 10000
 
 
 def flow_profiles(flows: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def splice_thresholds(stream: DataFrame, approved: DataFrame, registry: DataFram
     total = (F.col("anchor") + F.sum("amount").over(running)).cast("decimal(38,4)")
     shares = flows.join(valid, "operation").withColumn("total", total)
     reached = [F.min(F.when(F.col("total") * 100 >= F.col("whole") * t, F.col("month"))).alias(f"hit{t}") for t in thresholds]
-    percent = lambda part, whole: F.floor(part.cast("double") / whole.cast("double") * 10000 + 0.5) / 100
+    percent = lambda part, whole: F.rint(part.cast("double") * 100 / whole.cast("double") * 100) / 100
     found = shares.groupBy("operation").agg(F.count("*").alias("n"), F.max("month").alias("last"), F.max(percent(F.col("total"), F.col("whole"))).alias("after"), *reached)
     out = base.join(found, "operation", "left")
     columns = ["operation", F.col("n").isNotNull().alias("spliced"), F.coalesce("n", F.lit(0)).alias("n_spliced_months"), year_month(F.col("last")).alias("last_spliced_month"), F.when(F.col("approved") > 0, percent(F.col("anchor"), F.col("approved").cast("decimal(20,4)"))).alias("share_at_cutoff"), F.col("after").alias("share_after_splice")]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.months import five_year_bucket
+from ..functions.text import words_of
+from ..functions.values import FIELDS, STATUSES, comparable
+from ..sources.sinks import reviewed
 
 # Key prefixes of borrowers whose documents are in English.
 ENGLISH = ("BA", "BH", "BL", "GY", "JA", "TT")
@@ -45,7 +48,7 @@ def histogram(table: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def stratified_sample(table: DataFrame, strata: Sequence[str], key: Sequence[str], k: int = 5, seed: int = 20260922) -> DataFrame:
     """Up to k rows of each stratum, the ones with the smallest seeded hash."""
-    order = F.xxhash64(F.lit(seed), *key)
+    order = F.md5(F.concat_ws("|", F.lit(seed), *key).cast("binary"))
     place = Window.partitionBy(*strata).orderBy(order, *key)
     return table.filter(" and ".join(f"`{s}` is not null" for s in strata)).withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k).drop("nth")
 
@@ -54,10 +57,26 @@ def agreement(scored: DataFrame, field: str = "field", agree: str = "agree") ->
     """Number, agreements and rate of each field, and of all ("(all)")."""
     ok = F.col(agree).cast("int")
     rows = scored.rollup(field).agg(F.count("*").alias("n"), F.sum(ok).alias("n_agree"), F.grouping(field).alias("whole"))
-    rate = F.floor(F.col("n_agree") / F.col("n") * 1000 + 0.5) / 1000
+    rate = F.rint(F.col("n_agree") / F.col("n") * 1000) / 1000
     return rows.select(F.when(F.col("whole") == 1, "(all)").otherwise(F.col(field)).alias("field"), "n", "n_agree", rate.alias("rate"))
 
 
+def score_validation(sheet: DataFrame, types: Mapping[str, str] = FIELDS) -> DataFrame:
+    """Agreement of extracted and hand-coded values by field and in all. sheet: field,
+    extracted_value, hand_coded_value; rows without a hand-coded value wait. Values are
+    compared in the form of their field's type, and two missing ones agree."""
+    done = reviewed(sheet)
+
+    def shown(c: str) -> Column:
+        out = comparable(F.col(c), "string")
+        for kind in ("boolean", "number"):
+            named = [f for f, k in types.items() if kind in k]
+            out = F.when(F.col("field").isin(*named), comparable(F.col(c), kind)).otherwise(out)
+        return out
+
+    return agreement(done.select("field", shown("extracted_value").eqNullSafe(shown("hand_coded_value")).alias("agree")))
+
+
 def status_by_field(calls: DataFrame, n_ops: Column, statuses: Sequence[str]) -> DataFrame:
     """Calls by field and status, and the found share of all operations."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
@@ -80,10 +99,10 @@ def lower_quantiles(table: DataFrame, column: str, shares: Sequence[float]) -> D
 
 
 def health(operations: DataFrame, cap: int = 24_000) -> DataFrame:
-    """Operations without paragraphs, without relevant ones, at the cap, and with
-    unread documents. operations: n_paragraphs, n_relevant, n_chars, n_failed."""
+    """Operations without paragraphs, without relevant ones (those without any among
+    them), at the cap, and with unread documents. operations: n_paragraphs, n_relevant, n_chars, n_failed."""
     return operations.agg(
-        F.count("*").alias("n_ops"), F.count_if(F.col("n_paragraphs") == 0).alias("zero_parsed"), F.count_if((F.col("n_paragraphs") > 0) & (F.col("n_relevant") == 0)).alias("zero_relevant"),
+        F.count("*").alias("n_ops"), F.count_if(F.col("n_paragraphs") == 0).alias("zero_parsed"), F.count_if(F.col("n_relevant") == 0).alias("zero_relevant"),
         F.count_if(F.col("n_chars") >= cap).alias("capped"), F.sum("n_failed").alias("failed_documents"), F.count_if(F.col("n_failed") > 0).alias("failed_ops"),
     )
 
@@ -118,6 +137,38 @@ def before_after(before: DataFrame, after: DataFrame, key: str, columns: Sequenc
     return left.join(right, key)
 
 
+def passage_checks(quotes: DataFrame, before: DataFrame, after: DataFrame, key: str = "operation", head: int = 60) -> DataFrame:
+    """Whether the first characters of each quote, as words, stand in an operation's
+    excerpt of one run and of another. quotes: key, field, quote; excerpts: key, bundle.
+    An empty quote, and an operation without an excerpt, count as absent."""
+    rows = quotes.withColumn("head", F.substring(words_of(F.coalesce("quote", F.lit(""))), 1, head))
+    for name, bundles in (("in_before", before), ("in_after", after)):
+        side = bundles.select(key, words_of(F.coalesce("bundle", F.lit(""))).alias("excerpt"))
+        there = (F.col("head") != "") & F.contains("excerpt", F.col("head"))
+        rows = rows.join(side, key, "left").withColumn(name, F.coalesce(there, F.lit(False))).drop("excerpt")
+    return rows.select(key, "field", "head", "in_before", "in_after")
+
+
+def diagnose(audit: DataFrame, statuses: Sequence[str] = STATUSES, cap: int = 24_000) -> dict[str, DataFrame]:
+    """An audit's diagnosis: statuses by field, health, quantiles of what was parsed,
+    and the comparison by language. audit: operation, stats, fields (see load_audit)."""
+    none = lambda c: F.coalesce(F.col(f"stats.{c}"), F.lit(0))
+    fields = F.coalesce("fields", F.array().cast(audit.schema["fields"].dataType))
+    ops = audit.select(
+        "operation", none("n_paragraphs_total").alias("n_paragraphs"), none("n_paragraphs_relevant").alias("n_relevant"), none("bundle_chars").alias("n_chars"),
+        none("n_documents_failed").alias("n_failed"), F.size(F.filter(fields, lambda f: f["status"] == statuses[0])).alias("n_found"),
+    )
+    total = audit.agg(F.count("*").alias("n_ops"))
+    calls = audit.select(F.explode("fields").alias("c")).select("c.field", "c.status")
+    by_field = calls.groupBy("field").agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses]).crossJoin(F.broadcast(total))
+    by_field = by_field.withColumn("found_pct", F.floor(F.col(statuses[0]) / F.col("n_ops") * 1000 + 0.5) / 10).drop("n_ops")
+    spread = None
+    for name in ("n_paragraphs", "n_relevant", "n_chars"):
+        one = lower_quantiles(ops, name, (0.25, 0.5, 0.75)).crossJoin(ops.agg(F.max(name).alias("max"))).select(F.lit(name).alias("measure"), "*")
+        spread = one if spread is None else spread.unionByName(one)
+    return {"status": by_field, "health": health(ops, cap), "quantiles": spread, "language": by_language(ops)}
+
+
 def recall(paragraphs: DataFrame, key: str, expected: str, there: str) -> DataFrame:
     """Per key: paragraphs that should be retrieved, and those that were."""
     return paragraphs.groupBy(key).agg(F.count_if(expected).alias("n_expected"), F.count_if(F.col(expected) & F.col(there)).alias("n_retrieved"))

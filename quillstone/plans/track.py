@@ -12,7 +12,7 @@ def track_record(operations: DataFrame, key: str, prefix: str, strict: bool = Fa
 
     operations: operation, approval (date), the key, n_months (null unless
     completed), and completed (date) if strict. Earlier means approved on an earlier
-    day. strict counts a duration only if that operation was completed before the
+    day. Means are rounded half to even, to one place. strict counts a duration only if that operation was completed before the
     row's approval; otherwise durations that end later count too.
 
     Each key's days are summed first, so the running sums go over days, not over
@@ -30,5 +30,5 @@ def track_record(operations: DataFrame, key: str, prefix: str, strict: bool = Fa
     before = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     sums = days.select(key, "day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "known", "total")])
     out = usable.select("operation", key, "day").join(sums, [key, "day"], "left")
-    mean = F.when(F.col("known") > 0, F.floor(F.col("total") / F.col("known") * 10 + 0.5) / 10)
+    mean = F.when(F.col("known") > 0, F.rint(F.col("total") / F.col("known") * 10) / 10)
     return out.select("operation", F.col("n").alias(f"{prefix}_prior_ops_count"), mean.alias(f"{prefix}_prior_avg_duration_months"), F.col("known").alias(f"{prefix}_prior_n_with_known_duration"))

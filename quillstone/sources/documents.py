@@ -17,8 +17,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """operation, doc_idx, doc_name, length, kind, content of the files one folder
-    below the root. Too large files have kind "too_large"; the length is tested
-    before the content is read."""
+    below the root. Too large files have kind "too_large", files named .pdf that hold
+    something else "not_pdf"; the length is tested before the content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
     files = files.select("path", F.element_at(parts, -2).alias("operation"), F.element_at(parts, -1).alias("doc_name"), "length", "content")
@@ -50,9 +50,11 @@ def sniff(content: Column) -> Column:
 
 
 def kind_of(name: Column, content: Column) -> Column:
-    """The extension decides if it is known, else the content."""
+    """The extension decides if it is known, else the content. A file named .pdf whose
+    content is none (a saved error page) is "not_pdf"."""
     ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    return F.when(ext.isin("pdf", "docx"), ext).otherwise(sniff(content))
+    real = F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
+    return F.when((ext == "pdf") & ~real, "not_pdf").when(ext.isin("pdf", "docx"), ext).otherwise(sniff(content))
 
 
 def word_paragraphs(content: bytes) -> list[str]:
@@ -153,9 +155,12 @@ def project_paragraphs(files: DataFrame, readers: list | None = None) -> tuple[D
     of_word = segment_word_paragraphs(word.filter("error is null").select(key, "at", "text"), "doc")
     paragraphs = of_pdf.unionByName(of_word).select("doc.*", "pos", "para_id", "page", "text")
     failed = pages.filter("error is not null").select("operation", "doc_idx", "doc_name", "error").unionByName(word.filter("error is not null").select("operation", "doc_idx", "doc_name", "error"))
-    large = files.filter("kind = 'too_large'").select("operation", "doc_idx", "doc_name", F.lit(None).cast("string").alias("error"))
-    text = F.when(F.col("error").isNull(), F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- skipped, too large"))).otherwise(F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- could not parse: "), F.col("error")))
-    notes = failed.unionByName(large).select("operation", F.col("doc_idx").alias("note_idx"), text.alias("note"))
+    megabytes = F.format_string("%.0f", F.col("length") / float(2**20))
+    large = F.concat(F.lit("skipped, "), megabytes, F.lit(f" MB exceeds the {MAX_BYTES >> 20} MB parsing limit"))
+    other = F.lit("skipped, not parsed for text: file is named .pdf but its content is not a PDF")
+    skipped = files.filter(F.col("kind").isin("too_large", "not_pdf")).select("operation", "doc_idx", "doc_name", F.when(F.col("kind") == "too_large", large).otherwise(other).alias("why"))
+    every = failed.select("operation", "doc_idx", "doc_name", F.concat(F.lit("could not parse: "), F.col("error")).alias("why")).unionByName(skipped)
+    notes = every.select("operation", F.col("doc_idx").alias("note_idx"), F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- "), F.col("why")).alias("note"))
     return paragraphs, notes
 
 

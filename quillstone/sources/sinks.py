@@ -24,7 +24,7 @@ def append_new(results: DataFrame, path: str, key: str) -> None:
 def write_csv(table: DataFrame, path: str) -> None:
     """One CSV file with a header, for tables of report size. Nested columns are JSON."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, kind in table.dtypes]
-    table.select(*flat).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    table.select(*flat).repartition(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_log(log: DataFrame, path: str) -> None:
@@ -34,8 +34,8 @@ def write_log(log: DataFrame, path: str) -> None:
 
 def dump_document(paragraphs: DataFrame, bundle: DataFrame, folder: str) -> None:
     """A document's paragraphs as JSON and its excerpt as text, for debugging."""
-    paragraphs.coalesce(1).write.mode("overwrite").json(f"{folder}/paragraphs_full")
-    bundle.select("bundle").coalesce(1).write.mode("overwrite").text(f"{folder}/retrieval_bundle")
+    paragraphs.repartition(1).write.mode("overwrite").json(f"{folder}/paragraphs_full")
+    bundle.select("bundle").repartition(1).write.mode("overwrite").text(f"{folder}/retrieval_bundle")
 
 
 def glossary(spark: SparkSession) -> DataFrame:

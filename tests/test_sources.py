@@ -51,7 +51,7 @@ def test_folder_to_bundle(spark, tmp_path):
     paras, notes = documents.project_paragraphs(files, [lambda c: [c.decode()[5:]]])
     bundle = retrieval.project_bundle(paras, "operation", notes).first()["bundle"]
     assert "[a.docx ¶1.1, p.n/a] The executing agency plans procurement" in bundle and "[b.pdf ¶2.1, p.1] Civil works begin" in bundle
-    assert bundle.startswith("[c.docx] -- could not parse") and "[d.pdf] -- skipped, too large" in bundle
+    assert bundle.startswith("[c.docx] -- could not parse") and "[d.pdf] -- skipped, 0 MB exceeds the 40 MB parsing limit" in bundle
     calls = extraction.extract_document(paras.filter("doc_idx = 1"), extraction.keyword_extractor({"civil_works_type": "civil works"}))
     assert [(r["status"], r["citation_para"]) for r in calls.collect()] == [("found", "b.pdf ¶2.1, p.1")]
 

@@ -92,13 +92,13 @@ def model_segments(pages_):
                 if open_:
                     out.append(open_)
                 open_ = [m.group(1), str(number), [m.group(2)]]
-            elif line and open_:
+            elif open_:
                 open_[2].append(line)
         if not any_ and text.strip():
             out.append([f"page-{number}", str(number), [text.strip()[:4000]]])
     if open_:
         out.append(open_)
-    return [(a, b, " ".join(c).strip()) for a, b, c in out]
+    return [(a, b, " ".join(c)) for a, b, c in out]
 
 
 def test_segments(spark):
@@ -118,7 +118,7 @@ def test_segments(spark):
 def test_word_segments(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(["Title", "", "Intro", "1.1 First", "more", "1.2 Second"])], "doc_id long, at int, text string")
     got = [(r["para_id"], r["page"], r["text"]) for r in paragraphs.segment_word_paragraphs(df).orderBy("pos").collect()]
-    assert got == [("docx-p0", "n/a", "Title"), ("docx-p1", "n/a", "Intro"), ("1.1", "n/a", "First more"), ("1.2", "n/a", "Second")]
+    assert got == [("docx-p1", "n/a", "Title"), ("docx-p2", "n/a", "Intro"), ("1.1", "n/a", "First more"), ("1.2", "n/a", "Second")]
 
 
 @given(st.lists(st.integers(1, 50), max_size=30), st.integers(0, 200), st.data())
