@@ -29,9 +29,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import warnings
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +80,7 @@ def byte_grid(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(sizes + 2) - sizes - 1
     inside = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
     flat[inside] = np.frombuffer(b"".join(raws), np.uint8)
-    return np.stack([flat[inside - 1], flat[inside], flat[inside + 1]], axis=1).astype(np.int64), np.cumsum(sizes) - sizes
+    return np.stack([flat[inside - 1], flat[inside], flat[inside + 1]], axis=1), np.cumsum(sizes) - sizes
 
 
 def windows_of(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,6 +263,14 @@ class Words:
     def of(words: list[str], vocabulary: dict[str, int]) -> "Words":
         return Words(np.array([vocabulary.get(plain(w), 0) for w in words], np.int64), *byte_grid(words))
 
+    def weighted(self, net: BiGru) -> np.ndarray:
+        """The network's weighted() of all words, made in parts of bounded size."""
+        parts = [np.zeros((0, 6 * HIDDEN), np.float32)]
+        for begin in range(0, len(self.row), 8192):
+            some = self.part(np.arange(begin, min(begin + 8192, len(self.row))))
+            parts.append(net.weighted(net.inputs(some.row, some.grid, some.begin)))
+        return np.concatenate(parts)
+
     def part(self, rows: np.ndarray) -> "Words":
         ends = np.append(self.begin, len(self.grid))
         sizes = ends[rows + 1] - ends[rows]
@@ -304,10 +310,7 @@ class ToxicityModel:
         at = len(self.index)
         while at + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for begin in range(0, len(new), 8192):
-            some = Words.of(new[begin : begin + 8192], self.vocabulary)
-            rows = self.net.weighted(self.net.inputs(some.row, some.grid, some.begin))
-            self.table[at + begin : at + begin + len(rows)] = rows
+        self.table[at : at + len(new)] = Words.of(new, self.vocabulary).weighted(self.net)
         self.index.update(zip(new, range(at, at + len(new))))
         find = self.index.__getitem__
         return np.fromiter((i for words in texts for i in map(find, words)), np.int64)
@@ -347,12 +350,12 @@ def _grid(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return (flat[place] if len(flat) else np.zeros(place.shape, np.int64)), there
 
 
-def log_odds(texts: list[set[str]], y: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
-    """Shrunken log odds of the label for each word of the vocabulary, by the number of
-    texts that hold it; 0 for the others."""
-    counts = np.zeros((2, len(vocabulary) + 1))
-    for words, label in zip(texts, y):
-        counts[int(label), [vocabulary.get(w, 0) for w in words]] += 1
+def log_odds(texts: list[np.ndarray], y: np.ndarray, rows: int) -> np.ndarray:
+    """Shrunken log odds of the label for each row of the word embedding, by the number
+    of texts that hold its word; texts: each one's distinct rows. Row 0 has 0."""
+    counts = np.zeros((2, rows))
+    for held, label in zip(texts, y):
+        counts[int(label), held] += 1
     n = np.array([max((y == 0).sum(), 1), max((y == 1).sum(), 1)])
     every = counts.sum(axis=0)
     rate = (counts + (every + 1) / n.sum()) / (n[:, None] + 2)
@@ -362,37 +365,45 @@ def log_odds(texts: list[set[str]], y: np.ndarray, vocabulary: dict[str, int]) -
     return out
 
 
-def fit(texts: list[list[list[str]]], y: np.ndarray, share: np.ndarray | None = None) -> ToxicityModel:
+def fit(texts: Iterable[list[list[str]]], y: np.ndarray, share: np.ndarray | None = None) -> ToxicityModel:
     """Train on texts and 0/1 labels, in their order. A text is a list of pieces, each
     a list of words; share: how much of each text is there."""
     share = np.ones(len(y)) if share is None else share
+    # Words are numbered while the texts are read, so that each is held once.
+    number: dict[str, int] = {}
+    coded = [[np.fromiter((number.setdefault(w, len(number)) for w in p), np.int32, len(p)) for p in t] for t in texts]
+    known = list(number) or ["-"]
+    shown = [plain(w) for w in known]
+    same = {w: i for i, w in enumerate(sorted(set(shown)))}
+    of = np.array([same[w] for w in shown])
+    held = [np.unique(of[np.concatenate(t)]) if t else np.zeros(0, np.int64) for t in coded]
+    frequent = np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=len(same)) >= LEAST
+    row = np.where(frequent, np.cumsum(frequent), 0)
+    vocabulary = {w: int(row[i]) for w, i in same.items() if frequent[i]}
     # Every second text of each class gives the start values, if there are two.
     nth = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
     start = nth % 2 == 1
     rest = ~start
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         start = rest = np.ones(len(y), bool)
-    held = [{plain(w) for p in t for w in p} for t in texts]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in Counter(chain.from_iterable(held)).items() if n >= LEAST))}
     net = BiGru(len(vocabulary))
-    net.ew[:, 0] = log_odds([t for t, a in zip(held, start) if a], y[start], vocabulary)
+    net.ew[:, 0] = log_odds([row[held[k]] for k in np.flatnonzero(start)], y[start], len(vocabulary) + 1)
     odds = net.ew[:, 0].copy()
+    pieces = [(i, p) for i, k in enumerate(np.flatnonzero(rest)) for p in coded[k]]
     y, share = y[rest], share[rest]
-    pieces = [(k, p) for k, t in enumerate(t for t, a in zip(texts, rest) if a) for p in t]
-    known = sorted({w for _, p in pieces for w in p}) or ["-"]
-    place = {w: i for i, w in enumerate(known)}
     words = Words.of(known, vocabulary)
-    flat = np.fromiter((place[w] for _, p in pieces for w in p), np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *(p for _, p in pieces)])
     owner, first, size = windows_of([len(p) for _, p in pieces])
     owner = np.array([k for k, _ in pieces])[owner]
+    del coded, held, pieces, number
     index, there = _grid(flat, first, size)
     value = odds[words.row]
     worst = (np.maximum(value[index], 0) * there).max(axis=1)
     clean = np.zeros(0, np.int64)
     for again in range(ROUNDS):
         if again:
-            table = net.weighted(net.inputs(words.row, words.grid, words.begin))
-            worst = np.concatenate([net.score(table, index[b : b + 4096], there[b : b + 4096]) for b in range(0, len(index), 4096)])
+            table = words.weighted(net)
+            worst = np.concatenate([net.score(table, index[b : b + 1024], there[b : b + 1024]) for b in range(0, len(index), 1024)])
         order = np.lexsort((-worst, owner))
         nth = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
         # Of a toxic text its worst window is learned as toxic; of a clean text the
@@ -439,12 +450,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_C
     some = only_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), sample.select("doc_id"))
     rows = some.join(F.broadcast(sample), "doc_id").select("at", F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
     rows = rows.mapInArrow(_window_texts(windows), "at long, doc_id long, label int, share double, pieces array<string>")
-    got = sorted((r["at"], r["doc_id"], r["label"], r["share"], list(r["pieces"])) for r in rows.toLocalIterator())
+    got = sorted((r["at"], r["doc_id"], r["label"], r["share"], r["pieces"]) for r in rows.toLocalIterator())
     labelled = np.array([r[2] for r in got], int)
     if len(set(labelled.tolist())) < 2:
         warnings.warn("toxicity: no labelled rows of both classes; all scores are the label's share", stacklevel=2)
         return Constant((float(labelled.sum()) + 0.5) / (len(labelled) + 1))
-    return fit([[p.split() for p in r[4]] for r in got], labelled, np.array([r[3] for r in got]))
+    return fit(([p.split() for p in r[4]] for r in got), labelled, np.array([r[3] for r in got]))
 
 
 def _scorer(model: ToxicityModel | Constant):
