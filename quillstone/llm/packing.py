@@ -66,7 +66,8 @@ class Bm25Shard:
         self.weights = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
         # Each document's query: its rarest words that another document has too.
         shared = np.flatnonzero(df[term] > 1)
-        ranked = shared[np.argsort((owner[shared] << 13) + df[term[shared]], kind="stable")]
+        # One sort of the document, the word's frequency and its place.
+        ranked = np.sort((owner[shared] << 45) | (df[term[shared]] << 32) | shared) & 0xFFFFFFFF
         self.query_of = np.searchsorted(owner[ranked], np.arange(n + 1))
         self.query_terms = term[ranked]
         self.scores = np.zeros(n, np.float32)

@@ -54,7 +54,8 @@ class _Known(dict):
 
     def __init__(self, lib, limit: int):
         super().__init__()
-        self.lib, self.model, self.letters = lib, lib.model, _byte_letters()
+        self.lib, self.letters = lib, _byte_letters()
+        self.tokenize = lib.model.tokenize
         self.limit, self.held = limit, 0
         self[""] = b""
 
@@ -63,30 +64,42 @@ class _Known(dict):
         # are one piece, which the model takes in the vocabulary's writing. Marks after
         # letters are another piece, unless the lower case ends in a mark of its own
         # (as that of U+0130 does), which would join them.
-        if max(word) >= "\u0250":
-            ids = self._by_library(word)
-        elif word.isalpha():
-            low = word.lower()
-            if low == word:
-                written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        size = len(word)
+        if word.isascii():
+            if word.isalpha():
+                ids = array("I", [t.id for t in self.tokenize(word.lower())]).tobytes()
             else:
-                ids = self[low] if low.isalpha() else self._by_library(word)
+                ids = self._parts(word)
         else:
-            core = word.rstrip(punctuation)
-            apart = core != word and core.isalpha() and core.lower().isalpha()
-            ids = self[core] + self[word[len(core) :]] if apart else self._by_library(word)
-        cost = ENTRY + 4 * len(word) + len(ids)
-        if self.held + cost > self.limit:
+            size *= 4
+            if max(word) >= "\u0250":
+                ids = self._by_library(word)
+            elif not word.isalpha():
+                ids = self._parts(word)
+            else:
+                low = word.lower()
+                if low == word:
+                    ids = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+                else:
+                    ids = self[low] if low.isalpha() else self._by_library(word)
+        size += ENTRY + len(ids)
+        self.held += size
+        if self.held > self.limit:
             self.clear()
-            self.held = 0
+            self.held = size
             self[""] = b""
-            if cost > self.limit:
+            if size > self.limit:
+                self.held = 0
                 return ids
-        self.held += cost
         self[word] = ids
         return ids
 
+    def _parts(self, word: str) -> bytes:
+        core = word.rstrip(punctuation)
+        if core != word and core.isalpha() and core.lower().isalpha():
+            return self[core] + self[word[len(core) :]]
+        return self._by_library(word)
+
     def _by_library(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
