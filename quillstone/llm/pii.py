@@ -150,9 +150,14 @@ def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
+#: Bytes of a table of terms that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
+
+
 def _checked(side: DataFrame) -> DataFrame:
-    """Broadcast a stored table of short rows only if it is small."""
-    return F.broadcast(side) if side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else side
+    """Broadcast a stored table of terms only if it is small, in rows and in bytes."""
+    size = side.limit(BROADCAST_IDS + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(side) if size["rows"] <= BROADCAST_IDS and size["bytes"] <= BROADCAST_BYTES else side
 
 
 def revealing_terms(docs: DataFrame, texts: DataFrame, base: DataFrame, scratch: Scratch, disclosure: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
