@@ -91,12 +91,20 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables of this scratch that no later step reads."""
+        """Delete tables of this scratch that no later step reads. A frame that reads
+        anything outside this scratch's own folder is refused, and nothing is deleted."""
+        path, store = self._hadoop(self.root)
+        own = store.makeQualified(path).toUri().getPath().rstrip("/") + "/"
+        folders = set()
         for df in frames:
-            for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                if self.root.partition("://")[2] in folder:
-                    path, store = self._hadoop(folder)
-                    store.delete(path, True)
+            for file in df.inputFiles():
+                folder, folder_store = self._hadoop(file.rpartition("/")[0])
+                if not folder_store.makeQualified(folder).toUri().getPath().startswith(own):
+                    raise ValueError(f"not a table of this scratch: {file}")
+                folders.add(file.rpartition("/")[0])
+        for name in folders:
+            folder, folder_store = self._hadoop(name)
+            folder_store.delete(folder, True)
 
     def close(self) -> None:
         """Delete all its tables."""
