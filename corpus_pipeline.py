@@ -67,9 +67,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for at, (name, stage) in enumerate(STAGES[:-1]):
         with freeing():
             kept = scratch.write(stage(spark, docs, sf_dir), name)
-        scratch.drop(docs)
+        if at:  # never the input itself
+            scratch.drop(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
