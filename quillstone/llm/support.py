@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,13 +96,12 @@ class Scratch:
         anything outside this scratch's own folder is refused, and nothing is deleted."""
         path, store = self._hadoop(self.root)
         own = store.makeQualified(path).toUri().getPath().rstrip("/") + "/"
-        folders = set()
-        for df in frames:
-            for file in df.inputFiles():
-                folder, folder_store = self._hadoop(file.rpartition("/")[0])
-                if not folder_store.makeQualified(folder).toUri().getPath().startswith(own):
-                    raise ValueError(f"not a table of this scratch: {file}")
-                folders.add(file.rpartition("/")[0])
+        # The names of input files are encoded as in a URI.
+        folders = {unquote(file.rpartition("/")[0]) for df in frames for file in df.inputFiles()}
+        for name in folders:
+            folder, folder_store = self._hadoop(name)
+            if not folder_store.makeQualified(folder).toUri().getPath().startswith(own):
+                raise ValueError(f"not a table of this scratch: {name}")
         for name in folders:
             folder, folder_store = self._hadoop(name)
             folder_store.delete(folder, True)

@@ -32,10 +32,10 @@ def test_scratches_are_freed(spark):
 def test_only_its_own_tables_are_dropped(spark, tmp_path, monkeypatch, scheme):
     """Whether or not the shared folder is named with a scheme, a table that lies
     elsewhere is refused and stays, also one beside the scratch."""
-    monkeypatch.setattr(su, "shared_dir", lambda _: f"{scheme}{tmp_path}/shared")
+    monkeypatch.setattr(su, "shared_dir", lambda _: f"{scheme}{tmp_path}/shared %20 folder")
     scratch = su.Scratch(spark, "own")
     own = scratch.write(spark.range(3), "own")
-    for place in (tmp_path / "input" / "documents.parquet", tmp_path / "shared" / "quillstone" / "other"):
+    for place in (tmp_path / "input" / "documents.parquet", tmp_path / "shared %20 folder" / "quillstone" / "other"):
         spark.range(5).write.parquet(str(place))
         foreign = spark.read.parquet(str(place))
         for frames in ((foreign,), (own, foreign)):
