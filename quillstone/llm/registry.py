@@ -3,9 +3,10 @@ can express."""
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import cohorts, exact_dedup
 from .ann import op9_ann
 from .byte_bpe import op7_byte_bpe
+from .cohorts import op12_cohort_retention
 from .exact_dedup import op2_exact_dedup
 from .language_id import op1_language_id
 from .near_dedup import op6_near_dedup
@@ -26,7 +27,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
+    "op12_cohort_retention": op12_cohort_retention,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op12_cohort_retention": cohorts.ORACLE,
 }
