@@ -3,11 +3,13 @@ can express."""
 
 from __future__ import annotations
 
-from . import cohorts, exact_dedup
+from . import cohorts, exact_dedup, fill_middle
 from .ann import op9_ann
+from .best_fit import op11_best_fit
 from .byte_bpe import op7_byte_bpe
 from .cohorts import op12_cohort_retention
 from .exact_dedup import op2_exact_dedup
+from .fill_middle import op13_fill_middle
 from .language_id import op1_language_id
 from .near_dedup import op6_near_dedup
 from .packing import op4_packing
@@ -27,9 +29,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_ann": op9_ann,
     "op10_pii": op10_pii,
+    "op11_best_fit": op11_best_fit,
     "op12_cohort_retention": op12_cohort_retention,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op12_cohort_retention": cohorts.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
