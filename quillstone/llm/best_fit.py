@@ -80,12 +80,11 @@ def _cut(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for batch in chunks(batches, "text", 1 << 20, owner="byte_tokens"):
-            raws = tok.encode([t or "" for t in batch.column("text").to_pylist()])
-            ids = np.frombuffer(end.join([*raws, b""]), np.uint8)
-            total = np.array([len(r) // 4 + 1 for r in raws], np.int64)
+        for batch in chunks(batches, "text", 4 << 20, owner="byte_tokens"):
+            ids, total = tok.encode(batch.column("text"), end)
+            ids = ids.view(np.uint8)
             count = -(-total // window)
-            doc = np.repeat(np.arange(len(raws)), count)
+            doc = np.repeat(np.arange(len(total)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             first = total - (count - 1) * window  # the first piece may be shorter
             length = np.where(piece == 0, first[doc], window)

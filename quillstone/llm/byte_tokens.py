@@ -1,11 +1,11 @@
 """Encoding with a byte-level BPE file of the tokenizers library, word by word.
 
-The file's pattern starts a piece at a single space before anything but white space, so a
-text's ids are those of its first word and of each space with the word after it. Words
-repeat: a dictionary, bounded by bytes, keeps the ids of the words met so far. Words of
-Latin letters are one piece, which the model takes in the vocabulary's writing; others go
-to the library. Texts with runs of white space, or with the text of a special token, go
-to the library whole. The result equals ``Tokenizer.encode(text,
+The file's pattern starts a piece at a single space before anything but white space, and
+a line end between others is a piece, so a line's ids are those of its first word and of
+each space with the word after it. Words repeat: stores, bounded by bytes, keep the ids
+of the words met so far. Words of Latin letters are one piece, which the model takes
+in the vocabulary's writing; others go to the library. Texts with other runs of white
+space, or with the text of a special token, go to the library whole. The result equals ``Tokenizer.encode(text,
 add_special_tokens=False)``.
 """
 
@@ -14,15 +14,21 @@ from __future__ import annotations
 import os
 from array import array
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from .joined_words import CACHE_BYTES, WordStore, encode_words
 from .support import caches
-from .word_tokens import CACHE_BYTES, ENTRY, _byte_letters
+from .word_tokens import _byte_letters
 
 _loaded: dict[str, "ByteTokenizer"] = {}
 caches["byte_tokens"] = _loaded.clear
-#: White space other than one space between others, or line ends alone.
-_odd_space = regex.compile(r"  | [^\S ]| \Z").search
+_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\p{Z}"
+#: White space by which a text isn't cut into words: a space before other white space or
+#: the end; three line ends in a row, two before white space or the end, or one beside
+#: other white space than a space after it.
+ODD = rf" [\n{_SPACE}]| \z|\n\n[\n{_SPACE}]|\n\n\z|[{_SPACE}]\n|\n[\t\x0b\x0c\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{3000}}]"
 
 
 def default_path() -> str:
@@ -38,66 +44,33 @@ def tokenizer(path: str) -> "ByteTokenizer":
     return _loaded[path]
 
 
-class _Known(dict):
-    """Word -> the ids' bytes of a space and the word; made when first asked for. The
-    words of another store stand without a space before them."""
-
-    def __init__(self, lib, space: str, limit: int):
-        super().__init__()
-        self.lib, self.space, self.limit, self.held = lib, space, limit, 0
-        self.letters = _byte_letters()
-        self.start: _Known = self
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
-        size = ENTRY + 4 * len(word) + len(ids)
-        if self.held + size > self.limit:
-            self.clear()
-            self.held = 0
-            if size > self.limit:
-                return ids
-        self.held += size
-        self[word] = ids
-        return ids
-
-    def _ids(self, word: str) -> bytes:
-        # A line end between two words is a piece of its own.
-        if "\n" in word:
-            lines = word.split("\n")
-            if all(lines) and not any(map(str.isspace, word.replace("\n", ""))):
-                end = self.start._library("\n")
-                return end.join([self[lines[0]], *map(self.start.__getitem__, lines[1:])])
-            return self._library(self.space + word)
-        core = word[:-1] if word[-1:] in ".,;:!?" and len(word) > 1 else word
-        if not core.isalpha() or max(core) >= "ɐ":
-            return self._library(self.space + word)
-        if core is not word:
-            return self[core] + self.start[word[-1]]
-        written = (self.space + word).encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.lib.model.tokenize(written)]).tobytes()
-
-    def _library(self, text: str) -> bytes:
-        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
-
-
 class ByteTokenizer:
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib, self.letters = Tokenizer.from_file(path), _byte_letters()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known = _Known(self.lib, " ", cache_bytes)
-        self.known.start = self.first = _Known(self.lib, "", cache_bytes // 4)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        find, out = self.known.__getitem__, []
-        for text in texts:
-            if _odd_space(text) or any(s in text for s in self.special):
-                out.append(self.known._library(text))
-            else:
-                first, _, rest = text.partition(" ")
-                ids = self.first[first] if first else b""
-                out.append(ids + b"".join(map(find, rest.split(" "))) if rest else ids)
-        return out
+        self.line_end = self._library("\n")
+        self.marks = {m: self._library(m) for m in ".,;:!?"}
+        # The words after a space, and those that begin a line.
+        self.later = WordStore(lambda word: self._ids(" ", word), cache_bytes)
+        self.first = WordStore(lambda word: self._ids("", word) if word else b"", cache_bytes // 4)
+
+    def _ids(self, space: str, word: str) -> bytes:
+        core = word[:-1] if word[-1:] in self.marks and len(word) > 1 else word
+        if not core.isalpha() or max(core) >= "\u0250":
+            return self._library(space + word)
+        written = (space + core).encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.lib.model.tokenize(written)]).tobytes()
+        return ids if core is word else ids + self.marks[word[-1]]
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id in end, and their numbers."""
+        odd = pc.match_substring_regex(texts, ODD)
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        return encode_words(texts, self.later, end, first=self.first, line_end=self.line_end, odd=pc.fill_null(odd, False), whole=self._library)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,22 +24,29 @@ def lib():
     return Tokenizer.from_file(byte_tokens.default_path())
 
 
+def check_tokens(own, lib, texts):
+    ids, sizes = own.encode(pa.array([*texts, None]), np.array([7], "<u4").tobytes())
+    for text, one in zip([*texts, ""], np.split(ids, np.cumsum(sizes)[:-1])):
+        assert one.tolist() == [*lib.encode(text, add_special_tokens=False).ids, 7], repr(text)
+
+
 def test_tokens_equal_the_library(lib):
     own, rng = byte_tokens.ByteTokenizer(byte_tokens.default_path()), random.Random(3)
     bits = ["a", "The", "I'm", "don't", "é", "ɐx", "ʼn", "日本", "😀", "1", "42nd", ".", ",", "...", "\n", "\n\n", "\t", " ", "  ", "\r\n", " ", " ", "\x85", "_", "x" * 40, "<|endoftext|>", "End.", "ß;", "\x00", "İ"]
-    texts = ["", " ", "\n", "a\nb", "a \nb", "a\n b", "a.\nb c", "end\n", " a", "a\x1fb"]
+    texts = ["", " ", "\n", "\n\nb", "a\n\nb", "a\n\n b", "a\n\n\nb", "a\u2003\nb", "a\n\u2003b", "a\n\n", "\na", "a\nb", "a \nb", "a\n b", "a.\nb c", "end\n", " a", "a\x1fb"]
     texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
     texts += [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
-    for text, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    check_tokens(own, lib, texts)
 
 
 def test_words_kept_are_bounded(lib):
     own = byte_tokens.ByteTokenizer(byte_tokens.default_path(), cache_bytes=4000)
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20)] + ["y" * 5000]
-    for text, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
-    assert own.known.held <= 4000 and own.first.held <= 1000
+    check_tokens(own, lib, texts)
+    for text in texts:  # batch by batch
+        check_tokens(own, lib, [text])
+    own.encode(pa.array([""]))
+    assert own.later.held() <= 4000 and own.first.held() <= 1000
 
 
 def brute_best_fit(lengths, window):
