@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import coding, keys, months, text as t, values as v
 from .operators import batch, extraction, pages, paragraphs, resolve, retrieval
 from .plans import calendars, coding as code_plan, enrich, portfolio, splice, spells, stats, track
+from .session import stored
 from .streaming import resume
 
 RULES = spells.SpellRules(flows_cutoff="2001-06-01", data_cutoff="2001-12-01")
@@ -302,8 +303,8 @@ def threshold_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS ({" UNION ALL ".join(f"SELECT {t}::INT AS threshold, t{t}_orig IS NULL AS missing, recovered_{t} AS rec FROM win" for t in splice.THRESHOLDS)})
 SELECT threshold, count(*) AS n_ops, count(*) FILTER (missing) AS censored_before, count(*) FILTER (rec) AS recovered,
   count(*) FILTER (missing) - count(*) FILTER (rec) AS censored_after,
-  floor((count(*) FILTER (missing))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS rate_before,
-  floor((count(*) FILTER (missing) - count(*) FILTER (rec))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS rate_after
+  round_even((count(*) FILTER (missing))::DOUBLE / count(*) * 1000, 0) / 10 AS rate_before,
+  round_even((count(*) FILTER (missing) - count(*) FILTER (rec))::DOUBLE / count(*) * 1000, 0) / 10 AS rate_after
 FROM r GROUP BY 1"""
 )
 def splice_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,9 +399,9 @@ SELECT operation, ['Brazil', 'Peru;Chile', 'Regional', 'Jamaica'][operation % 4
   CASE operation % 4 WHEN 0 THEN 'BRA' WHEN 3 THEN 'JAM' END AS country_iso3, 'Project ' || operation AS project_name,
   CASE WHEN operation % 2 = 0 THEN f || ' / ' || ls ELSE f END AS sector,
   ['Specific Investment Operation', 'Policy-Based Loan', 'Multiple Works Program', 'ZZZ', 'Results-Based Loan', ''][operation % 6 + 1] AS modality,
-  round((o_totalprice::DECIMAL(20,4) * 2)::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS total_musd, round(own::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS own_musd,
-  CASE WHEN cofin > 0 THEN round(cofin::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2) END::DOUBLE AS cofinancing_musd, agency AS cofinancing_agency,
-  round((o_totalprice::DECIMAL(20,4) * 2 - own - cofin)::DECIMAL(24,4) * 0.000001::DECIMAL(7,6), 2)::DOUBLE AS counterpart_musd,
+  (round_even((o_totalprice::DECIMAL(20,4) * 2)::DOUBLE / 1000000 * 100, 0) / 100)::DOUBLE AS total_musd, (round_even((own)::DOUBLE / 1000000 * 100, 0) / 100)::DOUBLE AS own_musd,
+  CASE WHEN cofin > 0 THEN (round_even((cofin)::DOUBLE / 1000000 * 100, 0) / 100) END::DOUBLE AS cofinancing_musd, agency AS cofinancing_agency,
+  (round_even((o_totalprice::DECIMAL(20,4) * 2 - own - cofin)::DOUBLE / 1000000 * 100, 0) / 100)::DOUBLE AS counterpart_musd,
   NULL::VARCHAR AS borrower, p::VARCHAR AS executing_agency, NULL::VARCHAR AS env_category, operation % 3 IN (0, 2) AS sovereign_guarantee,
   ['Active', 'Closed', 'Cancelled', NULL][operation % 4 + 1] AS bulk_status, strftime(o_orderdate, '%Y-%m-%d') AS approval_date, NULL::VARCHAR AS last_updated,
   CASE WHEN operation % 6 IN (0, 2, 4) THEN 'Investment Loan' END AS lending_instrument,
@@ -496,7 +497,7 @@ def unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_plan.unmatched(_coded(spark, sf_dir))
 
 
-@query(f"WITH {_CODED}, r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, {n} AS v FROM coded" for n in coding.CURRENCY) + ") SELECT flag, count(*) FILTER (v) AS n_true, count(v) AS n_stated, CASE WHEN count(v) > 0 THEN floor((count(*) FILTER (v))::DOUBLE / count(v) * 1000 + 0.5) / 1000 END AS share FROM r GROUP BY 1")
+@query(f"WITH {_CODED}, r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS flag, {n} AS v FROM coded" for n in coding.CURRENCY) + ") SELECT flag, count(*) FILTER (v) AS n_true, count(v) AS n_stated, CASE WHEN count(v) > 0 THEN round_even((count(*) FILTER (v))::DOUBLE / count(v) * 1000, 0) / 1000 END AS share FROM r GROUP BY 1")
 def flag_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.share_of_stated(_coded(spark, sf_dir), list(coding.CURRENCY))
 
@@ -577,15 +578,15 @@ def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fields of three types, values and hand-coded values; blank ones are not reviewed.
 SCORED = ("cofinancing_present", "goods_share_pct", "fx_denomination")
-VALUES = ("Yes", "FALSE", "1,234.50", "12%", "none", "US Dollars", "", "0.125", "true", "1")
-HAND = ("true", "no", "1234.5", "12.00", "NULL", "us dollars ", " ", "0.13", "yes", "1", "nan")
+VALUES = ("Yes", "FALSE", "1,234.50", "12%", "none", "US Dollars", "", "0.125", "true", "1", "2.675", "1e-2")
+HAND = ("true", "no", "1234.5", "12.00", "NULL", "us dollars ", " ", "0.13", "yes", "1", "nan", "0.12", "2.67")
 
 
 def _comparable_sql(c: str) -> str:
     low = f"lower(trim({c}))"
     return f"""CASE WHEN {low} IN ('', 'none', 'nan', 'null') THEN NULL
     WHEN field = 'cofinancing_present' THEN CASE WHEN {low} IN ('true', '1', 'yes') THEN 'true' WHEN {low} IN ('false', '0', 'no') THEN 'false' ELSE {low} END
-    WHEN field = 'goods_share_pct' THEN coalesce(round(try_cast(replace(replace({low}, ',', ''), '%', '') AS DECIMAL(30,10)), 2)::VARCHAR, {low}) ELSE {low} END"""
+    WHEN field = 'goods_share_pct' THEN coalesce(printf('%.2f', try_cast(replace(replace({low}, ',', ''), '%', '') AS DOUBLE))::DOUBLE::VARCHAR, {low}) ELSE {low} END"""
 
 
 # ------------------------------------------------------------ extraction calls
@@ -624,13 +625,13 @@ def malformed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_CALLS}, n AS (SELECT count(DISTINCT operation) AS ops FROM c)
-SELECT field, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in v.STATUSES)}, floor((count(*) FILTER (status = 'found'))::DOUBLE / max(ops) * 1000 + 0.5) / 10 AS found_pct FROM c, n GROUP BY 1"""
+SELECT field, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in v.STATUSES)}, round_even((count(*) FILTER (status = 'found'))::DOUBLE / max(ops) * 1000, 0) / 10 AS found_pct FROM c, n GROUP BY 1"""
 )
 def audit_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir)
     n = calls.select(F.countDistinct("operation").alias("ops"))
     found = stats.status_by_field(calls, F.lit(1), v.STATUSES).drop("found_pct").crossJoin(F.broadcast(n))
-    return found.withColumn("found_pct", F.floor(F.col("found") / F.col("ops") * 1000 + 0.5) / 10).drop("ops")
+    return found.withColumn("found_pct", F.rint(F.col("found") / F.col("ops") * 1000) / 10).drop("ops")
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,8 +698,8 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    lambda: f"""WITH {_AUDIT} SELECT CASE WHEN starts_with(operation, 'JA-') THEN 'English' ELSE 'other' END AS language, count(*) AS n_ops, floor(sum(r)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS relevant_pct,
-  floor(sum(found)::DOUBLE / count(*) * 100 + 0.5) / 100 AS found_per_op, floor((count(*) FILTER (r = 0))::DOUBLE / count(*) * 1000 + 0.5) / 10 AS zero_relevant_pct
+    lambda: f"""WITH {_AUDIT} SELECT CASE WHEN starts_with(operation, 'JA-') THEN 'English' ELSE 'other' END AS language, count(*) AS n_ops, round_even(sum(r)::DOUBLE / sum(n) * 1000, 0) / 10 AS relevant_pct,
+  round_even(sum(found)::DOUBLE / count(*) * 100, 0) / 100 AS found_per_op, round_even((count(*) FILTER (r = 0))::DOUBLE / count(*) * 1000, 0) / 10 AS zero_relevant_pct
 FROM o GROUP BY 1"""
 )
 def language_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -849,8 +850,14 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of an excerpt that holds every line, with white space of several kinds
+    between them."""
     rows = _paragraphs(spark, sf_dir)
-    return rows.select("operation", F.col("doc_name").alias("doc"), F.col("para_id").alias("para"), t.words_of(F.col("text")).alias("words"))
+    pad = F.when(F.col("pos") % 3 == 1, "\n").when(F.col("pos") % 3 == 2, "\u2003").otherwise("")
+    piece = F.concat(pad, t.chunk(F.col("doc_name"), F.col("para_id"), F.col("page"), F.concat(F.lit("- "), F.col("text"))))
+    listed = F.array_sort(F.collect_list(F.struct("doc_idx", "pos", piece.alias("piece"))))
+    bundles = rows.groupBy("operation").agg(F.array_join(F.transform(listed, lambda x: x["piece"]), "\n\n").alias("bundle"))
+    return resolve.blocks_of(bundles)
 
 
 _RESOLVED = f"""{_LINES},
@@ -873,12 +880,13 @@ f AS (
 
 @query(f"WITH {_RESOLVED} SELECT operation, call_id, source_document FROM f")
 def quote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(_quotes(spark, sf_dir), _blocks(spark, sf_dir)).select("operation", "call_id", "source_document")
+    return resolve.resolve(_quotes(spark, sf_dir), stored(_blocks(spark, sf_dir))).select("operation", "call_id", "source_document")
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _blocks(spark, sf_dir)
-    return resolve.contamination(resolve.resolve(_quotes(spark, sf_dir), blocks), blocks)
+    blocks, calls = stored(_blocks(spark, sf_dir)), _quotes(spark, sf_dir)
+    hits = stored(resolve.quote_hits(calls, blocks))
+    return resolve.contamination(resolve.resolve(calls, blocks, hits=hits), blocks, hits=hits)
 
 
 @query(f"WITH {_RESOLVED} SELECT * FROM f")
@@ -967,7 +975,7 @@ def audit_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_AUDIT}, n AS (SELECT count(*) AS ops FROM o)
-SELECT tag AS field, count(*) FILTER (h = 1) AS found, count(*) FILTER (h = 0 AND NOT plain) AS stated_absent, count(*) FILTER (h = 0 AND plain) AS not_stated, floor((count(*) FILTER (h = 1))::DOUBLE / max(ops) * 1000 + 0.5) / 10 AS found_pct
+SELECT tag AS field, count(*) FILTER (h = 1) AS found, count(*) FILTER (h = 0 AND NOT plain) AS stated_absent, count(*) FILTER (h = 0 AND plain) AS not_stated, round_even((count(*) FILTER (h = 1))::DOUBLE / max(ops) * 1000, 0) / 10 AS found_pct
 FROM f, n GROUP BY 1"""
 )
 def audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:

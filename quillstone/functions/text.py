@@ -91,6 +91,17 @@ CONTENTS_LINE = r"(\.{5,}|…{2,}|_{5,})\s*\d"
 MAX_PARAGRAPH, LEAD, SUMMARY_HEAD = 2500, 400, 800
 
 
+#: White space as Python's strip() and splitlines() know it, as a class of characters
+#: and as line ends.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at its ends, whatever its kind."""
+    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
 def fold(text: str) -> str:
     """Lower case, compatibility-decomposed, without combining marks."""
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
@@ -174,17 +185,17 @@ def chunk(name: Column, para_id: Column, page: Column, text: Column) -> Column:
 
 def cited_paragraph(c: Column) -> Column:
     """The paragraph id of a citation: after the first ¶, up to the first comma."""
-    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit("[] "))
+    bare = F.btrim(stripped(F.coalesce(c, F.lit(""))), F.lit("[]"))
     after = F.when(F.contains(bare, F.lit("¶")), F.regexp_extract(bare, r"(?s)¶(.*)$", 1)).otherwise(bare)
-    return F.trim(F.substring_index(after, ",", 1))
+    return stripped(F.substring_index(after, ",", 1))
 
 
-MARK = r"^\[(.*?) ¶([^,\]]*), p\.([^\]]*)\]"
+MARK = r"(?d)\A\[(.*?)¶([^,\]]+), p\.([^\]]*)\]"
 
 
 def marked(c: Column) -> tuple[Column, Column, Column]:
     """File, paragraph and page of the mark at a block's start ('' without one)."""
-    return tuple(F.regexp_extract(c, MARK, i) for i in (1, 2, 3))
+    return tuple(stripped(F.regexp_extract(c, MARK, i)) for i in (1, 2, 3))
 
 
 def contextual_tags(hits: Column, low: Column, tag: str, needed: Sequence[str], excluded: Sequence[str] = ()) -> Column:

@@ -97,11 +97,37 @@ def comparable(c: Column, kind: str) -> Column:
     if "boolean" in kind:
         return F.when(low.isin("true", "1", "yes"), "true").when(low.isin("false", "0", "no"), "false").otherwise(kept)
     if "number" in kind:
-        bare = F.regexp_replace(kept, "[,%]", "").try_cast("decimal(30,10)")
-        return F.coalesce(F.round(bare, 2).cast("string"), kept)
+        bare = F.trim(F.regexp_replace(kept, "[,%]", ""))
+        return F.coalesce(hundredths(F.when(bare.rlike(NUMBER), bare.try_cast("double"))).cast("string"), kept)
     return kept
 
 
+#: A number as a Python float is written, in lower case.
+NUMBER = r"\A[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?)\z"
+
+
+def hundredths(c: Column) -> Column:
+    """A double rounded to two places by its exact value: 2.675 lies below the half and
+    goes down, 0.125 is a half and goes to the even neighbour.
+
+    The product with 100 is taken with its error (the factor is split in two halves whose
+    products are exact), so the half is told exactly. Numbers from 2 ** 44 on, whose
+    neighbours are a hundredth apart or nearly so, stay as they are."""
+
+    def rounded(x: Column) -> Column:
+        product = x * 100
+        split = x * 134217729.0
+        high = split - (split - x)
+        error = (high * 100 - product) + (x - high) * 100
+        whole = F.floor(product)
+        over = product - whole - 0.5
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+        return F.when(F.abs(x) < 2.0**44, (whole + F.when(up, 1).otherwise(0)).cast("double") / 100).otherwise(x)
+
+    # An array of one binds the value, which is computed once.
+    return F.transform(F.array(c), rounded)[0]
+
+
 def lookup(c: Column, table: Mapping[str, str], keep_unknown: bool) -> Column:
     key = F.trim(c.cast("string"))
     found = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
@@ -138,9 +164,8 @@ def titled(c: Column) -> Column:
 
 
 def millions(c: Column) -> Column:
-    """An amount in millions, rounded half up to cents of a million."""
-    # A product keeps all digits, where a quotient's scale would be cut.
-    return F.round(c.cast("decimal(24,4)") * F.lit("0.000001").cast("decimal(7,6)"), 2)
+    """An amount in millions, to cents of a million, halves to even, in doubles."""
+    return F.rint(c.cast("double") / 1_000_000 * 100) / 100
 
 
 def display(c: Column, kind: str, missing: str) -> Column:

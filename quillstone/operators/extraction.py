@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..functions.values import DESCRIPTIONS, FIELDS, STATUSES
+from ..session import stored
 from . import resolve
 
 RULES = (
@@ -22,7 +23,7 @@ RULES = (
     "Text about another, an earlier or a parent operation is no evidence for this one.",
     "A contents line, heading or title is no evidence.",
 )
-CALL = "operation string, call_id int, field string, value string, status string, citation_para string, quote string"
+CALL = "operation string, call_id int, field string, value string, status string, citation_para string, quote string, reason string, dropped string"
 
 #: (operation, bundle) -> calls, each a mapping with the names of CALL.
 Extractor = Callable[[str, str], list[Mapping]]
@@ -55,7 +56,8 @@ def keyword_extractor(terms: Mapping[str, str]) -> Extractor:
 
 def extract(bundles: DataFrame, extractor: Extractor) -> DataFrame:
     """Calls of all operations. bundles: operation, bundle. A failing extractor
-    gives one call with the error as its status, to be run again."""
+    gives one call with the error as its status, to be run again. What is no mapping, or
+    has no field, stays as a call with the reason and what it was instead."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CALL.split(", ")]
@@ -67,8 +69,15 @@ def extract(bundles: DataFrame, extractor: Extractor) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  the row is kept for a retry
                     calls = [{"status": f"api_call_failed: {e}"}]
                 for i, call in enumerate(calls):
+                    reason = dropped = None
+                    if not isinstance(call, Mapping):
+                        reason, dropped, call = "not an object", repr(call)[:200], {}
+                    elif call.get("field") is None and not str(call.get("status", "")).startswith("api_call_failed"):
+                        reason, dropped = "no field", ", ".join(sorted(map(str, call))[:12])
                     value = call.get("value")
-                    rows.append([operation, i, call.get("field"), value if value is None or isinstance(value, str) else json.dumps(value), call.get("status"), call.get("citation_para"), call.get("quote")])
+                    shown = value if value is None or isinstance(value, str) else json.dumps(value)
+                    field = call.get("field")
+                    rows.append([operation, i, None if field is None else str(field), shown, call.get("status"), call.get("citation_para"), call.get("quote"), reason, dropped])
             yield pd.DataFrame(rows, columns=names)
 
     return bundles.select(F.col("operation").cast("string").alias("operation"), "bundle").mapInPandas(run, CALL)
@@ -92,5 +101,6 @@ def extract_document(paragraphs: DataFrame, extractor: Extractor, budget: int =
 def run_pending(bundles: DataFrame, entries: DataFrame, extractor: Extractor) -> DataFrame:
     """Calls of the operations without a complete entry, with their sources."""
     todo = resolve.pending(bundles, entries)
-    blocks = resolve.blocks_of(todo)
-    return resolve.contamination(resolve.resolve(extract(todo, extractor), blocks), blocks)
+    blocks, calls = stored(resolve.blocks_of(todo)), stored(extract(todo, extractor))
+    hits = stored(resolve.quote_hits(calls, blocks))
+    return resolve.contamination(resolve.resolve(calls, blocks, hits=hits), blocks, hits=hits)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import LINE_END, stripped
+
 LABELS = {"country": "Country", "approval_date": "Approval Date", "project_status": "Project Status", "lending_instrument": "Lending Instrument"}
 URL_LINE = r"^https?://\S+$"
 BREAKS = {"p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "header", "footer", "nav", "title", "dt", "dd"}
@@ -57,7 +59,7 @@ def html_to_text(c: Column) -> Column:
 
 
 def _lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    rows = pages.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    rows = pages.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), LINE_END)).alias("at", "line")).withColumn("line", stripped(F.col("line"))).filter("line <> ''")
     order = Window.partitionBy(key).orderBy("at")
     return rows.select(key, "at", "line", *[F.lead("line", k).over(order).alias(f"next{k}") for k in range(1, 5)])
 
@@ -122,5 +124,5 @@ def in_scope(folders: DataFrame, wanted: DataFrame, key: str = "operation", limi
 
 def wanted_keys(lines: DataFrame, column: str = "value") -> DataFrame:
     """Keys of a list file: trimmed, without blanks and # lines, each once."""
-    key = F.trim(column)
+    key = stripped(F.col(column))
     return lines.select(key.alias("operation")).filter((F.col("operation") != "") & ~F.col("operation").startswith("#")).distinct()

@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, text as t
 from ..functions.values import FIELDS
+from ..session import stored
 
 MIN_QUOTE, QUOTE_HEAD = 25, 120
 
 
 def blocks_of(bundles: DataFrame, key: str = "operation", bundle: str = "bundle") -> DataFrame:
-    """The marked blocks of each excerpt: key, block, doc, para, words, bare.
+    """The marked blocks of each excerpt: key, block, doc, para, words.
 
     An excerpt is cut at blank lines, so text after one inside a paragraph has no
-    mark and belongs to no block."""
-    rows = bundles.select(key, F.posexplode(F.split(bundle, "\n\n")).alias("block", "raw")).withColumn("raw", F.trim("raw"))
-    file, para, _ = t.marked(F.col("raw"))
-    body = F.regexp_replace("raw", t.MARK, "")
-    return rows.filter(F.col("raw").rlike(t.MARK)).select(key, "block", F.trim(file).alias("doc"), F.trim(para).alias("para"), t.words_of(body).alias("words"))
+    mark and belongs to no block. White space of any kind around a block does not hide
+    its mark; the block's text begins as many characters into it as the mark is long."""
+    rows = bundles.select(key, F.posexplode(F.split(bundle, "\n\n")).alias("block", "raw")).withColumn("bare", t.stripped(F.col("raw")))
+    file, para, _ = t.marked(F.col("bare"))
+    body = F.expr(f"substring(raw, length(regexp_extract(bare, r'{t.MARK}', 0)) + 1)")
+    return rows.filter(F.col("bare").rlike(t.MARK)).select(key, "block", file.alias("doc"), para.alias("para"), t.words_of(body).alias("words"))
 
 
 def id_index(blocks: DataFrame, key: str = "operation") -> DataFrame:
@@ -35,36 +39,92 @@ def _quoted(calls: DataFrame) -> DataFrame:
     return calls.withColumn("q", words).withColumn("head", F.when(F.length("q") >= MIN_QUOTE, F.substring("q", 1, QUOTE_HEAD)))
 
 
-def resolve(calls: DataFrame, blocks: DataFrame, key: str = "operation", call: str = "call_id") -> DataFrame:
+def grams_of(words: Column, shortest: int = MIN_QUOTE) -> Column:
+    """The fingerprints of a text: of every ``shortest`` characters in a row, at least one
+    is a fingerprint of any text that holds them (winnowing). A gram is a hash of the
+    first half of so many characters, a fingerprint the least of the grams that begin in
+    the second half. Shorter texts have none."""
+    gram = (shortest + 1) // 2
+    windows = shortest + 1 - gram
+
+    def prints(column: pa.Array) -> pa.Array:
+        _, places, data = column.buffers()
+        n = len(column)
+        at = np.frombuffer(places, np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+        at = at - at[0]
+        if len(raw) < shortest:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array(np.empty(0, np.int64)))
+        grams = np.zeros(len(raw) - gram + 1, np.uint64)
+        for k in range(gram):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + raw[k : len(grams) + k]
+        grams ^= grams >> np.uint64(31)
+        least = np.lib.stride_tricks.sliding_window_view(grams, windows).min(1)
+        # Windows that begin in a text and end in it.
+        text = np.repeat(np.arange(n), np.diff(at))[: len(least)]
+        inside = np.arange(len(least)) + shortest <= at[text + 1]
+        text, least = text[inside], least[inside]
+        order = np.lexsort((least, text))
+        text, least = text[order], least[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+        sizes = np.bincount(text[new], minlength=n)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(least[new].view(np.int64)))
+
+    return F.arrow_udf(prints, "array<bigint>")(F.coalesce(words, F.lit("")))
+
+
+def quote_hits(calls: DataFrame, blocks: DataFrame, key: str = "operation") -> DataFrame:
+    """Which documents hold the heads of which quotes: key, head, doc, each once.
+
+    The blocks' fingerprints are an inverted index. A block that holds a head has all
+    fingerprints of the head, so each head asks for its rarest one in its operation, and a
+    head with a fingerprint that no block has is in none. What the index returns is
+    compared as text. Equal heads ask once, and a document's equal blocks answer once."""
+    heads = _quoted(calls).filter("head is not null").select(key, "head").distinct()
+    asked = heads.withColumn("grams", grams_of(F.col("head")))
+    texts = stored(blocks.select(key, "doc", "words").distinct().withColumn("text", F.xxhash64("doc", "words")).withColumn("grams", grams_of(F.col("words"))))
+    index = texts.select(key, "text", F.explode("grams").alias("gram"))
+    often = index.groupBy(key, "gram").agg(F.count("*").alias("often"))
+    asks = asked.select(key, "head", F.size("grams").alias("all"), F.explode("grams").alias("gram")).join(often, [key, "gram"])
+    rarest = asks.groupBy(key, "head", "all").agg(F.count("*").alias("there"), F.min_by("gram", "often").alias("gram")).filter(F.col("there") == F.col("all"))
+    found = rarest.select(key, "head", "gram").join(index, [key, "gram"]).select(key, "text", "head")
+    return found.join(texts.select(key, "text", "doc", "words"), [key, "text"]).filter(F.contains("words", F.col("head"))).select(key, "head", "doc").distinct()
+
+
+def resolve(calls: DataFrame, blocks: DataFrame, key: str = "operation", call: str = "call_id", hits: DataFrame | None = None) -> DataFrame:
     """calls with source_document: the one document whose block holds the quote's
-    head; else the document of its paragraph id, if that is unique; else ''."""
-    quoted = _quoted(calls)
-    hits = quoted.filter("head is not null").select(key, call, "head").join(blocks.select(key, "doc", "words"), key).filter(F.contains("words", F.col("head")))
-    one = hits.groupBy(key, call).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low = high").select(key, call, F.col("low").alias("quote_doc"))
-    cited = quoted.withColumn("para", t.cited_paragraph(F.col("citation_para")))
-    out = cited.join(one, [key, call], "left").join(id_index(blocks, key), [key, "para"], "left")
+    head; else the document of its paragraph id, if that is unique; else ''. hits: those
+    of quote_hits, where they are known already."""
+    hits = quote_hits(calls, blocks, key) if hits is None else hits
+    one = hits.groupBy(key, "head").agg(F.min("doc").alias("quote_doc"), F.max("doc").alias("high")).filter("quote_doc = high").select(key, "head", "quote_doc")
+    cited = _quoted(calls).withColumn("para", t.cited_paragraph(F.col("citation_para")))
+    out = cited.join(one, [key, "head"], "left").join(id_index(blocks, key), [key, "para"], "left")
     return out.withColumn("source_document", F.coalesce("quote_doc", "id_doc", F.lit(""))).select(*calls.columns, "source_document")
 
 
-def contamination(resolved: DataFrame, blocks: DataFrame, key: str = "operation", call: str = "call_id", prefixes: Sequence[str] = keys.COUNTRY_PREFIXES) -> DataFrame:
+def contamination(resolved: DataFrame, blocks: DataFrame, key: str = "operation", call: str = "call_id", prefixes: Sequence[str] = keys.COUNTRY_PREFIXES, hits: DataFrame | None = None) -> DataFrame:
     """Adds source_names_operation and other_operations_in_quote.
 
     named: the operation stands in the file's name, or (without its hyphen) in the
-    text of the source document's blocks, all blocks if the source is unknown.
-    others: other operations in the quote, if a block holds the quote. Both are null
-    for calls that are not found."""
+    text of the source document's blocks, all blocks if the source is unknown; that is
+    told once a document. others: other operations in the quote, if a block of the source
+    (or any) holds the quote. Both are null for calls that are not found."""
+    hits = quote_hits(resolved, blocks, key) if hits is None else hits
     bare = F.replace(F.upper(F.col(key).cast("string")), F.lit("-"), F.lit(""))
-    quoted = _quoted(resolved).withColumn("own", bare)
-    pairs = quoted.select(key, call, "source_document", "head", "own").join(blocks.select(key, "doc", "words"), key).filter("source_document = '' or doc = source_document")
     squeezed = F.replace(F.upper("words"), F.lit(" "), F.lit(""))
-    seen = pairs.groupBy(key, call).agg(F.bool_or(F.contains(squeezed, F.col("own"))).alias("in_text"), F.bool_or(F.coalesce(F.contains("words", F.col("head")), F.lit(False))).alias("quote_there"))
+    by_doc = blocks.groupBy(key, "doc").agg(F.bool_or(F.contains(squeezed, bare)).alias("in_text"))
+    # The empty name stands for all documents of the operation.
+    named = by_doc.unionByName(by_doc.groupBy(key).agg(F.bool_or("in_text").alias("in_text")).withColumn("doc", F.lit("")))
+    there = hits.unionByName(hits.select(key, "head").distinct().withColumn("doc", F.lit(""))).withColumn("quote_there", F.lit(True))
+    out = _quoted(resolved).join(named.withColumnRenamed("doc", "source_document"), [key, "source_document"], "left")
+    out = out.join(there.withColumnRenamed("doc", "source_document"), [key, "head", "source_document"], "left")
     others = F.array_sort(F.array_remove(keys.keys_in(F.coalesce("quote", F.lit("")), prefixes), F.upper(F.col(key).cast("string"))))
-    out = resolved.join(seen, [key, call], "left")
     in_name = F.contains(F.upper("source_document"), F.upper(F.col(key).cast("string")))
     found = F.col("status") == "found"
-    named = F.when(found, in_name | F.coalesce("in_text", F.lit(False)))
+    names = F.when(found, in_name | F.coalesce("in_text", F.lit(False)))
     listed = F.when(found, F.when(F.coalesce("quote_there", F.lit(False)), others).otherwise(F.array().cast("array<string>")))
-    return out.select(*resolved.columns, named.alias("source_names_operation"), listed.alias("other_operations_in_quote"))
+    return out.select(*resolved.columns, names.alias("source_names_operation"), listed.alias("other_operations_in_quote"))
 
 
 def quality_counters(flagged: DataFrame, key: str = "operation") -> DataFrame:
@@ -74,10 +134,13 @@ def quality_counters(flagged: DataFrame, key: str = "operation") -> DataFrame:
 
 
 def checked_calls(calls: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
-    """calls with the reason a call is malformed, or null. A bad call loses its
-    value, never the operation's row."""
-    reason = F.when(F.col("field").isNull(), "no field").when(~F.col("field").isin(*fields), "unknown field")
-    return calls.withColumn("reason", reason)
+    """calls with the reason a call is malformed, or null, and what was dropped. A bad
+    call loses its value, never the operation's row. A reason that the extraction gave
+    (what came was no object) stays."""
+    given = [F.col(c) if c in calls.columns else F.lit(None).cast("string") for c in ("reason", "dropped")]
+    unknown = ~F.col("field").isin(*fields)
+    reason = F.when(F.col("field").isNull(), "no field").when(unknown, "unknown field")
+    return calls.withColumns({"reason": F.coalesce(given[0], reason), "dropped": F.coalesce(given[1], F.when(unknown, F.substring("field", 1, 80)))})
 
 
 def calls_to_panel(calls: DataFrame, key: str = "operation", order: str = "call_id", fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:

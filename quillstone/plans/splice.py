@@ -46,5 +46,5 @@ def censoring(spliced: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> Dat
     rows = spliced.selectExpr(f"stack({len(thresholds)}, {parts}) as (threshold, missing, recovered)")
     found = rows.groupBy("threshold").agg(F.count("*").alias("n_ops"), F.count_if("missing").alias("censored_before"), F.count_if("recovered").alias("recovered"))
     after = F.col("censored_before") - F.col("recovered")
-    rate = lambda c: F.floor(c / F.col("n_ops") * 1000 + 0.5) / 10
+    rate = lambda c: F.rint(c / F.col("n_ops") * 1000) / 10
     return found.select("threshold", "n_ops", "censored_before", "recovered", after.alias("censored_after"), rate(F.col("censored_before")).alias("rate_before"), rate(after).alias("rate_after"))

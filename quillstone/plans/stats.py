@@ -11,6 +11,7 @@ from ..functions.months import five_year_bucket
 from ..functions.text import words_of
 from ..functions.values import FIELDS, STATUSES, comparable
 from ..sources.sinks import reviewed
+from .quantiles import order_statistics
 
 # Key prefixes of borrowers whose documents are in English.
 ENGLISH = ("BA", "BH", "BL", "GY", "JA", "TT")
@@ -20,15 +21,17 @@ PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 def describe(table: DataFrame, column: str, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """count, mean, sample deviation, min, linearly interpolated percentiles, max."""
     c = F.col(column)
-    quantiles = F.percentile(c, list(percentiles))
-    one = table.filter(c.isNotNull()).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), quantiles.alias("q"), F.max(c).alias("max"))
-    return one.select("n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(percentiles)], "max")
+    one = table.filter(c.isNotNull()).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    both = one.join(F.broadcast(order_statistics(table, column, percentiles).select("q")), how="left")
+    return both.select("n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(percentiles)], "max")
 
 
 def by_group(table: DataFrame, group: Column, column: str) -> DataFrame:
     """count, mean, median by group; a null group is left out."""
     c = F.col(column)
-    return table.withColumn("grp", group).filter(F.col("grp").isNotNull() & c.isNotNull()).groupBy("grp").agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"))
+    rows = table.withColumn("grp", group).filter(F.col("grp").isNotNull() & c.isNotNull())
+    middle = order_statistics(rows, column, [0.5], ["grp"]).select("grp", F.col("q")[0].alias("median"))
+    return rows.groupBy("grp").agg(F.count(c).alias("n"), F.avg(c).alias("mean")).join(middle, "grp")
 
 
 def by_five_years(table: DataFrame, year: Column, column: str) -> DataFrame:
@@ -81,21 +84,15 @@ def status_by_field(calls: DataFrame, n_ops: Column, statuses: Sequence[str]) ->
     """Calls by field and status, and the found share of all operations."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
     out = calls.groupBy("field").agg(*counts)
-    return out.withColumn("found_pct", F.floor(F.col(statuses[0]) / n_ops * 1000 + 0.5) / 10)
+    return out.withColumn("found_pct", F.rint(F.col(statuses[0]) / n_ops * 1000) / 10)
 
 
-def lower_quantiles(table: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """Nearest-rank values s[int(p * (n - 1))] of the sorted values.
-
-    Ranks come from counts per distinct value, so no list of all values is made."""
-    c = F.col(column)
-    counts = table.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto))
-    total = counts.agg(F.sum("n").alias("total"))
-    both = ranked.crossJoin(F.broadcast(total))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1)), F.col("v"))).alias(f"q{round(p * 100):02d}") for p in shares]
-    return both.agg(*picks)
+def lower_quantiles(table: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Nearest-rank values s[int(p * (n - 1))] of the sorted values, by group; without
+    values and groups one row of nulls."""
+    found = order_statistics(table, column, shares, by, linear=False)
+    picks = [F.col("q")[i].alias(f"q{round(p * 100):02d}") for i, p in enumerate(shares)]
+    return found.select(*by, *picks) if by else found.agg(F.max("q").alias("q")).select(*picks)
 
 
 def health(operations: DataFrame, cap: int = 24_000) -> DataFrame:
@@ -113,8 +110,8 @@ def by_language(operations: DataFrame, english: Sequence[str] = ENGLISH) -> Data
     operations: operation, n_paragraphs, n_relevant, n_found."""
     language = F.when(F.substring_index("operation", "-", 1).isin(*english), "English").otherwise("other")
     sums = operations.groupBy(language.alias("language")).agg(F.count("*").alias("n_ops"), F.sum("n_relevant").alias("r"), F.sum("n_paragraphs").alias("t"), F.sum("n_found").alias("f"), F.count_if(F.col("n_relevant") == 0).alias("z"))
-    percent = lambda a, b: F.when(b > 0, F.floor(a / b * 1000 + 0.5) / 10)
-    return sums.select("language", "n_ops", percent(F.col("r"), F.col("t")).alias("relevant_pct"), (F.floor(F.col("f") / F.col("n_ops") * 100 + 0.5) / 100).alias("found_per_op"), percent(F.col("z"), F.col("n_ops")).alias("zero_relevant_pct"))
+    percent = lambda a, b: F.when(b > 0, F.rint(a / b * 1000) / 10)
+    return sums.select("language", "n_ops", percent(F.col("r"), F.col("t")).alias("relevant_pct"), (F.rint(F.col("f") / F.col("n_ops") * 100) / 100).alias("found_per_op"), percent(F.col("z"), F.col("n_ops")).alias("zero_relevant_pct"))
 
 
 def value_counts(table: DataFrame, column: str) -> DataFrame:
@@ -127,7 +124,7 @@ def share_of_stated(table: DataFrame, flags: Sequence[str]) -> DataFrame:
     parts = ", ".join(f"'{f}', `{f}`" for f in flags)
     rows = table.selectExpr(f"stack({len(flags)}, {parts}) as (flag, value)")
     found = rows.groupBy("flag").agg(F.count_if("value").alias("n_true"), F.count("value").alias("n_stated"))
-    return found.withColumn("share", F.when(F.col("n_stated") > 0, F.floor(F.col("n_true") / F.col("n_stated") * 1000 + 0.5) / 1000))
+    return found.withColumn("share", F.when(F.col("n_stated") > 0, F.rint(F.col("n_true") / F.col("n_stated") * 1000) / 1000))
 
 
 def before_after(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -161,11 +158,10 @@ def diagnose(audit: DataFrame, statuses: Sequence[str] = STATUSES, cap: int = 24
     total = audit.agg(F.count("*").alias("n_ops"))
     calls = audit.select(F.explode("fields").alias("c")).select("c.field", "c.status")
     by_field = calls.groupBy("field").agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses]).crossJoin(F.broadcast(total))
-    by_field = by_field.withColumn("found_pct", F.floor(F.col(statuses[0]) / F.col("n_ops") * 1000 + 0.5) / 10).drop("n_ops")
-    spread = None
-    for name in ("n_paragraphs", "n_relevant", "n_chars"):
-        one = lower_quantiles(ops, name, (0.25, 0.5, 0.75)).crossJoin(ops.agg(F.max(name).alias("max"))).select(F.lit(name).alias("measure"), "*")
-        spread = one if spread is None else spread.unionByName(one)
+    by_field = by_field.withColumn("found_pct", F.rint(F.col(statuses[0]) / F.col("n_ops") * 1000) / 10).drop("n_ops")
+    measures = ("n_paragraphs", "n_relevant", "n_chars")
+    long = ops.selectExpr(f"stack({len(measures)}, {', '.join(f"'{m}', {m}" for m in measures)}) as (measure, v)")
+    spread = lower_quantiles(long, "v", (0.25, 0.5, 0.75), ["measure"]).join(long.groupBy("measure").agg(F.max("v").alias("max")), "measure")
     return {"status": by_field, "health": health(ops, cap), "quantiles": spread, "language": by_language(ops)}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution splits skewed joins and merges small partitions at run time.
 SETTINGS = {
@@ -13,6 +13,20 @@ SETTINGS = {
 }
 
 
+def stored(table: DataFrame, needed: bool = False) -> DataFrame:
+    """The table, written once to the checkpoint folder that all executors share, where
+    several steps read it. Without such a folder it is computed for each of them; where
+    they need the very same rows and partitions, a session that is not local is refused,
+    and a local one keeps them."""
+    spark = table.sparkSession
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return table.checkpoint()
+    if needed and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return table.persist() if needed else table
+
+
 def session(app: str = "quillstone", **settings: str) -> SparkSession:
     """A session with the engine's settings; keyword arguments add to them."""
     builder = SparkSession.builder.appName(app)
