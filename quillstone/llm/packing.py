@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joined_words import CACHE_BYTES
 from .support import chunks, release, small_batches
-from .word_tokens import CACHE_BYTES, default_path, tokenizer
+from .word_tokens import default_path, tokenizer
 
 WINDOW = 4096
 #: A shard's bounds: ids held by a task at a time, and documents in one index.
@@ -183,12 +184,10 @@ def _tokeniser(path: str, end_id: int, width: str, cache_bytes: int = CACHE_BYTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, cache_bytes)
         ends, end = tok.word_ends(), np.array([end_id], "<u4").tobytes()
-        for batch in chunks(batches, "text", 1 << 20, owner="word_tokens"):
-            raws = tok.encode([t or "" for t in batch.column("text").to_pylist()])
-            lengths = np.array([len(r) // 4 + 1 for r in raws], np.int64)
-            ids = np.frombuffer(end.join([*raws, b""]), "<u4")
+        for batch in chunks(batches, "text", 2 << 20, owner="word_tokens"):
+            ids, lengths = tok.encode_all(batch.column("text"), end)
             at = np.append(0, np.cumsum(lengths)) * np.dtype(width).itemsize
-            column = pa.Array.from_buffers(pa.large_binary(), len(raws), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(width))]).cast(pa.binary())
+            column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(width))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, *map(pa.array, routes(ids, lengths, ends))], ["doc_id", "ids", "route", "route2"])
 
     return run

@@ -14,6 +14,7 @@ ignored; an empty table gives no shards.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,6 +28,8 @@ from .support import Scratch, chunks
 from .word_tokens import default_path, tokenizer
 
 NULL_ID = -(2**63)
+#: Bytes of input a shard, by what Spark's planner knows of the table's size.
+SHARD_BYTES = 128 << 20
 MANIFEST = "shard string, n_docs long, n_ids long, first_id long, width int"
 ARROW = pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("width", pa.int32())])
 
@@ -87,32 +90,38 @@ def _writer(folder: str, path: str, end_id: int, dtype: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         name = f"{folder}/shard-{TaskContext.get().partitionId():06d}"
-        end = np.array([end_id], dtype).tobytes()
-        ids, lengths = [], [0]
+        end = np.array([end_id], "<u4").tobytes()
+        ids, lengths = array("q"), array("q")  # eight bytes a document each
         with _written(f"{name}.bin") as out:
             for batch in chunks(batches, "text", owner="word_tokens"):
-                for raw in tok.encode([t or "" for t in batch.column("text").to_pylist()]):
-                    if dtype != "<u4":
-                        raw = np.frombuffer(raw, "<u4").astype(dtype).tobytes()
-                    out.write(raw + end)
-                    lengths.append(len(raw) // np.dtype(dtype).itemsize + 1)
-                ids += batch.column("doc_id").fill_null(NULL_ID).to_pylist()
+                tokens, sizes = tok.encode_all(batch.column("text"), end)
+                out.write(tokens.astype(dtype).tobytes())
+                lengths.frombytes(sizes.astype(np.int64).tobytes())
+                ids.frombytes(batch.column("doc_id").fill_null(NULL_ID).to_numpy().astype(np.int64).tobytes())
         if ids:
-            offsets = np.cumsum(np.array(lengths, "<u8"))
+            offsets = np.append(0, np.cumsum(np.frombuffer(lengths, np.int64))).astype("<u8")
             with _written(f"{name}.idx") as out:
                 out.write(offsets.tobytes())
-                out.write(np.array(ids, "<i8").tobytes())
+                out.write(ids.tobytes())
             yield pa.RecordBatch.from_pylist([{"shard": name, "n_docs": len(ids), "n_ids": int(offsets[-1]), "first_id": ids[0], "width": np.dtype(dtype).itemsize}], schema=ARROW)
 
     return write
 
 
+def _shards(docs: DataFrame) -> int:
+    """As many as shuffle partitions, or more where the planner knows that the table has
+    more bytes. Tables of unknown size are given as eight exabytes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < 1 << 50 else 1)
+
+
 def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", dtype: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write the documents in ascending id order; return the manifest: shard,
     n_docs, n_ids, first_id, width and base (ids in all shards before it).
 
     Ids are two bytes wide where the tokenizer's ids fit, else four, unless dtype
-    says otherwise. One shuffle by ranges of the id, and of the place in the input among
+    says otherwise. There are as many shards as shuffle partitions, or more where the
+    table is larger than SHARD_BYTES for each. One shuffle by ranges of the id, and of the place in the input among
     rows that share an id (or have none), so that they need not meet in one task; each
     task streams its sorted documents to one shard.
     """
@@ -121,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer_p
     path = tokenizer_path or default_path()
     dtype = dtype or ("<u2" if max(tokenizer(path).lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
     folder = folder or scratch.path("ids")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _shards(docs)
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
     order = F.col("doc_id").asc_nulls_first(), F.col("place").asc()
     sorted_docs = table.repartitionByRange(n, *order).sortWithinPartitions(*order)

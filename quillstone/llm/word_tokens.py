@@ -1,8 +1,8 @@
 """Encoding with a word-level BPE file of the tokenizers library, word by word.
 
 Such a tokenizer drops white space and never merges across it, so a text's ids
-are the ids of its space-separated words in order. Words repeat: a dictionary,
-bounded by bytes, keeps the ids of the words met so far, and only new words reach
+are the ids of its space-separated words in order. Words repeat: a store, bounded by
+bytes (and one batch), keeps the ids of the words met so far, and only new words reach
 the library (words of Latin letters its model alone, since what comes before the
 model is known for them). The result equals ``Tokenizer.encode(text,
 add_special_tokens=False)``.
@@ -14,15 +14,11 @@ from array import array
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
 
+from .joined_words import CACHE_BYTES, WordStore, encode_words
 from .support import caches
 
-#: Bytes of words and ids kept by a Python worker; the dictionary is emptied when it
-#: is full. Texts without spaces are long words, so words are not counted.
-CACHE_BYTES = 120_000_000
-#: What a dictionary entry takes beside its characters and ids.
-ENTRY = 160
-
 _loaded: dict[str, "WordTokenizer"] = {}
 caches["word_tokens"] = _loaded.clear
 
@@ -49,75 +45,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """Word -> its ids' bytes; a new word is encoded when first asked for."""
+class WordTokenizer:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def __init__(self, lib, limit: int):
-        super().__init__()
-        self.lib, self.letters = lib, _byte_letters()
-        self.tokenize = lib.model.tokenize
-        self.limit, self.held = limit, 0
-        self[""] = b""
+        self.lib, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.known = WordStore(self._ids, cache_bytes)
+        self.marks: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
+    def _ids(self, word: str) -> bytes:
         # Latin letters are composed already and lower-cased letter by letter; they
         # are one piece, which the model takes in the vocabulary's writing. Marks after
         # letters are another piece, unless the lower case ends in a mark of its own
         # (as that of U+0130 does), which would join them.
-        size = len(word)
-        if word.isascii():
-            if word.isalpha():
-                ids = array("I", [t.id for t in self.tokenize(word.lower())]).tobytes()
-            else:
-                ids = self._parts(word)
-        else:
-            size *= 4
-            if max(word) >= "\u0250":
-                ids = self._by_library(word)
-            elif not word.isalpha():
-                ids = self._parts(word)
-            else:
-                low = word.lower()
-                if low == word:
-                    ids = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-                else:
-                    ids = self[low] if low.isalpha() else self._by_library(word)
-        size += ENTRY + len(ids)
-        self.held += size
-        if self.held > self.limit:
-            self.clear()
-            self.held = size
-            self[""] = b""
-            if size > self.limit:
-                self.held = 0
-                return ids
-        self[word] = ids
-        return ids
-
-    def _parts(self, word: str) -> bytes:
-        core = word.rstrip(punctuation)
-        if core != word and core.isalpha() and core.lower().isalpha():
-            return self[core] + self[word[len(core) :]]
-        return self._by_library(word)
+        if not word:
+            return b""
+        if not word.isascii() and max(word) >= "\u0250":
+            return self._by_library(word)
+        core = word if word.isalpha() else word.rstrip(punctuation)
+        low = core.lower()
+        if not core.isalpha() or not low.isalpha():
+            return self._by_library(word)
+        ids = array("I", [t.id for t in self.lib.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return ids if core is word else ids + self._marks(word[len(core) :])
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= 4096:
+                self.marks.clear()
+            self.marks[marks] = self._by_library(marks)
+        return self.marks[marks]
 
     def _by_library(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-
-class WordTokenizer:
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.known = _Known(self.lib, cache_bytes)
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id in end, and their numbers."""
+        return encode_words(texts, self.known, end)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        find = self.known.__getitem__
-        return [b"".join(map(find, text.replace("\n", " ").split(" "))) for text in texts]
+        ids, sizes = self.encode_all(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
     def word_ends(self) -> np.ndarray:
         """For each id, whether it ends a word."""
