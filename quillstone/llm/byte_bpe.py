@@ -27,11 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_tokens import ODD
+from .joined_words import CACHE_BYTES as STORE_BYTES
+from .joined_words import WordStore, encode_words
 from .support import caches, chunks, release, small_batches
 
 #: Bytes of words and ids remembered by a worker (texts without spaces are long
 #: words), and pairs of tokens, some 100 bytes each; a store is emptied when full.
-CACHE_BYTES, CACHE_PAIRS = 120_000_000, 400_000
+CACHE_BYTES, CACHE_PAIRS = 40_000_000, 400_000
 #: What a store's entry takes beside its characters and ids.
 ENTRY = 160
 
@@ -104,6 +107,10 @@ class PrefixEncoder:
         self.halves: dict[int, tuple[int, int]] = {}
         self.apart: dict[int, bool] = {}
         self.known = _Known(self)
+        # The words after a space, and those that begin a line.
+        self.later = WordStore(self.known.ids_of)
+        self.first = WordStore(lambda word: b"".join(self.known.piece(p) for p in self.find(word)), STORE_BYTES // 4)
+        self.line_end = self.known.piece("\n")
 
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made the token; itself twice if it is a byte
@@ -195,6 +202,12 @@ class PrefixEncoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.text.__getitem__, ids))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has. Texts with runs
+        of white space are left to the pattern."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, ODD), False)
+        return encode_words(texts, self.later, b"", first=self.first, line_end=self.line_end, odd=odd, whole=self.encode)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         parts = text.split(" ")
@@ -233,26 +246,24 @@ class _Known(dict):
             ids = self._keep(self.pieces, piece, array("I", self.owner.encode_piece(piece.encode())).tobytes())
         return ids
 
-    def __missing__(self, word: str) -> bytes:
+    def ids_of(self, word: str) -> bytes:
         # Letters are one piece with the space, a mark after them is another.
-        core = word[:-1] if word[-1] in ".," and len(word) > 1 else word
+        core = word[:-1] if word[-1:] in (".", ",") and len(word) > 1 else word
         if not core.isalpha():
-            ids = b"".join(map(self.piece, self.owner.find(" " + word)))
-        elif core is word:
-            ids = array("I", self.owner.encode_piece((" " + word).encode())).tobytes()
-        else:
-            ids = self[core] + self.piece(word[-1])
-        return self._keep(self, word, ids)
+            return b"".join(map(self.piece, self.owner.find(" " + word)))
+        ids = array("I", self.owner.encode_piece((" " + core).encode())).tobytes()
+        return ids if core is word else ids + self.piece(word[-1])
+
+    def __missing__(self, word: str) -> bytes:
+        return self._keep(self, word, self.ids_of(word))
 
 
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in chunks(batches, "text", owner="byte_bpe"):
-            raws = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(r) // 4 for r in raws])
-            flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
+            tokens, sizes = own.encode_all(batch.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(tokens.view("<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     return run

@@ -1,6 +1,7 @@
 """Token files, byte-level BPE and packing against the libraries."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +85,18 @@ def test_stores_are_bounded_by_bytes(tik):
     assert [np.frombuffer(known[t], np.uint32).tolist() for t in texts[-2:]] == want
 
 
+def test_batches_of_texts_equal_tiktoken(tik):
+    """Runs of white space, line ends and words, split and gathered by batches."""
+    rng = random.Random(9)
+    bits = ["a", "The", "I'm", "é", "日本", "😀", "42nd", ".", ",", "\n", "\n\n", "\t", " ", " ", " ", "  ", "\r\n", "\xa0", "\u2003", "\x85", "\x1f", "End."]
+    texts = ["", "\n", "a\n\nb", "a\n\n b", "a\n\n"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(8000)]
+    for begin in range(0, len(texts), 1000):
+        some = texts[begin : begin + 1000]
+        ids, sizes = tik[0].encode_all(pa.array([*some, None]))
+        for text, one in zip([*some, ""], np.split(ids, np.cumsum(sizes)[:-1])):
+            assert one.tolist() == tik[1].encode_ordinary(text), repr(text)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
