@@ -9,15 +9,36 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.months import coded_month, month_of_cell
+from . import records
 
 PLACEHOLDERS = ("", "not stated", "no source match")
 
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every cell as text, empty cells as empty text;
-    quotes may span lines."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+    """A CSV file with a header, every cell as text, empty cells as empty text; quotes
+    may span lines, and many tasks read one file (see records)."""
+    return placed_text_table(spark, path).drop(PLACE)
+
+
+#: The column of placed_text_table that orders rows as the file does.
+PLACE = "__place"
+
+
+def placed_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """As read_text_table, with the place of each row in its file. The header stands on
+    top of every file; one that says otherwise is read by position. Names that repeat
+    get a number, cells without a name go."""
+    header, _ = records.csv_header(spark, path)
+    names: list[str] = []
+    for i, name in enumerate(header):
+        name = name or f"_c{i}"
+        names.append(name if name not in names else f"{name}.{sum(n.split('.')[0] == name for n in names)}")
+    rows = records.csv_rows(spark, path)
+    # A row a file; the smallest place is its header's.
+    heads = rows.groupBy("file").agg(F.min(F.struct("block", "nth")).alias("head"))
+    body = rows.join(F.broadcast(heads), "file").filter(F.struct("block", "nth") != F.col("head"))
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
+    return body.select(*cells, F.struct("file", "block", "nth").alias(PLACE))
 
 
 def load_panel(spark: SparkSession, path: str, key: str = "operation_number", loans_only: bool = True) -> DataFrame:
@@ -53,7 +74,7 @@ def monthly_flows(flows: DataFrame) -> DataFrame:
 
 def load_dates(spark: SparkSession, path: str) -> DataFrame:
     """Project dates: one row an operation, the first in the file."""
-    t = read_text_table(spark, path).withColumn("row", F.monotonically_increasing_id())
+    t = placed_text_table(spark, path).withColumnRenamed(PLACE, "row")
     names = {"First disbursement date": "first_disbursement", "Totally disbursed date": "completed", "Current disbursement expiration date": "expiration"}
     rows = t.select(F.trim("Operation number").alias("operation"), "row", *[month_of_cell(F.col(f"`{a}`")).alias(b) for a, b in names.items()]).filter("operation <> ''")
     return rows.groupBy("operation").agg(F.min_by(F.struct(*names.values()), "row").alias("r")).select("operation", "r.*")
@@ -103,7 +124,7 @@ OPTIONAL = ("project_type", "lending_type")
 def load_bulk(spark: SparkSession, path: str) -> DataFrame:
     """The bulk export with the names of bulk_metadata, and row, the file's order.
     Missing columns are null, except those whose absence lifts a condition."""
-    t = read_text_table(spark, path)
+    t = placed_text_table(spark, path)
     there = {c.strip(): c for c in t.columns}
     names: dict[str, str | None] = {}
     for name, own in BULK.items():
@@ -118,13 +139,13 @@ def load_bulk(spark: SparkSession, path: str) -> DataFrame:
             c = F.date_format(F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
         if own in names or own not in OPTIONAL:
             columns.append(c.alias(own))
-    return t.select(*columns, F.monotonically_increasing_id().alias("row")).filter("operation is not null")
+    return t.select(*columns, F.col(PLACE).alias("row")).filter("operation is not null")
 
 
 def load_approved(spark: SparkSession, path: str, thresholds: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
     """Denominators of a splice: operation, approved, eligible and t25, t50, ...;
     days are written 05jan2001, months 2001m1; the first row of an operation counts."""
-    t = read_text_table(spark, path).withColumn("row", F.monotonically_increasing_id())
+    t = placed_text_table(spark, path).withColumnRenamed(PLACE, "row")
     columns = [F.trim("OPER_NUM").alias("operation"), F.trim("Amount_Approved").try_cast("decimal(20,4)").alias("approved"), F.try_to_date(F.initcap(F.trim("FRST_ELIG_DT")), "ddMMMyyyy").alias("eligible")]
     columns += [coded_month(F.col(f"DISB_{n}_DT")).alias(f"t{n}") for n in thresholds]
     rows = t.select(*columns, "row")
@@ -135,9 +156,10 @@ AUDIT = "map<string,struct<stats:struct<n_documents:int,n_paragraphs_total:int,n
 
 
 def load_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The audit file, one row an operation: operation, stats, fields."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", AUDIT)).alias("operation", "e")).select("operation", "e.stats", "e.fields")
+    """The audit file, one map of operations, one row each: operation, stats, fields.
+    Many tasks read one file (see records)."""
+    entries = records.json_entries(spark, path)
+    return entries.select(F.explode(F.from_json("text", AUDIT)).alias("operation", "e")).select("operation", "e.stats", "e.fields")
 
 
 def audit_calls(audit: DataFrame) -> DataFrame:
