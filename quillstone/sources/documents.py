@@ -3,58 +3,132 @@
 from __future__ import annotations
 
 import io
+import subprocess
 import zipfile
 from collections.abc import Iterator
+from shutil import which
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .store import attempted, opened
+
 MAX_BYTES = 40 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """operation, doc_idx, doc_name, length, kind, content of the files one folder
-    below the root. Too large files have kind "too_large", files named .pdf that hold
-    something else "not_pdf"; the length is tested before the content is read."""
+#: Bytes of documents that a task reads, in the mean.
+TASK_BYTES = 128 << 20
+LISTED = "operation string, doc_name string, path string, length long, kind string, error string"
+
+
+def is_word(file) -> bool:
+    """Whether a file is a zip file with a Word document in it; only the zip's directory
+    is read."""
+    try:
+        with zipfile.ZipFile(file) as z:
+            return "word/document.xml" in z.namelist()
+    except (zipfile.BadZipFile, ValueError):
+        return False
+
+
+def kind_of(name: str, file) -> str | None:
+    """The extension decides if it is known, else the content: pdf, docx or none. A file
+    named .pdf whose content is none (a saved error page) is "not_pdf"."""
+    ext = name.rpartition(".")[2].lower() if "." in name else ""
+    if ext == "docx":
+        return "docx"
+    file.seek(0)
+    head = bytes(file.read(4))
+    if ext == "pdf" or head == b"%PDF":
+        return "pdf" if head == b"%PDF" else "not_pdf"
+    if head == b"PK\x03\x04":
+        file.seek(0)
+        return "docx" if is_word(file) else None
+    return None
+
+
+def _kinds(max_bytes: int, attempts: int, delay: float):
+    def look(path: str, name: str) -> str | None:
+        with opened(path) as file:
+            file.read(1)
+            return kind_of(name, file)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            kinds, errors = [], []
+            for path, name, length in zip(part["path"], part["doc_name"], part["length"]):
+                kind = error = None
+                try:
+                    kind = attempted(lambda: look(path, name), attempts, delay)  # noqa: B023
+                except OSError as e:
+                    kind, error = "unreadable", str(e)
+                named = name.lower().endswith((".pdf", ".docx"))
+                if kind not in (None, "unreadable") and length > max_bytes or kind == "unreadable" and named and length > max_bytes:
+                    kind, error = "too_large", None
+                kinds.append(kind)
+                errors.append(error)
+            yield part.assign(kind=kinds, error=errors)
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, attempts: int = 3, delay: float = 1.0) -> DataFrame:
+    """operation, doc_idx, doc_name, path, length, kind and error of the documents one
+    folder below the root; no content. Only first bytes and zip directories are looked at.
+
+    Documents above max_bytes, sniffed ones too, are "too_large"; files that can't be
+    opened after some attempts are "unreadable", with the reason. Files that are no
+    documents are left out and have no number."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
-    files = files.select("path", F.element_at(parts, -2).alias("operation"), F.element_at(parts, -1).alias("doc_name"), "length", "content")
-    small = files.filter(F.col("length") <= max_bytes).withColumn("kind", kind_of(F.col("doc_name"), F.col("content")))
-    large = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary")).withColumn("kind", F.when(F.lower("doc_name").rlike(r"\.(pdf|docx)$"), "too_large"))
-    known = small.unionByName(large).filter("kind is not null")
-    return known.withColumn("doc_idx", F.row_number().over(Window.partitionBy("operation").orderBy("path")) - 1)
+    rows = files.select(F.element_at(parts, -2).alias("operation"), F.element_at(parts, -1).alias("doc_name"), "path", "length")
+    known = rows.mapInPandas(_kinds(max_bytes, attempts, delay), LISTED).filter("kind is not null")
+    return stored(known.withColumn("doc_idx", F.row_number().over(Window.partitionBy("operation").orderBy("path")) - 1))
 
 
-def _word_zip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(is_word).astype(bool)
+def read_contents(listed: DataFrame, attempts: int = 3, delay: float = 1.0, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The listed files with their content, where they are pdf or docx. The list is
+    dealt by path to as many tasks as its bytes need, and each reads its files; contents
+    are in no shuffle. A file that can't be read has no content, and "unreadable"."""
+    total = listed.filter("kind in ('pdf', 'docx')").agg(F.sum("length")).first()[0] or 0
+    columns = ["operation", "doc_idx", "doc_name", "path", "length", "kind", "error"]
 
+    def whole(path: str) -> bytes:
+        with opened(path) as file:
+            return file.read()
 
-def is_word(content: bytes | None) -> bool:
-    """Whether the bytes are a zip file with a Word document in it."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            return "word/document.xml" in z.namelist()
-    except zipfile.BadZipFile:
-        return False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                row["content"] = None
+                if row["kind"] in ("pdf", "docx"):
+                    try:
+                        row["content"] = attempted(lambda: whole(row["path"]), attempts, delay)  # noqa: B023
+                    except OSError as e:
+                        row["kind"], row["error"] = "unreadable", str(e)
+                yield pa.RecordBatch.from_pylist([row], CONTENTS)
+
+    dealt = listed.select(*columns).repartition(max(1, -(-total // task_bytes)), "path")
+    return dealt.mapInArrow(run, "operation string, doc_idx int, doc_name string, path string, length long, kind string, error string, content binary")
 
 
-def sniff(content: Column) -> Column:
-    """pdf, docx or null, by the first bytes and the zip's members."""
-    head = F.substring(content, 1, 4)
-    zipped = F.pandas_udf(_word_zip, "boolean")(F.when(head == F.lit(b"PK\x03\x04"), content))
-    return F.when(head == F.lit(b"%PDF"), "pdf").when((head == F.lit(b"PK\x03\x04")) & zipped, "docx")
+CONTENTS = pa.schema([("operation", pa.string()), ("doc_idx", pa.int32()), ("doc_name", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("kind", pa.string()), ("error", pa.string()), ("content", pa.binary())])
 
 
-def kind_of(name: Column, content: Column) -> Column:
-    """The extension decides if it is known, else the content. A file named .pdf whose
-    content is none (a saved error page) is "not_pdf"."""
-    ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    real = F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
-    return F.when((ext == "pdf") & ~real, "not_pdf").when(ext.isin("pdf", "docx"), ext).otherwise(sniff(content))
+def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """operation, doc_idx, doc_name, path, length, kind, error and content of the files
+    one folder below the root: list_files, then read_contents."""
+    return read_contents(list_files(spark, root, max_bytes))
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """The preflight report: files that could not be opened or read, and why."""
+    return files.filter("kind = 'unreadable'").select("operation", "doc_name", "path", "error")
 
 
 def word_paragraphs(content: bytes) -> list[str]:
@@ -83,11 +157,10 @@ def read_word(files: DataFrame) -> DataFrame:
 
 
 def pdf_pages(content: bytes, readers: list | None = None) -> list[str]:
-    """Page texts by the first reader that finds any; else the first error.
+    """Page texts by the first reader that finds any; else the first error is raised.
 
     Readers are optional packages; none is needed to import this module."""
     first: Exception | None = None
-    pages: list[str] = []
     for reader in readers if readers is not None else installed_pdf_readers():
         try:
             pages = reader(content)
@@ -96,9 +169,8 @@ def pdf_pages(content: bytes, readers: list | None = None) -> list[str]:
             continue
         if any(p.strip() for p in pages):
             return pages
-    if first is not None and not pages:
-        raise first
-    return pages
+        first = first or ValueError("no text on any page")
+    raise first or ValueError("no reader of PDF files is installed")
 
 
 def installed_pdf_readers() -> list:
@@ -122,9 +194,20 @@ def installed_pdf_readers() -> list:
             return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages]
 
         readers.append(pypdf_reader)
+    if which("pdftotext"):
+        readers.append(poppler)
     return readers
 
 
+def poppler(content: bytes) -> list[str]:
+    """Pages by the pdftotext program, which keeps the layout; a form feed ends a page."""
+    done = subprocess.run(["pdftotext", "-layout", "-", "-"], input=content, capture_output=True, timeout=300, check=False)
+    if done.returncode:
+        raise ValueError(done.stderr.decode(errors="replace").strip() or "pdftotext failed")
+    pages = done.stdout.decode(errors="replace").split("\f")
+    return pages[:-1] if not pages[-1].strip() else pages
+
+
 def read_pdf(files: DataFrame, readers: list | None = None) -> DataFrame:
     """operation, doc_idx, doc_name, page, text, error of the pdf files, by the
     readers given or installed; a file that can't be read is one row with the error."""
@@ -159,11 +242,8 @@ def project_paragraphs(files: DataFrame, readers: list | None = None) -> tuple[D
     large = F.concat(F.lit("skipped, "), megabytes, F.lit(f" MB exceeds the {MAX_BYTES >> 20} MB parsing limit"))
     other = F.lit("skipped, not parsed for text: file is named .pdf but its content is not a PDF")
     skipped = files.filter(F.col("kind").isin("too_large", "not_pdf")).select("operation", "doc_idx", "doc_name", F.when(F.col("kind") == "too_large", large).otherwise(other).alias("why"))
+    failed = failed.unionByName(files.filter("kind = 'unreadable'").select("operation", "doc_idx", "doc_name", "error"))
     every = failed.select("operation", "doc_idx", "doc_name", F.concat(F.lit("could not parse: "), F.col("error")).alias("why")).unionByName(skipped)
     notes = every.select("operation", F.col("doc_idx").alias("note_idx"), F.concat(F.lit("["), F.col("doc_name"), F.lit("] -- "), F.col("why")).alias("note"))
     return paragraphs, notes
 
-
-def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
-    """Listed files that a tolerant read did not return."""
-    return listed.join(read.select("path"), "path", "left_anti")

@@ -27,7 +27,13 @@ PLACE = "__place"
 def placed_text_table(spark: SparkSession, path: str) -> DataFrame:
     """As read_text_table, with the place of each row in its file. The header stands on
     top of every file; one that says otherwise is read by position. Names that repeat
-    get a number, cells without a name go."""
+    get a number, cells beyond the header go. Of a workbook (.xlsx) the first sheet is
+    read."""
+    if path.lower().endswith(".xlsx"):
+        from . import workbooks
+
+        sheet = workbooks.sheet_table(workbooks.read_workbook(spark, path), workbooks.sheet_names(path)[0])
+        return sheet.withColumn(PLACE, F.struct(F.lit(path).alias("file"), F.lit(0).cast("long").alias("block"), F.col("__row").cast("long").alias("nth"))).drop("__row")
     header, _ = records.csv_header(spark, path)
     names: list[str] = []
     for i, name in enumerate(header):
@@ -171,3 +177,21 @@ def audit_calls(audit: DataFrame) -> DataFrame:
 def rename(table: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Columns renamed; those that are missing are added as nulls."""
     return table.select(*[(F.col(f"`{a}`") if a in table.columns else F.lit(None).cast("string")).alias(b) for a, b in names.items()])
+
+
+def load_sheet_series(spark: SparkSession, path: str, name: str, date_hint: str, value_hint: str) -> DataFrame:
+    """A dated series from the workbook's first sheet that has both columns."""
+    from .workbooks import read_workbook
+
+    cells = read_workbook(spark, path)
+    return sheet_series(cells, find_header(cells, date_hint, value_hint), name)
+
+
+def load_warehouse(spark: SparkSession, path: str) -> DataFrame:
+    """The warehouse's monthly stream from a Stata file: operation, month and total, the
+    sum up to that month. Rows without a key or a month go."""
+    from .stata import read_stata
+
+    t = read_stata(spark, path)
+    rows = t.select(F.trim("OPER_NUM").alias("operation"), F.trunc("accounting_disb_date", "month").alias("month"), F.col("cum_disb_signed").cast("double").alias("total"))
+    return rows.filter("operation <> '' and month is not null")

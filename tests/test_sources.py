@@ -37,6 +37,50 @@ def test_files(spark, tmp_path):
     assert documents.pdf_pages(b"", [lambda c: [" "], lambda c: ["text"]]) == ["text"]
 
 
+def test_contents_are_in_no_shuffle_and_unreadable_files_are_rows(spark, tmp_path):
+    folder = tmp_path / "AR-L1"
+    folder.mkdir()
+    (folder / "long title.pd").write_bytes(b"%PDF" + b"x" * 3000)
+    (folder / "zip").write_bytes(word_file("y" * 9000, *(str(i) * 40 for i in range(300))))
+    (folder / "ok.pdf").write_bytes(b"%PDF ok")
+    (folder / "gone.pdf").write_bytes(b"%PDF gone")
+    (folder / "lost.pdf").symlink_to(folder / "nowhere")
+    (folder / "sheet.zip").write_bytes(b"PK\x03\x04broken")
+    (folder / "lost.pdf").unlink()
+    listed = documents.list_files(spark, str(tmp_path), max_bytes=1000, attempts=2, delay=0.01)
+    assert "content" not in listed.columns
+    kinds = {r["doc_name"]: r["kind"] for r in listed.collect()}
+    assert kinds == {"long title.pd": "too_large", "zip": "too_large", "ok.pdf": "pdf", "gone.pdf": "pdf"}
+    (folder / "gone.pdf").unlink()  # after it was listed
+    read = documents.read_contents(listed, attempts=2, delay=0.01, task_bytes=4)
+    got = {r["doc_name"]: r for r in read.collect()}
+    assert bytes(got["ok.pdf"]["content"]) == b"%PDF ok" and got["gone.pdf"]["kind"] == "unreadable" and "gone.pdf" in got["gone.pdf"]["error"]
+    assert [r["doc_name"] for r in documents.unreadable(read).collect()] == ["gone.pdf"]
+    paras, notes = documents.project_paragraphs(read, [lambda c: ["2.1 text"]])
+    assert paras.count() == 1 and {r["note"].split("]")[0][1:] for r in notes.collect()} == {"long title.pd", "zip", "gone.pdf"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # what is dealt is the list
+
+
+def test_attempts_wait_and_give_up():
+    from quillstone.sources.store import attempted
+
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return "read"
+
+    assert attempted(flaky, 3, 0.001) == "read" and len(tries) == 3
+    tries.clear()
+    try:
+        attempted(flaky, 2, 0.001)
+    except OSError as e:
+        assert str(e) == "not yet" and len(tries) == 2
+
+
 def test_folder_to_bundle(spark, tmp_path):
     """Files of two kinds, an unreadable and a too large one, to one excerpt."""
     from quillstone.operators import extraction, retrieval
