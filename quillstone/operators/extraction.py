@@ -93,7 +93,7 @@ def extract_document(paragraphs: DataFrame, extractor: Extractor, budget: int =
     place = F.concat(F.lit("¶"), F.col("para_id"))
     place = F.concat(F.col("doc_name"), F.lit(" "), place) if "doc_name" in paragraphs.columns else place
     rows = rows.withColumn("chunk", F.concat(F.lit("["), place, F.lit(", p."), F.col("page"), F.lit("] "), F.col("text")))
-    picked = retrieval.by_score(rows, "operation", budget)
+    picked = retrieval.by_score(stored(rows.select("operation", "pos", "score", "chunk"), needed=True), "operation", budget)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "\n\n")
     return extract(picked.groupBy("operation").agg(body.alias("bundle")), extractor)
 

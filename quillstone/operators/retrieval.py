@@ -1,8 +1,8 @@
 """Retrieval of paragraphs under a character budget.
 
 Ranking is relational; only the greedy choice, where each pick depends on those
-before it, runs as a grouped Arrow function. An operation's relevant paragraphs are
-the group, a few hundred rows.
+before it, runs as a grouped Arrow function. Its group is an operation's candidates that
+the choice can reach, as numbers: places and sizes, no text.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import stored
 
 DOCUMENT_BUDGET, PROJECT_BUDGET = 12_000, 24_000
 
@@ -42,26 +43,53 @@ def _greedy(sizes: Sequence[int], budget: int) -> list[int]:
     return out
 
 
+#: Parts of a hot group of candidates of one size.
+SALTS = 64
+
+
+def reachable(queue: DataFrame, group: Sequence[str], order: Sequence[Column], salt: Sequence[str], gap: int = 0) -> DataFrame:
+    """The candidates of each queue that a greedy choice can come to take: size and
+    budget are columns, a candidate costs its size and the gap.
+
+    One that is larger than the budget never fits. Of those of one size, when one is
+    passed over, all after it are too, since less is left then; so as many as fit the
+    budget alone are all that can be taken. A queue is no longer than a number that the
+    budget gives, whatever its operation holds. Large groups are cut down in parts first."""
+    cost = F.col("size") + gap
+    most = F.when(cost > 0, F.floor(F.col("budget") / cost)).otherwise(F.lit(2**31 - 1))
+    out = queue.filter(cost <= F.col("budget")).withColumn("__salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)))
+    for more in (["__salt"], []):
+        place = Window.partitionBy(*group, "size", *more).orderBy(*order)
+        out = out.withColumn("__nth", F.row_number().over(place)).filter(F.col("__nth") <= most)
+    return out.drop("__salt", "__nth")
+
+
 def by_score(chunks: DataFrame, key: str, budget: int = DOCUMENT_BUDGET) -> DataFrame:
-    """chunks: key, pos, score, chunk. The best that fit, back in document order."""
-    shape = chunks.select(key, "pos", "score", "chunk").schema
+    """chunks: key, pos, score, chunk. The best that fit, back in document order; pos is
+    a chunk's own number. The choice is made on sizes, chunks are joined after."""
+    rows = chunks.select(key, "pos", "score", F.length("chunk").alias("size"), F.lit(budget).alias("budget"))
+    few = reachable(rows, [key], [F.desc("score"), F.asc("pos")], ["pos"]).select(key, "pos", "score", "size")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         best = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        return best.iloc[_greedy(best["chunk"].str.len().tolist(), budget)].sort_values("pos")
+        return best.iloc[_greedy(best["size"].tolist(), budget)][[key, "pos"]]
 
-    return chunks.select(key, "pos", "score", "chunk").groupBy(key).applyInPandas(pick, shape)
+    picked = few.groupBy(key).applyInPandas(pick, few.select(key, "pos").schema)
+    return chunks.select(key, "pos", "score", "chunk").join(picked, [key, "pos"], "left_semi")
+
+
+def _queues(candidates: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """One row a candidate and tag, and the order in a tag's queue."""
+    order = [(~F.array_contains("doc_hints", F.col("tag"))).cast("int"), F.desc(F.coalesce(F.element_at("hits", F.col("tag")), F.lit(1))), (~F.col("numbered")).cast("int"), F.col("doc_idx"), F.col("pos")]
+    return candidates.withColumn("tag", F.explode("tags")), order
 
 
 def ranked_by_tag(candidates: DataFrame, key: str) -> DataFrame:
     """One row a candidate and tag with its rank in the tag's queue.
 
     candidates: key, doc_idx, pos, tags, hits, doc_hints, numbered."""
-    rows = candidates.withColumn("tag", F.explode("tags"))
-    queue = Window.partitionBy(key, "tag").orderBy(
-        (~F.array_contains("doc_hints", F.col("tag"))).cast("int"), F.desc(F.coalesce(F.element_at("hits", F.col("tag")), F.lit(1))), (~F.col("numbered")).cast("int"), "doc_idx", "pos"
-    )
-    return rows.withColumn("rank", F.row_number().over(queue))
+    rows, order = _queues(candidates)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "tag").orderBy(*order)))
 
 
 def round_robin(queues: dict[str, list[int]], sizes: list[int], pinned: Sequence[int], budget: int, order: Sequence[str] = t.TAG_ORDER) -> list[int]:
@@ -95,26 +123,30 @@ def round_robin(queues: dict[str, list[int]], sizes: list[int], pinned: Sequence
 
 def across_documents(candidates: DataFrame, key: str, budget: str | int = PROJECT_BUDGET) -> DataFrame:
     """The chosen candidates: key, doc_idx, pos, chunk. budget: a number, or the
-    name of a column with the operation's own."""
+    name of a column with the operation's own.
+
+    The choice is made on numbers: those candidates that it can reach, with their places
+    in the queues and their sizes, are a group; chunks are joined after."""
     own = F.lit(budget) if isinstance(budget, int) else F.col(budget)
-    ranked = ranked_by_tag(candidates, key)
-    ranks = ranked.groupBy(key, "doc_idx", "pos").agg(F.map_from_entries(F.collect_list(F.struct("tag", "rank"))).alias("ranks"))
-    rows = candidates.join(ranks, [key, "doc_idx", "pos"], "left").select(key, "doc_idx", "pos", "pinned", "chunk", F.to_json("ranks").alias("ranks"), own.cast("int").alias("budget"))
-    shape = rows.select(key, "doc_idx", "pos", "chunk").schema
+    slim = candidates.select(key, "doc_idx", "pos", "tags", "hits", "doc_hints", "numbered", "pinned", F.length("chunk").alias("size"), own.cast("int").alias("budget"))
+    rows, order = _queues(slim)
+    few = reachable(rows, [key, "tag"], order, ["doc_idx", "pos"], gap=2)
+    queued = few.select(key, "doc_idx", "pos", "size", "budget", "tag", F.row_number().over(Window.partitionBy(key, "tag").orderBy(*order)).alias("rank"))
+    first = slim.filter("pinned").groupBy(key).agg(F.min(F.struct("doc_idx", "pos", "size", "budget")).alias("p")).select(key, "p.*", F.lit(None).cast("string").alias("tag"), F.lit(0).alias("rank"))
+    shape = slim.select(key, "doc_idx", "pos").schema
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        pdf = pdf.sort_values(["doc_idx", "pos"]).reset_index(drop=True)
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, ranks in enumerate(pdf["ranks"]):
-            for tag, rank in (json.loads(ranks) if ranks else {}).items():
-                places.setdefault(tag, []).append((rank, i))
-        queues = {tag: [i for _, i in sorted(found)] for tag, found in places.items()}
-        chosen = round_robin(queues, pdf["chunk"].str.len().tolist(), [i for i, p in enumerate(pdf["pinned"]) if p], int(pdf["budget"].iloc[0]))
-        return pdf.loc[chosen, [key, "doc_idx", "pos", "chunk"]]
+        pinned = pdf[pdf["tag"].isna()]
+        own = pdf.drop_duplicates(["doc_idx", "pos"]).sort_values(["doc_idx", "pos"]).reset_index(drop=True)
+        number = {place: i for i, place in enumerate(zip(own["doc_idx"], own["pos"]))}
+        queues: dict[str, list[int]] = {}
+        for tag, idx, pos in pdf[~pdf["tag"].isna()].sort_values("rank")[["tag", "doc_idx", "pos"]].itertuples(index=False):
+            queues.setdefault(tag, []).append(number[idx, pos])
+        before = [number[place] for place in zip(pinned["doc_idx"], pinned["pos"])]
+        return own.loc[round_robin(queues, own["size"].tolist(), before, int(own["budget"].iloc[0])), [key, "doc_idx", "pos"]]
 
-    return rows.groupBy(key).applyInPandas(pick, shape)
+    chosen = queued.unionByName(first).groupBy(key).applyInPandas(pick, shape)
+    return candidates.select(key, "doc_idx", "pos", "chunk").join(chosen, [key, "doc_idx", "pos"], "left_semi")
 
 
 def candidates_of(paragraphs: DataFrame, key: str, keywords: Mapping[str, Sequence[str]] = t.KEYWORDS) -> DataFrame:
@@ -122,7 +154,8 @@ def candidates_of(paragraphs: DataFrame, key: str, keywords: Mapping[str, Sequen
     ones with all that the choice needs, and their chunks."""
     rows = tagged(paragraphs, keywords)
     rows = rows.withColumn("pinned", t.is_summary_page(F.col("text"), t.folded(F.substring("text", 1, t.SUMMARY_HEAD))))
-    rows = rows.filter((F.size("tags") > 0) | F.col("pinned"))
+    # Tags are made once: the window below asks for them by every keyword.
+    rows = stored(rows.filter((F.size("tags") > 0) | F.col("pinned")), needed=True)
     shown = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("financing")))
     piece = t.chunk(F.col("doc_name"), F.col("para_id"), F.col("page"), t.window(F.col("text"), F.col("low"), shown, keywords))
     return rows.select(key, "doc_idx", "pos", "tags", "hits", t.file_hints(t.folded(F.col("doc_name"))).alias("doc_hints"), "pinned", F.col("para_id").rlike(r"^\d{1,2}\.\d{1,2}$").alias("numbered"), piece.alias("chunk"))
@@ -133,13 +166,14 @@ def project_bundle(paragraphs: DataFrame, key: str, notes: DataFrame | None = No
     note_idx, note) stand above the excerpt and count against the budget."""
     found = candidates_of(paragraphs, key, keywords)
     totals = paragraphs.groupBy(key).agg(F.count("*").alias("n_total"))
-    relevant = found.groupBy(key).agg(F.count("*").alias("n_relevant"))
     if notes is None:
         headers = totals.select(key, F.lit("").alias("header"))
     else:
         listed = notes.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_idx", "note"))), lambda x: x["note"]), "\n").alias("header"))
         headers = totals.select(key).unionByName(listed.select(key)).distinct().join(listed, key, "left").select(key, F.coalesce("header", F.lit("")).alias("header"))
-    sized = found.join(headers.select(key, (F.lit(budget - 2) - F.length("header")).alias("budget")), key)
+    # Several steps read the candidates; their texts are made once.
+    sized = stored(found.join(headers.select(key, (F.lit(budget - 2) - F.length("header")).alias("budget")), key), needed=True)
+    relevant = sized.groupBy(key).agg(F.count("*").alias("n_relevant"))
     picked = across_documents(sized, key, "budget")
     body = picked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_idx", "pos", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("body"))
     out = headers.join(totals, key, "left").join(relevant, key, "left").join(body, key, "left")

@@ -233,10 +233,11 @@ def project_paragraphs(files: DataFrame, readers: list | None = None) -> tuple[D
     from ..operators.paragraphs import segment_pages, segment_word_paragraphs
 
     key = F.struct("operation", "doc_idx", "doc_name").alias("doc")
-    pages, word = read_pdf(files, readers), read_word(files)
+    # Texts and errors are taken from one reading.
+    pages, word = stored(read_pdf(files, readers), needed=True), stored(read_word(files), needed=True)
     of_pdf = segment_pages(pages.filter("error is null").select(key, F.col("page").cast("int").alias("page"), "text"), "doc")
     of_word = segment_word_paragraphs(word.filter("error is null").select(key, "at", "text"), "doc")
-    paragraphs = of_pdf.unionByName(of_word).select("doc.*", "pos", "para_id", "page", "text")
+    paragraphs = stored(of_pdf.unionByName(of_word).select("doc.*", "pos", "para_id", "page", "text"), needed=True)
     failed = pages.filter("error is not null").select("operation", "doc_idx", "doc_name", "error").unionByName(word.filter("error is not null").select("operation", "doc_idx", "doc_name", "error"))
     megabytes = F.format_string("%.0f", F.col("length") / float(2**20))
     large = F.concat(F.lit("skipped, "), megabytes, F.lit(f" MB exceeds the {MAX_BYTES >> 20} MB parsing limit"))
