@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import DESCRIPTIONS, FIELDS
+from .commits import KeyLog
 
 LOG_COLUMNS = ("operation_number", "eligible", "n_docs", "country", "lending_instrument", "project_status", "approval_date", "note")
 REVIEW_COLUMNS = ("hand_coded_value", "agrees", "reviewer_note")
 
 
-def append_new(results: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table doesn't hold yet. A run that is repeated
-    after a failure adds nothing twice, and no earlier result is rewritten."""
-    spark = results.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        results = results.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    results.write.mode("append").parquet(path)
+def append_new(results: DataFrame, path: str, key: str, batch: int | None = None) -> int:
+    """Append the rows whose key the table doesn't hold yet; how many there were. A run
+    that is repeated after a failure adds nothing twice, and no earlier result is
+    rewritten. The keys are looked up in a log (see commits)."""
+    return KeyLog(results.sparkSession, path, key).append(results, batch)
 
 
 def write_csv(table: DataFrame, path: str) -> None:

@@ -8,20 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import append_new
+
 
 def process_new_files(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files_per_batch: int = 100) -> None:
     """Run transform over files not seen before, in batches, until none is left.
 
-    Each batch leaves out keys that the sink already holds, so a batch that is run
-    again after a failure adds nothing twice."""
+    Each batch leaves out keys that the sink already holds, which a log of keys tells
+    (see sources.commits), and is committed by its number: one that is run again after a
+    failure adds nothing twice."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        out = transform(batch)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            out = out.join(spark.read.parquet(sink).select(key), key, "left_anti")
-        out.dropDuplicates([key]).write.mode("append").parquet(sink)
+        append_new(transform(batch), sink, key, number)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
