@@ -266,3 +266,34 @@ def test_language_rejects_row_by_row(spark, monkeypatch):
     rows = [(None, None), (None, "a clean text"), (7, " \n"), (7, "another clean text"), (8, "12 34")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in li.keep_known_language(df).collect()} == {(None, "a clean text"), (7, "another clean text")}
+
+
+def test_url_query_against_brute_force(spark, sf_dir):
+    """Hosts, paths and rules by plain Python; the rest by the model's score."""
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
+    got = uf.op5_url_filter(spark, sf_dir).collect()
+    assert {r["page_id"] for r in got} == set(urls) and len(got) == len(urls)
+    for r in got:
+        url = urls[r["page_id"]] or ""
+        rest = url.partition("://")[2] if "://" in url else ""
+        cut = min([rest.index(c) for c in "/?#" if c in rest] + [len(rest)])
+        host, path = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path] + [len(path)])]
+        fits = [(len(h) + len(p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r["host"], r["path"]) == (host, path)
+        assert r["rule"] == (max(fits)[2] if fits else None)
+        assert r["verdict"] == (max(fits)[1] if fits else "block" if r["score"] >= 0.5 else "allow")
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
+def test_language_scores_against_one_text_at_a_time(spark, sf_dir):
+    """Batches and partitions change nothing: each text scored by itself."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    model = li.train_language_model(df)
+    for r in li.predict_language(df.repartition(5), model).join(df.select("doc_id", "text"), "doc_id").collect():
+        if r["text"] and li.has_letter(r["text"]):
+            row = model.predict([r["text"].encode()])[0]
+            assert r["lang_pred"] == model.labels[int(row.argmax())] and abs(r["score"] - min(row.max(), 1.0)) < 1e-5
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
