@@ -917,6 +917,52 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_fields(p).withColumn("docs", F.to_json("docs"))
 
 
+#: How the lines of a project page are parted, and its categories of documents.
+PAGE_ENDS = ("\n", "\r\n", "\r", "\x0b", "\n\n\t", " \x85")
+CATEGORIES = ("Loan Proposal", "Annex", "LOAN PROPOSAL", "loan  proposal")
+_SPLIT_SQL = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_STRIP_SQL = "'^[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\pZ]+$'"
+
+
+def _chars(text: str) -> str:
+    """A text as SQL, with odd characters by number."""
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+_PAGE_END = "[" + ", ".join(map(_chars, PAGE_ENDS)) + "]"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, {_PAGE_END}[page_id % {len(PAGE_ENDS)} + 1] AS e FROM pages),
+t AS (
+  SELECT page_id, 'Top' || e || CASE WHEN page_id % 5 = 0 THEN 'country' ELSE 'Country' END || e || ' ' || e || coalesce(nullif(regexp_extract(url, '://([^/?#]*)', 1), ''), 'none') || e
+    || 'Approval Date' || e || 'May ' || (page_id % 28 + 1) || ', 2001' || e || CASE WHEN page_id % 7 = 0 THEN 'Project Status' || e || 'Closed' || e ELSE '' END
+    || array_to_string(list_transform(range(page_id % 4), lambda k: url || '#' || k || e || {_sql_list(CATEGORIES)}[(page_id + k) % {len(CATEGORIES)} + 1] || e || 'f' || k || '.pdf' || e || 'May ' || k || e || 'English' || e), '')
+    || 'Lending Instrument' AS text
+  FROM p),
+l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(text, {_SPLIT_SQL}), lambda x: regexp_replace(x, {_STRIP_SQL}, '', 'g')), lambda x: x <> '') AS nb FROM t),
+d AS (
+  SELECT page_id, string_agg(nb[i] || '|' || nb[i + 2] || '|' || nb[i + 3] || '|' || nb[i + 4], ';' ORDER BY i) AS docs
+  FROM l, unnest(range(1, len(nb) + 1)) AS r(i) WHERE i + 4 <= len(nb) AND regexp_matches(nb[i], '^https?://\\S+$') AND lower(nb[i + 1]) = 'loan proposal' GROUP BY 1)
+SELECT page_id, {", ".join(f"coalesce(nb[nullif(list_position(nb, '{label}'), 0) + 1], '') AS {name}" for name, label in pages.LABELS.items())}, coalesce(docs, '') AS docs
+FROM l LEFT JOIN d USING (page_id)"""
+)
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of pages whose lines end in several ways, made of each page's url."""
+    k, url = F.col("page_id"), F.coalesce("url", F.lit(""))
+    e = _pick(k, PAGE_ENDS)
+    categories = F.array(*map(F.lit, CATEGORIES))
+    one = lambda n: F.concat(url, F.lit("#"), n.cast("string"), e, F.element_at(categories, ((k + n) % len(CATEGORIES) + 1).cast("int")), e, F.lit("f"), n.cast("string"), F.lit(".pdf"), e, F.lit("May "), n.cast("string"), e, F.lit("English"), e)
+    listed = F.when(k % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 4 - 1), one), "")).otherwise("")
+    text = F.concat(
+        F.lit("Top"), e, F.when(k % 5 == 0, "country").otherwise("Country"), e, F.lit(" "), e, F.coalesce(F.nullif(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")), F.lit("none")), e,
+        F.lit("Approval Date"), e, F.lit("May "), (k % 28 + 1).cast("string"), F.lit(", 2001"), e, F.when(k % 7 == 0, F.concat(F.lit("Project Status"), e, F.lit("Closed"), e)).otherwise(""), listed, F.lit("Lending Instrument"),
+    )
+    found = pages.page_fields(table(spark, sf_dir, "pages").select("page_id", text.alias("text")))
+    shown = F.array_join(F.transform("docs", lambda d: F.concat_ws("|", d["url"], d["filename"], d["date"], d["language"])), ";")
+    return found.withColumn("docs", F.coalesce(shown, F.lit("")))
+
+
 @query(
     f"""WITH RECURSIVE s AS (
   SELECT operation, bytes, row_number() OVER (ORDER BY operation) AS k
