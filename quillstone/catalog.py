@@ -316,13 +316,17 @@ def splice_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT year(d)::INT AS year, month(d)::INT AS month, strftime(d, '%Y-%m') AS yyyymm,
+    """WITH o AS (SELECT date_trunc('month', o_orderdate + INTERVAL 300 MONTH)::DATE AS d, count(*) AS n FROM orders GROUP BY 1)
+SELECT year(d)::INT AS year, month(d)::INT AS month, strftime(d, '%Y-%m') AS yyyymm,
   (d BETWEEN DATE '2020-01-01' AND DATE '2023-05-01')::INT AS covid_pheic, (d BETWEEN DATE '2020-03-01' AND DATE '2021-06-01')::INT AS covid_acute,
-  CASE WHEN d BETWEEN DATE '2020-03-01' AND DATE '2021-06-01' THEN 2 WHEN d BETWEEN DATE '2020-01-01' AND DATE '2023-05-01' THEN 1 ELSE 0 END::INT AS covid_intensity
-FROM (SELECT unnest(generate_series(DATE '1998-01-01', DATE '2030-12-01', INTERVAL 1 MONTH))::DATE AS d)"""
+  CASE WHEN d BETWEEN DATE '2020-03-01' AND DATE '2021-06-01' THEN 2 WHEN d BETWEEN DATE '2020-01-01' AND DATE '2023-05-01' THEN 1 ELSE 0 END::INT AS covid_intensity, coalesce(n, 0) AS n_orders
+FROM (SELECT unnest(generate_series(DATE '1998-01-01', DATE '2030-12-01', INTERVAL 1 MONTH))::DATE AS d) LEFT JOIN o USING (d)"""
 )
 def calendar_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendars.covid_exposure(spark)
+    """The calendar, and how many orders (25 years later) fall into each of its months."""
+    date = F.add_months(F.col("o_orderdate").cast("date"), 300)
+    orders = table(spark, sf_dir, "orders").groupBy(F.date_format(date, "yyyy-MM").alias("yyyymm")).agg(F.count("*").alias("n_orders"))
+    return calendars.covid_exposure(spark).join(orders, "yyyymm", "left").fillna(0, ["n_orders"])
 
 
 _ELECTIONS = """SELECT n_name AS country, o_orderdate::DATE AS election_date, split_part(o_orderpriority, '-', 2) AS election_type
