@@ -999,11 +999,11 @@ def _retrieved(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
 
 @query(
     f"""WITH {_LINES}, u AS (SELECT doc_id, contains(text, 'and') AS e, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln)
-SELECT doc_id, count(*) FILTER (e) AS n_expected_before, count(*) FILTER (e AND used <= 800) AS n_retrieved_before,
-  count(*) FILTER (e) AS n_expected_after, count(*) FILTER (e AND used <= 2000) AS n_retrieved_after FROM u GROUP BY 1"""
+SELECT doc_id, count(*) FILTER (e) AS n_expected_before, count(*) FILTER (e AND used <= 12000) AS n_retrieved_before,
+  count(*) FILTER (e) AS n_expected_after, count(*) FILTER (e AND used <= 24000) AS n_retrieved_after FROM u GROUP BY 1"""
 )
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.before_after(_retrieved(spark, sf_dir, 800), _retrieved(spark, sf_dir, 2000), "doc_id", ["n_expected", "n_retrieved"])
+    return stats.before_after(_retrieved(spark, sf_dir, 12_000), _retrieved(spark, sf_dir, 24_000), "doc_id", ["n_expected", "n_retrieved"])
 
 
 @query(
@@ -1065,7 +1065,7 @@ def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_LINES}, p AS (SELECT doc_id AS operation, pos, trim(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[^a-z0-9]+', ' ', 'g')) AS words, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ln),
-b AS (SELECT operation, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 800) AS before, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 2000) AS after FROM p GROUP BY 1),
+b AS (SELECT operation, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 12000) AS before, string_agg(words, ' ' ORDER BY pos) FILTER (used <= 24000) AS after FROM p GROUP BY 1),
 q AS (SELECT operation, pos::VARCHAR AS field, substring(words, 1, 60) AS head FROM p)
 SELECT operation, field, head, coalesce(head <> '' AND contains(regexp_replace(before, ' +', ' ', 'g'), head), false) AS in_before, coalesce(head <> '' AND contains(regexp_replace(after, ' +', ' ', 'g'), head), false) AS in_after FROM q JOIN b USING (operation)"""
 )
@@ -1078,7 +1078,7 @@ def passage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return kept.groupBy(F.col("doc_id").alias("operation")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "\n").alias("bundle"))
 
     quotes = rows.select(F.col("doc_id").alias("operation"), F.col("pos").cast("string").alias("field"), F.col("text").alias("quote"))
-    return stats.passage_checks(quotes, excerpt(800), excerpt(2000))
+    return stats.passage_checks(quotes, excerpt(12_000), excerpt(24_000))
 
 
 ORACLES.update({name: sql() for name, sql in ORACLES.items() if callable(sql)})
