@@ -838,7 +838,33 @@ def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.project_bundle(_paragraphs(spark, sf_dir), "operation", keywords=KEYWORDS)
 
 
-@query()
+_TAGS = sorted(KEYWORDS)  # the order of service of tags that have no place of their own
+_DONE = 2**31 - 1
+#: The round robin as steps: each serves one tag of every operation, until no tag has a
+#: candidate that fits.
+_BUNDLE = f"""{_LINES},
+low AS (SELECT doc_id // 8 AS operation, doc_id % 8 AS doc_idx, doc_id, pos, text, lower(strip_accents(nfc_normalize(text))) AS low, regexp_matches(text, '(\\.{{5,}}|…{{2,}}|_{{5,}})\\s*[0-9]') AS toc FROM ln),
+n AS (SELECT *, {", ".join(f"({' + '.join(f'''contains(low, '{t.fold(w)}')::INT''' for w in KEYWORDS[n])}) * (NOT toc)::INT AS n_{n}" for n in _TAGS)},
+  greatest(least({", ".join(f"coalesce(nullif(instr(low, '{t.fold(w)}'), 0), {_DONE})" for n in _TAGS for w in KEYWORDS[n])}) - 1 - {t.LEAD}, 0) AS start FROM low),
+c AS (
+  SELECT *, doc_idx * 1000000 + pos AS id, '[cost-' || doc_id || '.pdf ¶' || CASE WHEN pos % 2 = 0 THEN '2.' || (pos % 90) ELSE 'page-' || pos END || ', p.' || (pos + 1) || '] '
+    || CASE WHEN length(text) <= {t.MAX_PARAGRAPH} THEN text ELSE CASE WHEN start > 0 THEN '[...] ' ELSE '' END || substring(text, start + 1, {t.MAX_PARAGRAPH}) || ' [...]' END AS chunk
+  FROM n WHERE {" + ".join(f"n_{n}" for n in _TAGS)} > 0),
+q AS ({" UNION ALL ".join(f"SELECT operation, {i} AS t, id, length(chunk) + 2 AS size, row_number() OVER (PARTITION BY operation ORDER BY n_{n} DESC, pos % 2, doc_idx, pos) AS rank FROM c WHERE n_{n} > 0" for i, n in enumerate(_TAGS))}),
+w AS (
+  SELECT DISTINCT operation, 0 AS s, {retrieval.PROJECT_BUDGET - 2} AS rest, []::BIGINT[] AS chosen, [{", ".join("0" for _ in _TAGS)}]::BIGINT[] AS at FROM q
+  UNION ALL
+  SELECT w.operation, w.s + 1, w.rest - coalesce(arg_min(q.size, q.rank), 0)::INT, CASE WHEN min(q.rank) IS NULL THEN w.chosen ELSE list_append(w.chosen, arg_min(q.id, q.rank)) END,
+    [{", ".join(f"CASE WHEN w.s % {len(_TAGS)} = {i} THEN coalesce(min(q.rank), {_DONE}) ELSE w.at[{i + 1}] END" for i in range(len(_TAGS)))}]
+  FROM w LEFT JOIN q ON q.operation = w.operation AND q.t = w.s % {len(_TAGS)} AND q.rank > w.at[w.s % {len(_TAGS)} + 1] AND q.size <= w.rest AND NOT list_contains(w.chosen, q.id)
+  WHERE list_min(w.at) < {_DONE} GROUP BY w.operation, w.s, w.rest, w.chosen, w.at),
+e AS (SELECT operation, unnest(arg_max(chosen, s)) AS id FROM w GROUP BY 1),
+b AS (SELECT operation, string_agg(chunk, chr(10) || chr(10) ORDER BY id) AS bundle FROM e JOIN c USING (operation, id) GROUP BY 1)
+SELECT operation, coalesce(bundle, '') AS bundle, count(*) AS n_total, count(*) FILTER ({" + ".join(f"n_{n}" for n in _TAGS)} > 0) AS n_relevant
+FROM n LEFT JOIN b USING (operation) GROUP BY operation, bundle"""
+
+
+@query(f"WITH RECURSIVE {_BUNDLE}")
 def project_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bundles(spark, sf_dir)
 
