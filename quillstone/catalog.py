@@ -848,8 +848,8 @@ n AS (SELECT *, {", ".join(f"({' + '.join(f'''contains(low, '{t.fold(w)}')::INT'
   greatest(least({", ".join(f"coalesce(nullif(instr(low, '{t.fold(w)}'), 0), {_DONE})" for n in _TAGS for w in KEYWORDS[n])}) - 1 - {t.LEAD}, 0) AS start FROM low),
 c AS (
   SELECT *, doc_idx * 1000000 + pos AS id, '[cost-' || doc_id || '.pdf ¶' || CASE WHEN pos % 2 = 0 THEN '2.' || (pos % 90) ELSE 'page-' || pos END || ', p.' || (pos + 1) || '] '
-    || CASE WHEN length(text) <= {t.MAX_PARAGRAPH} THEN text ELSE CASE WHEN start > 0 THEN '[...] ' ELSE '' END || substring(text, start + 1, {t.MAX_PARAGRAPH}) || ' [...]' END AS chunk
-  FROM n WHERE {" + ".join(f"n_{n}" for n in _TAGS)} > 0),
+    || body AS chunk
+  FROM (SELECT *, CASE WHEN length(text) <= {t.MAX_PARAGRAPH} THEN text ELSE CASE WHEN start > 0 THEN '[...] ' ELSE '' END || substring(text, start + 1, {t.MAX_PARAGRAPH}) || ' [...]' END AS body FROM n) WHERE {" + ".join(f"n_{n}" for n in _TAGS)} > 0),
 q AS ({" UNION ALL ".join(f"SELECT operation, {i} AS t, id, length(chunk) + 2 AS size, row_number() OVER (PARTITION BY operation ORDER BY n_{n} DESC, pos % 2, doc_idx, pos) AS rank FROM c WHERE n_{n} > 0" for i, n in enumerate(_TAGS))}),
 w AS (
   SELECT DISTINCT operation, 0 AS s, {retrieval.PROJECT_BUDGET - 2} AS rest, []::BIGINT[] AS chosen, [{", ".join("0" for _ in _TAGS)}]::BIGINT[] AS at FROM q
@@ -859,12 +859,14 @@ w AS (
   FROM w LEFT JOIN q ON q.operation = w.operation AND q.t = w.s % {len(_TAGS)} AND q.rank > w.at[w.s % {len(_TAGS)} + 1] AND q.size <= w.rest AND NOT list_contains(w.chosen, q.id)
   WHERE list_min(w.at) < {_DONE} GROUP BY w.operation, w.s, w.rest, w.chosen, w.at),
 e AS (SELECT operation, unnest(arg_max(chosen, s)) AS id FROM w GROUP BY 1),
-b AS (SELECT operation, string_agg(chunk, chr(10) || chr(10) ORDER BY id) AS bundle FROM e JOIN c USING (operation, id) GROUP BY 1)
-SELECT operation, coalesce(bundle, '') AS bundle, count(*) AS n_total, count(*) FILTER ({" + ".join(f"n_{n}" for n in _TAGS)} > 0) AS n_relevant
-FROM n LEFT JOIN b USING (operation) GROUP BY operation, bundle"""
+b AS (SELECT operation, string_agg(chunk, chr(10) || chr(10) ORDER BY id) AS bundle FROM e JOIN c USING (operation, id) GROUP BY 1)"""
 
 
-@query(f"WITH RECURSIVE {_BUNDLE}")
+@query(
+    f"""WITH RECURSIVE {_BUNDLE}
+SELECT operation, coalesce(bundle, '') AS bundle, count(*) AS n_total, count(*) FILTER ({" + ".join(f"n_{n}" for n in _TAGS)} > 0) AS n_relevant
+FROM n LEFT JOIN b USING (operation) GROUP BY operation, bundle"""
+)
 def project_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bundles(spark, sf_dir)
 
@@ -932,12 +934,31 @@ def citation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.quality_counters(_flagged(spark, sf_dir))
 
 
-@query()
+TERMS = {"cofinancing_present": "tion", "goods_share_pct": "keit", "fx_denomination": "zzz"}
+
+
+@query(
+    f"""WITH RECURSIVE {_BUNDLE},
+f AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{name}', '{term}')" for i, (name, term) in enumerate(TERMS.items()))}) AS v(call_id, field, term)),
+k AS (SELECT operation, id, chunk, 'cost-' || doc_id || '.pdf' AS doc, CASE WHEN pos % 2 = 0 THEN '2.' || (pos % 90) ELSE 'page-' || pos END AS para,
+        trim(regexp_replace(lower(strip_accents(nfc_normalize(body))), '[^a-z0-9]+', ' ', 'g')) AS words FROM e JOIN c USING (operation, id)),
+g AS (SELECT x.operation, call_id, field, term, min(id) FILTER (contains(lower(strip_accents(nfc_normalize(chunk))), term)) AS id
+      FROM (SELECT DISTINCT operation FROM n WHERE operation % 4 <> 0) AS x CROSS JOIN f LEFT JOIN k USING (operation) GROUP BY ALL),
+r AS (SELECT g.*, k.para, CASE WHEN length(k.words) >= 25 THEN substring(k.words, 1, 120) END AS head FROM g LEFT JOIN k USING (operation, id)),
+h AS (SELECT r.operation, r.call_id, min(k.doc) AS lo, max(k.doc) AS hi FROM r JOIN k ON k.operation = r.operation AND contains(k.words, r.head) GROUP BY 1, 2),
+i AS (SELECT operation, para, min(doc) AS id_doc FROM k GROUP BY 1, 2 HAVING min(doc) = max(doc)),
+o AS (SELECT r.*, coalesce(CASE WHEN lo = hi THEN lo END, id_doc, '') AS source_document FROM r LEFT JOIN h USING (operation, call_id) LEFT JOIN i USING (operation, para)),
+m AS (SELECT o.operation, o.call_id, bool_or(contains(upper(replace(k.words, ' ', '')), o.operation::VARCHAR)) AS named
+      FROM o JOIN k ON k.operation = o.operation AND (o.source_document = '' OR k.doc = o.source_document) GROUP BY 1, 2)
+SELECT operation::VARCHAR AS operation, call_id::INT AS call_id, field, CASE WHEN id IS NOT NULL THEN term END AS value, CASE WHEN id IS NULL THEN 'not_stated' ELSE 'found' END AS status,
+  source_document, CASE WHEN id IS NOT NULL THEN contains(source_document, operation::VARCHAR) OR coalesce(named, false) END AS source_names_operation
+FROM o LEFT JOIN m USING (operation, call_id)"""
+)
 def extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts, the deterministic extractor, resolution and flags."""
     bundles = _bundles(spark, sf_dir).select(F.col("operation").cast("string").alias("operation"), "bundle")
     done = bundles.select("operation", (F.col("operation").cast("long") % 4 == 0).alias("complete"))
-    extractor = extraction.keyword_extractor({"cofinancing_present": "tion", "goods_share_pct": "keit", "fx_denomination": "zzz"})
+    extractor = extraction.keyword_extractor(TERMS)
     return extraction.run_pending(bundles, done, extractor).select("operation", "call_id", "field", "value", "status", "source_document", "source_names_operation")
 
 
