@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -14,6 +15,9 @@ from ..functions.values import FIELDS
 from ..session import stored
 
 MIN_QUOTE, QUOTE_HEAD = 25, 120
+#: Characters of an operation's blocks and heads that one task compares as they are;
+#: larger operations are looked up in the index.
+AT_ONCE = 1 << 19
 
 
 def blocks_of(bundles: DataFrame, key: str = "operation", bundle: str = "bundle") -> DataFrame:
@@ -35,10 +39,23 @@ def id_index(blocks: DataFrame, key: str = "operation") -> DataFrame:
 
 
 def _quoted(calls: DataFrame) -> DataFrame:
+    if "head" in calls.columns:
+        return calls
     words = t.words_of(F.coalesce("quote", F.lit("")))
     return calls.withColumn("q", words).withColumn("head", F.when(F.length("q") >= MIN_QUOTE, F.substring("q", 1, QUOTE_HEAD)))
 
 
+def _others(key: str, prefixes: Sequence[str]) -> Column:
+    return F.array_sort(F.array_remove(keys.keys_in(F.coalesce("quote", F.lit("")), prefixes), F.upper(F.col(key).cast("string"))))
+
+
+def noted(calls: DataFrame, key: str = "operation", prefixes: Sequence[str] = keys.COUNTRY_PREFIXES) -> DataFrame:
+    """calls with what resolution and flags need of their quotes (head, and others: the
+    operations that the quote names beside its own) in place of the quotes, so that no
+    quote is in a shuffle."""
+    return _quoted(calls.withColumn("others", _others(key, prefixes))).drop("quote", "q")
+
+
 def grams_of(words: Column, shortest: int = MIN_QUOTE) -> Column:
     """The fingerprints of a text: of every ``shortest`` characters in a row, at least one
     is a fingerprint of any text that holds them (winnowing). A gram is a hash of the
@@ -74,15 +91,42 @@ def grams_of(words: Column, shortest: int = MIN_QUOTE) -> Column:
     return F.arrow_udf(prints, "array<bigint>")(F.coalesce(words, F.lit("")))
 
 
-def quote_hits(calls: DataFrame, blocks: DataFrame, key: str = "operation") -> DataFrame:
-    """Which documents hold the heads of which quotes: key, head, doc, each once.
+def _compared(heads: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Hits of operations of which one task can hold all: each head is looked for in the
+    operation's texts, laid end to end."""
+    heads, texts = heads.select(key, "head"), texts.select(key, "doc", "words")
+
+    def find(asked: pa.Table, there: pa.Table) -> pa.Table:
+        by_doc: dict[str, set[str]] = {}
+        for doc, words in zip(there["doc"].to_pylist(), there["words"].to_pylist()):
+            by_doc.setdefault(doc, set()).add(words)
+        # Heads hold no line ends, so none is found across two texts.
+        pieces = ["\n".join(words) for words in by_doc.values()]
+        ends = np.cumsum([len(p) + 1 for p in pieces]).tolist()
+        text, docs = "\n".join(pieces), list(by_doc)
+        found: list[tuple[str, str]] = []
+        for head in set(asked["head"].to_pylist()):
+            at = text.find(head)
+            while at >= 0:
+                k = bisect_right(ends, at)
+                found.append((head, docs[k]))
+                at = text.find(head, ends[k])
+        own = asked[key].combine_chunks() if found else asked[key].slice(0, 0).combine_chunks()
+        same = own.take(pa.array(np.zeros(len(found), np.int64)))
+        return pa.table({key: same, "head": pa.array([h for h, _ in found], pa.string()), "doc": pa.array([d for _, d in found], pa.string())})
+
+    shape = ", ".join(f"`{n}` {kind}" for n, kind in [*heads.dtypes, ("doc", "string")])
+    return heads.groupBy(key).cogroup(texts.groupBy(key)).applyInArrow(find, shape)
+
+
+def _looked_up(heads: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Hits of operations of any size.
 
     The blocks' fingerprints are an inverted index. A block that holds a head has all
     fingerprints of the head, so each head asks for its rarest one in its operation, and a
     head with a fingerprint that no block has is in none. What the index returns is
     compared as text. Equal heads ask once, and a document's equal blocks answer once."""
-    heads = _quoted(calls).filter("head is not null").select(key, "head").distinct()
-    asked = heads.withColumn("grams", grams_of(F.col("head")))
+    asked = heads.select(key, "head").distinct().withColumn("grams", grams_of(F.col("head")))
     texts = stored(blocks.select(key, "doc", "words").distinct().withColumn("text", F.xxhash64("doc", "words")).withColumn("grams", grams_of(F.col("words"))))
     index = texts.select(key, "text", F.explode("grams").alias("gram"))
     often = index.groupBy(key, "gram").agg(F.count("*").alias("often"))
@@ -92,6 +136,22 @@ def quote_hits(calls: DataFrame, blocks: DataFrame, key: str = "operation") -> D
     return found.join(texts.select(key, "text", "doc", "words"), [key, "text"]).filter(F.contains("words", F.col("head"))).select(key, "head", "doc").distinct()
 
 
+def quote_hits(calls: DataFrame, blocks: DataFrame, key: str = "operation") -> DataFrame:
+    """Which documents hold the heads of which quotes: key, head, doc, each once.
+
+    Most operations are small: a task compares all heads and texts of one at once, and
+    nothing but these is dealt out. Of those beyond AT_ONCE characters no task holds the
+    whole; an index finds the texts that a head is compared with. calls and blocks are
+    read several times and should be stored."""
+    heads = _quoted(calls).filter(F.col("head").isNotNull() & F.col(key).isNotNull())
+    sizes = blocks.select(key, F.length("words").alias("n")).unionByName(heads.select(key, F.length("head").alias("n"))).groupBy(key).agg(F.sum("n").alias("n"))
+    large = stored(sizes.filter(F.col("n") > AT_ONCE).select(key))
+    if large.isEmpty():
+        return _compared(heads, blocks, key)
+    small = _compared(heads.join(large, key, "left_anti"), blocks.join(large, key, "left_anti"), key)
+    return small.unionByName(_looked_up(heads.join(large, key, "left_semi"), blocks.join(large, key, "left_semi"), key))
+
+
 def resolve(calls: DataFrame, blocks: DataFrame, key: str = "operation", call: str = "call_id", hits: DataFrame | None = None) -> DataFrame:
     """calls with source_document: the one document whose block holds the quote's
     head; else the document of its paragraph id, if that is unique; else ''. hits: those
@@ -119,7 +179,7 @@ def contamination(resolved: DataFrame, blocks: DataFrame, key: str = "operation"
     there = hits.unionByName(hits.select(key, "head").distinct().withColumn("doc", F.lit(""))).withColumn("quote_there", F.lit(True))
     out = _quoted(resolved).join(named.withColumnRenamed("doc", "source_document"), [key, "source_document"], "left")
     out = out.join(there.withColumnRenamed("doc", "source_document"), [key, "head", "source_document"], "left")
-    others = F.array_sort(F.array_remove(keys.keys_in(F.coalesce("quote", F.lit("")), prefixes), F.upper(F.col(key).cast("string"))))
+    others = F.col("others") if "others" in resolved.columns else _others(key, prefixes)
     in_name = F.contains(F.upper("source_document"), F.upper(F.col(key).cast("string")))
     found = F.col("status") == "found"
     names = F.when(found, in_name | F.coalesce("in_text", F.lit(False)))

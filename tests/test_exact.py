@@ -138,3 +138,26 @@ def test_calls_that_are_no_objects(spark):
     got = resolve.checked_calls(extraction.extract(bundles, lambda op, b: given)).orderBy("call_id").collect()
     assert [r["reason"] for r in got] == ["not an object", "no field", "unknown field", None, "not an object"]
     assert [r["dropped"] for r in got] == ["'just text'", "status, value", "odd", None, "7"] and got[3]["value"] == "true"
+
+
+def test_quotes_of_small_and_large_operations(spark, monkeypatch):
+    """Small operations are compared at once, with no fingerprint in a shuffle; the same
+    calls by the index give the same hits."""
+    rng = random.Random(12)
+    blocks, calls = [], []
+    for i in range(600):
+        op, text = f"o{i % 30}", words(rng, 9)
+        blocks += [(op, f"d{rng.randrange(4)}", text) for _ in range(rng.randint(1, 2))]
+        calls.append((op, i, text[rng.randint(0, 9) :] if i % 4 else words(rng, 9)))
+    blocks.append((None, "d", calls[1][2]))
+    calls.append((None, 600, calls[1][2]))
+    b = spark.createDataFrame(blocks, "operation string, doc string, words string")
+    c = spark.createDataFrame(calls, "operation string, call_id int, quote string")
+    found = resolve.quote_hits(c, b)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "gram" not in plan
+    got = sorted(map(tuple, found.collect()))
+    heads = {op: {" ".join(q.split())[:120] for o, _, q in calls if o == op and len(" ".join(q.split())) >= 25} for op, _, _ in calls if op}
+    assert got == sorted({(o, h, d) for o, d, w in blocks if o for h in heads[o] if h in w}) and got
+    monkeypatch.setattr(resolve, "AT_ONCE", 0)
+    assert sorted(map(tuple, resolve.quote_hits(c, b).select("operation", "head", "doc").collect())) == got
