@@ -68,3 +68,21 @@ def test_a_hot_operation_is_a_small_group_without_text(spark):
     plan = r.across_documents(text, "operation")._jdf.queryExecution().optimizedPlan().toString()
     grouped = plan[plan.index("FlatMapGroupsInPandas") :].splitlines()[0]
     assert "chunk" not in grouped and r.across_documents(text, "operation").agg(F.sum(F.length("chunk") + 2)).first()[0] <= 24_000
+
+
+def test_one_queue_needs_no_python(spark):
+    chunks = spark.createDataFrame([("a", 0, 1, "x" * 9), ("a", 1, 3, "y" * 8), ("a", 2, 3, "z" * 4), ("a", 3, 2, "w" * 2), ("b", 0, 1, "v" * 11)], "k string, pos int, score int, chunk string")
+    found = r.by_score(chunks, "k", 10)
+    assert sorted(x["pos"] for x in found.collect()) == [1, 3] and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_bounded_by_bytes(spark, sf_dir):
+    """Rows of whole texts go to Python a few megabytes at a time."""
+    import pyarrow as pa
+
+    from quillstone import catalog
+
+    catalog.table(spark, sf_dir, "documents")
+    most = F.arrow_udf(lambda x: pa.array([x.nbytes] * len(x), pa.int64()), "long")
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), F.lit(10_000)).alias("x"))
+    assert texts.select(most("x").alias("n")).agg(F.max("n")).first()[0] < 5 << 20
