@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import keys, text as t
 from ..functions.values import FIELDS
 from ..session import stored
+from .runs import by_key
 
 MIN_QUOTE, QUOTE_HEAD = 25, 120
 #: Characters of an operation's blocks and heads that one task compares as they are;
 #: larger operations are looked up in the index.
 AT_ONCE = 1 << 19
+#: Heads times characters up to which they are looked for one by one.
+SCANNED = 1 << 20
 
 
 def blocks_of(bundles: DataFrame, key: str = "operation", bundle: str = "bundle") -> DataFrame:
@@ -26,10 +29,12 @@ def blocks_of(bundles: DataFrame, key: str = "operation", bundle: str = "bundle"
     An excerpt is cut at blank lines, so text after one inside a paragraph has no
     mark and belongs to no block. White space of any kind around a block does not hide
     its mark; the block's text begins as many characters into it as the mark is long."""
-    rows = bundles.select(key, F.posexplode(F.split(bundle, "\n\n")).alias("block", "raw")).withColumn("bare", t.stripped(F.col("raw")))
-    file, para, _ = t.marked(F.col("bare"))
-    body = F.expr(f"substring(raw, length(regexp_extract(bare, r'{t.MARK}', 0)) + 1)")
-    return rows.filter(F.col("bare").rlike(t.MARK)).select(key, "block", file.alias("doc"), para.alias("para"), t.words_of(body).alias("words"))
+    rows = bundles.select(key, F.posexplode(F.split(bundle, "\n\n")).alias("block", "raw")).filter(F.contains("raw", F.lit("¶")))
+    # The mark is looked for once; its parts are told from it.
+    rows = rows.withColumn("mark", F.regexp_extract(t.stripped(F.col("raw")), t.MARK, 0)).filter("mark <> ''")
+    file, para, _ = t.marked(F.col("mark"))
+    body = F.expr("substring(raw, length(mark) + 1)")
+    return rows.select(key, "block", file.alias("doc"), para.alias("para"), t.words_of(body).alias("words"))
 
 
 def id_index(blocks: DataFrame, key: str = "operation") -> DataFrame:
@@ -91,32 +96,82 @@ def grams_of(words: Column, shortest: int = MIN_QUOTE) -> Column:
     return F.arrow_udf(prints, "array<bigint>")(F.coalesce(words, F.lit("")))
 
 
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of so many bytes, from those of shorter runs."""
+    done, out, part, width, power = 0, None, data.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while done < size:
+        if size & width:
+            out = part if out is None else out[: len(part) - done] * np.uint64(power) + part[done:]
+            done += width
+        if done < size:
+            part = part[:-width] * np.uint64(power) + part[width:]
+            width, power = 2 * width, power * power % 2**64
+    return out
+
+
+def _found(heads: set[str], by_doc: Mapping[str, set[str]]) -> list[tuple[str, str]]:
+    """Which heads are in which document's texts.
+
+    Texts are laid end to end. Heads hold no line ends, so none is found across two. Where
+    heads and text are many, the places where a head may begin are told by a hash."""
+    pieces = ["\n".join(words).encode() for words in by_doc.values()]
+    ends = np.cumsum([len(p) + 1 for p in pieces]).tolist()
+    text, docs = b"\n".join(pieces), list(by_doc)
+    found: list[tuple[str, str]] = []
+
+    def search(head: str) -> None:
+        sought = head.encode()
+        at = text.find(sought)
+        while at >= 0:
+            k = bisect_right(ends, at)
+            found.append((head, docs[k]))
+            at = text.find(sought, ends[k])
+
+    shortest = min((len(h.encode()) for h in heads), default=0)
+    if shortest < 8 or 2 * shortest > len(text) or len(heads) * len(text) < SCANNED:
+        for head in heads:
+            search(head)
+        return found
+    alike: dict[bytes, list[str]] = {}
+    for head in heads:
+        alike.setdefault(head.encode()[:shortest], []).append(head)
+    starts = _hashes(np.frombuffer(b"".join(alike), np.uint8), shortest)[::shortest]
+    order = np.argsort(starts)
+    there = _hashes(np.frombuffer(text, np.uint8), shortest)
+    nearest = np.minimum(np.searchsorted(starts[order], there), len(order) - 1)
+    at = np.flatnonzero(starts[order][nearest] == there)
+    by_start = np.argsort(nearest[at], kind="stable")
+    at, which = at[by_start], nearest[at][by_start]
+    edges = np.searchsorted(which, np.arange(len(order) + 1)).tolist()
+    listed, same_start = at.tolist(), list(alike.values())
+    for k, i in enumerate(order.tolist()):
+        places = listed[edges[k] : edges[k + 1]]
+        for head in same_start[i]:
+            # Boilerplate: many places for many heads.
+            if len(places) > 64:
+                search(head)
+            else:
+                sought = head.encode()
+                found += [(head, doc) for doc in {docs[bisect_right(ends, p)] for p in places if text.startswith(sought, p)}]
+    return found
+
+
 def _compared(heads: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Hits of operations of which one task can hold all: each head is looked for in the
-    operation's texts, laid end to end."""
-    heads, texts = heads.select(key, "head"), texts.select(key, "doc", "words")
-
-    def find(asked: pa.Table, there: pa.Table) -> pa.Table:
-        by_doc: dict[str, set[str]] = {}
-        for doc, words in zip(there["doc"].to_pylist(), there["words"].to_pylist()):
-            by_doc.setdefault(doc, set()).add(words)
-        # Heads hold no line ends, so none is found across two texts.
-        pieces = ["\n".join(words) for words in by_doc.values()]
-        ends = np.cumsum([len(p) + 1 for p in pieces]).tolist()
-        text, docs = "\n".join(pieces), list(by_doc)
-        found: list[tuple[str, str]] = []
-        for head in set(asked["head"].to_pylist()):
-            at = text.find(head)
-            while at >= 0:
-                k = bisect_right(ends, at)
-                found.append((head, docs[k]))
-                at = text.find(head, ends[k])
-        own = asked[key].combine_chunks() if found else asked[key].slice(0, 0).combine_chunks()
-        same = own.take(pa.array(np.zeros(len(found), np.int64)))
-        return pa.table({key: same, "head": pa.array([h for h, _ in found], pa.string()), "doc": pa.array([d for _, d in found], pa.string())})
-
-    shape = ", ".join(f"`{n}` {kind}" for n, kind in [*heads.dtypes, ("doc", "string")])
-    return heads.groupBy(key).cogroup(texts.groupBy(key)).applyInArrow(find, shape)
+    operation's texts."""
+
+    def find(rows: dict[str, list]) -> list[tuple]:
+        asked, by_doc = set(), {}
+        for head, doc, words in zip(rows["head"], rows["doc"], rows["words"]):
+            if head is not None:
+                asked.add(head)
+            elif words is not None:
+                by_doc.setdefault(doc, set()).add(words)
+        return _found(asked, by_doc) if asked and by_doc else []
+
+    none = F.lit(None).cast("string")
+    both = heads.select(key, "head", none.alias("doc"), none.alias("words")).unionByName(texts.select(key, none.alias("head"), "doc", "words"))
+    return by_key(both, key, find, ["head", "doc"])
 
 
 def _looked_up(heads: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
