@@ -43,9 +43,11 @@ def keyword_extractor(terms: Mapping[str, str]) -> Extractor:
 
     def extract(operation: str, bundle: str) -> list[Mapping]:
         blocks = [b.strip() for b in bundle.split("\n\n")]
+        lows = [fold(b) for b in blocks]
         calls = []
         for field, term in terms.items():
-            hit = next((b for b in blocks if fold(term) in fold(b)), None)
+            sought = fold(term)
+            hit = next((b for b, low in zip(blocks, lows) if sought in low), None)
             mark = re.match(r"^\[([^\]]*)\] ?", hit or "")
             quote = (hit or "")[mark.end() :] if mark else ""
             calls.append({"field": field, "value": term if hit else None, "status": "found" if hit else "not_stated", "citation_para": mark.group(1) if mark else "", "quote": quote})
@@ -100,7 +102,8 @@ def extract_document(paragraphs: DataFrame, extractor: Extractor, budget: int =
 
 def run_pending(bundles: DataFrame, entries: DataFrame, extractor: Extractor) -> DataFrame:
     """Calls of the operations without a complete entry, with their sources."""
-    todo = resolve.pending(bundles, entries)
+    # Excerpts are read for their blocks and for their calls, and made once.
+    todo = stored(resolve.pending(bundles, entries), needed=True)
     blocks, calls = stored(resolve.blocks_of(todo)), stored(extract(todo, extractor))
     hits = stored(resolve.quote_hits(calls, blocks))
     return resolve.contamination(resolve.resolve(calls, blocks, hits=hits), blocks, hits=hits)
