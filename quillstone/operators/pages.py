@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_END, stripped
@@ -49,39 +50,50 @@ def page_text(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def _texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(page_text)
+def _texts(htmls: pa.Array) -> pa.Array:
+    return pa.array((page_text(html.as_py()) for html in htmls), pa.string())
 
 
 def html_to_text(c: Column) -> Column:
-    return F.pandas_udf(_texts, "string")(c)
+    return F.arrow_udf(_texts, "string")(c)
 
 
-def _lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    rows = pages.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), LINE_END)).alias("at", "line")).withColumn("line", stripped(F.col("line"))).filter("line <> ''")
-    order = Window.partitionBy(key).orderBy("at")
-    return rows.select(key, "at", "line", *[F.lead("line", k).over(order).alias(f"next{k}") for k in range(1, 5)])
+def _lines(text: str) -> Column:
+    """The lines of a text that are not blank, each with its place among all of them."""
+    split = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    return F.filter(F.transform(split, lambda line, at: F.struct(at.alias("at"), stripped(line).alias("line"))), lambda x: x["line"] != "")
+
+
+def _labelled(labels: dict[str, str]) -> list[Column]:
+    line = F.col("__lines.line")
+    place = {name: F.array_position(line, F.lit(label)).cast("int") for name, label in labels.items()}
+    return [F.when(at > 0, F.coalesce(F.get(line, at), F.lit(""))).otherwise("").alias(name) for name, at in place.items()]
+
+
+def _listed(category: str, url_line: str) -> Column:
+    lines, n = F.col("__lines"), F.size("__lines")
+    line = lambda i, k: F.get(lines, i + k)["line"]
+    starts = F.when(n > 4, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
+    places = F.filter(starts, lambda i: line(i, 0).rlike(url_line) & (F.lower(line(i, 1)) == category))
+    return F.transform(places, lambda i: F.struct(F.get(lines, i)["at"].alias("at"), line(i, 0).alias("url"), line(i, 2).alias("filename"), line(i, 3).alias("date"), line(i, 4).alias("language")))
 
 
 def labelled_values(pages: DataFrame, key: str = "page_id", text: str = "text", labels: dict[str, str] = LABELS) -> DataFrame:
-    """The line after the first line that is exactly a label; '' without one."""
-    rows = _lines(pages, key, text)
-    found = [F.coalesce(F.min_by("next1", F.when(F.col("line") == label, F.col("at"))), F.lit("")).alias(name) for name, label in labels.items()]
-    values = rows.groupBy(key).agg(*found)
-    return pages.select(key).distinct().join(values, key, "left").select(key, *[F.coalesce(n, F.lit("")).alias(n) for n in labels])
+    """The line after the first line that is exactly a label; '' without one. A row a page."""
+    return pages.select(key, _lines(text).alias("__lines")).select(key, *_labelled(labels))
 
 
 def listed_documents(pages: DataFrame, key: str = "page_id", text: str = "text", category: str = "loan proposal", url_line: str = URL_LINE) -> DataFrame:
     """Documents listed as five lines: url, category, file name, date, language."""
-    rows = _lines(pages, key, text).filter(F.col("line").rlike(url_line) & F.col("next4").isNotNull())
-    return rows.filter(F.lower("next1") == category).select(key, "at", F.col("line").alias("url"), F.col("next2").alias("filename"), F.col("next3").alias("date"), F.col("next4").alias("language"))
+    return pages.select(key, _lines(text).alias("__lines")).select(key, F.inline(_listed(category, url_line)))
 
 
 def page_fields(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """One row a page: the labelled values and its documents in order."""
-    docs = listed_documents(pages, key, text).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url", "filename", "date", "language"))), lambda d: F.struct(d["url"].alias("url"), d["filename"].alias("filename"), d["date"].alias("date"), d["language"].alias("language"))).alias("docs"))
-    return labelled_values(pages, key, text).join(docs, key, "left")
+    """One row a page: the labelled values and its documents in order. A page is a row,
+    so its lines are looked at where it is read, and its text is made once."""
+    rows = pages.select(key, _lines(text).alias("__lines")).select(key, *_labelled(LABELS), _listed("loan proposal", URL_LINE).alias("docs"))
+    docs = F.transform("docs", lambda d: F.struct(d["url"].alias("url"), d["filename"].alias("filename"), d["date"].alias("date"), d["language"].alias("language")))
+    return rows.withColumn("docs", F.when(F.size("docs") > 0, docs))
 
 
 def not_yet_stored(wanted: DataFrame, files: DataFrame, key: str = "operation") -> DataFrame:
